@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_dedup, substring_dedup
+from tidemark.llm import byte_dedup, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": quality_rules.query,
         "op4_suffix_array_dedup": byte_dedup.query,
         "op9_substring_dedup": substring_dedup.query,
     }
