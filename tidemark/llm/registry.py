@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_dedup, mixing, quality_rules, substring_dedup
+from tidemark.llm import byte_dedup, mixing, ngram_join, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op3_ngram_join": ngram_join.query,
         "op4_suffix_array_dedup": byte_dedup.query,
         "op6_mixing": mixing.query,
         "op9_substring_dedup": substring_dedup.query,
