@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_dedup, mixing, ngram_join, quality_rules, substring_dedup
+from tidemark.llm import byte_dedup, decontaminate, line_dedup, mixing, ngram_join, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_join": ngram_join.query,
         "op4_suffix_array_dedup": byte_dedup.query,
         "op6_mixing": mixing.query,
+        "op7_line_dedup": line_dedup.query,
+        "op8_toxicity": toxicity.query,
         "op9_substring_dedup": substring_dedup.query,
+        "op10_decontamination": decontaminate.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": line_dedup.ORACLE}
