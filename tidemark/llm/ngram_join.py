@@ -256,6 +256,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return full.unionByName(none).select(unnamed("doc_id"), unnamed("class_id"), unnamed("set_id"), "n_links")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows whose doc_id heads its near-duplicate class, all their columns unchanged.
+
+    One row stays of each class, the one of smallest doc_id; of equal rows with that id
+    one stays.  Texts without words and rows of null doc_id all stay.
+    """
+    near = stage(near_duplicates(docs), "near")
+    gone = near.where("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.dropDuplicates(["doc_id", "text"]) if _repeated_ids(near.where("doc_id = class_id")) else kept
+
+
 def _repeated_ids(signed: DataFrame) -> bool:
     return signed.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
