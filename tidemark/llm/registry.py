@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_dedup, decontaminate, line_dedup, mixing, ngram_join, quality_rules, substring_dedup, toxicity
+from tidemark.llm import byte_dedup, decontaminate, line_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op2_secret_scan": secret_scan.query,
         "op3_ngram_join": ngram_join.query,
         "op4_suffix_array_dedup": byte_dedup.query,
+        "op5_pii": pii.query,
         "op6_mixing": mixing.query,
         "op7_line_dedup": line_dedup.query,
         "op8_toxicity": toxicity.query,
