@@ -1,9 +1,431 @@
 """Every query by name, with the SQL that checks it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from tidemark.functions import text as X
+from tidemark.operators import health, merge, metrics, reconcile, rollout, runs, uilog
+from tidemark.sources.bindings import SQL, Tables, sql
+
+AS_OF = "1998-09-01"
+CLIENT, CLIENT_ID = "NATION_7", 7
+OWNED = "o.account_id = p.account_id and p.published_at >= o.valid_from and (p.published_at < o.valid_to or o.valid_to is null)"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if oracle is not None:
+            _SQL[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- marks and attribution ---------------------------------------------------------
+
+
+@query(f"""select c.client_id, c.name client_name, cast(sum(max_views) as bigint) total_high_water_views
+    from hwm join posts p using (post_id) join ownership o on {OWNED} join clients c on c.client_id = o.client_id group by all""")
+def q1_client_hwm(t: Tables) -> DataFrame:
+    return metrics.client_totals(t.snapshots(), t.posts(), t.ownership(), t.clients())
+
+
+@query("""select post_id, platform_post_id, s.views latest_views, max_views highest_views, s.likes latest_likes, max_likes highest_likes, s.comments latest_comments, max_comments highest_comments, s.scraped_at latest_scrape_time
+    from (select *, row_number() over (partition by post_id order by l_shipdate desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) rn from snapshots) s join hwm using (post_id) join posts using (post_id)
+    where rn = 1 and (s.views < max_views or s.likes < max_likes or s.comments < max_comments or s.shares < max_shares)""")
+def q2_regressions(t: Tables) -> DataFrame:
+    return metrics.regressions(t.snapshots(), t.posts())
+
+
+RANKED = "ranked as (select run_id, provider_id, row_number() over (partition by provider_id order by started_at desc, run_id desc) rn from runs where status in ('completed', 'partial'))"
+
+
+@query(f"""with {RANKED}, prev as (select distinct post_id from run_snapshots join ranked using (run_id) where rn = 2), latest as (select distinct post_id from run_snapshots join ranked using (run_id) where rn = 1)
+    select post_id, platform_post_id, account_id, platform_handle, r.provider_id from prev join posts using (post_id) join (select account_id, platform_handle from accounts) using (account_id) cross join (select provider_id from ranked where rn = 2) r
+    where post_id not in (select post_id from latest)""")
+def q3_disappeared(t: Tables) -> DataFrame:
+    return runs.disappeared(t.run_snapshots(), t.runs(), t.posts(), t.accounts())
+
+
+@query(f"""with {RANKED}, prev as (select distinct post_id, r.provider_id from run_snapshots join ranked r using (run_id) where rn = 2), latest as (select distinct post_id, r.provider_id from run_snapshots join ranked r using (run_id) where rn = 1)
+    select post_id, platform_post_id, account_id, platform_handle, p.provider_id from prev join posts p using (post_id) join (select account_id, platform_handle from accounts) using (account_id)
+    where not exists (select 1 from latest l where l.post_id = prev.post_id and l.provider_id = prev.provider_id)""")
+def q3_disappeared_by_platform(t: Tables) -> DataFrame:
+    return runs.disappeared_by_platform(t.run_snapshots(), t.runs(), t.posts(), t.accounts())
+
+
+@query("""select run_id, started_at, status, f.name provider_name, platform_handle, posts_expected, posts_found, posts_expected - coalesce(posts_found, 0) post_deficit,
+    case when posts_expected > 0 then cast(round(100.0 * coalesce(posts_found, 0) / posts_expected, 1) as double) end coverage_pct
+    from run_accounts join runs r using (run_id) join accounts a using (account_id) join platforms f on f.provider_id = r.provider_id""")
+def q4_health(t: Tables) -> DataFrame:
+    return runs.health(t.runs(), t.run_accounts(), t.accounts(), t.platforms())
+
+
+@query(f"""select c.name owning_client_at_publish, count(distinct p.post_id) post_count, cast(sum(max_views) as bigint) total_views
+    from posts p join (select account_id from ownership where client_id = {CLIENT_ID} and valid_to is null) cur using (account_id) join ownership o on {OWNED} join clients c on c.client_id = o.client_id join hwm on hwm.post_id = p.post_id group by c.client_id, c.name""")
+def q5_attribution(t: Tables) -> DataFrame:
+    return metrics.attribution(t.snapshots(), t.posts(), t.ownership(), t.clients(), CLIENT_ID)
+
+
+@query(f"""select c.name client_name, cast(sum(max_views) as bigint) total_high_water_views from hwm join posts p using (post_id) join ownership o on {OWNED} join clients c on c.client_id = o.client_id where c.name = '{CLIENT}' group by c.name""")
+def q6_total(t: Tables) -> DataFrame:
+    return metrics.client_total(t.snapshots(), t.posts(), t.ownership(), t.clients(), CLIENT)
+
+
+@query(f"""select p.post_id, max_views from hwm join posts p using (post_id) join ownership o on {OWNED} join clients c on c.client_id = o.client_id where c.name = '{CLIENT}'""")
+def q9_client_posts(t: Tables) -> DataFrame:
+    return metrics.client_posts(t.snapshots(), t.posts(), t.ownership(), t.clients(), CLIENT)
+
+
+WEEKLY = f"select platform_handle, cast(date_trunc('week', started_at) as timestamp) \"week\", count(run_id) scrape_count from run_accounts join runs using (run_id) join (select account_id, platform_handle from accounts) using (account_id) where started_at >= timestamp '{AS_OF}' - interval 35 day group by all"
+
+
+@query(WEEKLY)
+def q7_weekly(t: Tables) -> DataFrame:
+    return runs.weekly(t.runs(), t.run_accounts(), t.accounts(), AS_OF)
+
+
+@query(f"""with counted as ({WEEKLY}), spine as (select platform_handle, cast(date_trunc('week', timestamp '{AS_OF}') as timestamp) - to_days(cast(7 * i as integer)) \"week\" from accounts cross join range(6) r(i))
+    select platform_handle, \"week\", coalesce(scrape_count, 0) scrape_count from spine left join counted using (platform_handle, \"week\")""")
+def q7_weekly_spine(t: Tables) -> DataFrame:
+    return runs.weekly_spine(t.runs(), t.run_accounts(), t.accounts(), AS_OF)
+
+
+@query(f"""select platform_handle, account_id, max(scraped_at) last_scraped, cast(epoch(timestamp '{AS_OF}') - epoch(max(scraped_at)) as bigint) staleness_seconds, max(views) last_known_views
+    from accounts join (select post_id, account_id from posts) using (account_id) join snapshots using (post_id) where account_id in (select c_custkey from customer where c_acctbal < 0) group by all""")
+def q8_staleness(t: Tables) -> DataFrame:
+    chosen = t.raw("customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("long").alias("account_id"))
+    return runs.staleness(t.snapshots(), t.posts(), t.accounts(), chosen, AS_OF)
+
+
+@query(f"""select run_id, 'failed' status, timestamp '{AS_OF}' ended_at, 'Reaped: exceeded 10 minute timeout' error_message from runs where run_id % 5 = 0 and started_at < timestamp '{AS_OF}' - interval 10 minute""")
+def q10_stale_runs(t: Tables) -> DataFrame:
+    stuck = F.when(F.pmod("run_id", F.lit(5)) == 0, "running").otherwise(F.col("status"))
+    return runs.reaped(t.runs().withColumn("status", stuck), AS_OF)
+
+
+@query("select * from hwm")
+def hwm_per_post(t: Tables) -> DataFrame:
+    return metrics.high_water(t.snapshots())
+
+
+@query("select * from hwm")
+def hwm_incremental(t: Tables) -> DataFrame:
+    cut = F.col("scraped_at") < F.lit("1996-01-01").cast("timestamp_ntz")
+    return metrics.merged_high_water(metrics.high_water(t.snapshots().where(cut)), t.snapshots().where(~cut))
+
+
+@query("select post_id, max_views from hwm order by max_views desc, post_id limit 100")
+def top_posts(t: Tables) -> DataFrame:
+    return metrics.ranked_by_views(t.snapshots(), 100)
+
+
+@query("""select post_id, scraped_at, views, likes, comments, shares from (select *, row_number() over (partition by post_id order by l_shipdate desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) rn from snapshots) where rn = 1""")
+def latest_snapshot(t: Tables) -> DataFrame:
+    return metrics.latest_snapshot(t.snapshots())
+
+
+@query("select run_id, provider_id, started_at, row_number() over (partition by provider_id order by started_at desc, run_id desc) rn from runs where status in ('completed', 'partial')")
+def runs_ranked(t: Tables) -> DataFrame:
+    return runs.ranked(t.runs()).withColumn("rn", F.col("rn").cast("long"))
+
+
+@query("""select post_id, coalesce(min_by(client, rank), 'unattributed') client from posts p left join (select account_id, cast(client_id as varchar) client, row_number() over (partition by account_id order by valid_from) rank, valid_from, valid_to from ownership where client_id % 3 <> 0) o
+    on o.account_id = p.account_id and published_at >= valid_from and (published_at < valid_to or valid_to is null) group by post_id""")
+def asof_first_match(t: Tables) -> DataFrame:
+    a = t.ownership().where(F.pmod("client_id", F.lit(3)) != 0)
+    a = a.select("account_id", F.col("client_id").cast("string").alias("client"), "valid_from", "valid_to", F.row_number().over(W.partitionBy("account_id").orderBy("valid_from")).alias("ord"))
+    return metrics.first_owner(t.posts(), a)
+
+
+# --- scalar functions -------------------------------------------------------------------
+
+CANON, HANDLE = r"(?i)(?:https?://)?(?:www\.)?tiktok\.com/@[\w.]+/video/(\d+)", r"@([\w.]+)"
+SHARE = r"(?i)^(?:https?://)?(?:vm|vt)\.tiktok\.com/\w+/?"
+URLS = "urls as (select url from pages union all select url from vendor_posts)"
+
+
+@query(f"""with {URLS} select url, nullif(regexp_extract(url, '{CANON}', 1), '') video_id, regexp_matches(trim(url), '{SHARE}') is_share,
+    case when regexp_matches(url, '{CANON}') then 'canonical' when regexp_matches(trim(url), '{SHARE}') then 'share' else 'unknown' end kind from urls""")
+def url_classify(t: Tables) -> DataFrame:
+    urls = t.raw("pages").select("url").unionByName(t.vendor_posts().select("url"))
+    return urls.select("url", X.video_id(F.col("url")).alias("video_id"), X.is_share_url(F.col("url")).alias("is_share"), X.url_kind(F.col("url")).alias("kind"))
+
+
+@query(f"""with {URLS} select url, case when regexp_matches(url, '{CANON}') then 'https://www.tiktok.com/@' || regexp_extract(url, '{HANDLE}', 1) || '/video/' || regexp_extract(url, '{CANON}', 1) end canonical_url from urls""")
+def url_canonical(t: Tables) -> DataFrame:
+    urls = t.raw("pages").select("url").unionByName(t.vendor_posts().select("url"))
+    return urls.select("url", X.canonical_url(F.col("url")).alias("canonical_url"))
+
+
+@query(r"select vendor, ord, regexp_replace(caption, '\s+$', '') like '%...' is_truncated from vendor_posts")
+def caption_truncated(t: Tables) -> DataFrame:
+    return t.vendor_posts().select("vendor", "ord", X.is_truncated(F.col("caption")).alias("is_truncated"))
+
+
+@query(r"""with v as (select *, regexp_replace(caption, '\s+$', '') c, nullif(regexp_extract(url, '(?i)(?:https?://)?(?:www\.)?tiktok\.com/@[\w.]+/video/(\d+)', 1), '') vid from vendor_posts)
+    select s.ord share_ord, c.vendor, c.ord candidate_ord from v s join v c on s.account = c.account and s.vid is null and c.vid is not null and abs(epoch_us(s.posted_at) - epoch_us(c.posted_at)) <= 3600000000
+    and (s.c = c.c or case when ends_with(s.c, '...') and ends_with(c.c, '...') then s.c[:-4] = c.c[:-4] when ends_with(s.c, '...') then starts_with(c.c, s.c[:length(s.c) - 3]) when ends_with(c.c, '...') then starts_with(s.c, c.c[:length(c.c) - 3]) else false end)""")
+def caption_candidates(t: Tables) -> DataFrame:
+    p = reconcile.classified(t.vendor_posts())
+    return reconcile.candidates(p).select("share_ord", F.col("vendor").alias("vendor"), "candidate_ord")
+
+
+@query("""select c_custkey, coalesce(try_cast(regexp_extract(c_phone, '^(\\d+)', 1) as integer), 0) major, regexp_extract(c_phone, '^(\\d+)', 1) <> '' and cast(regexp_extract(c_phone, '^(\\d+)', 1) as integer) >= 20 at_least_20 from
+    (select c_custkey, cast(10 + c_nationkey as varchar) || '-' || c_custkey c_phone from customer)""")
+def version_range(t: Tables) -> DataFrame:
+    v = F.concat((F.col("c_nationkey") + 10).cast("string"), F.lit("-"), F.col("c_custkey").cast("string"))
+    numbers = X.version_numbers(v)
+    return t.raw("customer").select("c_custkey", numbers[0].alias("major"), (numbers >= X.version_numbers(F.lit("20"))).alias("at_least_20"))
+
+
+@query("select event_id, least(pow(2, event_id % 8), 30.0) "seconds" from events")
+def backoff(t: Tables) -> DataFrame:
+    return t.raw("events").select("event_id", X.backoff_seconds(F.pmod("event_id", F.lit(8)), F.lit(0.0)).alias("seconds"))
+
+
+# --- vendor merge ---------------------------------------------------------------------------
+
+EVENTS = "select user_id, max_by(\"value\", event_id) \"value\", max_by(event_id, event_id) event_id from events where event_type = '{}' group by user_id"
+
+
+def _vendors(t: Tables) -> tuple[DataFrame, DataFrame]:
+    e = t.raw("events").select("user_id", "event_id", "value", "event_type")
+    return tuple(merge.last_rows(e.where(F.col("event_type") == k), "user_id", "event_id", ["value", "event_id"]) for k in ("view", "click"))
+
+
+@query(f"select user_id, greatest(a.value, b.value) \"value\", greatest(a.event_id, b.event_id) event_id from ({EVENTS.format('view')}) a full join ({EVENTS.format('click')}) b using (user_id)")
+def vendor_merge_max(t: Tables) -> DataFrame:
+    return merge.merged_max(*_vendors(t), "user_id", ["value", "event_id"])
+
+
+@query(f"select user_id, case when b.event_id is not null then b.value else a.value end \"value\", coalesce(b.event_id, a.event_id) event_id from ({EVENTS.format('view')}) a full join ({EVENTS.format('click')}) b using (user_id)")
+def vendor_merge_latest(t: Tables) -> DataFrame:
+    return merge.merged_latest(*_vendors(t), "user_id", ["value", "event_id"], 1.0, 2.0)
+
+
+@query(f"select count(*) filter (b.event_id is null) only_in_a, count(*) filter (a.event_id is null) only_in_b, count(*) filter (a.event_id is not null and b.event_id is not null) overlap_count from ({EVENTS.format('view')}) a full join ({EVENTS.format('click')}) b using (user_id)")
+def vendor_overlap(t: Tables) -> DataFrame:
+    return merge.overlap(*_vendors(t), "user_id")
+
+
+@query(f"select user_id from events where event_type = 'view' union select user_id from events where event_type = 'click'")
+def vendor_ids_union(t: Tables) -> DataFrame:
+    a, b = _vendors(t)
+    return a.select("user_id").union(b.select("user_id")).distinct()
+
+
+@query(f"select user_id from events where event_type = 'error' and event_id < 400 except select user_id from events where event_type = 'purchase' and event_id < 400")
+def vendor_ids_difference(t: Tables) -> DataFrame:
+    e = t.raw("events").where("event_id < 400")
+    return e.where("event_type = 'error'").select("user_id").subtract(e.where("event_type = 'purchase'").select("user_id"))
+
+
+@query(f"select user_id from events where event_type = 'view' intersect select user_id from events where event_type = 'click'")
+def vendor_ids_intersection(t: Tables) -> DataFrame:
+    e = t.raw("events")
+    return e.where("event_type = 'view'").select("user_id").intersect(e.where("event_type = 'click'").select("user_id"))
+
+
+# --- failures and pauses ----------------------------------------------------------------------
+
+STREAKS = """islands as (select *, sum(case when failed then 0 else 1 end) over (partition by account_id order by ord) island from jobs),
+    streaks as (select account_id, ord, failed, cast(sum(failed::int) over (partition by account_id, island order by ord) as bigint) consecutive_failures from islands),
+    flags as (select *, max(consecutive_failures >= 3) over (partition by account_id order by ord) flagged from streaks)"""
+
+
+@query(f"with {STREAKS} select * from flags")
+def failure_streaks(t: Tables) -> DataFrame:
+    return health.streaks(t.jobs())
+
+
+@query(f"with {STREAKS} select account_id, max(flagged) flagged, max(consecutive_failures) longest_streak from flags group by account_id")
+def failure_flags(t: Tables) -> DataFrame:
+    return health.flagged_accounts(t.jobs())
+
+
+@query(f"with {STREAKS} select account_id, ord, failed, coalesce(max(flagged) over (partition by account_id order by ord rows between unbounded preceding and 1 preceding), false) skipped from flags")
+def failure_skips(t: Tables) -> DataFrame:
+    return health.skipped(t.jobs())
+
+
+BATCH = """b as (select *, account_id % 40 batch from jobs), c as (select *, count(*) over (partition by batch order by ord) done, count(*) filter (failed) over (partition by batch order by ord) bad, count(*) over (partition by batch) total from b),
+    stop as (select batch, min(ord) pause_ord from c where failed and done >= greatest(5, floor(total * 0.1)) and bad / done > 0.2 group by batch)"""
+
+
+@query(f"with {BATCH} select batch, pause_ord from stop")
+def batch_pause(t: Tables) -> DataFrame:
+    return health.paused(t.jobs().withColumn("batch", F.pmod("account_id", F.lit(40))))
+
+
+@query(f"with {BATCH} select b.* from b left join stop using (batch) where pause_ord is null or ord <= pause_ord")
+def batch_attempted(t: Tables) -> DataFrame:
+    return health.attempted(t.jobs().withColumn("batch", F.pmod("account_id", F.lit(40)))).select("account_id", "ord", "failed", "batch")
+
+
+@query("select user_id job_id, min(attempt) attempt from (select user_id, row_number() over (partition by user_id order by event_id) attempt, event_type = 'purchase' is_complete from events) where attempt <= 4 and is_complete group by user_id")
+def accepted_attempts(t: Tables) -> DataFrame:
+    e = t.raw("events").select(F.col("user_id").alias("job_id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("attempt"), (F.col("event_type") == "purchase").alias("is_complete"))
+    return health.accepted_attempt(e)
+
+
+# --- rollout ------------------------------------------------------------------------------------
+
+PLAN = """ok as (select device_id, \"version\" from devices where \"connection\" not in ('offline', 'flaky') and task is null),
+    firsts as (select min(device_id) device_id from ok where \"version\" in (8, 9, 10, 11) group by \"version\"),
+    rest as (select device_id, row_number() over (order by device_id) - 1 r from ok where device_id not in (select device_id from firsts)),
+    waves as (select device_id, 1 wave from firsts union all select device_id, case when r <= 0 then 1 else 2 + cast(floor(log2((r - 1) // 20 + 1) + 1e-12) as bigint) end from rest)"""
+
+
+@query(f"with {PLAN} select device_id, cast(wave as bigint) wave from waves where (select count(*) from firsts) = 4")
+def wave_plan(t: Tables) -> DataFrame:
+    return rollout.plan(t.devices())
+
+
+RECORDS = "records as (select device_id, case device_id % 9 when 0 then 'failed' when 1 then 'interrupted' when 2 then 'rolled_back' else 'succeeded' end status, device_id % 6 + 1 wave from devices)"
+
+
+def _records(t: Tables) -> DataFrame:
+    k = F.pmod("device_id", F.lit(9))
+    status = F.when(k == 0, "failed").when(k == 1, "interrupted").when(k == 2, "rolled_back").otherwise("succeeded")
+    return t.devices().select("device_id", status.alias("status"), (F.pmod("device_id", F.lit(6)) + 1).alias("wave"))
+
+
+@query(f"""with {RECORDS} select wave, coalesce(count(*) filter (status = 'failed') / nullif(count(*) filter (status <> 'interrupted'), 0), 0.0) failure_rate,
+    case when wave = 1 then bool_or(status = 'failed') else coalesce(count(*) filter (status = 'failed') / nullif(count(*) filter (status <> 'interrupted'), 0), 0.0) > 0.02 end halts from records group by wave""")
+def wave_failure_rate(t: Tables) -> DataFrame:
+    return rollout.gates(_records(t))
+
+
+@query("with " + RECORDS + " select " + ", ".join(f"count(*) filter (status = '{s}') {s}" for s in rollout.LABELS) + " from records")
+def status_histogram(t: Tables) -> DataFrame:
+    return rollout.histogram(_records(t))
+
+
+# --- state logs -----------------------------------------------------------------------------------
+
+EVENT_MOVES = {"view": "click error", "click": "view purchase error", "purchase": "view", "error": "view"}
+
+
+@query("with moves as (select *, lag(state) over (partition by \"session\" order by ord) was from states) select \"session\", ord, was, state, (was, state) in (" + ", ".join(f"('{a}', '{b}')" for a, to in EVENT_MOVES.items() for b in to.split()) + ") \"valid\" from moves where was is not null")
+def transition_audit(t: Tables) -> DataFrame:
+    return uilog.audit(t.states(), uilog.edges(t.spark, EVENT_MOVES))
+
+
+# --- reconciliation -------------------------------------------------------------------------------
+
+
+@query("select id post_id, greatest(coalesce(max(views) filter (vendor = 'A'), 0), coalesce(max(views) filter (vendor = 'B'), 0)) views from vendor_posts where id is not null and not contains(url, 'vm.') group by id")
+def metric_resolve(t: Tables) -> DataFrame:
+    p = t.vendor_posts().where("id is not null and not contains(url, 'vm.')")
+    side = p.groupBy(F.col("id").alias("post_id")).agg(F.max(F.when(F.col("vendor") == "A", F.col("views"))).alias("a"), F.max(F.when(F.col("vendor") == "B", F.col("views"))).alias("b"))
+    return side.select("post_id", X.resolved_metric(F.col("a"), F.col("b")).alias("views"))
+
+
+@query()
+def reconcile_posts(t: Tables) -> DataFrame:
+    return reconcile.reconciled(t.vendor_posts(), *_history(t)).posts
+
+
+@query()
+def reconcile_anomalies(t: Tables) -> DataFrame:
+    return reconcile.reconciled(t.vendor_posts(), *_history(t)).anomalies
+
+
+@query()
+def reconcile_unresolved(t: Tables) -> DataFrame:
+    return reconcile.reconciled(t.vendor_posts(), *_history(t)).unresolved
+
+
+def _history(t: Tables) -> tuple[DataFrame, DataFrame]:
+    d = t.raw("documents").select("doc_id", "n_chars", "source")
+    at = F.lit("2023-12-31").cast("timestamp_ntz")
+    gone = F.when(F.pmod("doc_id", F.lit(100)) == 7, F.col("doc_id") + F.lit(5000000000)).otherwise(F.col("doc_id"))
+    snap = d.where(F.pmod("doc_id", F.lit(4)) == 3).select(F.col("doc_id").alias("ord"), gone.cast("string").alias("id"), (F.col("n_chars") + F.pmod("doc_id", F.lit(3)) - 1).alias("views"), F.lit(0).cast("long").alias("likes"), at.alias("scraped_at"))
+    half = F.lit("2024-01-05").cast("timestamp_ntz")
+    start, none = F.lit("2023-01-01").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")
+    periods = F.array(F.struct(F.lit("client_a").alias("client"), start.alias("valid_from"), half.alias("valid_to")), F.struct(F.lit("client_b").alias("client"), half.alias("valid_from"), none.alias("valid_to")))
+    owners = d.where(F.col("source") != "src3").select("source").distinct().select(F.concat(F.lit("@"), F.col("source")).alias("account"), F.posexplode(periods).alias("ord", "p")).select("account", "ord", "p.*")
+    return snap, owners
+
+
+@query("select id, views latest_seen from (select cast(doc_id + 5000000000 as varchar) id, n_chars + doc_id % 3 - 1 views from documents where doc_id % 100 = 7) where id not in (select id from vendor_posts where id is not null)")
+def disappeared_posts(t: Tables) -> DataFrame:
+    r = reconcile.reconciled(t.vendor_posts(), *_history(t))
+    return r.posts.where("status = 'missing'").select(F.col("post_id").alias("id"), F.col("views").alias("latest_seen"))
+
+
+@query("select count(*) missing, count(*) >= 3 outage from documents where doc_id % 100 = 7")
+def outage_flag(t: Tables) -> DataFrame:
+    snap, _ = _history(t)
+    gone = reconcile.missing(reconcile.classified(t.vendor_posts()), snap)
+    return gone.agg(F.count("*").alias("missing"), (F.count("*") >= 3).alias("outage"))
+
+
+# --- integrity -----------------------------------------------------------------------------------
+
+
+@query("""select 'negative_metric' rule, count(*) n from snapshots where views < 0 or likes < 0 or comments < 0 or shares < 0
+    union all select 'orphan_snapshot', count(*) from snapshots where post_id not in (select post_id from posts)
+    union all select 'two_open_owners', count(*) from (select account_id from ownership where valid_to is null group by account_id having count(*) > 1)
+    union all select 'period_backwards', count(*) from ownership where valid_to <= valid_from
+    union all select 'duplicate_post', count(*) from (select platform_post_id, provider_id from posts group by all having count(*) > 1)
+    union all select 'bad_status', count(*) from runs where status not in ('running', 'completed', 'failed', 'partial')""")
+def constraint_violations(t: Tables) -> DataFrame:
+    from tidemark.operators import store
+
+    return store.violations(t.snapshots(), t.posts(), t.ownership(), t.runs())
+
+
+# --- recorded devices and screens: made from the customer table -----------------------------------
+
+
+@query("""select cast(c_custkey as varchar) device_id, 'sim_mcc' \"check\", case when c_custkey % 4 = 0 then 0 when 300 + c_custkey % 30 between 310 and 316 then 0 else 1 end failures, case when c_custkey % 4 = 0 then 1 else 0 end warnings,
+    case when c_custkey % 4 = 0 then 'warn' when 300 + c_custkey % 30 between 310 and 316 then 'pass' else 'fail' end status, c_custkey % 4 = 0 or 300 + c_custkey % 30 between 310 and 316 passed from customer""")
+def compliance_sim(t: Tables) -> DataFrame:
+    from tidemark.operators import rules
+
+    raw = F.create_map(F.lit("getprop gsm.sim.state"), F.when(F.pmod("c_custkey", F.lit(4)) == 0, "ABSENT").otherwise("READY"), F.lit("getprop gsm.sim.operator.numeric"), F.concat((F.pmod("c_custkey", F.lit(30)) + 300).cast("string"), F.lit("260")))
+    lists = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
+    results = t.raw("customer").select(F.col("c_custkey").cast("string").alias("device_id"), F.lit("sim_mcc").alias("check"), raw.alias("raw"), lists.alias("lists"))
+    return rules.verdicts(results).withColumns({c: F.col(c).cast("int") for c in ("failures", "warnings")})
+
+
+@query()
+def compliance_verdict(t: Tables) -> DataFrame:
+    from tidemark.operators import rules
+
+    k = F.col("c_custkey")
+    raw = F.create_map(
+        F.lit("getprop persist.sys.locale"), F.when(F.pmod(k, F.lit(5)) == 0, "de-DE").otherwise("en-US"), F.lit("getprop persist.sys.timezone"), F.when(F.pmod(k, F.lit(3)) == 0, "Europe/Paris").otherwise("US/Central"),
+        F.lit("settings get global auto_time_zone"), F.lit("0"), F.lit("wifi_on"), F.pmod(k, F.lit(2)).cast("string"), F.lit("public_ip"), F.concat(F.pmod(k, F.lit(256)).cast("string"), F.lit(".1.2.3")),
+        F.lit("location_mode"), F.lit("0"), F.lit("locksettings get-disabled"), F.lit("false"), F.lit("settings get global adb_enabled"), F.lit("1"), F.lit("pm_list"), F.lit("package:com.example.app"), F.lit("version_name"), F.concat(F.lit("versionName="), F.pmod(k, F.lit(40)).cast("string"), F.lit(".1")),
+    )
+    checks = F.explode(F.array(*[F.lit(c) for c in ("locale", "timezone", "wifi", "ip_validation", "gps_location", "screen_lock", "usb_debugging", "app_state")]))
+    lists = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
+    return rules.verdicts(t.raw("customer").select(k.cast("string").alias("device_id"), checks.alias("check"), raw.alias("raw"), lists.alias("lists")))
+
+
+@query()
+def ui_screen_score(t: Tables) -> DataFrame:
+    xml = F.concat(F.lit('<hierarchy><node text="'), F.when(F.pmod("c_custkey", F.lit(3)) == 0, "For you").otherwise("Followers"), F.lit('"/><node resource-id="'), F.when(F.pmod("c_custkey", F.lit(7)) == 0, "dialog").otherwise("list"), F.lit('"/></hierarchy>'))
+    signs = t.spark.createDataFrame([("home_feed", 0, 0, "text", "(?i)for you"), ("profile", 1, 0, "text", "(?i)followers"), ("popup", 6, 0, "resource_id", "(?i)dialog")], "state string, rank int, grp int, attribute string, pattern string")
+    return uilog.scored(t.raw("customer").select(F.col("c_custkey").cast("string").alias("screen"), xml.alias("xml")), signs)
