@@ -16,14 +16,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import kernels as K
 from tidemark.llm.recurrence import Body, Kind, earlier_windows_removed, runs_of
 
 WINDOW_BYTES = 100
-GRAM_BYTES = 32
+GRAM_BYTES = 40
 #: Window starts that one lane handles; it also reads WINDOW_BYTES - 1 bytes beyond.
 LANE = 512
+#: Text of a block of documents, and so of an index.
+BLOCK_BYTES = 2 << 20
 #: Lanes streamed together, for bounded memory.
-LANES = 8192
+LANES = 4096
+#: Rows compared at once while windows are numbered.
+SLICE = 1 << 19
+#: Text of the segments that are streamed together, and of an index over what is left.
+BATCH_BYTES = 1 << 20
 
 END, SEPARATOR, SHIFT = 0, 1, 2
 
@@ -31,10 +38,11 @@ END, SEPARATOR, SHIFT = 0, 1, 2
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffixes of small-alphabet text (< 512) in order; only unresolved groups are sorted again."""
     n = len(text)
-    padded = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
+    padded = np.concatenate([text, np.zeros(7, text.dtype)])
     key = np.zeros(n, dtype=np.int64)
     for i in range(7):
-        key = (key << 9) | padded[i : i + n]
+        key <<= 9
+        key |= padded[i : i + n]
     sa = np.argsort(key, kind="stable")
     sorted_key = key[sa]
     new = np.append(True, sorted_key[1:] != sorted_key[:-1])
@@ -42,6 +50,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     rank = np.empty(n + 1, dtype=np.int64)
     rank[sa] = group
     rank[n] = -1
+    del key, sorted_key, group, padded
     single = new & np.append(new[1:], True)
     slots = np.flatnonzero(~single)
     k = 7
@@ -67,7 +76,7 @@ class RunLengthIndex:
         self.first = np.concatenate([[0], np.cumsum(sizes + 1)])
         n = int(self.first[-1]) + 1
         raw = np.frombuffer(b"\0".join(parts) + b"\0\0", np.uint8)
-        self.left = np.zeros(n, dtype=np.int64)  # bytes from here to the end of the part
+        self.left = np.zeros(n, dtype=np.int32)  # bytes from here to the end of the part
         text = raw.astype(np.int16) + SHIFT
         text[self.first[1:] - 1] = SEPARATOR
         text[n - 1] = END
@@ -90,12 +99,15 @@ class RunLengthIndex:
         self.runs = len(size)
         self.by_symbol = self.run_byte[by_symbol] * self.runs + by_symbol
         # windows of equal content are neighbours in the order: number them, then let the order go
-        full = self.left[sa] >= width
-        rows = sa[full]
-        same = self.common(rows[1:], rows[:-1], np.full(max(0, len(rows) - 1), width)) >= width
-        self.window_class = np.full(n, -1, dtype=np.int64)
-        if len(rows):
-            self.window_class[rows] = np.cumsum(np.append(True, ~same)) - 1
+        rows = sa[self.left[sa] >= width]
+        self.window_class = np.full(n, -1, dtype=np.int32)
+        number = -1
+        for i in range(0, len(rows), SLICE):
+            part = rows[max(0, i - 1) : i + SLICE]
+            fresh = self.common(part[1:], part[:-1], np.full(len(part) - 1, width)) < width
+            fresh = fresh if i else np.append(True, fresh)
+            self.window_class[rows[i : i + SLICE]] = number + np.cumsum(fresh)
+            number += int(fresh.sum())
         self.classes = int(self.window_class.max(initial=-1)) + 1
         self.n = n
 
@@ -173,47 +185,88 @@ class RunLengthIndex:
 
 
 def resolve_by_index(bodies: list[Body], width: int = WINDOW_BYTES) -> list[np.ndarray]:
-    out: list[np.ndarray | None] = [None] * len(bodies)
+    """Earliest places of the windows of each body, as runs.
+
+    Places are packed as (number of the document, start).  What is kept for a window of
+    another block's segment is one 32-bit class; all else is made batch by batch.
+    """
     docs, doc_at = np.unique(np.array([b.doc for b in bodies], dtype=np.int64), return_inverse=True)
-    place = [(np.int64(doc_at[i]) << 32) + b.start + np.arange(len(b.data) - width + 1) for i, b in enumerate(bodies)]
-    best = [p.copy() for p in place]
+    windows = [len(b.data) - width + 1 for b in bodies]
+
+    def place(i: int) -> np.ndarray:
+        return (np.int64(doc_at[i]) << 32) + bodies[i].start + np.arange(windows[i])
 
     own = [i for i, b in enumerate(bodies) if b.home] or [0]
-    others = sorted(set(range(len(bodies))) - set(own))
+    rest = sorted(set(range(len(bodies))) - set(own))
     index = RunLengthIndex([bodies[i].data for i in own], width)
-    spot = {i: index.window_class[index.first[k] : index.first[k] + len(place[i])] for k, i in enumerate(own)}
-    for i, p in zip(others, index.stream([bodies[i].data for i in others])):
-        spot[i] = np.where(p >= 0, index.window_class[p], -1)
-    _least(spot, place, best, index.classes)
+    least = np.full(index.classes, np.iinfo(np.int64).max)
+    spot: dict[int, np.ndarray] = {i: index.window_class[index.first[k] : index.first[k] + windows[i]] for k, i in enumerate(own)}
+    for batch in _batches(rest, lambda i: len(bodies[i].data)):
+        for i, p in zip(batch, index.stream([bodies[i].data for i in batch])):
+            spot[i] = np.where(p >= 0, index.window_class[p], np.int32(-1))
+    del index
+    for i, c in spot.items():
+        hit = c >= 0
+        np.minimum.at(least, c[hit], place(i)[hit])
 
     # what the home itself doesn't hold can still occur twice among the others
-    rest, back = [], []
-    for i in others:
-        miss = np.concatenate([[0], (spot[i] < 0).view(np.int8), [0]])
-        step = np.diff(miss)
-        for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
-            rest.append(bodies[i].data[a : b + width - 1])
-            back.append((i, a, b))
-    if len(rest) > 1 or any(b - a > width for _, a, b in back):
-        index = RunLengthIndex(rest, width)
-        least = np.full(index.classes, np.iinfo(np.int64).max)
-        cls = [index.window_class[index.first[k] : index.first[k] + b - a] for k, (_, a, b) in enumerate(back)]
-        for c, (i, a, b) in zip(cls, back):
-            np.minimum.at(least, c, place[i][a:b])
-        for c, (i, a, b) in zip(cls, back):
-            best[i][a:b] = least[c]
-    for i, b in enumerate(best):
-        out[i] = runs_of(docs[b >> 32], b & 0xFFFFFFFF)
+    missing: list[tuple[int, int, int, int]] = []  # anchor, body, windows from and to
+    for i in rest:
+        for a, b in _stretches(spot[i] < 0):
+            missing += [(v, i, a + x, a + y) for v, x, y in _by_anchor(bodies[i].data[a : b + width - 1], width)]
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for batch in _batches(sorted(_recurring(missing)), lambda m: m[3] - m[2] + width, whole=lambda m: m[0]):
+        index = RunLengthIndex([bodies[i].data[a : b + width - 1] for _, i, a, b in batch], width)
+        low = np.full(index.classes, np.iinfo(np.int64).max)
+        cls = [index.window_class[index.first[k] : index.first[k] + b - a] for k, (_, _, a, b) in enumerate(batch)]
+        for c, (_, i, a, b) in zip(cls, batch):
+            np.minimum.at(low, c, place(i)[a:b])
+        for c, (_, i, a, _) in zip(cls, batch):
+            found.setdefault(i, []).append((a, low[c]))
+    out = []
+    for i in range(len(bodies)):
+        c, best = spot[i], place(i)
+        hit = c >= 0
+        best[hit] = least[c[hit]]
+        for a, low in found.get(i, ()):
+            best[a : a + len(low)] = low
+        out.append(runs_of(docs[best >> 32], best & 0xFFFFFFFF))
     return out
 
 
-def _least(spot: dict[int, np.ndarray], place: list[np.ndarray], best: list[np.ndarray], classes: int) -> None:
-    least = np.full(classes, np.iinfo(np.int64).max)
-    for i, c in spot.items():
-        hit = c >= 0
-        np.minimum.at(least, c[hit], place[i][hit])
-    for i, c in spot.items():
-        best[i] = np.where(c >= 0, least[c], place[i])
+def _batches(items: list, size, whole=None):
+    """Lists of about BATCH_BYTES; items of equal ``whole`` stay together."""
+    batch, total, last = [], 0, None
+    for x in items:
+        if batch and total >= BATCH_BYTES and (whole is None or whole(x) != last):
+            yield batch
+            batch, total = [], 0
+        batch.append(x)
+        total += size(x)
+        last = whole(x) if whole else None
+    if batch:
+        yield batch
+
+
+def _stretches(mask: np.ndarray) -> list[tuple[int, int]]:
+    step = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
+    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
+
+
+def _by_anchor(text: bytes, width: int) -> list[tuple[int, int, int]]:
+    """(anchor, first window, window after the last) for the runs of windows of equal anchor."""
+    value = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
+    anchor = K.sliding_min(K.window_hash(value, GRAM_BYTES), width - GRAM_BYTES + 1)
+    at = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    return list(zip(anchor[at].tolist(), at.tolist(), [*at[1:].tolist(), len(anchor)]))
+
+
+def _recurring(missing: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs whose anchor another run has too, or that could hold a window twice."""
+    times: dict[int, int] = {}
+    for v, *_ in missing:
+        times[v] = times.get(v, 0) + 1
+    return [m for m in missing if times[m[0]] > 1 or m[3] - m[2] > WINDOW_BYTES - GRAM_BYTES + 1]
 
 
 STRINGS = Kind(width=WINDOW_BYTES, gram=GRAM_BYTES, words=False, strict_document=False, resolve=resolve_by_index)
@@ -230,7 +283,7 @@ def remove_repeated_strings(docs: DataFrame) -> DataFrame:
     A null doc_id comes after all others.  Rows of equal doc_id are copies of one
     document: an equal start in another of them is not earlier.
     """
-    out = earlier_windows_removed(docs, STRINGS)
+    out = earlier_windows_removed(docs, STRINGS, BLOCK_BYTES)
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "spans", F.col("kept").alias("kept_bytes"))
 
 

@@ -10,7 +10,7 @@ anchors.  The steps, all keyed by bounded integers:
 2. ``anchors``: every block sends its distinct anchors (8 bytes each) to anchor
    buckets.  A frequent passage costs one entry a block, not one a document.
 3. ``homes``: a bucket returns each anchor that occurs twice or more to the blocks
-   that hold it, with its home, the lowest such block.
+   that hold it, with its home, one of those blocks.
 4. ``segments``: maximal runs of windows with recurring anchors and one home go to
    that home as text, each distinct text once a block.
 5. ``resolve``: a home decides for each window of its segments the earliest place
@@ -82,28 +82,39 @@ class Scan:
             items = buf.astype(np.uint64) + np.uint64(1)
         self.n = len(items)
         w = kind.width
-        self.anchor = K.sliding_min(K.window_hash(items, kind.gram), w - kind.gram + 1) if self.n >= w else np.zeros(0, np.uint64)
+        grams = K.window_hash(items, kind.gram)
+        self.anchor = K.sliding_min(grams, w - kind.gram + 1) if self.n >= w else np.zeros(0, np.uint64)
         self.inside = np.zeros(len(self.anchor), dtype=bool)
         for a, b in zip(self.first[:-1].tolist(), (self.first[1:] - w + 1).tolist()):
             if b > a:
                 self.inside[a:b] = True
-
-    def distinct(self) -> np.ndarray:
-        a = self.anchor
-        keep = self.inside.copy()
-        keep[1:] &= (a[1:] != a[:-1]) | ~self.inside[:-1]
-        return a[keep]
-
-    def repeated(self) -> np.ndarray:
-        """Anchors that also occur in another place of these documents."""
-        a = self.anchor
+        self.grams = grams
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Grams that are the least of some window: hashes, whether another is equal, kinship.
+
+        Each hash comes once.  Kinship is 16 bits of the least gram of the whole
+        document, the least over the documents that hold the gram.
+        """
+        if not self.inside.any():
+            return np.zeros(0, np.uint64), np.zeros(0, dtype=bool), np.zeros(0, np.uint16)
+        span = self.kind.width - self.kind.gram + 1
+        pad = np.zeros(span - 1, np.uint64)
+        most = ~K.sliding_min(~np.concatenate([pad, np.where(self.inside, self.anchor, np.uint64(0)), pad]), span)
+        at = np.flatnonzero((most == self.grams) & (most > 0))
+        vals = self.grams[at]
+        owner = np.searchsorted(self.first, at, side="right") - 1
+        order = np.argsort(vals, kind="stable")
+        vals, owner = vals[order], owner[order]
+        least = np.full(len(self.first), ~np.uint64(0))
+        np.minimum.at(least, owner, vals)
+        kin = (K.mix(least[owner]) & np.uint64(0xFFFF)).astype(np.uint16)
+        new = np.append(True, vals[1:] != vals[:-1])
+        same = ~new
         if self.kind.strict_document:
-            owner = np.searchsorted(self.first, np.flatnonzero(self.inside), side="right")
-            pair = np.unique(np.stack([a[self.inside], owner.astype(np.uint64)]), axis=1) if len(owner) else np.zeros((2, 0), np.uint64)
-            vals, counts = np.unique(pair[0], return_counts=True)
-            return vals[counts > 1]
-        vals, counts = np.unique(a[self.inside], return_counts=True)
-        return vals[counts > 1]
+            same[1:] &= owner[1:] != owner[:-1]
+        at = np.flatnonzero(new)
+        return vals[at], np.maximum.reduceat(same.view(np.int8), at) > 0, np.minimum.reduceat(kin, at)
 
     def segments(self, known: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(first window, window after the last, home) of each maximal run."""
@@ -160,21 +171,22 @@ def _ordered(table: pa.Table) -> pa.Table:
 def _anchor_entries(kind: Kind, buckets: int):
     def run(key, table):
         block = key[0].as_py()
-        found, again = [], []
-        for _, _, scan in _scans(_ordered(table), kind):
-            found.append(np.unique(scan.distinct()))
-            again.append(scan.repeated())
-        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        vals, counts = np.unique(every, return_counts=True)
-        twice = np.unique(np.concatenate([*again, vals[counts > 1]])) if len(vals) else vals
-        flag = np.zeros(len(vals), dtype=np.uint8)
-        flag[np.searchsorted(vals, twice)] = 1
+        parts = [scan.anchors() for _, _, scan in _scans(_ordered(table), kind)]
+        vals = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
+        flag = np.concatenate([np.zeros(0, bool), *(p[1] for p in parts)]).astype(np.uint8)
+        kin = np.concatenate([np.zeros(0, np.uint16), *(p[2] for p in parts)])
+        order = np.argsort(vals, kind="stable")
+        vals, flag, kin = vals[order], flag[order], kin[order]
+        at = np.flatnonzero(np.append(True, vals[1:] != vals[:-1])) if len(vals) else np.zeros(0, np.int64)
+        if len(at):
+            times = np.diff(np.append(at, len(vals)))
+            vals, flag, kin = vals[at], np.maximum(np.maximum.reduceat(flag, at), (times > 1).astype(np.uint8)), np.minimum.reduceat(kin, at)
         bucket = (vals % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        vals, flag, bucket = vals[order], flag[order], bucket[order]
+        vals, flag, kin, bucket = vals[order], flag[order], kin[order], bucket[order]
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
         stop = np.append(cut[1:], len(bucket))
-        rows = [vals[a:b].tobytes() + flag[a:b].tobytes() for a, b in zip(cut, stop)]
+        rows = [vals[a:b].tobytes() + kin[a:b].tobytes() + flag[a:b].tobytes() for a, b in zip(cut, stop)]
         return pa.table({"bucket": pa.array(bucket[cut].astype(np.int32)), "block": pa.array(np.full(len(cut), block, np.int32)), "payload": pa.array(rows, pa.binary())})
 
     return run
@@ -182,20 +194,29 @@ def _anchor_entries(kind: Kind, buckets: int):
 
 def _homes(table):
     blocks = table["block"].to_numpy()
-    parts = [np.frombuffer(x.as_buffer(), np.uint8) for c in table["payload"].chunks for x in c]
-    sizes = np.array([len(p) // 9 for p in parts], dtype=np.int64)
-    vals = np.concatenate([p[: 8 * n].view(np.uint64) if (p.ctypes.data % 8) == 0 else np.frombuffer(p[: 8 * n].tobytes(), np.uint64) for p, n in zip(parts, sizes)])
-    flag = np.concatenate([p[8 * n :] for p, n in zip(parts, sizes)])
+    parts = [x.as_py() for c in table["payload"].chunks for x in c]
+    sizes = np.array([len(p) // 11 for p in parts], dtype=np.int64)
+    vals = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(parts, sizes)])
+    kin = np.concatenate([np.frombuffer(p, np.uint16, n, 8 * n) for p, n in zip(parts, sizes)])
+    flag = np.concatenate([np.frombuffer(p, np.uint8, n, 10 * n) for p, n in zip(parts, sizes)])
     owner = np.repeat(blocks, sizes)
-    order = np.lexsort((owner, vals))
-    vals, flag, owner = vals[order], flag[order], owner[order]
+    del parts
+    order = np.argsort(vals, kind="stable")
+    vals, flag, owner, kin = vals[order], flag[order], owner[order], kin[order]
     new = np.append(True, vals[1:] != vals[:-1])
     at = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     size = np.diff(np.append(at, len(vals)))
     seen = (size > 1) | (np.maximum.reduceat(flag, at) > 0)
+    # the home is the holder with the least hash; kin documents seed the hash, so that
+    # neighbouring anchors agree, while passages held everywhere spread over all blocks
+    kin = np.minimum.reduceat(kin, at)[group]
+    turn = K.mix(owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + kin.astype(np.uint64))
+    first = np.minimum.reduceat(turn, at)[group] == turn
+    home = np.empty(len(at), dtype=owner.dtype)
+    home[group[first]] = owner[first]
     keep = seen[group]
-    vals, owner, home = vals[keep], owner[keep], owner[at][group][keep]
+    vals, owner, home = vals[keep], owner[keep], home[group][keep]
     order = np.argsort(owner, kind="stable")
     vals, owner, home = vals[order], owner[order], home[order]
     cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
