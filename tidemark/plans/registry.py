@@ -197,7 +197,7 @@ def version_range(t: Tables) -> DataFrame:
     return t.raw("customer").select("c_custkey", numbers[0].alias("major"), (numbers >= X.version_numbers(F.lit("20"))).alias("at_least_20"))
 
 
-@query("select event_id, least(pow(2, event_id % 8), 30.0) "seconds" from events")
+@query('select event_id, least(pow(2, event_id % 8), 30.0) "seconds" from events')
 def backoff(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", X.backoff_seconds(F.pmod("event_id", F.lit(8)), F.lit(0.0)).alias("seconds"))
 
