@@ -64,7 +64,9 @@ def test_mix(docs):
     assert sorted(map(str, mixing.mix(docs(rows), shards=4).collect())) == sorted(map(str, out))
     whole = mixing.mixed_documents(docs(rows), shards=4)
     assert whole.agg(F.sum("words_taken")).first()[0] == sum(taken.values())
-    assert mixing.mix(docs([(1, "a")]).limit(0)).count() == 0
+    clash = mixing.mixed_documents(docs(rows).withColumn("shard", F.lit("s")).withColumn("place", F.lit(1)), shards=2)
+    assert {"shard", "shard_", "place_", "copy"} <= set(clash.columns) and clash.where("shard = 's'").count() == clash.count()
+    assert mixing.mix(docs([(1, "a")]).limit(0)).count() == 0 and mixing.mixed_documents(docs([(1, "a")]).limit(0)).count() == 0
 
 
 def test_toxicity_learns_subwords(spark, docs):

@@ -26,5 +26,15 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it while the frame has it already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def fold_add(a: Column, b: Column) -> Column:
     return a + b

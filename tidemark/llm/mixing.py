@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.columns import WORD, fresh
+from tidemark.llm.columns import WORD, free, fresh
 from tidemark.llm.sizing import stage
 
 WEIGHTS = (5, 2, 1)
@@ -107,7 +107,7 @@ def plan(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, list[Quota]]:
     sized = docs.select(
         "doc_id", F.col("source").cast("string").alias("source"),
         F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"),
+        F.xxhash64(F.lit(seed), "doc_id", "text", F.col("source").cast("string")).alias("key"),
     )
     sized = stage(sized, "mix-sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, seed: int = SEED, shards: int | None = None, with_key:
     shards: output shard of each pass that takes some.  Equal rows are drawn as
     separate documents.  A null source is a source of its own, after all others.
     An empty table gives an empty result.  Other columns are ignored.  with_key adds
-    key, the hash of (seed, doc_id, text) that rows are permuted by.
+    key, the hash of (seed, doc_id, text, source) that rows are permuted by.
     """
     rows, plan_ = plan(docs, seed)
     spark = docs.sparkSession
@@ -170,7 +170,8 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, shards: int | None = None
     """The mix itself: one row for each document and pass that takes some of it.
 
     Adds to the columns of documents: copy (0, 1), words_taken, shard and place, the
-    row's order within its shard.  words_taken is below the size where a pass is cut.
+    row's order within its shard; a name that documents have already gets underscores
+    behind it.  words_taken is below the size where a pass is cut.
     """
     taken = mix(docs, seed, shards, with_key=True)
     names = [fresh(docs, x) for x in ("key", "nth", "taken", "size", "shards")]
@@ -178,11 +179,13 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, shards: int | None = None
     # equal rows are numbered, so that each meets one row of the plan
     rows = taken.select(F.col("key").alias(k), F.col("taken").alias(t), F.col("size").alias(s), F.col("shards").alias(h))
     rows = rows.withColumn(n, F.row_number().over(W.partitionBy(k).orderBy(t, h)))
-    own = docs.withColumn(k, F.xxhash64(F.lit(seed), "doc_id", "text"))
+    own = docs.withColumn(k, F.xxhash64(F.lit(seed), "doc_id", "text", F.col("source").cast("string")))
     own = own.withColumn(n, F.row_number().over(W.partitionBy(k).orderBy(F.lit(0))))
-    out = own.join(rows, [k, n]).select(*docs.columns, t, s, F.posexplode(h).alias("copy", "shard"))
-    words = F.least(F.col(s), F.col(t) - F.col("copy") * F.col(s))
-    return out.withColumn("words_taken", words).where("words_taken > 0").withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "copy", "shard")).drop(t, s)
+    copy, shard, taken_words, place = free(docs, "copy", "shard", "words_taken", "place")
+    out = own.join(rows, [k, n]).select(*[F.col(f"`{c}`") for c in docs.columns], t, s, F.posexplode(h).alias(copy, shard))
+    words = F.least(F.col(s), F.col(t) - F.col(copy) * F.col(s))
+    out = out.withColumn(taken_words, words).where(F.col(taken_words) > 0)
+    return out.withColumn(place, F.xxhash64(F.lit(seed), "doc_id", copy, shard)).drop(t, s)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The folder comes from ``spark.checkpoint.dir``.  Only where that is unset (local
-    runs and tests) is one made under the session's warehouse folder.
+    runs and tests) is one made under the session's warehouse folder.  Tables of an
+    application lie together and are deleted when its driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -41,6 +43,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_made: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged").rstrip("/")
+    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
+    folder = f"{folder.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        _made.add(folder)
+        atexit.register(_delete, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
