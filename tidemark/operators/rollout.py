@@ -18,14 +18,14 @@ def eligible(devices: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, order: str, out: str) -> DataFrame:
-    """Global row numbers without gathering the rows: counts by hash-free range partition.
+    """Global row numbers without gathering the rows.
 
     Rows are range-partitioned by ``order``, numbered within partitions, and shifted by
     the sizes of the partitions before; only one row a partition meets in one task.
     """
     n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ranged = df.repartitionByRange(int(n), order).withColumn("part", F.spark_partition_id())
-    # the partition's number is data from here on, so a recomputed stage can't change it
+    # ranges are taken from the rows themselves, so a recomputed stage can't change them
     first = ranged.groupBy("part").agg(F.count("*").alias("size"), F.min(order).alias("low"), F.max(order).alias("high"))
     shift = first.select("low", "high", F.coalesce(F.sum("size").over(W.orderBy("low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
     placed = df.join(F.broadcast(shift), F.col(order).between(F.col("low"), F.col("high")))
