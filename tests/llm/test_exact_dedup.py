@@ -87,3 +87,17 @@ def test_suffix_array_and_matching_statistics():
             if there:
                 k = int(np.searchsorted(index.first, p, side="right")) - 1
                 assert parts[k][p - index.first[k] :][:100] == q[a : a + 100]
+
+
+def test_periodic_text_of_another_block_repeats_in_itself():
+    # a home that holds the anchor only inside its own text, and one foreign run that holds a window many times
+    words = " ".join(f"w{i}" for i in range(40)).encode()
+    home = words + b"=" * 95 + words
+    phrase = b"thirty bytes of a phrase, yes "
+    for foreign in (b"=" * 110, phrase * 5):
+        bodies = [byte_dedup.Body(home, 1, 0, 1, True), byte_dedup.Body(foreign, 2, 0, 1, False)]
+        runs = byte_dedup.resolve_by_index(bodies)[1]
+        upto = [*runs["since"][1:].tolist(), len(foreign) - 99]
+        got = [(int(r["doc"]), int(r["base"]) + a) for r, stop in zip(runs, upto) for a in range(int(r["since"]), stop)]
+        seen = {}
+        assert got == [seen.setdefault(foreign[a : a + 100], (2, a)) for a in range(len(foreign) - 99)]

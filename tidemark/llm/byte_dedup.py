@@ -210,10 +210,10 @@ def resolve_by_index(bodies: list[Body], width: int = WINDOW_BYTES) -> list[np.n
         np.minimum.at(least, c[hit], place(i)[hit])
 
     # what the home itself doesn't hold can still occur twice among the others
-    missing: list[tuple[int, int, int, int]] = []  # anchor, body, windows from and to
+    missing: list[tuple[int, int, int, int, bool]] = []  # anchor, body, windows from and to, whether one could be there twice
     for i in rest:
         for a, b in _stretches(spot[i] < 0):
-            missing += [(v, i, a + x, a + y) for v, x, y in _by_anchor(bodies[i].data[a : b + width - 1], width)]
+            missing += [(v, i, a + x, a + y, twice) for v, x, y, twice in _by_anchor(bodies[i].data[a : b + width - 1], width)]
     found: dict[int, list[tuple[int, np.ndarray]]] = {}
     for batch in _batches(sorted(_recurring(missing)), lambda m: m[3] - m[2] + width, whole=lambda m: m[0]):
         index = RunLengthIndex([bodies[i].data[a : b + width - 1] for _, i, a, b in batch], width)
@@ -253,20 +253,26 @@ def _stretches(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
 
 
-def _by_anchor(text: bytes, width: int) -> list[tuple[int, int, int]]:
-    """(anchor, first window, window after the last) for the runs of windows of equal anchor."""
+def _by_anchor(text: bytes, width: int) -> list[tuple[int, int, int, bool]]:
+    """(anchor, first window, window after the last, repeat) for the runs of windows of equal anchor.
+
+    repeat: the anchor's gram stands in the run twice or more.  A window that comes
+    twice in a run brings its anchor's gram twice, at whatever distance.
+    """
     value = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
-    anchor = K.sliding_min(K.window_hash(value, GRAM_BYTES), width - GRAM_BYTES + 1)
+    grams = K.window_hash(value, GRAM_BYTES)
+    anchor = K.sliding_min(grams, width - GRAM_BYTES + 1)
     at = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    return list(zip(anchor[at].tolist(), at.tolist(), [*at[1:].tolist(), len(anchor)]))
+    runs = zip(anchor[at], at.tolist(), [*at[1:].tolist(), len(anchor)])
+    return [(int(v), x, y, np.count_nonzero(grams[x : y + width - GRAM_BYTES] == v) > 1) for v, x, y in runs]
 
 
-def _recurring(missing: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+def _recurring(missing: list[tuple[int, int, int, int, bool]]) -> list[tuple[int, int, int, int]]:
     """Runs whose anchor another run has too, or that could hold a window twice."""
     times: dict[int, int] = {}
     for v, *_ in missing:
         times[v] = times.get(v, 0) + 1
-    return [m for m in missing if times[m[0]] > 1 or m[3] - m[2] > WINDOW_BYTES - GRAM_BYTES + 1]
+    return [m[:4] for m in missing if times[m[0]] > 1 or m[4]]
 
 
 STRINGS = Kind(width=WINDOW_BYTES, gram=GRAM_BYTES, words=False, strict_document=False, resolve=resolve_by_index)
