@@ -112,3 +112,25 @@ def test_lines_edge_rows(docs):
 
 def test_hash_of_kept(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_join_of_repeated_and_null_ids_with_other_texts(docs):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    near = lambda p: text(p).replace(f"{p}0 ", "other ")
+    rows = [(1, text("a")), (2, near("a")), (2, text("b")), (2, text("c")), (9, near("b")), (9, near("c")), (9, text("z"))]
+    rows += [(None, text(p)) for p in "defgh"] + [(None, near("d")), (None, near("e")), (3, near("f"))]
+    # text, class and links of every row
+    want = [("a", 1, 1), ("a", 1, 1), ("b", 2, 1), ("c", 2, 1), ("b", 2, 1), ("c", 2, 1), ("z", 9, 0)]
+    want += [("d", None, 1), ("e", None, 1), ("f", 3, 1), ("g", None, 0), ("h", None, 0), ("d", None, 1), ("e", None, 1), ("f", 3, 1)]
+    got = ngram_join.near_duplicates(docs(rows)).collect()
+    full = lambda x: sorted(x, key=str)
+    assert full((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == full((i, c, n) for (i, _), (_, c, n) in zip(rows, want))
+    kept = ngram_join.one_of_each(docs(rows))
+    assert full((r["doc_id"], r["text"]) for r in kept.collect()) == full(r for r in rows if r[0] in (None, 1, 3) or r in [(2, text("b")), (2, text("c")), (9, text("z"))])
+
+
+def test_one_of_a_class_of_equal_ids(docs):
+    text = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, text.replace("a0 ", "b ")), (4, "one word"), (4, "one word"), (5, None), (5, None), (None, text), (None, text)]
+    got = ngram_join.one_of_each(docs(rows)).collect()
+    assert sorted(((r["doc_id"] or 0) for r in got)) == [0, 0, 1, 4, 5, 5]

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
+from tidemark.llm.columns import WORD
 from tidemark.llm.components import components
 from tidemark.llm.recurrence import NO_ID
 from tidemark.llm.sizing import pieces, stage, text_bytes
@@ -73,7 +74,7 @@ def shingle_sets(column: pa.Array, most: int = 1 << 20):
         yield i, value[inside], bounds
 
 
-SIGNED = "doc_id long, k1 long, k2 long, n long, bands array<long>"
+SIGNED = "doc_id long, text_hash long, k1 long, k2 long, n long, bands array<long>"
 
 
 def _signatures(bands: int, rows: int):
@@ -110,7 +111,7 @@ def _signatures(bands: int, rows: int):
                 sizes = np.zeros(m, np.int64)
                 sizes[full] = bands
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(key.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + m]), pa.array(k1), pa.array(k2), pa.array(n), listed], names=["doc_id", "k1", "k2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + m]), batch.column("text_hash").slice(i, m), pa.array(k1), pa.array(k2), pa.array(n), listed], names=["doc_id", "text_hash", "k1", "k2", "n", "bands"])
 
     return run
 
@@ -215,11 +216,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     their sets are equal or linked.  A null doc_id is numbered as the largest long and
     given back as null; so is a class of such rows only.  Other columns are ignored.
     """
+    unnamed = lambda c: F.when(F.col(c) != int(NO_ID), F.col(c)).alias(c)
+    return _classed(docs).select(unnamed("doc_id"), unnamed("class_id"), unnamed("set_id"), "n_links")
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """near_duplicates by row of (doc_id, text_hash), null ids numbered, with the text that heads each class."""
     bands, rows = banding()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     signed = stage(own.mapInArrow(_signatures(bands, rows), SIGNED), "minhash")
 
-    classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("weight"), F.min_by("bands", "doc_id").alias("bands"))
+    # a class is headed by a text of its own, not by a doc_id, which other texts may have too
+    head = F.min(F.struct("doc_id", "text_hash"))
+    classes = signed.where("n > 0").groupBy("k1", "k2").agg(head.alias("head"), F.count("*").alias("weight"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = classes.select("k1", "k2", F.col("head.doc_id").alias("set_id"), F.col("head.text_hash").alias("set_text"), "weight", "bands")
     # a doc_id that heads two classes (repeated ids) is told apart by its set
     classes = stage(classes.withColumn("id", F.xxhash64("k1", "k2")), "set-classes")
     buckets = classes.select("id", F.explode("bands").alias("band"))
@@ -228,11 +238,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     clusters = components(ties, "candidates")
 
     size = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    members = classes.select("id", "set_id", "k1", "k2", "weight").join(clusters, "id").join(size, "root")
-    members = members.select("id", "root", "weight", "set_id", "k1", "k2", F.ceil(F.col("members") / CHUNK).cast("int").alias("pieces"))
-    # one text for each class: any row of its set
-    holders = signed.where("n > 0").join(members, ["k1", "k2"]).where(F.col("doc_id") == F.col("set_id")).groupBy("doc_id", "id").agg(*[F.first(c).alias(c) for c in ("root", "weight", "pieces", "k1", "k2")])
-    texts = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(holders, "doc_id").select("root", "id", "weight", "pieces", "text", "k1", "k2")
+    members = classes.select("id", "set_id", "set_text", "weight").join(clusters, "id").join(size, "root")
+    # one text for each class: the one that heads it
+    holders = members.select("id", "root", "weight", F.col("set_id").alias("doc_id"), F.col("set_text").alias("text_hash"), F.ceil(F.col("members") / CHUNK).cast("int").alias("pieces"))
+    texts = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(holders, ["doc_id", "text_hash"])
     sets = texts.select("root", "id", "weight", "pieces", "text").mapInArrow(_sets, "root long, id long, weight long, pieces int, shingles binary")
     sets = sets.dropDuplicates(["id"]) if _repeated_ids(signed) else sets
     half = F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("pieces")).cast("int")
@@ -247,25 +256,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     groups = components(verified.where("a is not null").select("a", "b"), "near-classes")
     links = verified.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
-    named = classes.select("id", "k1", "k2", "set_id", "weight").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")).join(links, "id", "left")
-    least = named.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    named = named.join(least, "root").select("k1", "k2", "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    full = signed.where("n > 0").select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "set_id", "n_links")
-    none = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"))
-    unnamed = lambda c: F.when(F.col(c) != int(NO_ID), F.col(c)).alias(c)
-    return full.unionByName(none).select(unnamed("doc_id"), unnamed("class_id"), unnamed("set_id"), "n_links")
+    named = classes.select("id", "k1", "k2", "set_id", "set_text", "weight").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")).join(links, "id", "left")
+    least = named.groupBy("root").agg(F.min(F.struct("set_id", "set_text")).alias("least"))
+    least = least.select("root", F.col("least.set_id").alias("class_id"), F.col("least.set_text").alias("class_text"))
+    named = named.join(least, "root").select("k1", "k2", "set_id", "class_id", "class_text", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = ["doc_id", "text_hash", "class_id", "class_text", "set_id", "n_links"]
+    full = signed.where("n > 0").select("doc_id", "text_hash", "k1", "k2").join(named, ["k1", "k2"]).select(*out)
+    itself = [F.col("doc_id").alias("class_id"), F.col("text_hash").alias("class_text"), F.col("doc_id").alias("set_id")]
+    return full.unionByName(signed.where("n = 0").select("doc_id", "text_hash", *itself, F.lit(0).cast("long").alias("n_links")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id heads its near-duplicate class, all their columns unchanged.
+    """The rows that head their near-duplicate class, all their columns unchanged.
 
-    One row stays of each class, the one of smallest doc_id; of equal rows with that id
-    one stays.  Texts without words and rows of null doc_id all stay.
+    One row stays of each class, the one of smallest doc_id and, where rows of other
+    texts have that id too, of smallest text hash; of equal rows with that id one stays.
+    Texts without words and rows of null doc_id all stay.
     """
-    near = stage(near_duplicates(docs), "near")
-    gone = near.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.dropDuplicates(["doc_id", "text"]) if _repeated_ids(near.where("doc_id = class_id")) else kept
+    near = stage(_classed(docs), "near").where(F.col("doc_id") != int(NO_ID))
+    gone = near.where("doc_id <> class_id or text_hash <> class_text").select("doc_id", "text_hash").distinct()
+    same = (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_hash"))
+    kept = docs.alias("d").join(gone.alias("g"), same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    if not _repeated_ids(near.where("doc_id = class_id")):
+        return kept
+    all_stay = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return kept.where(all_stay).unionByName(kept.where(~all_stay).dropDuplicates(["doc_id", "text"]))
 
 
 def _repeated_ids(signed: DataFrame) -> bool:
