@@ -168,3 +168,9 @@ def test_secrets(spark, docs):
     right = [(np.mean([t.of(np.array(r["x"])) for t in forest]) >= 0.5) == r["label"] for r in rows]
     assert np.mean(right) > 0.95
     assert secret_scan.fit(fresh.limit(0))[0].value == 0.0
+
+
+def test_long_secrets_are_candidates_whole(docs):
+    values = ["0123456789abcdef" * 16, "abcdefgh" * 10 + "1234", "password=" + "x1Y" * 80, "xoxb-" + "1a" * 60, "a1" * 50_000]
+    got = secret_scan.scan(docs([(i, f"see {v} here") for i, v in enumerate(values)]), [secret_scan.Node(value=1.0)]).collect()
+    assert {r["doc_id"]: [f["value"] for f in r["findings"]] for r in got} == {i: [v] for i, v in enumerate(values)}

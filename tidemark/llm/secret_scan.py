@@ -30,12 +30,12 @@ SEED = 17
 KINDS = {
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
-    "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,72}",
+    "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}+",
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "assignment": r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\b[ \t]{0,3}(?:=|:|=>)[ \t]{0,3}[\"']?[^\s\"']{8,128}",
-    "long_string": r"\b(?=[A-Za-z_+/-]{0,60}[0-9])[A-Za-z0-9_+/-]{24,128}\b",
+    "assignment": r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\b[ \t]{0,3}(?:=|:|=>)[ \t]{0,3}[\"']?[^\s\"']{8,}+",
+    "long_string": r"\b(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{24,}\b",
 }
 WORD_LIST = (
     "able access account admin and api app apple auth base be before book build by cache call case change char check class client code com config "
