@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
-
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.staging import staged
 
 OUTAGE = 3
+METRICS = ("views", "likes", "comments")
+#: Named as in the vendors' own reports.
+SOURCES = {"A": "provider_a", "B": "provider_b"}
 
 
 @dataclass
@@ -22,104 +27,180 @@ class Report:
 
 
 def classified(posts: DataFrame) -> DataFrame:
-    """Adds kind, vid (the URL's id) and turn, the order in which rows are read: all of A, then B."""
+    """Adds kind, vid (the URL's id), given (the row's own id, else the URL's; null if empty),
+    shared (rows without a known id: share links, and unknown links without an id) and turn,
+    the order in which rows are read: all of A, then B."""
     turn = F.struct(F.when(F.col("vendor") == "A", 0).otherwise(1).alias("v"), F.col("ord").alias("o"))
-    return posts.withColumn("kind", X.url_kind(F.col("url"))).withColumn("vid", X.video_id(F.col("url"))).withColumn("turn", turn)
+    rows = posts.withColumn("kind", X.url_kind(F.col("url"))).withColumn("vid", X.video_id(F.col("url"))).withColumn("turn", turn)
+    rows = rows.withColumn("given", F.nullif(F.coalesce("id", F.when(F.col("kind") == "canonical", F.col("vid"))), F.lit("")))
+    return rows.withColumn("shared", (F.col("kind") == "share") | ((F.col("kind") == "unknown") & F.col("given").isNull()))
 
 
 def candidates(posts: DataFrame) -> DataFrame:
-    """Canonical rows of either vendor that a share row could be: same account, within an hour, matching caption.
+    """Canonical rows of either vendor that a shared row could be: same account, within an hour, matching caption.
 
-    The join is on account and hour bucket; a share row looks in its hour and both
+    The join is on account and hour bucket; a shared row looks in its hour and both
     neighbours, so an account with very many posts doesn't pair them all.
     """
     hour = F.floor(F.unix_timestamp(F.col("posted_at").cast("timestamp")) / X.CLOSE_SECONDS).cast("long")
-    s = posts.where("kind = 'share'").select("account", F.col("vendor").alias("share_vendor"), F.col("ord").alias("share_ord"), F.col("turn").alias("share_turn"), F.col("caption").alias("share_caption"), F.col("posted_at").alias("share_at"), F.explode(F.array(hour - 1, hour, hour + 1)).alias("hour"))
-    c = posts.where("kind = 'canonical'").select("account", "vendor", F.col("ord").alias("candidate_ord"), F.coalesce("id", "vid").alias("candidate"), "turn", "caption", "posted_at", hour.alias("hour"))
+    s = posts.where("shared").select("account", F.col("vendor").alias("share_vendor"), F.col("ord").alias("share_ord"), F.col("turn").alias("share_turn"), F.col("caption").alias("share_caption"), F.col("posted_at").alias("share_at"), F.explode(F.array(hour - 1, hour, hour + 1)).alias("hour"))
+    c = posts.where("kind = 'canonical' and given is not null").select("account", "vendor", F.col("ord").alias("candidate_ord"), F.col("given").alias("candidate"), "turn", "caption", "posted_at", hour.alias("hour"))
     near = X.times_close(F.col("share_at"), F.col("posted_at")) & X.captions_match(F.col("share_caption"), F.col("caption"))
-    return s.join(c, ["account", "hour"]).where(near).select("account", "share_vendor", "share_ord", "share_turn", "vendor", "candidate_ord", "candidate", "turn")
+    return s.join(c, ["account", "hour"]).where(near).select("account", "share_vendor", "share_ord", "share_turn", "share_at", "vendor", "candidate_ord", "candidate", "turn")
+
+
+WALKED = "share_vendor string, share_ord long, candidate string"
 
 
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """Share rows in order; each takes its candidate if just one isn't taken yet."""
-    taken, out = set(), []
-    for (turn, vendor, ord_), group in rows.sort_values("at").groupby(["at", "share_vendor", "share_ord"], sort=True):
-        free = [c for c in group["candidate"] if c not in taken]
-        if len(free) == 1:
+def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shared rows in order of their group and turn; each takes its candidate if just one isn't taken yet.
+
+    Rows arrive sorted, so a group needs no more memory than the ids taken in it; a
+    shared row's candidates may be parted between two frames.
+    """
+    group, taken, now, free = None, set(), None, []
+
+    def settled():
+        if now is not None and len(free) == 1:
             taken.add(free[0])
-            out.append((vendor, ord_, free[0]))
-    return pd.DataFrame(out, columns=["share_vendor", "share_ord", "candidate"])
+            return [(now[1], now[2], free[0])]
+        return []
+
+    for frame in frames:
+        out = []
+        for g, at, vendor, ord_, candidate in frame[["grp", "at", "share_vendor", "share_ord", "candidate"]].itertuples(index=False):
+            if (g, at, vendor, ord_) != (group, *(now or (None,) * 3)):
+                out += settled()
+                if g != group:
+                    group, taken = g, set()
+                now, free = (at, vendor, ord_), []
+            if candidate not in taken:
+                free.append(candidate)
+        yield pd.DataFrame(out, columns=["share_vendor", "share_ord", "candidate"])
+    yield pd.DataFrame(settled(), columns=["share_vendor", "share_ord", "candidate"])
 
 
 def matches(posts: DataFrame) -> DataFrame:
-    """share_vendor, share_ord, candidate: the id each share row was matched with.
+    """share_vendor, share_ord, candidate: the id each shared row was matched with.
 
-    Where no candidate id is within reach of two share rows, a share row with exactly one
-    candidate row is matched. Only the accounts' contested share rows are walked in order.
+    A shared row with exactly one candidate row whose id no earlier shared row took is
+    matched.  Where no candidate id is within reach of two shared rows that is a count.
+    Only groups that hold a contested id are walked in order: a group is an account's
+    stretch of shared rows less than two hours apart, since two rows that reach for one
+    post lie that close.  Ids listed under two accounts tie their stretches into one group.
     """
     found = candidates(posts)
-    reach = found.groupBy("account", "candidate").agg(F.min("share_turn").alias("lo"), F.max("share_turn").alias("hi"))
-    contested = reach.where("lo <> hi").select("account").distinct()
-    alone = found.join(contested, "account", "left_anti").groupBy("share_vendor", "share_ord").agg(F.count("*").alias("n"), F.min("candidate").alias("candidate")).where("n = 1").drop("n")
+    reach = found.groupBy("candidate").agg(F.min("share_turn").alias("lo"), F.max("share_turn").alias("hi"), F.min("account").alias("a"), F.max("account").alias("z"))
+    # stretches: a gap of more than two hours parts an account's shared rows
+    shares = found.select("account", "share_vendor", "share_ord", "share_turn", "share_at").distinct()
+    seconds = F.unix_micros(F.col("share_at").cast("timestamp"))
+    line = W.partitionBy("account").orderBy("share_at", "share_turn")
+    fresh = F.coalesce(seconds - F.lag(seconds).over(line) > 2_000_000 * X.CLOSE_SECONDS, F.lit(True)).cast("int")
+    stretch = shares.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    rows = found.join(stretch.select("share_vendor", "share_ord", "n"), ["share_vendor", "share_ord"]).join(reach, "candidate")
+    rows = rows.select("account", "n", "share_vendor", "share_ord", "share_turn", "candidate", (F.col("lo") < F.col("hi")).alias("contested"), (F.col("a") < F.col("z")).alias("abroad"))
+    marks = rows.groupBy("account", "n").agg(F.max("contested").alias("walk"), F.max("abroad").alias("tied"))
+    rows = rows.join(marks, ["account", "n"])
+    alone = rows.where("not walk").groupBy("share_vendor", "share_ord").agg(F.count("*").alias("c"), F.min("candidate").alias("candidate")).where("c = 1").drop("c")
+    grp = F.when(F.col("tied"), F.lit("")).otherwise(F.concat_ws("\u0001", F.col("n").cast("string"), "account"))
     at = F.col("share_turn.v") * F.lit(1 << 60).cast("long") + F.col("share_turn.o")
-    walked = found.join(contested, "account", "left_semi").select("account", "share_vendor", "share_ord", at.alias("at"), "candidate")
-    return alone.unionByName(walked.groupBy("account").applyInPandas(_walk, "share_vendor string, share_ord long, candidate string"))
+    walked = rows.where("walk").select(grp.alias("grp"), at.alias("at"), "share_vendor", "share_ord", "candidate")
+    walked = walked.repartition("grp").sortWithinPartitions("grp", "at", "share_vendor", "share_ord")
+    return alone.unionByName(walked.mapInPandas(_walk, WALKED))
+
+
+def _grouped(posts: DataFrame, matched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows under the id that they are reported by, and shared rows with their match, if any."""
+    met = posts.where("shared").join(matched, (F.col("vendor") == F.col("share_vendor")) & (F.col("ord") == F.col("share_ord")), "left").drop("share_vendor", "share_ord")
+    listed = posts.where("not shared").withColumn("post_id", F.coalesce("vid", "given")).withColumn("phase", F.lit(0))
+    joined = met.where("candidate is not null").withColumn("post_id", F.col("candidate")).withColumn("phase", F.lit(1)).drop("candidate")
+    return listed.unionByName(joined).withColumn("place", F.struct("phase", "turn")), met
 
 
 def missing(posts: DataFrame, snapshot: DataFrame, matched: DataFrame | None = None) -> DataFrame:
-    """Snapshot rows whose id no vendor lists today, every duplicate of them."""
-    seen = posts.where("kind <> 'share' and coalesce(id, vid) is not null").select(F.coalesce("id", "vid").alias("id")).distinct()
-    return snapshot.join(seen, "id", "left_anti")
+    """Snapshot rows whose id no group of today has, every duplicate of them, with the last duplicate's values.
+
+    posts: classified rows.  Seen ids are those that rows are grouped by: the URL's, else
+    the row's own, and the ids that shared rows were matched with.
+    """
+    seen = posts.where("not shared").select(F.coalesce("vid", "given").alias("id"))
+    if matched is not None:
+        seen = seen.unionByName(matched.select(F.col("candidate").alias("id")))
+    last = snapshot.groupBy("id").agg(F.max_by(F.struct(*[c for c in snapshot.columns if c not in ("id", "ord")]), "ord").alias("s"), F.count("*").alias("times"))
+    lost = last.join(seen.distinct(), "id", "left_anti")
+    return lost.select("id", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"), "s.*").drop("nth")
+
+
+def _owner(rows: DataFrame, key: str, account: str, at: str, owners: DataFrame) -> DataFrame:
+    """Adds client: the first owner in input order whose period holds the time, else unattributed."""
+    own = owners.select(F.col("account").alias("for_account"), F.col("ord").alias("nth"), F.col("client").alias("owner"), "valid_from", "valid_to")
+    inside = (F.col(at) >= F.col("valid_from")) & ((F.col(at) < F.col("valid_to")) | F.col("valid_to").isNull())
+    first = rows.select(key, account, at).join(own, (F.col(account) == F.col("for_account")) & inside).groupBy(key).agg(F.min_by("owner", "nth").alias("client"))
+    return rows.join(first, key, "left").withColumn("client", F.coalesce("client", F.lit("unattributed")))
+
+
+def _detail(**c: Column) -> Column:
+    return F.to_json(F.struct(*[v.alias(k) for k, v in c.items()]), {"ignoreNullFields": "false"})
 
 
 def reconciled(posts: DataFrame, snapshot: DataFrame, owners: DataFrame, outage: int = OUTAGE) -> Report:
     """posts: vendor, ord, id, url, views, likes, comments, caption, posted_at, account.
-    snapshot: ord, id, views, likes, scraped_at.  owners: account, ord, client, valid_from, valid_to.
+    snapshot: ord, id, views, likes, scraped_at, source.  owners: account, ord, client, valid_from, valid_to.
 
-    Rows are grouped under the id of their URL (else their own), matched share rows
+    Rows are grouped under the id of their URL (else their own), matched shared rows
     behind them; the first row of each vendor gives the metrics, the first of all the
     time and account.  A metric is the highest of both vendors and the last snapshot.
+
+    Report.posts: post_id, canonical_url, status, views, likes, comments, caption,
+    posted_at, account, client, raw_urls, provenance (metric, provider_a, provider_b,
+    snapshot, resolved).  Shared rows whose URL was left without a match anywhere are
+    'unresolved', without an id.  The ids behind a possible outage are the
+    disappeared_post rows; they are counted there, not gathered into one row.
     """
     p = classified(posts)
-    matched = matches(p)
-    shares = p.where("kind = 'share'")
-    met = shares.join(matched, (F.col("vendor") == F.col("share_vendor")) & (F.col("ord") == F.col("share_ord")), "left").drop("share_vendor", "share_ord")
-    listed = p.where("kind <> 'share'").withColumn("post_id", F.coalesce("vid", "id")).where("post_id is not null").withColumn("phase", F.lit(0))
-    joined = met.where("candidate is not null").withColumn("post_id", F.col("candidate")).withColumn("phase", F.lit(1)).drop("candidate")
-    rows = listed.unionByName(joined).withColumn("place", F.struct("phase", "turn"))
-
+    # three reports are made of these two, so each is worked out once
+    matched = staged(matches(p), "matches")
+    rows, met = _grouped(p, matched)
     cut = X.is_truncated(F.col("caption"))
-    first = lambda v: F.min_by(F.struct("views", "likes", "comments", cut.alias("cut")), F.when(F.col("vendor") == v, F.col("place")))
+    first = lambda v: F.min_by(F.struct(*METRICS), F.when(F.col("vendor") == v, F.col("place")))
     order = F.struct((~cut).alias("whole"), F.length("caption").alias("n"), (-F.col("phase")).alias("p"), (-F.col("turn.v")).alias("v"), (-F.col("turn.o")).alias("o"))
     each = rows.groupBy("post_id").agg(
         first("A").alias("a"), first("B").alias("b"), F.min_by(F.struct("posted_at", "account"), "place").alias("head"), F.max_by("caption", order).alias("caption"),
-        F.sort_array(F.collect_set("url")).alias("raw_urls"), F.bool_or(cut).alias("any_cut"), F.bool_or(~cut).alias("any_whole"),
+        F.min_by(X.canonical_url(X.stripped(F.col("url"))), F.when(F.col("kind") == "canonical", F.col("place"))).alias("canonical_url"),
+        F.sort_array(F.collect_set("url")).alias("raw_urls"), F.sort_array(F.collect_list(F.when(cut, F.struct("place", "caption")))).alias("cuts"), F.bool_or(~cut).alias("any_whole"),
     )
-    snap = snapshot.groupBy("id").agg(F.max_by(F.struct("views", "likes"), "ord").alias("s"))
-    full = each.join(snap, F.col("post_id") == F.col("id"), "left").drop("id")
-    owned = owners.withColumnRenamed("account", "for_account").withColumnRenamed("ord", "turn")
-    inside = (F.col("head.posted_at") >= F.col("valid_from")) & ((F.col("head.posted_at") < F.col("valid_to")) | F.col("valid_to").isNull())
-    client = full.select("post_id", "head").join(owned, (F.col("head.account") == F.col("for_account")) & inside).groupBy("post_id").agg(F.min_by("client", "turn").alias("client"))
-    value = lambda m: X.resolved_metric(F.col(f"a.{m}"), F.col(f"b.{m}"), *([F.col(f"s.{m}")] if m != "comments" else []), F.lit(None).cast("long")).cast("long")
-    head = [F.col("head.posted_at").alias("posted_at"), F.col("head.account").alias("account")]
-    active = full.join(client, "post_id", "left").select("post_id", F.lit("active").alias("status"), *[value(m).alias(m) for m in ("views", "likes", "comments")], "caption", *head, F.coalesce("client", F.lit("unattributed")).alias("client"), "raw_urls")
+    snap = snapshot.groupBy(F.col("id").alias("snap_id")).agg(F.max_by(F.struct("views", "likes"), "ord").alias("s"))
+    full = staged(each.join(snap, F.col("post_id") == F.col("snap_id"), "left").drop("snap_id"), "grouped")
+
+    source = lambda m: F.col(f"s.{m}") if m != "comments" else F.lit(None).cast("long")
+    value = lambda m: X.resolved_metric(F.col(f"a.{m}"), F.col(f"b.{m}"), source(m)).cast("long")
+    traced = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a.{m}").alias("provider_a"), F.col(f"b.{m}").alias("provider_b"), source(m).alias("snapshot"), value(m).alias("resolved")) for m in METRICS])
+    head = full.withColumn("posted_at", F.col("head.posted_at")).withColumn("account", F.col("head.account")).withColumn("provenance", traced)
+    shown = ["post_id", "canonical_url", "status", *METRICS, "caption", "posted_at", "account", "client", "raw_urls", "provenance"]
+    active = _owner(head, "post_id", "account", "posted_at", owners).select("post_id", "canonical_url", F.lit("active").alias("status"), *[value(m).alias(m) for m in METRICS], "caption", "posted_at", "account", "client", "raw_urls", "provenance")
 
+    # a URL that stayed without a match reports every shared row that has it
     lost = met.where("candidate is null")
-    unresolved = lost.select(F.col("id").alias("post_id"), F.lit("unresolved").alias("status"), "views", "likes", "comments", "caption", "posted_at", "account", F.lit("unknown").alias("client"), F.array("url").alias("raw_urls"))
-    gone = missing(p, snapshot)
-    absent = gone.select(F.col("id").alias("post_id"), F.lit("missing").alias("status"), "views", "likes", F.lit(0).cast("long").alias("comments"), F.lit("").alias("caption"), F.col("scraped_at").alias("posted_at"), F.lit("").alias("account"), F.lit("unknown").alias("client"), F.array().cast("array<string>").alias("raw_urls"))
-
-    detail = lambda **c: F.to_json(F.struct(*[v.alias(k) for k, v in c.items()]))
-    per_metric = lambda m: F.struct(F.lit(m).alias("metric"), F.col(f"a.{m}").alias("a"), F.col(f"b.{m}").alias("b"), (F.col(f"s.{m}") if m != "comments" else F.lit(None).cast("long")).alias("s"), value(m).alias("high"))
-    facts = full.select("post_id", F.inline(F.array(*[per_metric(m) for m in ("views", "likes", "comments")])))
-    conflict = facts.where("a <> b").select(F.lit("metric_conflict").alias("kind"), "post_id", detail(metric=F.col("metric"), a=F.col("a"), b=F.col("b"), resolved=F.col("high")).alias("details"))
-    side = facts.where("s is not null").select("post_id", "metric", "s", "high", F.inline(F.array(F.struct(F.lit("A").alias("source"), F.col("a").alias("v")), F.struct(F.lit("B").alias("source"), F.col("b").alias("v")))))
-    drop = side.where("v < s").select(F.lit("view_decrease").alias("kind"), "post_id", detail(metric=F.col("metric"), source=F.col("source"), current_value=F.col("v"), snapshot_value=F.col("s"), resolved_value=F.col("high")).alias("details"))
-    caption = full.where("any_cut and any_whole").select(F.lit("caption_truncation_match").alias("kind"), "post_id", detail(caption=F.col("caption")).alias("details"))
-    share = met.select(F.lit("unresolved_share_url").alias("kind"), F.col("candidate").alias("post_id"), detail(url=F.col("url"), matched=F.col("candidate").isNotNull()).alias("details"))
-    vanished = gone.select(F.lit("disappeared_post").alias("kind"), F.col("id").alias("post_id"), detail(views=F.col("views"), likes=F.col("likes")).alias("details"))
-    out = gone.agg(F.count("*").alias("n")).where(F.col("n") >= outage).select(F.lit("possible_outage").alias("kind"), F.lit(None).cast("string").alias("post_id"), detail(missing=F.col("n")).alias("details"))
+    again = met.join(lost.select("url").distinct(), "url", "left_semi").withColumn("row", F.struct("vendor", "ord"))
+    none = lambda kind: F.lit(None).cast(kind)
+    nothing = F.array().cast(active.schema["provenance"].dataType)
+    unresolved = _owner(again, "row", "account", "posted_at", owners).select(none("string").alias("post_id"), none("string").alias("canonical_url"), F.lit("unresolved").alias("status"), *METRICS, "caption", "posted_at", "account", "client", F.array("url").alias("raw_urls"), nothing.alias("provenance"))
+    gone = missing(p, snapshot, matched)
+    absent = gone.select(
+        F.col("id").alias("post_id"), none("string").alias("canonical_url"), F.lit("missing").alias("status"), "views", "likes", F.lit(0).cast("long").alias("comments"), F.lit("").alias("caption"),
+        F.col("scraped_at").alias("posted_at"), F.lit("").alias("account"), F.lit("unknown").alias("client"), F.array().cast("array<string>").alias("raw_urls"), nothing.alias("provenance"),
+    )
+
+    facts = head.select("post_id", F.inline("provenance"))
+    conflict = facts.where("provider_a <> provider_b").select(F.lit("metric_conflict").alias("kind"), "post_id", _detail(metric=F.col("metric"), provider_a=F.col("provider_a"), provider_b=F.col("provider_b"), resolved_value=F.col("resolved")).alias("details"))
+    side = facts.where("snapshot is not null").select("post_id", "metric", "snapshot", "resolved", F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.col(s).alias("v")) for s in SOURCES.values()])))
+    drop = side.where("v < snapshot").select(F.lit("view_decrease").alias("kind"), "post_id", _detail(metric=F.col("metric"), source=F.col("source"), current_value=F.col("v"), snapshot_value=F.col("snapshot"), resolved_value=F.col("resolved")).alias("details"))
+    caption = full.where("size(cuts) > 0 and any_whole").select(F.lit("caption_truncation_match").alias("kind"), "post_id", _detail(truncated_captions=F.col("cuts.caption"), full_caption=F.col("caption")).alias("details"))
+    told = F.when(F.col("candidate").isNotNull(), _detail(share_url=F.col("url"), matched_video_id=F.col("candidate"), matching_signals=F.array(*[F.lit(x) for x in ("account", "timestamp", "caption_similarity")]))).otherwise(_detail(share_url=F.col("url"), account=F.col("account")))
+    share = met.select(F.lit("unresolved_share_url").alias("kind"), F.col("candidate").alias("post_id"), told.alias("details"))
+    vanished = gone.select(F.lit("disappeared_post").alias("kind"), F.col("id").alias("post_id"), _detail(last_views=F.col("views"), last_likes=F.col("likes"), last_scraped_at=F.date_format("scraped_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), last_source=F.col("source")).alias("details"))
+    out = gone.agg(F.count("*").alias("n")).where(F.col("n") >= outage).select(F.lit("possible_outage").alias("kind"), none("string").alias("post_id"), _detail(missing=F.col("n")).alias("details"))
     anomalies = conflict
     for more in (drop, caption, share, vanished, out):
         anomalies = anomalies.unionByName(more)
-    return Report(active.unionByName(unresolved).unionByName(absent), anomalies, lost.select("url"))
+    return Report(active.unionByName(unresolved).unionByName(absent).select(*shown), anomalies, lost.select("url"))

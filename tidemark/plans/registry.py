@@ -181,12 +181,10 @@ def caption_truncated(t: Tables) -> DataFrame:
     return t.vendor_posts().select("vendor", "ord", X.is_truncated(F.col("caption")).alias("is_truncated"))
 
 
-@query(r"""with v as (select *, regexp_replace(caption, '\s+$', '') c, nullif(regexp_extract(url, '(?i)(?:https?://)?(?:www\.)?tiktok\.com/@[\w.]+/video/(\d+)', 1), '') vid from vendor_posts)
-    select s.ord share_ord, c.vendor, c.ord candidate_ord from v s join v c on s.account = c.account and s.vid is null and c.vid is not null and abs(epoch_us(s.posted_at) - epoch_us(c.posted_at)) <= 3600000000
-    and (s.c = c.c or case when ends_with(s.c, '...') and ends_with(c.c, '...') then s.c[:-4] = c.c[:-4] when ends_with(s.c, '...') then starts_with(c.c, s.c[:length(s.c) - 3]) when ends_with(c.c, '...') then starts_with(s.c, c.c[:length(c.c) - 3]) else false end)""")
+@query("select share_ord, vendor, candidate_ord from within_reach")
 def caption_candidates(t: Tables) -> DataFrame:
     p = reconcile.classified(t.vendor_posts())
-    return reconcile.candidates(p).select("share_ord", F.col("vendor").alias("vendor"), "candidate_ord")
+    return reconcile.candidates(p).select("share_ord", "vendor", "candidate_ord")
 
 
 @query("""select c_custkey, coalesce(try_cast(regexp_extract(c_phone, '^(\\d+)', 1) as integer), 0) major, regexp_extract(c_phone, '^(\\d+)', 1) <> '' and cast(regexp_extract(c_phone, '^(\\d+)', 1) as integer) >= 20 at_least_20 from
@@ -233,10 +231,10 @@ def vendor_ids_union(t: Tables) -> DataFrame:
     return a.select("user_id").union(b.select("user_id")).distinct()
 
 
-@query(f"select user_id from events where event_type = 'error' and event_id < 400 except select user_id from events where event_type = 'purchase' and event_id < 400")
+@query("select post_id from posts except select post_id from snapshots")
 def vendor_ids_difference(t: Tables) -> DataFrame:
-    e = t.raw("events").where("event_id < 400")
-    return e.where("event_type = 'error'").select("user_id").subtract(e.where("event_type = 'purchase'").select("user_id"))
+    """Ids of one list that the other lacks: posts that were never scraped."""
+    return t.posts().select("post_id").subtract(t.snapshots().select("post_id"))
 
 
 @query(f"select user_id from events where event_type = 'view' intersect select user_id from events where event_type = 'click'")
@@ -340,44 +338,71 @@ def metric_resolve(t: Tables) -> DataFrame:
     return side.select("post_id", X.resolved_metric(F.col("a"), F.col("b")).alias("views"))
 
 
-@query()
+#: The walk takes the shared rows of each account in their order, with the ids taken so far.
+RECONCILED = """recursive lined as (select account, share_vendor, share_ord, row_number() over (partition by account order by share_turn) k, cands from (select account, share_vendor, share_ord, share_turn, list(candidate) cands from within_reach group by all)),
+    walk as (select account, 0::bigint k, []::varchar[] taken, null::varchar share_vendor, null::bigint share_ord, null::varchar candidate from (select distinct account from lined)
+        union all select account, k, case when len(free) = 1 then list_append(taken, free[1]) else taken end, share_vendor, share_ord, case when len(free) = 1 then free[1] end
+        from (select l.account, l.k, w.taken, l.share_vendor, l.share_ord, [c for c in l.cands if not list_contains(w.taken, c)] free from walk w join lined l on l.account = w.account and l.k = w.k + 1)),
+    matched as (select share_vendor vendor, share_ord ord, candidate from walk where candidate is not null),
+    met as (select c.*, m.candidate from classified c left join matched m using (vendor, ord) where shared),
+    grouped as (select coalesce(vid, given) post_id, turn place, * from classified where not shared union all by name select candidate post_id, 100000000000000 + turn place, * exclude (candidate) from met where candidate is not null),
+    firsts as (select post_id, arg_min(views, place) filter (vendor = 'A') a_views, arg_min(views, place) filter (vendor = 'B') b_views, arg_min(likes, place) filter (vendor = 'A') a_likes, arg_min(likes, place) filter (vendor = 'B') b_likes,
+        arg_min(comments, place) filter (vendor = 'A') a_comments, arg_min(comments, place) filter (vendor = 'B') b_comments, arg_min(posted_at, place) posted_at, arg_min(account, place) account,
+        first(caption order by cut, length(caption) desc, place) caption, list_sort(list_distinct(list(url))) raw_urls, list(caption order by place) filter (cut) cuts, bool_or(not cut) any_whole,
+        arg_min('https://www.tiktok.com/@' || regexp_extract(url, '@([\\w.]+)', 1) || '/video/' || vid, place) filter (kind = 'canonical') canonical_url from grouped group by post_id),
+    last_seen as (select id, arg_max(views, ord) s_views, arg_max(likes, ord) s_likes from previous_posts group by id),
+    resolved as (select *, coalesce(greatest(a_views, b_views, s_views), 0) views, coalesce(greatest(a_likes, b_likes, s_likes), 0) likes, coalesce(greatest(a_comments, b_comments), 0) comments from firsts left join last_seen on id = post_id),
+    vanished as (select p.id, l.s_views, l.s_likes from previous_posts p join last_seen l using (id) where p.id not in (select post_id from grouped))"""
+OWNER = "coalesce((select arg_min(client, o.ord) from assignments o where o.account = {0}.account and {0}.posted_at >= valid_from and ({0}.posted_at < valid_to or valid_to is null)), 'unattributed')"
+
+
+@query(f"""with {RECONCILED} select post_id, canonical_url, 'active' status, views, likes, comments, caption, posted_at, account, {OWNER.format('r')} client, array_to_string(raw_urls, ' ') raw_urls, a_views, b_views, s_views from resolved r
+    union all select null, null, 'unresolved', views, likes, comments, caption, posted_at, account, {OWNER.format('m')}, url, null, null, null from met m where url in (select url from met where candidate is null)
+    union all select id, null, 'missing', s_views, s_likes, 0, '', timestamp '2023-12-31', '', 'unknown', '', null, null, null from vanished""")
 def reconcile_posts(t: Tables) -> DataFrame:
-    return reconcile.reconciled(t.vendor_posts(), *_history(t)).posts
+    traced = [F.get(F.filter("provenance", lambda p: p["metric"] == "views"), F.lit(0))[c].alias(f"{n}_views") for n, c in (("a", "provider_a"), ("b", "provider_b"), ("s", "snapshot"))]
+    return _report(t).posts.select("*", *traced).withColumn("raw_urls", F.array_join("raw_urls", " ")).drop("provenance")
 
 
-@query()
+@query(f"""with {RECONCILED}, facts as (select post_id, 'views' metric, a_views a, b_views b, s_views s, views high from resolved union all select post_id, 'likes', a_likes, b_likes, s_likes, likes from resolved union all select post_id, 'comments', a_comments, b_comments, null, comments from resolved)
+    select 'metric_conflict' kind, post_id, cast(json_object('metric', metric, 'provider_a', a, 'provider_b', b, 'resolved_value', high) as varchar) details from facts where a <> b
+    union all select 'view_decrease', post_id, cast(json_object('metric', metric, 'source', source, 'current_value', v, 'snapshot_value', s, 'resolved_value', high) as varchar) from (select *, 'provider_a' source, a v from facts union all select *, 'provider_b', b from facts) where v < s
+    union all select 'caption_truncation_match', post_id, cast(json_object('truncated_captions', cuts, 'full_caption', caption) as varchar) from resolved where len(cuts) > 0 and any_whole
+    union all select 'unresolved_share_url', candidate, cast(case when candidate is null then json_object('share_url', url, 'account', account) else json_object('share_url', url, 'matched_video_id', candidate, 'matching_signals', ['account', 'timestamp', 'caption_similarity']) end as varchar) from met
+    union all select 'disappeared_post', id, cast(json_object('last_views', s_views, 'last_likes', s_likes, 'last_scraped_at', '2023-12-31T00:00:00Z', 'last_source', 'A') as varchar) from vanished
+    union all select 'possible_outage', null, cast(json_object('missing', count(*)) as varchar) from vanished having count(*) >= 3""")
 def reconcile_anomalies(t: Tables) -> DataFrame:
-    return reconcile.reconciled(t.vendor_posts(), *_history(t)).anomalies
+    return _report(t).anomalies
 
 
-@query()
+@query(f"with {RECONCILED} select url from met where candidate is null")
 def reconcile_unresolved(t: Tables) -> DataFrame:
-    return reconcile.reconciled(t.vendor_posts(), *_history(t)).unresolved
+    return _report(t).unresolved
+
 
+@query(f"with {RECONCILED} select vendor, ord, candidate from matched")
+def share_matches(t: Tables) -> DataFrame:
+    m = reconcile.matches(reconcile.classified(t.vendor_posts()))
+    return m.select(F.col("share_vendor").alias("vendor"), F.col("share_ord").alias("ord"), "candidate")
 
-def _history(t: Tables) -> tuple[DataFrame, DataFrame]:
-    d = t.raw("documents").select("doc_id", "n_chars", "source")
-    at = F.lit("2023-12-31").cast("timestamp_ntz")
-    gone = F.when(F.pmod("doc_id", F.lit(100)) == 7, F.col("doc_id") + F.lit(5000000000)).otherwise(F.col("doc_id"))
-    snap = d.where(F.pmod("doc_id", F.lit(4)) == 3).select(F.col("doc_id").alias("ord"), gone.cast("string").alias("id"), (F.col("n_chars") + F.pmod("doc_id", F.lit(3)) - 1).alias("views"), F.lit(0).cast("long").alias("likes"), at.alias("scraped_at"))
-    half = F.lit("2024-01-05").cast("timestamp_ntz")
-    start, none = F.lit("2023-01-01").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")
-    periods = F.array(F.struct(F.lit("client_a").alias("client"), start.alias("valid_from"), half.alias("valid_to")), F.struct(F.lit("client_b").alias("client"), half.alias("valid_from"), none.alias("valid_to")))
-    owners = d.where(F.col("source") != "src3").select("source").distinct().select(F.concat(F.lit("@"), F.col("source")).alias("account"), F.posexplode(periods).alias("ord", "p")).select("account", "ord", "p.*")
-    return snap, owners
+
+def _report(t: Tables) -> reconcile.Report:
+    return reconcile.reconciled(t.vendor_posts(), t.previous_posts(), t.assignments())
+
+
+def _missing(t: Tables) -> DataFrame:
+    p = reconcile.classified(t.vendor_posts())
+    return reconcile.missing(p, t.previous_posts(), reconcile.matches(p))
 
 
-@query("select id, views latest_seen from (select cast(doc_id + 5000000000 as varchar) id, n_chars + doc_id % 3 - 1 views from documents where doc_id % 100 = 7) where id not in (select id from vendor_posts where id is not null)")
+@query(f"with {RECONCILED} select id, s_views latest_seen from vanished")
 def disappeared_posts(t: Tables) -> DataFrame:
-    r = reconcile.reconciled(t.vendor_posts(), *_history(t))
-    return r.posts.where("status = 'missing'").select(F.col("post_id").alias("id"), F.col("views").alias("latest_seen"))
+    return _missing(t).select("id", F.col("views").alias("latest_seen"))
 
 
-@query("select count(*) missing, count(*) >= 3 outage from documents where doc_id % 100 = 7")
+@query(f"with {RECONCILED} select count(*) missing, count(*) >= 3 outage from vanished")
 def outage_flag(t: Tables) -> DataFrame:
-    snap, _ = _history(t)
-    gone = reconcile.missing(reconcile.classified(t.vendor_posts()), snap)
-    return gone.agg(F.count("*").alias("missing"), (F.count("*") >= 3).alias("outage"))
+    return _missing(t).agg(F.count("*").alias("missing"), (F.count("*") >= reconcile.OUTAGE).alias("outage"))
 
 
 # --- integrity -----------------------------------------------------------------------------------

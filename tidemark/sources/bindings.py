@@ -72,19 +72,49 @@ class Tables:
         return self.raw("events").select(F.col("user_id").cast("long").alias("account_id"), F.col("event_id").cast("long").alias("ord"), (F.col("event_type") == "error").alias("failed"))
 
     def vendor_posts(self) -> DataFrame:
-        """Both vendors' posts: vendor, ord, id, url, views, likes, comments, caption, posted_at, account."""
+        """Both vendors' posts: vendor, ord, id, url, views, likes, comments, caption, posted_at, account.
+
+        Some of A's rows are share links (some of them listed twice, some under one link), unknown
+        links with and without an id, or links whose id isn't the row's own.
+        """
         d = self.raw("documents").select("doc_id", "text", "source", "n_chars")
         at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 1200).cast("timestamp_ntz")
         link = lambda i: F.concat(F.lit("https://www.tiktok.com/@"), F.col("source"), F.lit("/video/"), i.cast("string"))
-        share = F.pmod("doc_id", F.lit(10)) == 0
+        nth = lambda k, r: F.pmod("doc_id", F.lit(k)) == r
+        number, share = F.col("doc_id").cast("string"), nth(10, 0)
         base = [F.lit(0).cast("long").alias("likes"), F.lit(0).cast("long").alias("comments")]
-        a = d.select(F.lit("A").alias("vendor"), F.col("doc_id").alias("ord"), F.when(~share, F.col("doc_id").cast("string")).alias("id"), F.when(share, F.concat(F.lit("https://vm.tiktok.com/Z"), F.col("doc_id").cast("string"))).otherwise(link(F.col("doc_id"))).alias("url"), F.col("n_chars").alias("views"), *base, F.substring("text", 1, 120).alias("caption"), at.alias("posted_at"), F.concat(F.lit("@"), F.col("source")).alias("account"))
+        other = F.concat(F.lit("https://other.example/p"), number)
+        url = F.when(share & nth(40, 20) | nth(40, 7), other).when(share & nth(70, 0), "https://vm.tiktok.com/Zsame").when(share, F.concat(F.lit("https://vm.tiktok.com/Z"), number)).otherwise(link(F.col("doc_id")))
+        own = F.when(~share, F.when(nth(100, 63), F.col("doc_id") + F.lit(7000000000)).otherwise(F.col("doc_id")).cast("string"))
+        twice = F.explode(F.when(nth(30, 10), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        a = d.withColumn("twin", twice).select(F.lit("A").alias("vendor"), (F.col("doc_id") + F.col("twin") * F.lit(2000000000).cast("long")).alias("ord"), own.alias("id"), url.alias("url"), F.col("n_chars").alias("views"), *base, F.col("text").alias("caption"), at.alias("posted_at"), F.concat(F.lit("@"), F.col("source")).alias("account"))
         short = F.when(F.length("text") > 60, F.concat(F.substring("text", 1, 60), F.lit("..."))).otherwise(F.col("text"))
-        b = d.where(F.pmod("doc_id", F.lit(30)) != 0).withColumn("twin", F.explode(F.when(F.pmod("doc_id", F.lit(20)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        b = d.where(~nth(30, 0)).withColumn("twin", F.explode(F.when(nth(20, 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         n = F.col("doc_id") + F.col("twin") * F.lit(1000000000).cast("long")
         b = b.select(F.lit("B").alias("vendor"), n.alias("ord"), n.cast("string").alias("id"), link(n).alias("url"), (F.col("n_chars") - F.pmod("doc_id", F.lit(5))).alias("views"), *base, short.alias("caption"), at.alias("posted_at"), F.concat(F.lit("@"), F.col("source")).alias("account"))
         return a.unionByName(b)
 
+    def previous_posts(self) -> DataFrame:
+        """The last snapshot: ord, id, views, likes, scraped_at, source; some ids twice, some no vendor lists."""
+        d = self.raw("documents").select("doc_id", "n_chars").where(F.pmod("doc_id", F.lit(4)) == 3)
+        twin = F.explode(F.when(F.pmod("doc_id", F.lit(200)) == 107, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        gone = F.when(F.pmod("doc_id", F.lit(100)) == 7, F.col("doc_id") + F.lit(5000000000)).otherwise(F.col("doc_id"))
+        views = F.col("n_chars") + F.pmod("doc_id", F.lit(3)) - 1 + 5 * F.col("twin")
+        return d.withColumn("twin", twin).select(
+            (F.col("doc_id") + F.col("twin") * F.lit(1000000000).cast("long")).alias("ord"), gone.cast("string").alias("id"), views.alias("views"), F.lit(0).cast("long").alias("likes"),
+            F.lit("2023-12-31").cast("timestamp_ntz").alias("scraped_at"), F.lit("A").alias("source"),
+        )
+
+    def assignments(self) -> DataFrame:
+        """Owners of the vendors' accounts: account, ord, client, valid_from, valid_to; one account has none."""
+        time = lambda s: F.lit(s).cast("timestamp_ntz")
+        periods = F.array(
+            F.struct(F.lit("client_a").alias("client"), time("2023-01-01").alias("valid_from"), time("2024-01-05").alias("valid_to")),
+            F.struct(F.lit("client_b").alias("client"), time("2024-01-05").alias("valid_from"), time(None).alias("valid_to")),
+        )
+        rows = self.raw("documents").where("source <> 'src3'").select("source").distinct()
+        return rows.select(F.concat(F.lit("@"), F.col("source")).alias("account"), F.posexplode(periods).alias("ord", "p")).select("account", F.col("ord").cast("long").alias("ord"), "p.*")
+
     def devices(self) -> DataFrame:
         return self.raw("customer").select(
             F.col("c_custkey").cast("long").alias("device_id"), (F.lit(8) + F.pmod("c_custkey", F.lit(4))).cast("long").alias("version"),
@@ -115,12 +145,23 @@ SQL = {
         from (select run_id, account_id, date_trunc('month', scraped_at) m, count(distinct post_id) posts_found from run_snapshots group by all) f""",
     "hwm": "select post_id, max(views) max_views, max(likes) max_likes, max(comments) max_comments, max(shares) max_shares from snapshots group by post_id",
     "jobs": "select user_id account_id, event_id ord, event_type = 'error' failed from events",
-    "vendor_posts": """select 'A' vendor, doc_id ord, case when doc_id % 10 <> 0 then cast(doc_id as varchar) end id,
-            case when doc_id % 10 = 0 then 'https://vm.tiktok.com/Z' || doc_id else 'https://www.tiktok.com/@' || source || '/video/' || doc_id end url,
-            n_chars views, text[:120] caption, timestamp '2024-01-01' + to_minutes(20 * doc_id) posted_at, '@' || source account from documents
-        union all select 'B', n, cast(n as varchar), 'https://www.tiktok.com/@' || source || '/video/' || n, n_chars - doc_id % 5, case when length(text) > 60 then text[:60] || '...' else text end,
+    "vendor_posts": """select 'A' vendor, doc_id + 2000000000 * twin ord, case when doc_id % 10 <> 0 then cast(case when doc_id % 100 = 63 then doc_id + 7000000000 else doc_id end as varchar) end id,
+            case when doc_id % 40 in (20, 7) then 'https://other.example/p' || doc_id when doc_id % 70 = 0 then 'https://vm.tiktok.com/Zsame' when doc_id % 10 = 0 then 'https://vm.tiktok.com/Z' || doc_id
+            else 'https://www.tiktok.com/@' || source || '/video/' || doc_id end url,
+            n_chars views, 0::bigint likes, 0::bigint comments, text caption, timestamp '2024-01-01' + to_minutes(20 * doc_id) posted_at, '@' || source account from documents cross join (values (0), (1)) t(twin) where twin = 0 or doc_id % 30 = 10
+        union all select 'B', n, cast(n as varchar), 'https://www.tiktok.com/@' || source || '/video/' || n, n_chars - doc_id % 5, 0, 0, case when length(text) > 60 then text[:60] || '...' else text end,
             timestamp '2024-01-01' + to_minutes(20 * doc_id), '@' || source
         from (select *, doc_id + twin * 1000000000 n from documents cross join (values (0), (1)) t(twin) where doc_id % 30 <> 0 and (twin = 0 or doc_id % 20 = 0))""",
+    "previous_posts": """select doc_id + 1000000000 * twin ord, cast(case when doc_id % 100 = 7 then doc_id + 5000000000 else doc_id end as varchar) id, n_chars + doc_id % 3 - 1 + 5 * twin views, 0::bigint likes, timestamp '2023-12-31' scraped_at, 'A' source
+        from documents cross join (values (0), (1)) t(twin) where doc_id % 4 = 3 and (twin = 0 or doc_id % 200 = 107)""",
+    "assignments": """select '@' || source account, ord, client, valid_from, valid_to from (select distinct source from documents where source <> 'src3')
+        cross join (values (0, 'client_a', timestamp '2023-01-01', timestamp '2024-01-05'), (1, 'client_b', timestamp '2024-01-05', null)) t(ord, client, valid_from, valid_to)""",
+    "named_posts": r"""select *, nullif(regexp_extract(url, '(?i)(?:https?://)?(?:www\.)?tiktok\.com/@[\w.]+/video/(\d+)', 1), '') vid, (vendor = 'B')::bigint * 10000000000000 + ord turn, regexp_replace(caption, '\s+$', '') bare,
+        case when regexp_matches(url, '(?i)(?:https?://)?(?:www\.)?tiktok\.com/@[\w.]+/video/(\d+)') then 'canonical' when regexp_matches(trim(url), '(?i)^(?:https?://)?(?:vm|vt)\.tiktok\.com/\w+/?') then 'share' else 'unknown' end kind from vendor_posts""",
+    "classified": """select *, nullif(coalesce(id, case when kind = 'canonical' then vid end), '') given, kind = 'share' or (kind = 'unknown' and nullif(id, '') is null) shared, ends_with(bare, '...') cut from named_posts""",
+    "within_reach": """select s.account, s.vendor share_vendor, s.ord share_ord, s.turn share_turn, c.vendor, c.ord candidate_ord, c.given candidate from classified s join classified c
+        on s.account = c.account and s.shared and c.kind = 'canonical' and c.given is not null and abs(epoch_us(s.posted_at) - epoch_us(c.posted_at)) <= 3600000000
+        and (s.bare = c.bare or case when s.cut and c.cut then s.bare[:-4] = c.bare[:-4] when s.cut then starts_with(c.bare, s.bare[:length(s.bare) - 3]) when c.cut then starts_with(s.bare, c.bare[:length(c.bare) - 3]) else false end)""",
     "devices": "select c_custkey device_id, 8 + c_custkey % 4 \"version\", case when c_acctbal < 0 then 'offline' else 'good' end \"connection\", case when c_custkey % 13 = 0 then 'busy' end task from customer",
     "states": "select user_id \"session\", event_id ord, event_type state from events",
 }
@@ -139,6 +180,7 @@ def sql(body: str) -> str:
                 todo.append(made)
     parts = [f"{n} as ({SQL[n]})" for n in SQL if n in need]
     body = body.strip()
-    if body.lower().startswith("with "):
-        return "with " + ",\n".join([*parts, body[5:]]) if parts else body
+    for head in ("with recursive ", "with "):
+        if body.lower().startswith(head):
+            return head + ",\n".join([*parts, body[len(head):]]) if parts else body
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + body

@@ -28,8 +28,8 @@ def posts(spark: SparkSession, rows: list[dict], vendor: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """The last snapshot, in input order."""
-    data = [(i, r["platform_id"], r["views"], r["likes"], r["scraped_at"]) for i, r in enumerate(rows)]
-    return spark.createDataFrame(data, "ord long, id string, views long, likes long, scraped_at string").withColumn("scraped_at", X.parsed_time(F.col("scraped_at")))
+    data = [(i, r["platform_id"], r["views"], r["likes"], r["scraped_at"], r.get("source")) for i, r in enumerate(rows)]
+    return spark.createDataFrame(data, "ord long, id string, views long, likes long, scraped_at string, source string").withColumn("scraped_at", X.parsed_time(F.col("scraped_at")))
 
 
 def assignments(spark: SparkSession, rows: list[dict]) -> DataFrame:
