@@ -52,6 +52,20 @@ def test_windowed_counts(spark):
     assert monitor.sessions(rows.withColumn("user_id", F.lit(1)), "15 minutes").count() == 2
 
 
+def test_late_events_drop(spark, tmp_path):
+    """A row behind the watermark of the batches before it is not counted; one within it is."""
+    schema = "ts timestamp, event_type string, value double"
+    batches = [["2024-01-01 00:10:00"], ["2024-01-01 03:00:00"], ["2024-01-01 00:20:00", "2024-01-01 02:55:00"], ["2024-01-01 06:00:00"]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = monitor.windowed_counts(stream).writeStream.format("memory").queryName("late").outputMode("append").start()
+    for times in batches:
+        spark.createDataFrame([(t, "view", 1.0) for t in times], "t string, event_type string, value double").select(F.col("t").cast("timestamp").alias("ts"), "event_type", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.stop()
+    assert {(str(r["start"]), r["n"]) for r in spark.sql("select * from late").collect()} == {("2024-01-01 00:00:00", 1), ("2024-01-01 02:00:00", 1), ("2024-01-01 03:00:00", 1)}
+
+
 def test_wave_sizes(spark):
     devices = spark.range(1, 201).select(F.col("id").alias("device_id"), (8 + F.col("id") % 4).alias("version"), F.when(F.col("id") <= 30, "offline").otherwise("good").alias("connection"), F.lit(None).cast("string").alias("task"))
     sizes = {r["wave"]: r["count"] for r in rollout.plan(devices).groupBy("wave").count().collect()}
@@ -97,6 +111,56 @@ def test_contested_shares_walk_in_order(spark):
     assert {(r["share_ord"], r["candidate"]) for r in reconcile.matches(reconcile.classified(df)).collect()} == {(0, "1"), (1, "2")}
 
 
+def _post_frame(spark, rows):
+    schema = "vendor string, ord long, id string, url string, views long, likes long, comments long, caption string, at string, account string"
+    return spark.createDataFrame(rows, schema).withColumn("posted_at", F.col("at").cast("timestamp")).drop("at")
+
+
+def test_walk_equals_a_loop(spark):
+    """Random accounts with contested, ambiguous and free shared rows, and one id under two accounts."""
+    r, rows = random.Random(11), []
+    for i in range(260):
+        at, account = f"2024-01-0{r.randint(1, 3)} {r.randint(0, 23):02d}:{r.choice([0, 20, 40]):02d}:00", f"@a{r.randint(0, 3)}"
+        if r.random() < 0.45:
+            rows.append(("A", i, r.choice([None, "", f"s{i}"]), r.choice(["vm.tiktok.com/x", "vt.tiktok.com/y"]), 1, 1, 1, r.choice(["c", "d"]), at, account))
+        else:
+            n = r.choice([i, r.randint(0, 40)])
+            rows.append((r.choice("AB"), i, None if r.random() < 0.5 else str(n), f"https://www.tiktok.com/@x/video/{n}", 1, 1, 1, r.choice(["c", "d"]), at, account))
+    clock = lambda x: (int(x[8:10]) * 24 + int(x[11:13])) * 60 + int(x[14:16])
+    order = sorted(rows, key=lambda x: (x[0], x[1]))
+    taken, want = set(), set()
+    for s in order:
+        if "/video/" in s[3]:
+            continue
+        free = [c for c in order if "/video/" in c[3] and (c[2] or c[3].split("/")[-1]) not in taken and c[9] == s[9] and abs(clock(c[8]) - clock(s[8])) <= 60 and c[7] == s[7]]
+        if len(free) == 1:
+            taken.add(free[0][2] or free[0][3].split("/")[-1])
+            want.add((s[0], s[1], free[0][2] or free[0][3].split("/")[-1]))
+    got = reconcile.matches(reconcile.classified(_post_frame(spark, rows)))
+    assert {tuple(x) for x in got.select("share_vendor", "share_ord", "candidate").collect()} == want and len(want) > 10
+
+
+def test_unknown_links_and_other_ids(spark):
+    link = "https://www.tiktok.com/@c/video/{}"
+    rows = [
+        ("A", 0, None, "https://other.example/x", 3, 1, 1, "lost", "2025-03-14 16:00:00", "@creator"), ("A", 1, "9", "https://other.example/y", 4, 1, 1, "kept", "2025-03-14 16:00:00", "@creator"),
+        ("A", 2, "100", link.format(200), 5, 1, 1, "two ids", "2025-03-14 16:00:00", "@creator"), ("A", 3, None, "vm.tiktok.com/s", 6, 1, 1, "twin", "2025-03-14 10:00:00", "@creator"),
+        ("A", 4, None, "vm.tiktok.com/s", 7, 1, 1, "alone", "2025-03-14 10:00:00", "@creator"), ("B", 0, "300", link.format(300), 8, 1, 1, "twin", "2025-03-14 10:30:00", "@creator"),
+    ]
+    _, _, owners = sample(spark)
+    snap = files.snapshots(spark, [{"platform_id": i, "views": v, "likes": 1, "scraped_at": "2025-03-13T00:00:00Z"} for i, v in (("200", 1), ("100", 2), ("100", 3))])
+    report = reconcile.reconciled(_post_frame(spark, rows), snap, owners)
+    posts = report.posts.collect()
+    assert sorted((r["post_id"], r["views"], r["client"]) for r in posts if r["status"] == "active") == [("200", 5, "client_b"), ("300", 8, "client_a"), ("9", 4, "client_b")]
+    # the row that was matched is reported again, since another row of its link was not
+    assert sorted((r["post_id"], r["views"], r["client"]) for r in posts if r["status"] == "unresolved") == [(None, 3, "client_b"), (None, 6, "client_a"), (None, 7, "client_a")]
+    assert [(r["post_id"], r["views"]) for r in posts if r["status"] == "missing"] == [("100", 3), ("100", 3)]
+    assert {r["post_id"]: r["canonical_url"] for r in posts if r["status"] == "active"}["300"] == "https://www.tiktok.com/@c/video/300"
+    views = next(p for r in posts if r["post_id"] == "200" for p in r["provenance"] if p["metric"] == "views")
+    assert (views["provider_a"], views["provider_b"], views["snapshot"], views["resolved"]) == (5, None, 1, 5)
+    assert sorted(r["url"] for r in report.unresolved.collect()) == ["https://other.example/x", "vm.tiktok.com/s"]
+
+
 def test_outage(spark):
     posts, _, owners = sample(spark)
     snap = files.snapshots(spark, [{"platform_id": str(i), "views": 1, "likes": 1, "scraped_at": "2025-01-01T00:00:00Z"} for i in range(5)])
@@ -123,8 +187,11 @@ def test_rules(spark):
 
 def test_screens(spark):
     screens = spark.createDataFrame([("a", '<hierarchy><node text="For you" class="x"/><node text="Following"/></hierarchy>'), ("b", '<hierarchy><node text="For you"/><node resource-id="id/dialog_1"/></hierarchy>'), ("c", "<broken"), ("d", "<hierarchy/>")], "screen string, xml string")
-    signs = spark.createDataFrame([("home_feed", 0, 0, "text", "(?i)for you"), ("home_feed", 0, 1, "text", "(?i)following"), ("profile", 1, 0, "text", "(?i)following"), ("popup", 6, 0, "resource_id", "(?i)dialog")], "state string, rank int, grp int, attribute string, pattern string")
+    signs = [("home_feed", 0, 0, "text", "(?i)for you"), ("home_feed", 0, 1, "text", "(?i)following"), ("profile", 1, 0, "text", "(?i)following"), ("popup", 6, 0, "resource_id", "(?i)dialog")]
     assert {r[0]: r[1] for r in uilog.scored(screens, signs).collect()} == {"a": "home_feed", "b": "popup", "c": "unknown", "d": "unknown"}
+    uilog.register(spark)
+    screens.createOrReplaceTempView("dumps")
+    assert [tuple(r) for r in spark.sql("select screen, n.nth, n.text from dumps, lateral ui_nodes(xml) n where screen = 'a' order by nth").collect()] == [("a", 0, "For you"), ("a", 1, "Following")]
 
 
 def test_log_and_check_files(spark, tmp_path):
@@ -135,12 +202,68 @@ def test_log_and_check_files(spark, tmp_path):
     assert rules.findings(files.check_results(spark, str(tmp_path / "checks.json"))).count() == 2
 
 
+def test_reports(spark):
+    rows = [("1", "wifi", {"wifi_on": "1"}, {}), ("1", "odd", {}, {}), ("2", "wifi", {"wifi_on": "0"}, {})]
+    out = rules.reports(spark.createDataFrame(rows, rules.SCHEMA))
+    got = {r["device_id"]: (r["passed"], json.loads(r["report"])) for r in out.collect()}
+    assert got["1"][1]["pass"] is False and len(got["1"][1]["failures"]) == 1 and len(got["1"][1]["warnings"]) == 1 and list(got["1"][1]["details"]) == ["wifi"]
+    assert got["2"] == (True, {"pass": True, "failures": [], "warnings": [], "details": {"wifi": {"failures": [], "warnings": [], "status": "pass"}}})
+    assert rules.exit_code(out) == 1 and rules.exit_code(out.where("device_id = '2'")) == 0
+
+
+def test_recorded_responses(spark, tmp_path):
+    whole = {"job_id": 1, "attempt": 2, "vendor": "A", "account": "@a", "fetched_at": 1.5, "is_complete": True, "posts": [{"platform_post_id": "p", "views": 1, "likes": 2, "comments": 3, "shares": 4, "published_at": "2024-01-01T00:00:00Z"}]}
+    lines = [{"job_id": 1, "attempt": 1, "vendor": "A", "account": "@a", "outcome": "rate_limited", "retry_after": 9}, {**whole, "attempt": 3, "is_complete": False}, whole]
+    (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    attempts, posts = files.responses(spark, str(tmp_path / "r.jsonl"))
+    assert {(r["attempt"], r["outcome"], r["retry_after"]) for r in attempts.collect()} == {(1, "rate_limited", 9.0), (2, "complete", None), (3, "partial", None)}
+    assert [(r["platform_post_id"], r["views"], r["attempt"]) for r in posts.collect()] == [("p", 1, 2)]
+    files.report(posts, str(tmp_path / "out"))
+    assert json.loads(next((tmp_path / "out").glob("*.json")).read_text())["platform_post_id"] == "p"
+
+
+def test_retries(spark):
+    rows = [(1, 1, "rate_limited", 7.0, 0.5), (1, 2, "rate_limited", None, 0.5), (1, 3, "complete", None, 0.5), (2, 1, "refused", None, 0.0), (2, 2, "complete", None, 0.0), *[(3, i, "timeout", None, 0.0) for i in range(1, 7)]]
+    df = spark.createDataFrame(rows, "job_id long, attempt long, outcome string, retry_after double, jitter double")
+    assert {r[0]: tuple(r)[1:] for r in health.retried(df).collect()} == {1: ("accepted", 3, 9.5), 2: ("raised", 1, 0.0), 3: ("exhausted", 4, 7.0)}
+
+
+def test_unflagging_starts_anew(spark):
+    jobs = spark.createDataFrame([(1, i, True) for i in range(1, 8)], "account_id long, ord long, failed boolean")
+    off = spark.createDataFrame([(1, 5)], "account_id long, ord long")
+    got = [(r["consecutive_failures"], r["flagged"], r["skipped"]) for r in health.streaks(jobs, off).orderBy("ord").collect()]
+    assert got == [(1, False, False), (2, False, False), (3, True, False), (4, True, True), (1, False, False), (2, False, False), (3, True, False)]
+
+
+def test_publication_is_atomic_and_can_be_repeated(spark, tmp_path):
+    s = store.RunStore(spark, str(tmp_path / "store"))
+    posts = spark.createDataFrame([("a", "2024-01-01 00:00:00", 5, 1, 1, 1), ("b", "2024-01-01 00:00:00", 6, 1, 1, 1)], "platform_post_id string, at string, views long, likes long, comments long, shares long").withColumn("published_at", F.col("at").cast("timestamp_ntz")).drop("at")
+    whole, s.event = s.event, lambda run, status, *more: whole(run, status, *more) if status != "completed" else (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        s.publish_batch(1, 10, 2, posts, "2024-01-01 00:00:00")
+    s.event = whole
+    assert s.states().first()["status"] == "running" and s.read("snapshots").count() == 0
+    s.publish_batch(1, 10, 2, posts, "2024-01-02 00:00:00")
+    s.publish_batch(2, 10, 2, posts.withColumn("views", F.col("views") + 1), "2024-01-03 00:00:00")
+    assert s.read("snapshots").count() == 4 and s.read("posts").count() == 2 and s.read("run_accounts").count() == 2
+    assert {r["platform_post_id"]: sorted(r["v"]) for r in s.posts().join(s.read("snapshots").select("post_id", "views"), "post_id").groupBy("platform_post_id").agg(F.collect_list("views").alias("v")).collect()} == {"a": [5, 6], "b": [6, 7]}
+    for broken in (posts.withColumn("views", F.lit(-1).cast("long")), posts.unionByName(posts), posts.withColumn("likes", F.lit(None).cast("long"))):
+        with pytest.raises(store.BrokenRule):
+            s.publish_batch(3, 10, 2, broken, "2024-01-04 00:00:00")
+    with pytest.raises(store.BrokenRule):
+        s.publish_batch(2, 10, 2, posts, "2024-01-04 00:00:00")
+    for refused in (s.update, s.delete, s.overwrite):
+        with pytest.raises(store.AppendOnly):
+            refused("snapshots")
+    assert store.changed_rows(posts, posts.where("views = 5")).count() == 1 and store.changed_rows(posts, posts).count() == 0
+
+
 def test_store(spark, tmp_path):
     s = store.RunStore(spark, str(tmp_path / "store"))
     rows = spark.createDataFrame([(1, 5)], "post_id long, views long")
     s.publish(1, "2024-01-01 00:00:00", snapshots=rows)
     s.event(2, "running", "2024-01-02 00:00:00")
-    rows.withColumn("run_id", F.lit(2)).write.mode("append").partitionBy("run_id").parquet(f"{s.folder}/snapshots")
+    rows.withColumn("run_id", F.lit(2)).withColumn("attempt", F.lit("x")).write.mode("append").partitionBy("run_id", "attempt").parquet(f"{s.folder}/snapshots")
     assert s.read("snapshots").count() == 1 and {r[0]: r[1] for r in s.states().collect()} == {1: "completed", 2: "running"}
     with pytest.raises(ValueError):
         s.event(3, "done", "2024-01-01 00:00:00")

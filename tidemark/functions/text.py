@@ -72,6 +72,12 @@ def version_numbers(v: Column) -> Column:
     return F.transform(F.split(v, r"\."), lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^(\d+)", 1), F.lit("")).cast("int"), F.lit(0)))
 
 
+def elapsed_seconds(started: Column, finished: Column) -> Column:
+    """Seconds between two times, with their fraction; null while either is lacking."""
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    return (micros(finished) - micros(started)) / F.lit(1e6)
+
+
 def backoff_seconds(attempt: Column, jitter: Column, base: float = 1.0, most: float = 30.0) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt) + jitter, F.lit(most))
 
@@ -109,19 +115,21 @@ def screen_size(text: Column) -> Column:
     return F.struct(pick(1).alias("width"), pick(2).alias("height"))
 
 
-#: Ranges that are not public addresses: first and last, as numbers.
-_RESERVED = (
-    "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 "
-    "198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4"
-).split()
+# Networks that are not public, and single addresses inside them that are.
+RESERVED = [
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16",
+    "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+]
+PUBLIC_WITHIN = ["192.0.0.9", "192.0.0.10"]
 
 
 def is_public_ipv4(s: Column) -> Column:
+    """A dotted address that the world can reach: in no private, loopback, reserved or multicast network."""
     parts = F.transform(F.split(s, r"\."), lambda p: F.when(p.rlike(r"^(?:0|[1-9][0-9]{0,2})$"), p.cast("long")))
     n = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p)
     public = (F.size(parts) == 4) & F.forall(parts, lambda p: F.coalesce(p <= 255, F.lit(False)))
-    for net in _RESERVED:
+    for net in RESERVED:
         base, bits = net.split("/")
         low = sum(int(x) << (24 - 8 * i) for i, x in enumerate(base.split(".")))
         public = public & ~n.between(low, low + (1 << (32 - int(bits))) - 1)
-    return F.coalesce(public, F.lit(False))
+    return F.coalesce(public | s.isin(*PUBLIC_WITHIN), F.lit(False))

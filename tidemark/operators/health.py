@@ -1,4 +1,4 @@
-"""Failure streaks, skipped jobs, batch pauses, retries."""
+"""Failure streaks, skipped jobs, batch pauses and alerts, retries, timeouts."""
 
 from __future__ import annotations
 
@@ -6,43 +6,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
+
+# When an account is flagged, a batch pauses, a call or a job is given up.
 STREAK = 3
 RATE, LEAST_SHARE, LEAST_JOBS = 0.20, 0.10, 5
 MOST_ATTEMPTS = 4
+JOB_SECONDS = 600
+RETRIED = ("partial", "rate_limited", "timeout", "unavailable")
 
 
-def streaks(jobs: DataFrame) -> DataFrame:
+def streaks(jobs: DataFrame, unflags: DataFrame | None = None) -> DataFrame:
     """Consecutive failures of each account at each job, and whether it is flagged by then.
 
     An island of failures starts after each success; its running count is the streak.
-    The flag stays once set.
+    The flag stays once set.  unflags (account_id, ord) clear the flag and the count
+    by hand: what comes after one starts anew.
     """
-    past = W.partitionBy("account_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    keys, columns = ["account_id"], jobs.columns
+    if unflags is not None:
+        cleared = jobs.select("*", F.lit(0).alias("clear")).unionByName(unflags.select("account_id", "ord", F.lit(1).alias("clear")), allowMissingColumns=True)
+        so_far = W.partitionBy("account_id").orderBy("ord", F.desc("clear")).rowsBetween(W.unboundedPreceding, 0)
+        jobs = cleared.withColumn("epoch", F.sum("clear").over(so_far)).where("clear = 0").drop("clear")
+        keys = ["account_id", "epoch"]
+    past = W.partitionBy(*keys).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     rows = jobs.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(past))
-    run = W.partitionBy("account_id", "island").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    run = W.partitionBy(*keys, "island").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("consecutive_failures", F.sum(F.col("failed").cast("int")).over(run).cast("long"))
-    return rows.withColumn("flagged", F.max(F.col("consecutive_failures") >= STREAK).over(past)).drop("island")
+    rows = rows.withColumn("flagged", F.max(F.col("consecutive_failures") >= STREAK).over(past))
+    if unflags is not None:
+        before = W.partitionBy(*keys).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.withColumn("skipped", F.coalesce(F.max("flagged").over(before), F.lit(False)))
+        return rows.select(*columns, "consecutive_failures", "flagged", "skipped")
+    return rows.drop("island")
 
 
 def skipped(jobs: DataFrame) -> DataFrame:
     """Jobs that come after their account was flagged."""
     before = W.partitionBy("account_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    return streaks(jobs).withColumn("skipped", F.coalesce(F.max("flagged").over(before), F.lit(False))).select("account_id", "ord", "failed", "skipped")
+    rows = streaks(jobs).withColumn("skipped", F.coalesce(F.max("flagged").over(before), F.lit(False)))
+    return rows.select(*jobs.columns, "skipped")
 
 
 def flagged_accounts(jobs: DataFrame) -> DataFrame:
     return streaks(jobs).groupBy("account_id").agg(F.max("flagged").alias("flagged"), F.max("consecutive_failures").alias("longest_streak"))
 
 
+def _counted(jobs: DataFrame, batch: str) -> DataFrame:
+    """Jobs with what their batch has done and failed so far, and whether it pauses here.
+
+    A column ``skipped``, if there is one, marks jobs that count as part of the batch but
+    neither as done nor as failed.
+    """
+    past = W.partitionBy(batch).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    real = ~F.col("skipped") if "skipped" in jobs.columns else F.lit(True)
+    bad = real & F.col("failed")
+    rows = jobs.withColumn("done", F.count_if(real).over(past)).withColumn("bad", F.count_if(bad).over(past)).withColumn("total", F.count("*").over(W.partitionBy(batch)))
+    least = F.greatest(F.lit(LEAST_JOBS), F.floor(F.col("total") * LEAST_SHARE))
+    return rows.withColumn("pauses", bad & (F.col("done") >= least) & (F.col("bad") / F.col("done") > RATE))
+
+
 def paused(jobs: DataFrame, batch: str = "batch") -> DataFrame:
     """The job at which each batch pauses, if any: a failure that brings the failed share of
     the jobs so far above a fifth, once max(5, a tenth of the batch) have ended."""
-    past = W.partitionBy(batch).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(batch)
-    rows = jobs.withColumn("done", F.count("*").over(past)).withColumn("bad", F.count_if("failed").over(past)).withColumn("total", F.count("*").over(whole))
-    least = F.greatest(F.lit(LEAST_JOBS), F.floor(F.col("total") * LEAST_SHARE))
-    hit = F.col("failed") & (F.col("done") >= least) & (F.col("bad") / F.col("done") > RATE)
-    return rows.where(hit).groupBy(batch).agg(F.min("ord").alias("pause_ord"))
+    return _counted(jobs, batch).where("pauses").groupBy(batch).agg(F.min("ord").alias("pause_ord"))
+
+
+def alerts(jobs: DataFrame, batch: str = "batch") -> DataFrame:
+    """One alert row for each batch that pauses: where, the counts then, and a message."""
+    first = _counted(jobs, batch).where("pauses").groupBy(batch).agg(F.min_by(F.struct("ord", "done", "bad"), "ord").alias("at"))
+    share = F.round(100 * F.col("at.bad") / F.col("at.done")).cast("long")
+    text = F.concat(F.lit("batch "), F.col(batch).cast("string"), F.lit(" paused: "), F.col("at.bad").cast("string"), F.lit(" of "), F.col("at.done").cast("string"), F.lit(" jobs failed ("), share.cast("string"), F.lit("%)"))
+    return first.select(batch, F.col("at.ord").alias("pause_ord"), F.col("at.bad").alias("failed"), F.col("at.done").alias("completed"), text.alias("message"))
 
 
 def attempted(jobs: DataFrame, batch: str = "batch") -> DataFrame:
@@ -57,6 +92,31 @@ def accepted_attempt(attempts: DataFrame, key: str = "job_id") -> DataFrame:
     return ok.groupBy(key).agg(F.min("attempt").alias("attempt"))
 
 
+def retried(attempts: DataFrame, key: str = "job_id") -> DataFrame:
+    """What became of each call: key, status, attempts made, seconds waited between them.
+
+    attempts: key, attempt (from 1), outcome, retry_after (seconds, for rate_limited), jitter.
+    A complete answer ends a call as accepted; an outcome outside RETRIED is raised at once;
+    after four attempts of the others the call is exhausted.  Between attempts a rate
+    limit's own delay is waited, else the doubling one.  Later recorded attempts don't count.
+    """
+    final = ~F.col("outcome").isin(*RETRIED)
+    rows = attempts.where(F.col("attempt") <= MOST_ATTEMPTS)
+    wait = F.when((F.col("outcome") == "rate_limited") & F.col("retry_after").isNotNull(), F.col("retry_after").cast("double")).otherwise(X.backoff_seconds(F.col("attempt") - 1, F.coalesce("jitter", F.lit(0.0))))
+    past = W.partitionBy(key).orderBy("attempt").rowsBetween(W.unboundedPreceding, -1)
+    made = rows.withColumn("over", F.coalesce(F.max(final).over(past), F.lit(False))).where("not over")
+    slept = F.sum(F.when(~final & (F.col("attempt") < MOST_ATTEMPTS), wait))
+    out = made.groupBy(key).agg(F.max_by("outcome", "attempt").alias("last"), F.count("*").alias("attempts"), F.coalesce(slept, F.lit(0.0)).alias("waited"))
+    status = F.when(F.col("last") == "complete", "accepted").when(F.col("last").isin(*RETRIED), "exhausted").otherwise("raised")
+    return out.select(key, status.alias("status"), "attempts", "waited")
+
+
+def timed(jobs: DataFrame, most: int = JOB_SECONDS) -> DataFrame:
+    """Adds elapsed (seconds from started_at to finished_at) and timed_out, whether the job ran longer than allowed."""
+    rows = jobs.withColumn("elapsed", X.elapsed_seconds(F.col("started_at"), F.col("finished_at")))
+    return rows.withColumn("timed_out", F.coalesce(F.col("elapsed") > most, F.lit(False)))
+
+
 def failure_rate(status: Column) -> Column:
     """Share of FAILED among those not INTERRUPTED; 0 for none."""
     return F.coalesce(F.try_divide(F.count_if(status == "failed"), F.count_if(status != "interrupted")), F.lit(0.0))

@@ -28,6 +28,11 @@ def merged_latest(a: DataFrame, b: DataFrame, key: str, values: list[str], fetch
     return sides(a, b, key, values).select(key, F.coalesce(first, second).alias("r")).select(key, "r.*")
 
 
+def in_key_order(rows: DataFrame, key: str) -> DataFrame:
+    """Rows sorted by key over the whole frame (a range exchange, not one task)."""
+    return rows.orderBy(key)
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     both = sides(a.select(key, F.lit(1).alias("one")), b.select(key, F.lit(1).alias("one")), key, ["one"])
     count = lambda c: F.count_if(c)

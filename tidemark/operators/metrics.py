@@ -63,6 +63,20 @@ def attribution(snapshots: DataFrame, posts: DataFrame, ownership: DataFrame, cl
     return totals.join(clients, "client_id").select(F.col("name").alias("owning_client_at_publish"), "post_count", "total_views")
 
 
+ATTRIBUTION = """
+    with marks as (select post_id, max(views) max_views from {snapshots} group by post_id),
+    now as (select account_id from {ownership} where client_id = :client and valid_to is null)
+    select c.name owning_client_at_publish, count(distinct p.post_id) post_count, cast(sum(max_views) as bigint) total_views
+    from {posts} p join now using (account_id) join {ownership} o on o.account_id = p.account_id and p.published_at >= o.valid_from and (p.published_at < o.valid_to or o.valid_to is null)
+    join {clients} c on c.client_id = o.client_id join marks on marks.post_id = p.post_id group by c.client_id, c.name
+"""
+
+
+def attribution_prepared(snapshots: DataFrame, posts: DataFrame, ownership: DataFrame, clients: DataFrame, client_id: int) -> DataFrame:
+    """As ``attribution``, as a SQL statement with a bound parameter; the value never becomes part of the text."""
+    return snapshots.sparkSession.sql(ATTRIBUTION, args={"client": client_id}, snapshots=snapshots, posts=posts, ownership=ownership, clients=clients)
+
+
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     """Last snapshot of each post; ties go to the greatest ``turn``. One aggregation, no sort."""
     last = snapshots.groupBy("post_id").agg(F.max_by(F.struct("scraped_at", *METRICS), F.struct("scraped_at", "turn")).alias("s"))

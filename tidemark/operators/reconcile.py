@@ -86,19 +86,21 @@ def matches(posts: DataFrame) -> DataFrame:
     A shared row with exactly one candidate row whose id no earlier shared row took is
     matched.  Where no candidate id is within reach of two shared rows that is a count.
     Only groups that hold a contested id are walked in order: a group is an account's
-    stretch of shared rows less than two hours apart, since two rows that reach for one
-    post lie that close.  Ids listed under two accounts tie their stretches into one group.
+    stretch of shared rows at most two hours apart, since two rows that reach for one
+    post lie that close.  An id that two stretches reach for (it is listed under two accounts,
+    or at two times) ties them; all such stretches are one group, walked as a stream.
     """
     found = candidates(posts)
-    reach = found.groupBy("candidate").agg(F.min("share_turn").alias("lo"), F.max("share_turn").alias("hi"), F.min("account").alias("a"), F.max("account").alias("z"))
     # stretches: a gap of more than two hours parts an account's shared rows
     shares = found.select("account", "share_vendor", "share_ord", "share_turn", "share_at").distinct()
     seconds = F.unix_micros(F.col("share_at").cast("timestamp"))
     line = W.partitionBy("account").orderBy("share_at", "share_turn")
     fresh = F.coalesce(seconds - F.lag(seconds).over(line) > 2_000_000 * X.CLOSE_SECONDS, F.lit(True)).cast("int")
     stretch = shares.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(line.rowsBetween(W.unboundedPreceding, 0)))
-    rows = found.join(stretch.select("share_vendor", "share_ord", "n"), ["share_vendor", "share_ord"]).join(reach, "candidate")
-    rows = rows.select("account", "n", "share_vendor", "share_ord", "share_turn", "candidate", (F.col("lo") < F.col("hi")).alias("contested"), (F.col("a") < F.col("z")).alias("abroad"))
+    rows = found.join(stretch.select("share_vendor", "share_ord", "n"), ["share_vendor", "share_ord"])
+    where = F.struct("account", "n")
+    reach = rows.groupBy("candidate").agg((F.min("share_turn") < F.max("share_turn")).alias("contested"), (F.min(where) < F.max(where)).alias("abroad"))
+    rows = rows.join(reach, "candidate")
     marks = rows.groupBy("account", "n").agg(F.max("contested").alias("walk"), F.max("abroad").alias("tied"))
     rows = rows.join(marks, ["account", "n"])
     alone = rows.where("not walk").groupBy("share_vendor", "share_ord").agg(F.count("*").alias("c"), F.min("candidate").alias("candidate")).where("c = 1").drop("c")

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 
 # What the rules compare with.
-US_TIMEZONES = (
-    "America/New_York America/Chicago America/Denver America/Los_Angeles America/Phoenix America/Anchorage America/Adak America/Honolulu America/Boise "
-    "America/Indiana/Indianapolis America/Indiana/Knox America/Indiana/Marengo America/Indiana/Petersburg America/Indiana/Tell_City America/Indiana/Vevay "
-    "America/Indiana/Vincennes America/Indiana/Winamac America/Juneau America/Kentucky/Louisville America/Kentucky/Monticello America/Menominee "
-    "America/Metlakatla America/Nome America/North_Dakota/Beulah America/North_Dakota/Center America/North_Dakota/New_Salem America/Sitka America/Yakutat "
-    "Pacific/Honolulu US/Eastern US/Central US/Mountain US/Pacific US/Alaska US/Hawaii US/Arizona"
-).split()
+US_TIMEZONES = [
+    "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Phoenix", "America/Anchorage", "America/Adak", "America/Honolulu", "America/Boise",
+    "America/Indiana/Indianapolis", "America/Indiana/Knox", "America/Indiana/Marengo", "America/Indiana/Petersburg", "America/Indiana/Tell_City", "America/Indiana/Vevay",
+    "America/Indiana/Vincennes", "America/Indiana/Winamac", "America/Juneau", "America/Kentucky/Louisville", "America/Kentucky/Monticello", "America/Menominee",
+    "America/Metlakatla", "America/Nome", "America/North_Dakota/Beulah", "America/North_Dakota/Center", "America/North_Dakota/New_Salem", "America/Sitka", "America/Yakutat",
+    "Pacific/Honolulu", "US/Eastern", "US/Central", "US/Mountain", "US/Pacific", "US/Alaska", "US/Hawaii", "US/Arizona",
+]
 MCC = (310, 316)
 
 SCHEMA = "device_id string, check string, raw map<string,string>, lists map<string,array<string>>"
@@ -115,8 +115,8 @@ def app_state(package: str, least: str, most: str) -> list[Column]:
     ]
 
 
-def findings(results: DataFrame, package: str = "com.example.app", least: str = "20.0.0", most: str = "99.99.99") -> DataFrame:
-    """device_id, check, severity, message for check results of SCHEMA."""
+def _judged(results: DataFrame, package: str, least: str, most: str) -> DataFrame:
+    """The results with found, the list of their findings (severity, message), and known, whether the check is."""
     registry = {"locale": locale(), "timezone": timezone(), "gps_location": gps_location(), "wifi": wifi(), "ip_validation": ip_validation(), "sim_mcc": sim_mcc(), "screen_lock": screen_lock(), "usb_debugging": usb_debugging(), "app_state": app_state(package, least, most)}
     none = F.array().cast("array<struct<severity:string,message:string>>")
     of = F.array(_when(F.lit(True), WARN, "unknown check '", F.coalesce("check", F.lit("")), "'"))
@@ -125,14 +125,52 @@ def findings(results: DataFrame, package: str = "com.example.app", least: str =
         single = F.array(*(rules[:-1] if name == "app_state" else rules))
         every = F.concat(single, F.coalesce(rules[-1], none)) if name == "app_state" else single
         chosen = F.when(F.col("check") == name, every) if chosen is None else chosen.when(F.col("check") == name, every)
-    each = F.filter(chosen.otherwise(of), lambda f: f.isNotNull())
-    return results.select("device_id", "check", F.inline(each))
+    return results.select("device_id", "check", F.filter(chosen.otherwise(of), lambda f: f.isNotNull()).alias("found"), F.coalesce(F.col("check").isin(*registry), F.lit(False)).alias("known"))
+
+
+LIMITS = {"package": "com.example.app", "least": "20.0.0", "most": "99.99.99"}
+
+
+def findings(results: DataFrame, **limits: str) -> DataFrame:
+    """device_id, check, severity, message for check results of SCHEMA; limits override LIMITS."""
+    return _judged(results, **LIMITS | limits).select("device_id", "check", F.inline("found"))
+
+
+def _count(severity: str) -> Column:
+    return F.size(F.filter("found", lambda f: f["severity"] == severity)).cast("long")
 
 
 def verdicts(results: DataFrame, **limits: str) -> DataFrame:
-    """device_id, check, status (fail, warn, pass), and passed, whether the device has no failure at all."""
-    found = findings(results, **limits).groupBy("device_id", "check").agg(F.count_if(F.col("severity") == FAIL).alias("failures"), F.count_if(F.col("severity") == WARN).alias("warnings"))
-    rows = results.select("device_id", "check").distinct().join(found, ["device_id", "check"], "left")
-    bad, odd = F.coalesce("failures", F.lit(0)), F.coalesce("warnings", F.lit(0))
-    rows = rows.select("device_id", "check", bad.alias("failures"), odd.alias("warnings"), F.when(bad > 0, "fail").when(odd > 0, "warn").otherwise("pass").alias("status"))
+    """device_id, check, failures, warnings, status (fail, warn, pass), and passed, whether the device has no failure at all.
+
+    Findings are counted in each row; the one shuffle is by device and serves both steps.
+    """
+    rows = _judged(results, **LIMITS | limits).select("device_id", "check", _count(FAIL).alias("failures"), _count(WARN).alias("warnings"))
+    rows = rows.repartition("device_id").groupBy("device_id", "check").agg(F.sum("failures").alias("failures"), F.sum("warnings").alias("warnings"))
+    rows = rows.withColumn("status", F.when(F.col("failures") > 0, "fail").when(F.col("warnings") > 0, "warn").otherwise("pass"))
     return rows.withColumn("passed", F.sum("failures").over(W.partitionBy("device_id")) == 0)
+
+
+def reports(results: DataFrame, **limits: str) -> DataFrame:
+    """device_id, passed, report: one JSON report a device, as long as its checks are many.
+
+    pass; failures and warnings (messages, sorted by check and message); details, by check
+    its failures, warnings and status.  An unknown check only adds a warning.
+    """
+    texts = lambda severity: F.transform(F.filter("found", lambda f: f["severity"] == severity), lambda f: f["message"])
+    rows = _judged(results, **LIMITS | limits).select("device_id", "check", "known", texts(FAIL).alias("failures"), texts(WARN).alias("warnings"))
+    status = F.when(F.size("failures") > 0, "fail").when(F.size("warnings") > 0, "warn").otherwise("pass")
+    own = F.struct("check", "known", "failures", "warnings", status.alias("status"))
+    each = rows.groupBy("device_id").agg(F.sort_array(F.collect_list(own)).alias("checks"))
+    every = lambda c: F.flatten(F.transform("checks", lambda x: x[c]))
+    known = F.filter("checks", lambda x: x["known"])
+    # of a check that came twice the last in order counts in the details
+    detail = F.map_from_entries(F.transform(F.array_distinct(F.transform(known, lambda x: x["check"])), lambda c: F.struct(c, F.element_at(F.filter(known, lambda x: x["check"] == c), -1).dropFields("check", "known"))))
+    passed = F.size(every("failures")) == 0
+    body = F.to_json(F.struct(passed.alias("pass"), every("failures").alias("failures"), every("warnings").alias("warnings"), detail.alias("details")))
+    return each.select("device_id", passed.alias("passed"), body.alias("report"))
+
+
+def exit_code(reported: DataFrame) -> int:
+    """0 if every device passes, else 1."""
+    return 0 if reported.where("not passed").isEmpty() else 1

@@ -13,14 +13,16 @@ def ranked(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("status").isin("completed", "partial")).select("run_id", "provider_id", "started_at", F.row_number().over(turn).alias("rn"))
 
 
-def _seen(snapshots: DataFrame, runs: DataFrame, rank: int) -> DataFrame:
-    chosen = ranked(runs).where(F.col("rn") == rank).select("run_id")
-    return snapshots.join(chosen, "run_id", "left_semi").select("post_id").distinct()
+def _vanished(run_snapshots: DataFrame, runs: DataFrame) -> DataFrame:
+    """Posts in a previous run and in no latest one: the newest run that has them, in one pass."""
+    marks = ranked(runs).where(F.col("rn") <= 2).select("run_id", "rn")
+    seen = run_snapshots.select("post_id", "run_id").join(marks, "run_id").groupBy("post_id").agg(F.min("rn").alias("newest"))
+    return seen.where(F.col("newest") == 2).select("post_id")
 
 
 def disappeared(snapshots: DataFrame, runs: DataFrame, posts: DataFrame, accounts: DataFrame) -> DataFrame:
     """Posts in a previous run and in no latest one, once for each platform's previous run."""
-    gone = _seen(snapshots, runs, 2).join(_seen(snapshots, runs, 1), "post_id", "left_anti")
+    gone = _vanished(snapshots, runs)
     previous = ranked(runs).where(F.col("rn") == 2).select("provider_id")
     named = gone.join(posts.select("post_id", "platform_post_id", "account_id"), "post_id").join(accounts.select("account_id", "platform_handle"), "account_id")
     # one row a platform: the array keeps this a projection instead of a nested-loop join
@@ -30,9 +32,7 @@ def disappeared(snapshots: DataFrame, runs: DataFrame, posts: DataFrame, account
 
 def disappeared_by_platform(run_snapshots: DataFrame, runs: DataFrame, posts: DataFrame, accounts: DataFrame) -> DataFrame:
     """Posts of a platform in its previous run and not in its latest."""
-    marks = ranked(runs).where(F.col("rn") <= 2).select("run_id", "rn")
-    seen = run_snapshots.select("post_id", "run_id").join(marks, "run_id").groupBy("post_id").agg(F.min("rn").alias("newest"))
-    gone = seen.where(F.col("newest") == 2).select("post_id")
+    gone = _vanished(run_snapshots, runs)
     named = gone.join(posts.select("post_id", "platform_post_id", "account_id", "provider_id"), "post_id")
     return named.join(accounts.select("account_id", "platform_handle"), "account_id").select("post_id", "platform_post_id", "account_id", "platform_handle", "provider_id")
 

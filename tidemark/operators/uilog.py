@@ -2,40 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Which state may follow which.
 TRANSITIONS = {
-    "unknown": "home_feed profile upload popup error",
-    "home_feed": "profile upload popup error",
-    "profile": "home_feed upload popup error",
-    "upload": "home_feed caption_editor popup error",
-    "caption_editor": "upload posting popup error",
-    "posting": "post_complete error popup",
-    "post_complete": "home_feed profile popup error",
-    "popup": "home_feed profile upload caption_editor posting post_complete popup error unknown",
-    "error": "home_feed unknown",
+    "unknown": ["home_feed", "profile", "upload", "popup", "error"],
+    "home_feed": ["profile", "upload", "popup", "error"],
+    "profile": ["home_feed", "upload", "popup", "error"],
+    "upload": ["home_feed", "caption_editor", "popup", "error"],
+    "caption_editor": ["upload", "posting", "popup", "error"],
+    "posting": ["post_complete", "error", "popup"],
+    "post_complete": ["home_feed", "profile", "popup", "error"],
+    "popup": ["home_feed", "profile", "upload", "caption_editor", "posting", "post_complete", "popup", "error", "unknown"],
+    "error": ["home_feed", "unknown"],
 }
 
 LOG = T.StructType([T.StructField(n, T.StringType()) for n in ("timestamp", "level", "logger", "message", "exception", "device_id", "action", "target_state", "result")])
 
 
-def edges(spark: SparkSession, table: dict[str, str] | None = None) -> DataFrame:
-    rows = [(a, b) for a, to in (table or TRANSITIONS).items() for b in to.split()]
-    return spark.createDataFrame(rows, "was string, state string")
-
-
 def previous(states: DataFrame) -> DataFrame:
     return states.withColumn("was", F.lag("state").over(W.partitionBy("session").orderBy("ord")))
 
 
-def audit(states: DataFrame, allowed: DataFrame) -> DataFrame:
+def allowed(was: Column, state: Column, table: dict[str, list[str]] = TRANSITIONS) -> Column:
+    """Whether the table has the move; it is part of the expression, so nothing is joined."""
+    out = F.lit(False)
+    for a, to in table.items():
+        out = F.when(was == a, state.isin(*to)).otherwise(out)
+    return out
+
+
+def audit(states: DataFrame, table: dict[str, list[str]] = TRANSITIONS) -> DataFrame:
     """Each move with whether it is allowed; disallowed moves still count as made."""
     moves = previous(states).where(F.col("was").isNotNull())
-    return moves.join(F.broadcast(allowed.withColumn("valid", F.lit(True))), ["was", "state"], "left").select("session", "ord", "was", "state", F.coalesce("valid", F.lit(False)).alias("valid"))
+    return moves.select("session", "ord", "was", "state", F.coalesce(allowed(F.col("was"), F.col("state"), table), F.lit(False)).alias("valid"))
 
 
 def parsed_log(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -69,16 +74,46 @@ def nodes(screens: DataFrame) -> DataFrame:
     return screens.select("screen", "xml").mapInArrow(_nodes, NODE)
 
 
-def scored(screens: DataFrame, signatures: DataFrame) -> DataFrame:
+class NodeTable:
+    """The nodes of one screen dump as a table function: nth, text, resource_id, content_desc, class, bounds."""
+
+    def eval(self, xml: str):
+        import xml.etree.ElementTree as ET
+
+        try:
+            found = ET.fromstring(xml or "").iter("node")
+        except ET.ParseError:
+            return
+        for n, node in enumerate(found):
+            yield (n, *(node.get(a, "") for a in ("text", "resource-id", "content-desc", "class", "bounds")))
+
+
+def register(spark: SparkSession, name: str = "ui_nodes") -> None:
+    """Makes the nodes of a dump usable in SQL: select ... from screens, lateral ui_nodes(xml)."""
+    spark.udtf.register(name, F.udtf(NodeTable, returnType=NODE.removeprefix("screen string, ")))
+
+
+#: state, rank (order among ties), group, attribute, pattern.
+Sign = tuple[str, int, int, str, str]
+
+
+def scored(screens: DataFrame, signatures: list[Sign]) -> DataFrame:
     """screen, state: the state with the most matching groups; a popup wins over all, none is unknown.
 
-    signatures: state, rank (order among ties), grp, attribute, pattern.  A group
-    matches where one node meets all its pairs.
+    A group of signatures matches where one node meets all its pairs of attribute and
+    pattern; attributes are text, resource_id, content_desc and class.  The patterns are
+    literals of one aggregation by screen.
     """
-    long = nodes(screens).select("screen", "nth", F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in ("text", "resource_id", "content_desc", "class")])))
-    size = signatures.groupBy("state", "rank", "grp").agg(F.count("*").alias("pairs"))
-    hit = long.join(F.broadcast(signatures), "attribute").where("value rlike pattern")
-    full = hit.groupBy("screen", "nth", "state", "rank", "grp").agg(F.count("*").alias("met")).join(F.broadcast(size), ["state", "rank", "grp"]).where("met = pairs")
-    votes = full.groupBy("screen", "state", "rank").agg(F.countDistinct("grp").alias("n"))
-    best = votes.groupBy("screen").agg(F.max_by("state", F.struct(F.col("state") == "popup", F.col("n"), -F.col("rank"))).alias("state"))
-    return screens.select("screen").join(best, "screen", "left").select("screen", F.coalesce("state", F.lit("unknown")).alias("state"))
+    groups: dict[tuple[str, int, int], list[Sign]] = {}
+    for s in signatures:
+        groups.setdefault(s[:3], []).append(s)
+    met = [reduce(lambda a, b: a & b, (F.col(attribute).rlike(pattern) for *_, attribute, pattern in pairs)) for pairs in groups.values()]
+    if not met:
+        return screens.select("screen", F.lit("unknown").alias("state")).distinct()
+    seen = nodes(screens).groupBy("screen").agg(*[F.bool_or(m).alias(f"g{i}") for i, m in enumerate(met)])
+    votes = []
+    for state, rank in dict.fromkeys(k[:2] for k in groups):
+        n = reduce(lambda a, b: a + b, (F.col(f"g{i}").cast("int") for i, k in enumerate(groups) if k[:2] == (state, rank)))
+        votes.append(F.struct((F.lit(state == "popup") & (n > 0)).alias("first"), n.alias("n"), F.lit(-rank).alias("rank"), F.lit(state).alias("state")))
+    best = F.array_max(F.filter(F.array(*votes), lambda v: v["n"] > 0))["state"]
+    return screens.select("screen").distinct().join(seen.select("screen", best.alias("state")), "screen", "left").select("screen", F.coalesce("state", F.lit("unknown")).alias("state"))

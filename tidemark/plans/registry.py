@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import health, merge, metrics, reconcile, rollout, runs, uilog
-from tidemark.sources.bindings import SQL, Tables, sql
+from tidemark.operators import health, merge, metrics, reconcile, rollout, rules, runs, store, uilog
+from tidemark.sources import fleet
+from tidemark.sources.bindings import Tables, sql
 
 AS_OF = "1998-09-01"
 CLIENT, CLIENT_ID = "NATION_7", 7
@@ -85,6 +86,12 @@ def q5_attribution(t: Tables) -> DataFrame:
     return metrics.attribution(t.snapshots(), t.posts(), t.ownership(), t.clients(), CLIENT_ID)
 
 
+@query(f"""select c.name owning_client_at_publish, count(distinct p.post_id) post_count, cast(sum(max_views) as bigint) total_views
+    from posts p join (select account_id from ownership where client_id = {CLIENT_ID + 1} and valid_to is null) cur using (account_id) join ownership o on {OWNED} join clients c on c.client_id = o.client_id join hwm on hwm.post_id = p.post_id group by c.client_id, c.name""")
+def q5_prepared(t: Tables) -> DataFrame:
+    return metrics.attribution_prepared(t.snapshots(), t.posts(), t.ownership(), t.clients(), CLIENT_ID + 1)
+
+
 @query(f"""select c.name client_name, cast(sum(max_views) as bigint) total_high_water_views from hwm join posts p using (post_id) join ownership o on {OWNED} join clients c on c.client_id = o.client_id where c.name = '{CLIENT}' group by c.name""")
 def q6_total(t: Tables) -> DataFrame:
     return metrics.client_total(t.snapshots(), t.posts(), t.ownership(), t.clients(), CLIENT)
@@ -212,7 +219,7 @@ def _vendors(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(f"select user_id, greatest(a.value, b.value) \"value\", greatest(a.event_id, b.event_id) event_id from ({EVENTS.format('view')}) a full join ({EVENTS.format('click')}) b using (user_id)")
 def vendor_merge_max(t: Tables) -> DataFrame:
-    return merge.merged_max(*_vendors(t), "user_id", ["value", "event_id"])
+    return merge.in_key_order(merge.merged_max(*_vendors(t), "user_id", ["value", "event_id"]), "user_id")
 
 
 @query(f"select user_id, case when b.event_id is not null then b.value else a.value end \"value\", coalesce(b.event_id, a.event_id) event_id from ({EVENTS.format('view')}) a full join ({EVENTS.format('click')}) b using (user_id)")
@@ -265,6 +272,18 @@ def failure_skips(t: Tables) -> DataFrame:
     return health.skipped(t.jobs())
 
 
+@query("""with cleared as (select account_id, ord, failed, 0 clear from jobs union all select distinct account_id, 5000 + account_id, null, 1 from jobs),
+    epochs as (select *, sum(clear) over (partition by account_id order by ord, clear desc) epoch from cleared),
+    islands as (select *, sum(case when failed then 0 else 1 end) over (partition by account_id, epoch order by ord) island from epochs where clear = 0),
+    streaks as (select *, cast(sum(failed::int) over (partition by account_id, epoch, island order by ord) as bigint) consecutive_failures from islands),
+    flags as (select *, max(consecutive_failures >= 3) over (partition by account_id, epoch order by ord) flagged from streaks)
+    select account_id, ord, failed, consecutive_failures, flagged, coalesce(max(flagged) over (partition by account_id, epoch order by ord rows between unbounded preceding and 1 preceding), false) skipped from flags""")
+def failure_unflagged(t: Tables) -> DataFrame:
+    """Streaks where every account is unflagged by hand once."""
+    jobs = t.jobs()
+    return health.streaks(jobs, jobs.select("account_id").distinct().select("account_id", (F.col("account_id") + 5000).alias("ord")))
+
+
 BATCH = """b as (select *, account_id % 40 batch from jobs), c as (select *, count(*) over (partition by batch order by ord) done, count(*) filter (failed) over (partition by batch order by ord) bad, count(*) over (partition by batch) total from b),
     stop as (select batch, min(ord) pause_ord from c where failed and done >= greatest(5, floor(total * 0.1)) and bad / done > 0.2 group by batch)"""
 
@@ -279,6 +298,39 @@ def batch_attempted(t: Tables) -> DataFrame:
     return health.attempted(t.jobs().withColumn("batch", F.pmod("account_id", F.lit(40)))).select("account_id", "ord", "failed", "batch")
 
 
+SKIPPING = f"""{STREAKS}, jumped as (select account_id, ord, failed, coalesce(max(flagged) over (partition by account_id order by ord rows between unbounded preceding and 1 preceding), false) skipped, account_id % 40 batch from flags),
+    c as (select *, count(*) filter (not skipped) over (partition by batch order by ord) done, count(*) filter (failed and not skipped) over (partition by batch order by ord) bad, count(*) over (partition by batch) total from jumped),
+    hits as (select * from c where failed and not skipped and done >= greatest(5, floor(total * 0.1)) and bad / done > 0.2)"""
+
+
+@query(f"with {SKIPPING} select batch, min(ord) pause_ord, arg_min(bad, ord) failed, arg_min(done, ord) completed, 'batch ' || batch || ' paused: ' || arg_min(bad, ord) || ' of ' || arg_min(done, ord) || ' jobs failed (' || cast(round(100 * arg_min(bad, ord) / arg_min(done, ord)) as bigint) || '%)' message from hits group by batch")
+def batch_alerts(t: Tables) -> DataFrame:
+    """Pauses where jobs of flagged accounts are skipped and count neither way."""
+    return health.alerts(health.skipped(t.jobs()).withColumn("batch", F.pmod("account_id", F.lit(40))))
+
+
+OUTCOMES = ["rate_limited", "timeout", "complete", "unavailable", "partial", "refused", "timeout"]
+
+
+@query(f"""with tried as (select user_id job_id, row_number() over (partition by user_id order by event_id) attempt, ['{"', '".join(OUTCOMES)}'][event_id % {len(OUTCOMES)} + 1] outcome, case when event_id % 3 = 0 then event_id % 50 end retry_after from events),
+    ends as (select job_id, min(attempt) filter (outcome in ('complete', 'refused')) final from tried where attempt <= 4 group by job_id),
+    made as (select t.* from tried t join ends using (job_id) where attempt <= coalesce(final, 4))
+    select job_id, case arg_max(outcome, attempt) when 'complete' then 'accepted' when 'refused' then 'raised' else 'exhausted' end status, count(*) attempts,
+    coalesce(sum(case when outcome = 'rate_limited' and retry_after is not null then retry_after else least(pow(2, attempt - 1), 30) end) filter (attempt < 4 and outcome not in ('complete', 'refused')), 0.0)::double waited from made group by job_id""")
+def retried_calls(t: Tables) -> DataFrame:
+    e, n = t.raw("events"), F.lit(len(OUTCOMES))
+    after = F.when(F.pmod("event_id", F.lit(3)) == 0, F.pmod("event_id", F.lit(50)).cast("double"))
+    nth = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long")
+    return health.retried(e.select(F.col("user_id").alias("job_id"), nth.alias("attempt"), F.array(*[F.lit(o) for o in OUTCOMES])[F.pmod("event_id", n).cast("int")].alias("outcome"), after.alias("retry_after"), F.lit(0.0).alias("jitter")))
+
+
+@query("select event_id job_id, case when event_id % 17 <> 0 then (event_id % 4000) / 4 end elapsed, coalesce(event_id % 17 <> 0 and 0.25 * (event_id % 4000) > 600, false) timed_out from events")
+def job_timeouts(t: Tables) -> DataFrame:
+    """Jobs that start with an event and take up to 1,000 seconds; some never end."""
+    end = F.when(F.pmod("event_id", F.lit(17)) != 0, F.col("ts") + F.make_dt_interval(secs=F.pmod("event_id", F.lit(4000)) / 4))
+    return health.timed(t.raw("events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("started_at"), end.alias("finished_at"))).select("job_id", "elapsed", "timed_out")
+
+
 @query("select user_id job_id, min(attempt) attempt from (select user_id, row_number() over (partition by user_id order by event_id) attempt, event_type = 'purchase' is_complete from events) where attempt <= 4 and is_complete group by user_id")
 def accepted_attempts(t: Tables) -> DataFrame:
     e = t.raw("events").select(F.col("user_id").alias("job_id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("attempt"), (F.col("event_type") == "purchase").alias("is_complete"))
@@ -318,14 +370,77 @@ def status_histogram(t: Tables) -> DataFrame:
     return rollout.histogram(_records(t))
 
 
+OUTCOME = """outcomes as (select device_id, case when device_id > 100 and device_id % 29 = 20 then 'failed' when device_id % 19 = 1 then 'interrupted' else 'succeeded' end status, device_id % 7 <> 2 has_snapshot, device_id % 5 <> 1 restored_ok from devices)"""
+COURSE = f"""{PLAN}, {OUTCOME}, planned as (select w.device_id, wave, status, has_snapshot, restored_ok from waves w join outcomes using (device_id) where (select count(*) from firsts) = 4),
+    rates as (select wave, coalesce(count(*) filter (status = 'failed') / nullif(count(*) filter (status <> 'interrupted'), 0), 0.0) failure_rate, bool_or(status = 'failed') any_failed from planned group by wave),
+    stop as (select min(wave) stop from rates where case when wave = 1 then any_failed else failure_rate > 0.02 end)"""
+
+
+def _course(t: Tables) -> tuple[DataFrame, DataFrame]:
+    d = t.devices()
+    left = lambda k: F.pmod("device_id", F.lit(k))
+    outcomes = d.select("device_id", F.when((F.col("device_id") > 100) & (left(29) == 20), "failed").when(left(19) == 1, "interrupted").otherwise("succeeded").alias("status"), (left(7) != 2).alias("has_snapshot"), (left(5) != 1).alias("restored_ok"))
+    return rollout.course(rollout.plan(d), outcomes)
+
+
+@query(f"""with {COURSE} select device_id, wave, case when wave = stop and status in ('succeeded', 'failed') and has_snapshot and restored_ok then 'rolled_back' else status end status,
+    case when wave = stop and status in ('succeeded', 'failed') then case when not has_snapshot then 'rollback: no snapshot' when not restored_ok then 'rollback: not restored' end end error from planned cross join stop where stop is null or wave <= stop""")
+def rollout_records(t: Tables) -> DataFrame:
+    return _course(t)[0]
+
+
+@query(f"with {COURSE} select wave, case when stop is null or wave < stop then 'completed' when wave = stop then 'failed' else 'halted' end status, case when stop is null or wave <= stop then failure_rate end failure_rate from rates cross join stop")
+def rollout_waves(t: Tables) -> DataFrame:
+    return _course(t)[1]
+
+
+TRIES = "tries as (select user_id device_id, row_number() over (partition by user_id order by event_id) attempt, ['disconnected', 'disconnected', 'disconnected', 'succeeded', 'failed'][(event_id * 3 + user_id) % 5 + 1] result from events)"
+
+
+@query(f"with {TRIES} select device_id, coalesce(arg_min(result, attempt) filter (result <> 'disconnected'), 'interrupted') status from tries where attempt <= 4 group by device_id")
+def disconnect_outcomes(t: Tables) -> DataFrame:
+    nth = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    result = F.array(*[F.lit(x) for x in ("disconnected", "disconnected", "disconnected", "succeeded", "failed")])[F.pmod(F.col("event_id") * 3 + F.col("user_id"), F.lit(5)).cast("int")]
+    return rollout.outcome(t.raw("events").select(F.col("user_id").alias("device_id"), nth.alias("attempt"), result.alias("result")))
+
+
+@query(f"with {RECORDS} select device_id, case status " + " ".join(f"when '{s}' then '{v}'" for s, v in rollout.LABELS.items()) + " end label from records")
+def status_labels(t: Tables) -> DataFrame:
+    return _records(t).select("device_id", rollout.label(F.col("status")).alias("label"))
+
+
+@query("""with roll as (select i, ('0x' || substr(md5('1:connection:' || i), 1, 8))::bigint % 1000 roll, ('0x' || substr(md5('1:busy:' || i), 1, 8))::bigint % 1000 busy, ('0x' || substr(md5('1:version:' || i), 1, 8))::bigint % 4 v,
+        ('0x' || substr(md5('1:task:' || i), 1, 8))::bigint % 9000 task, ('0x' || substr(md5('1:heartbeat:' || i), 1, 8))::bigint % 301 beat from range(1, 1201) t(i))
+    select 'device-' || lpad(i::varchar, greatest(3, length(i::varchar))::integer, '0') device_id, case when i <= 4 then i + 7 else v + 8 end "version", case when i > 4 and roll >= 150 and busy < 80 then 'task-' || (task + 1000) end task,
+        case when i <= 4 then 'good' when roll < 50 then 'offline' when roll < 150 then 'flaky' else 'good' end "connection", timestamp '2025-01-01' - to_seconds(beat) last_heartbeat from roll""")
+def mock_fleet(t: Tables) -> DataFrame:
+    return fleet.fleet(t.spark, 1200)
+
+
 # --- state logs -----------------------------------------------------------------------------------
 
-EVENT_MOVES = {"view": "click error", "click": "view purchase error", "purchase": "view", "error": "view"}
+EVENT_MOVES = {"view": ["click", "error"], "click": ["view", "purchase", "error"], "purchase": ["view"], "error": ["view"]}
 
 
-@query("with moves as (select *, lag(state) over (partition by \"session\" order by ord) was from states) select \"session\", ord, was, state, (was, state) in (" + ", ".join(f"('{a}', '{b}')" for a, to in EVENT_MOVES.items() for b in to.split()) + ") \"valid\" from moves where was is not null")
+@query("with moves as (select *, lag(state) over (partition by \"session\" order by ord) was from states) select \"session\", ord, was, state, (was, state) in (" + ", ".join(f"('{a}', '{b}')" for a, to in EVENT_MOVES.items() for b in to) + ") \"valid\" from moves where was is not null")
 def transition_audit(t: Tables) -> DataFrame:
-    return uilog.audit(t.states(), uilog.edges(t.spark, EVENT_MOVES))
+    return uilog.audit(t.states(), EVENT_MOVES)
+
+
+def _moves(table: dict[str, list[str]]) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, to in table.items() for b in to)
+
+
+SCREENS = list(uilog.TRANSITIONS)
+
+
+@query(f"""with shown as (select user_id "session", event_id ord, ['{"', '".join(SCREENS)}'][(event_id * 7 + user_id * 3 + event_id // 11) % {len(SCREENS)} + 1] state from events),
+    moves as (select *, lag(state) over (partition by "session" order by ord) was from shown)
+    select "session", ord, was, state, (was, state) in ({_moves(uilog.TRANSITIONS)}) "valid" from moves where was is not null""")
+def screen_audit(t: Tables) -> DataFrame:
+    nth = F.pmod(F.col("event_id") * 7 + F.col("user_id") * 3 + F.floor(F.col("event_id") / 11), F.lit(len(SCREENS)))
+    shown = t.raw("events").select(F.col("user_id").cast("long").alias("session"), F.col("event_id").cast("long").alias("ord"), F.array(*[F.lit(s) for s in SCREENS])[nth.cast("int")].alias("state"))
+    return uilog.audit(shown)
 
 
 # --- reconciliation -------------------------------------------------------------------------------
@@ -415,8 +530,6 @@ def outage_flag(t: Tables) -> DataFrame:
     union all select 'duplicate_post', count(*) from (select platform_post_id, provider_id from posts group by all having count(*) > 1)
     union all select 'bad_status', count(*) from runs where status not in ('running', 'completed', 'failed', 'partial')""")
 def constraint_violations(t: Tables) -> DataFrame:
-    from tidemark.operators import store
-
     return store.violations(t.snapshots(), t.posts(), t.ownership(), t.runs())
 
 
@@ -426,31 +539,145 @@ def constraint_violations(t: Tables) -> DataFrame:
 @query("""select cast(c_custkey as varchar) device_id, 'sim_mcc' \"check\", case when c_custkey % 4 = 0 then 0 when 300 + c_custkey % 30 between 310 and 316 then 0 else 1 end failures, case when c_custkey % 4 = 0 then 1 else 0 end warnings,
     case when c_custkey % 4 = 0 then 'warn' when 300 + c_custkey % 30 between 310 and 316 then 'pass' else 'fail' end status, c_custkey % 4 = 0 or 300 + c_custkey % 30 between 310 and 316 passed from customer""")
 def compliance_sim(t: Tables) -> DataFrame:
-    from tidemark.operators import rules
-
     raw = F.create_map(F.lit("getprop gsm.sim.state"), F.when(F.pmod("c_custkey", F.lit(4)) == 0, "ABSENT").otherwise("READY"), F.lit("getprop gsm.sim.operator.numeric"), F.concat((F.pmod("c_custkey", F.lit(30)) + 300).cast("string"), F.lit("260")))
     lists = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
     results = t.raw("customer").select(F.col("c_custkey").cast("string").alias("device_id"), F.lit("sim_mcc").alias("check"), raw.alias("raw"), lists.alias("lists"))
     return rules.verdicts(results).withColumns({c: F.col(c).cast("int") for c in ("failures", "warnings")})
 
 
-@query()
-def compliance_verdict(t: Tables) -> DataFrame:
-    from tidemark.operators import rules
+CHECKS = ["locale", "timezone", "wifi", "ip_validation", "gps_location", "screen_lock", "usb_debugging", "app_state", "battery"]
 
+
+def _checked(t: Tables) -> DataFrame:
+    """Recorded checks of each customer's device: what is found depends on the customer's number."""
     k = F.col("c_custkey")
-    raw = F.create_map(
-        F.lit("getprop persist.sys.locale"), F.when(F.pmod(k, F.lit(5)) == 0, "de-DE").otherwise("en-US"), F.lit("getprop persist.sys.timezone"), F.when(F.pmod(k, F.lit(3)) == 0, "Europe/Paris").otherwise("US/Central"),
-        F.lit("settings get global auto_time_zone"), F.lit("0"), F.lit("wifi_on"), F.pmod(k, F.lit(2)).cast("string"), F.lit("public_ip"), F.concat(F.pmod(k, F.lit(256)).cast("string"), F.lit(".1.2.3")),
-        F.lit("location_mode"), F.lit("0"), F.lit("locksettings get-disabled"), F.lit("false"), F.lit("settings get global adb_enabled"), F.lit("1"), F.lit("pm_list"), F.lit("package:com.example.app"), F.lit("version_name"), F.concat(F.lit("versionName="), F.pmod(k, F.lit(40)).cast("string"), F.lit(".1")),
-    )
-    checks = F.explode(F.array(*[F.lit(c) for c in ("locale", "timezone", "wifi", "ip_validation", "gps_location", "screen_lock", "usb_debugging", "app_state")]))
-    lists = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
-    return rules.verdicts(t.raw("customer").select(k.cast("string").alias("device_id"), checks.alias("check"), raw.alias("raw"), lists.alias("lists")))
+    at = lambda n, *values: F.array(*[F.lit(v) for v in values])[F.least(F.pmod(k, F.lit(n)), F.lit(len(values) - 1)).cast("int")]
+    raw = {
+        "getprop persist.sys.locale": at(5, "de-DE", "en_US", "en-US", ""), "getprop ro.product.locale": at(7, "de_DE", "en-us", "", "EN-US"), "getprop persist.sys.timezone": at(3, "Europe/Paris", "US/Central", ""),
+        "settings get global auto_time_zone": at(4, "1", "0"), "wifi_on": at(2, "0", "1"), "public_ip": F.concat(F.pmod(k, F.lit(256)).cast("string"), F.lit(".1.2.3")), "location_mode": at(6, "3", "0"),
+        "locksettings get-disabled": at(9, "TRUE", "false", "?"), "settings get secure lockscreen.password_type": at(8, "0", "131072", ""), "settings get global adb_enabled": at(3, "1", "0"),
+        "settings get global development_settings_enabled": at(5, "1", "0"), "pm_list": at(10, "package:org.other", "package:com.example.app"), "version_name": F.when(F.pmod(k, F.lit(12)) != 0, F.concat(F.lit("versionName="), F.pmod(k, F.lit(110)).cast("string"), F.lit(".1"))),
+        "shared_prefs": at(13, "user_session.xml\nui.xml\nauth.xml", "No such file or directory: account", "theme.xml"),
+    }
+    raw = F.create_map(*[x for name, v in raw.items() for x in (F.lit(name), v)])
+    some = lambda n, stem: F.transform(F.slice(F.sequence(F.lit(0), F.lit(n)), 1, F.pmod(k, F.lit(n + 1)).cast("int")), lambda i: F.concat(F.lit(stem), i.cast("string")))
+    lists = F.create_map(F.lit("location_grants"), some(7, "app"), F.lit("saved_networks"), some(4, "net"))
+    return t.raw("customer").select(k.cast("string").alias("device_id"), F.explode(F.array(*[F.lit(c) for c in CHECKS])).alias("check"), raw.alias("raw"), lists.alias("lists"))
+
+
+#: Failures and warnings of each check, by the customer's number k.
+JUDGED = """props as (select k, own, ro, case when own <> '' then own else ro end effective from (select c_custkey k, ['de-DE', 'en_US', 'en-US', ''][least(c_custkey % 5, 3) + 1] own, ['de_DE', 'en-us', '', 'EN-US'][least(c_custkey % 7, 3) + 1] ro from customer)),
+    judged as (
+    select k, 'locale' "check", (effective = '' or lower(replace(effective, '_', '-')) <> 'en-us')::bigint failures, (own <> '' and ro <> '' and lower(replace(own, '_', '-')) <> lower(replace(ro, '_', '-')))::bigint warnings from props
+    union all select c_custkey, 'timezone', (c_custkey % 3 <> 1)::bigint + (c_custkey % 4 = 0)::bigint, 0 from customer
+    union all select c_custkey, 'wifi', (c_custkey % 2 = 1)::bigint + (c_custkey % 5 > 0)::bigint, 0 from customer
+    union all select c_custkey, 'ip_validation', (c_custkey % 256 in (0, 10, 127) or c_custkey % 256 >= 224)::bigint, (not (c_custkey % 256 in (0, 10, 127) or c_custkey % 256 >= 224))::bigint from customer
+    union all select c_custkey, 'gps_location', (c_custkey % 6 = 0)::bigint + (c_custkey % 8 > 0)::bigint, 0 from customer
+    union all select c_custkey, 'screen_lock', (c_custkey % 9 = 0)::bigint + (c_custkey % 9 > 1 and c_custkey % 8 = 0)::bigint, (c_custkey % 9 > 1 and c_custkey % 8 > 1)::bigint from customer
+    union all select c_custkey, 'usb_debugging', 0, (c_custkey % 3 = 0)::bigint + (c_custkey % 5 = 0)::bigint from customer
+    union all select c_custkey, 'app_state', (c_custkey % 10 = 0)::bigint + (c_custkey % 10 > 0 and c_custkey % 12 <> 0 and c_custkey % 110 < 20)::bigint + case when c_custkey % 10 > 0 and c_custkey % 13 = 0 then 2 else 0 end,
+        (c_custkey % 10 > 0 and c_custkey % 12 = 0)::bigint + (c_custkey % 10 > 0 and c_custkey % 12 <> 0 and c_custkey % 110 > 99)::bigint from customer
+    union all select c_custkey, 'battery', 0, 1 from customer)"""
+
+
+@query(f"""with {JUDGED} select cast(k as varchar) device_id, "check", failures, warnings, case when failures > 0 then 'fail' when warnings > 0 then 'warn' else 'pass' end status, sum(failures) over (partition by k) = 0 passed from judged""")
+def compliance_verdict(t: Tables) -> DataFrame:
+    return rules.verdicts(_checked(t))
+
 
+@query(f"""with {JUDGED} select cast(k as varchar) device_id, sum(failures) = 0 passed, cast(sum(failures) as bigint) n_failures, cast(sum(warnings) as bigint) n_warnings, count(*) filter ("check" <> 'battery') n_details,
+    max(case when "check" = 'wifi' then case when failures > 0 then 'fail' else 'pass' end end) wifi from judged group by k""")
+def compliance_report(t: Tables) -> DataFrame:
+    """The JSON reports, read back."""
+    form = "struct<pass:boolean,failures:array<string>,warnings:array<string>,details:map<string,struct<failures:array<string>,warnings:array<string>,status:string>>>"
+    r = rules.reports(_checked(t)).withColumn("r", F.from_json("report", form))
+    return r.select("device_id", F.col("r.pass").alias("passed"), F.size("r.failures").cast("long").alias("n_failures"), F.size("r.warnings").cast("long").alias("n_warnings"), F.size("r.details").cast("long").alias("n_details"), F.col("r.details")["wifi"]["status"].alias("wifi"))
 
-@query()
+
+@query("""select cast(c_custkey as varchar) device_id, 'gps_location' "check", 'failure' severity, 'gps_location: ' || n || ' app(s) may read the location: ' || array_to_string([('app' || i) for i in range(least(n, 5))], ', ') message from (select c_custkey, c_custkey % 8 n from customer) where n > 0
+    union all select cast(c_custkey as varchar), 'wifi', 'failure', 'wifi: ' || n || ' saved network(s): ' || array_to_string([('net' || i) for i in range(least(n, 3))], ', ') from (select c_custkey, c_custkey % 5 n from customer) where n > 0""")
+def compliance_samples(t: Tables) -> DataFrame:
+    """Findings that show only the first few names of a list."""
+    return rules.findings(_checked(t).where(F.col("check").isin("gps_location", "wifi"))).where("message like '%: %: %'")
+
+
+SIGNS = [("home_feed", 0, 0, "text", "(?i)for you"), ("profile", 1, 0, "text", "(?i)followers"), ("profile", 1, 1, "text", "(?i)^edit"), ("profile", 1, 1, "class", "Button$"), ("popup", 6, 0, "resource_id", "(?i)dialog")]
+
+
+@query("select cast(c_custkey as varchar) screen, case when c_custkey % 7 = 0 then 'popup' when c_custkey % 11 = 0 then 'unknown' when c_custkey % 4 = 1 then 'profile' when c_custkey % 3 = 0 then 'home_feed' else 'profile' end state from customer")
 def ui_screen_score(t: Tables) -> DataFrame:
-    xml = F.concat(F.lit('<hierarchy><node text="'), F.when(F.pmod("c_custkey", F.lit(3)) == 0, "For you").otherwise("Followers"), F.lit('"/><node resource-id="'), F.when(F.pmod("c_custkey", F.lit(7)) == 0, "dialog").otherwise("list"), F.lit('"/></hierarchy>'))
-    signs = t.spark.createDataFrame([("home_feed", 0, 0, "text", "(?i)for you"), ("profile", 1, 0, "text", "(?i)followers"), ("popup", 6, 0, "resource_id", "(?i)dialog")], "state string, rank int, grp int, attribute string, pattern string")
-    return uilog.scored(t.raw("customer").select(F.col("c_custkey").cast("string").alias("screen"), xml.alias("xml")), signs)
+    """Screens of two or three nodes; every eleventh dump is broken, unless a dialog shows."""
+    k = lambda n: F.pmod("c_custkey", F.lit(n))
+    text = F.when(k(3) == 0, "For you").otherwise("Followers")
+    edit = F.when(k(4) == 1, '<node text="Edit" class="x.Button"/><node text="followers"/>').otherwise('<node text="Edit" class="x.Label"/>')
+    popup = F.when(k(7) == 0, '<node resource-id="dialog"/>').otherwise('<node resource-id="list"/>')
+    end = F.when((k(11) == 0) & (k(7) != 0), "</hier").otherwise("</hierarchy>")
+    xml = F.concat(F.lit('<hierarchy><node text="'), text, F.lit('"/>'), edit, popup, end)
+    return uilog.scored(t.raw("customer").select(F.col("c_custkey").cast("string").alias("screen"), xml.alias("xml")), SIGNS)
+
+
+# --- device text -----------------------------------------------------------------------------------
+
+
+@query("""select event_id, epoch_us(ts) - case event_id % 3 when 1 then 19800000000 else 0 end at_micros from events""")
+def parsed_times(t: Tables) -> DataFrame:
+    """Times written with Z, with an offset, and without either."""
+    written = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.when(F.pmod("event_id", F.lit(3)) == 0, "Z").when(F.pmod("event_id", F.lit(3)) == 1, "+05:30").otherwise(""))
+    return t.raw("events").select("event_id", F.unix_micros(X.parsed_time(written)).alias("at_micros"))
+
+
+@query("""with parts as (select event_id, [0, 10, 100, 127, 169, 172, 192, 198, 203, 224, 8, 93, 255][event_id % 13 + 1] a, [0, 64, 254, 16, 168, 18, 51, 31, 200, 256][event_id // 13 % 10 + 1] b, [0, 2, 100, 113, 7][event_id // 130 % 5 + 1] c, [9, 10, 1, 255][event_id // 650 % 4 + 1] d from events)
+    select event_id, b < 256 and (a || '.' || b || '.' || c || '.' || d in ('192.0.0.9', '192.0.0.10') or not (a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31)
+    or (a = 192 and b = 0 and c in (0, 2)) or (a = 192 and b = 168) or (a = 198 and b in (18, 19)) or (a = 198 and b = 51 and c = 100) or (a = 203 and b = 0 and c = 113))) "public" from parts""")
+def public_addresses(t: Tables) -> DataFrame:
+    pick = lambda every, *values: F.array(*[F.lit(str(v)) for v in values])[F.pmod(F.floor(F.col("event_id") / every), F.lit(len(values))).cast("int")]
+    address = F.concat_ws(".", pick(1, 0, 10, 100, 127, 169, 172, 192, 198, 203, 224, 8, 93, 255), pick(13, 0, 64, 254, 16, 168, 18, 51, 31, 200, 256), pick(130, 0, 2, 100, 113, 7), pick(650, 9, 10, 1, 255))
+    return t.raw("events").select("event_id", X.is_public_ipv4(address).alias("public"))
+
+
+@query("""select c_custkey, lower(replace(case c_custkey % 3 when 0 then 'en_US' when 1 then 'De-AT' else 'fr' end, '_', '-')) locale, case when c_custkey % 2 = 0 then 'uid ' || c_custkey || ': COARSE_LOCATION: allow' else '' end grants,
+    case when c_custkey % 4 = 0 then 'NetworkId 1 SSID home' || c_custkey else '' end networks, ((c_custkey % 500) + 600) / 2.0 / 1000 centre_x, ((c_custkey % 700) + 1400) / 2.0 / 2000 centre_y,
+    cast(floor((c_custkey % 100) / 100.0 * 1080) as integer) pixel, cast(1080 + c_custkey % 5 as integer) width, case when c_custkey % 2 = 0 then 2400 else 2300 end height from customer""")
+def device_text(t: Tables) -> DataFrame:
+    """Locales, grants, saved networks, bounds, pixels and screen sizes as devices print them."""
+    k, n = F.col("c_custkey"), lambda m: F.pmod("c_custkey", F.lit(m))
+    number = k.cast("string")
+    locale = F.when(n(3) == 0, "en_US").when(n(3) == 1, "De-AT").otherwise("fr")
+    ops = F.concat(F.lit("uid "), number, F.when(n(2) == 0, ": COARSE_LOCATION: allow").otherwise(": COARSE_LOCATION: deny"), F.lit("\nCAMERA: allow\nother"))
+    saved = F.concat(F.when(n(4) == 0, F.concat(F.lit("NetworkId 1 SSID home"), number)).otherwise("none"), F.lit("\nend"))
+    bounds = F.concat(F.lit("["), n(500).cast("string"), F.lit(","), n(700).cast("string"), F.lit("][600,1400]"))
+    size = F.concat(F.lit("Override size: 1080x2300\n"), F.when(n(2) == 0, F.concat(F.lit("Physical size: "), (n(5) + 1080).cast("string"), F.lit("x2400"))).otherwise(""))
+    first = F.concat((n(5) + 1080).cast("string"), F.lit("x2300 720x1280"))
+    shown = X.screen_size(F.when(n(2) == 0, size).otherwise(first))
+    centre = X.bounds_centre(bounds, F.lit(1000), F.lit(2000))
+    return t.raw("customer").select(
+        "c_custkey", X.locale_key(locale).alias("locale"), F.array_join(X.lines_with(ops, "LOCATION", "allow"), "|").alias("grants"), F.array_join(X.lines_with(saved, "SSID"), "|").alias("networks"),
+        centre["x"].alias("centre_x"), centre["y"].alias("centre_y"), X.pixel(n(100) / 100, F.lit(1080)).alias("pixel"), shown["width"].alias("width"), shown["height"].alias("height"),
+    )
+
+
+# --- the store --------------------------------------------------------------------------------------
+
+
+@query("select p.post_id, p.platform_post_id, p.provider_id from posts p where p.post_id % 3 <> 0 or p.post_id % 2 = 1")
+def conditional_insert(t: Tables) -> DataFrame:
+    """Posts to add where the store has every third of them, and an offered post comes twice."""
+    p = t.posts()
+    had = p.where("post_id % 3 = 0 and post_id % 2 = 0").select("platform_post_id", "provider_id")
+    return store.new_posts(p.unionByName(p), had).select("post_id", "platform_post_id", "provider_id")
+
+
+@query("""with events_of as (select run_id, started_at "at", 'running' status from runs union all select run_id, started_at + interval 1 hour, status from runs where run_id % 3 <> 0)
+    select run_id, arg_max(status, "at") status from events_of group by run_id""")
+def run_states(t: Tables) -> DataFrame:
+    """The latest of appended events stands for an update."""
+    r = t.runs()
+    later = r.where("run_id % 3 <> 0").select("run_id", (F.col("started_at") + F.make_dt_interval(hours=F.lit(1))).alias("at"), "status")
+    return store.latest_status(r.select("run_id", F.col("started_at").alias("at"), F.lit("running").alias("status")).unionByName(later))
+
+
+@query("select p.account_id, c.client_id, p.n posts from (select account_id, count(*) n from posts group by account_id) p join (select account_id, case when account_id = 7 then 3 else client_id end client_id from ownership where valid_to is null) c using (account_id)")
+def owners_after_move(t: Tables) -> DataFrame:
+    """Open owners after account 7 moved to client 3, with the account's posts."""
+    moved = store.close_and_open(t.ownership(), 7, 3, "1999-01-01 00:00:00").where("valid_to is null").select("account_id", "client_id")
+    return t.posts().groupBy("account_id").agg(F.count("*").alias("posts")).join(moved, "account_id").select("account_id", "client_id", "posts")

@@ -47,6 +47,28 @@ def check_results(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("device_id", "check", F.from_json("raw_output", "map<string,string>").alias("raw"), both.alias("lists"))
 
 
+RESPONSE = (
+    "job_id long, attempt int, vendor string, account string, fetched_at double, outcome string, is_complete boolean, retry_after double, "
+    "posts array<struct<platform_post_id:string,views:long,likes:long,comments:long,shares:long,published_at:string>>"
+)
+
+
+def responses(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Recorded vendor responses, one JSON object a line: (attempts, posts).
+
+    attempts: job_id, attempt, vendor, account, fetched_at (seconds), outcome, retry_after;
+    the outcome is what was recorded, else complete or partial by is_complete.  posts: the
+    posts of complete responses only, with their job, vendor, account and place; a partial
+    response would make the posts that it lacks look as if they had disappeared.
+    """
+    raw = spark.read.schema(RESPONSE).json(path)
+    outcome = F.coalesce("outcome", F.when(F.col("is_complete"), "complete").otherwise("partial"))
+    raw = raw.withColumn("outcome", outcome)
+    whole = raw.where("outcome = 'complete'").select("job_id", "attempt", "vendor", "account", "fetched_at", F.posexplode("posts").alias("ord", "p"))
+    attempts = raw.select("job_id", "attempt", "vendor", "account", "fetched_at", "outcome", "retry_after")
+    return attempts, whole.select("*", "p.*").drop("p").withColumn("published_at", X.parsed_time(F.col("published_at")))
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return parsed_log(spark.read.text(path))
 
