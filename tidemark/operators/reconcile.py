@@ -90,7 +90,7 @@ def matches(posts: DataFrame) -> DataFrame:
     post lie that close.  An id that two stretches reach for (it is listed under two accounts,
     or at two times) ties them; all such stretches are one group, walked as a stream.
     """
-    found = candidates(posts)
+    found = staged(candidates(posts), "within-reach")  # read four times below
     # stretches: a gap of more than two hours parts an account's shared rows
     shares = found.select("account", "share_vendor", "share_ord", "share_turn", "share_at").distinct()
     seconds = F.unix_micros(F.col("share_at").cast("timestamp"))
