@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.columns import WORD, count_of, fold_add, fresh, words
+from tidemark.llm.sizing import hashed_sample
 
 WINDOW = 5
-#: Labelled rows used for learning at most (the smallest ids by hash).
+#: Labelled documents used for learning at most (those of the smallest hash of the id).
 MOST_LABELLED = 20_000
 #: Thresholds tried for each statistic, at quantiles of the labelled rows.
 THRESHOLDS = 48
@@ -180,34 +181,39 @@ def learn(x: np.ndarray, bad: np.ndarray, prune: np.ndarray, names: list[str]) -
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DecisionList:
     """Learn from at most ``most`` labelled documents; without labels nothing is rejected.
 
-    A document labelled twice counts once, by its lower label; null ids and labels
-    don't count.
+    The sample doesn't depend on how the tables are partitioned.  A document labelled
+    twice counts once, by its lower label; of rows of equal doc_id the one with the least
+    statistics counts; null ids and labels don't.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
-    n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / n)).limit(most)
+    known = hashed_sample(known, "id", most)  # MOST_LABELLED rows, so it may be broadcast
     sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), "id")
     df, stat = with_statistics(sample)
     of = features(stat)
-    rows = df.where(~base_failed(stat)).select("id", "quality", *[v.alias(k) for k, v in of.items()]).limit(2 * most).collect()
+    one = df.where(~base_failed(stat)).select("id", "quality", F.struct(*[v.alias(k) for k, v in of.items()]).alias("x"))
+    rows = one.groupBy("id").agg(F.first("quality").alias("quality"), F.min("x").alias("x")).collect()
     if not rows:
         return DecisionList()
-    rows.sort(key=lambda r: (r["id"], *r[2:]))
-    x = np.array([r[2:] for r in rows], dtype=float)
+    rows.sort(key=lambda r: r["id"])
+    x = np.array([tuple(r["x"]) for r in rows], dtype=float)
     bad = np.array([r["quality"] == 0 for r in rows])
     return learn(x, bad, np.arange(len(rows)) % 3 == 2, list(of))
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept; a row for each input row."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept; a row for each input row.
+
+    A null or empty text has no words and fails the base checks.  A null doc_id stays
+    null; repeated rows are judged alike, each on its own.  Long texts are judged whole.
+    Other columns are ignored, whatever their names.
+    """
     df, stat = with_statistics(docs.select("doc_id", "text"))
     failed = base_failed(stat)
     return df.select("doc_id", *[stat[k].alias(k) for k in BASE], failed.alias("base_failed"), (~failed & ~rules.rejects(features(stat))).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """The rows that pass, all their columns unchanged."""
+    """The rows that pass, all their columns unchanged, whatever their names; null and empty texts go."""
     df, stat = with_statistics(docs)
     return df.where(~base_failed(stat) & ~rules.rejects(features(stat))).select(*[F.col(f"`{c}`") for c in docs.columns])
 

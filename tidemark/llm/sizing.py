@@ -1,13 +1,12 @@
-"""Input sizes from plan statistics, shared staging folder."""
+"""Input sizes from plan statistics, samples that don't depend on partitions."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.staging import staged as stage  # noqa: F401
+
 #: Statistics above this are Spark's "unknown" default, not a measurement.
 UNKNOWN_BYTES = 1 << 55
 #: Text bytes per byte of column-compressed input, for sizing only.
@@ -30,34 +29,9 @@ def pieces(total: int, each: int, least: int = 16, most: int = 1 << 22) -> int:
     return max(least, min(most, total // each + 1))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors.
+def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows whose key has the least hash; the same rows however the frame is partitioned.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only where that is unset (local
-    runs and tests) is one made under the session's warehouse folder.  Tables of an
-    application lie together and are deleted when its driver ends.
+    ``key`` should not repeat.  A top-k: every partition keeps ``most`` rows at most.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-_made: set[str] = set()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
-    folder = f"{folder.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
-    if folder not in _made:
-        _made.add(folder)
-        atexit.register(_delete, spark, folder)
-    return folder
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return df.orderBy(F.xxhash64(key), key).limit(most)
