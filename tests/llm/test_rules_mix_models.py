@@ -175,7 +175,7 @@ def test_forest_and_expressions_agree_and_hold_by_kind(spark, docs):
     words = ["wrote", "people"]
     forest = secret_scan.fit(secret_scan.default_findings(spark), words)
     made = [f for f in secret_scan.made_findings(900, 99) if f["value"]]
-    rows = [(i, f["before"] + f["value"] + " " + f["after"].strip(), f["path"]) for i, f in enumerate(made)]
+    rows = [(i, f["before"].rstrip() + " " + f["value"] + " " + f["after"].strip(), f["path"]) for i, f in enumerate(made)]
     hits, right = Counter(), Counter()
     out = {r["doc_id"]: r for r in secret_scan.scan(docs(rows), forest, words, threshold=0.0).collect()}
     kinds = {k: re.compile(p) for k, p in secret_scan.KINDS.items()}
@@ -192,7 +192,7 @@ def test_forest_and_expressions_agree_and_hold_by_kind(spark, docs):
         if kind and len(out[i]["findings"]) == 1:
             hits[kind, f["label"]] += 1
             right[kind, f["label"]] += (out[i]["findings"][0]["score"] >= secret_scan.THRESHOLD) == f["label"]
-    assert flat.count() >= len(measured) and all(right[k] >= 0.85 * n for k, n in hits.items() if n >= 10), {k: (right[k], n) for k, n in hits.items()}
+    assert flat.count() >= len(measured) and all(right[k] >= 0.9 * n for k, n in hits.items() if n >= 10), [(k, int(right[k]), n) for k, n in hits.items()]
 
 
 def test_findings_are_labelled_from_the_corpus(docs):
