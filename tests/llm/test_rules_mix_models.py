@@ -71,6 +71,64 @@ def test_mix(docs):
     assert mixing.mix(docs([(1, "a")]).limit(0)).count() == 0 and mixing.mixed_documents(docs([(1, "a")]).limit(0)).count() == 0
 
 
+def level_targets(sizes, weights, total):
+    """Targets by bisection for the level at which the capped shares use up the total."""
+    low, high = 0.0, 4.0 * total + 1
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * n, w * mid) for n, w in zip(sizes, weights)) < total else (low, mid)
+    return [min(2 * n, w * high) for n, w in zip(sizes, weights)]
+
+
+def test_targets_equal_a_bisection():
+    r = random.Random(6)
+    for _ in range(50):
+        sizes = [r.choice([0, r.randint(1, 50), r.randint(1, 100_000)]) for _ in range(r.randint(1, 12))]
+        weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+        assert np.allclose(mixing.fill_targets(sizes, weights, 1.5 * sum(sizes)), level_targets(sizes, weights, 1.5 * sum(sizes)), rtol=1e-9, atol=1e-6)
+
+
+def test_shards_follow_the_tree(spark, docs, monkeypatch):
+    """Each shard has, of each source, the draws that the tree gave it; blocks don't repeat but by pass."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 20)
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{r.randint(0, 9)}" for _ in range(r.randint(1, 12))), "hot" if i % 3 else f"s{i % 4}") for i in range(900)]
+    planned, quotas = mixing.plan(docs(rows))
+    block = {x["doc_id"]: (x["sid"], x["block"]) for x in planned.collect()}
+    size = defaultdict(int)
+    for i, t, _ in rows:
+        size[block[i]] += len(t.split())
+    shards = 7
+    seen = defaultdict(set)
+    for x in mixing.mix(docs(rows), shards=shards).collect():
+        q = quotas[block[x["doc_id"]][0]]
+        for nth, shard in enumerate(x["shards"]):
+            seen[shard, q.sid].add((block[x["doc_id"]][1], nth))
+    draws = []
+    for q in quotas:
+        whole = q.passes * len({b for s, b in size if s == q.sid})
+        got = {d for (h, s), found in seen.items() if s == q.sid for d in found}
+        draws.append(len(got))
+        assert len(got) >= whole and sum(len(found) for (h, s), found in seen.items() if s == q.sid) == len(got)
+    counts = mixing.split_draws(draws, shards)
+    assert {(h, s): len(x) for (h, s), x in seen.items()} == {(h, s): int(counts[h, s]) for h in range(shards) for s in range(len(draws)) if counts[h, s]}
+    assert mixing.split_draws([8_000_000, 3], 50_000).sum() == 8_000_003 and mixing.shard_count(10, 20) == mixing.LEAST_SHARDS
+
+
+def test_numbering(spark):
+    from tidemark.llm.ordering import numbered
+
+    df = spark.range(500).select((F.col("id") % 3 == 0).cast("int").alias("g"), F.xxhash64("id").alias("h"), (F.col("id") % 7).alias("x"))
+    got, want = numbered(df, ["g"], [F.col("h")], "t", ("x",)).collect(), {}
+    for g in (0, 1):
+        total = 0
+        for n, r in enumerate(sorted((r for r in df.collect() if r["g"] == g), key=lambda r: r["h"])):
+            want[g, r["h"]] = (n, total)
+            total += r["x"]
+    assert {(r["g"], r["h"]): (r["nth"], r["before_x"]) for r in got} == want
+    assert sorted(r["nth"] for r in numbered(df.drop("g"), [], [F.col("h")], "t").collect()) == list(range(500))
+
+
 def test_toxicity_learns_subwords(spark, docs):
     r = random.Random(3)
     plain = [f"{a}{b}" for a in "ran sto wel tin mor".split() for b in "der ing est ous".split()]
