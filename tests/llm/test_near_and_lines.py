@@ -134,3 +134,30 @@ def test_one_of_a_class_of_equal_ids(docs):
     rows = [(1, text), (1, text), (1, text.replace("a0 ", "b ")), (4, "one word"), (4, "one word"), (5, None), (5, None), (None, text), (None, text)]
     got = ngram_join.one_of_each(docs(rows)).collect()
     assert sorted(((r["doc_id"] or 0) for r in got)) == [0, 0, 1, 4, 5, 5]
+
+
+def test_chained_cluster_is_verified_by_buckets(docs, monkeypatch):
+    """Members that only a chain of others ties together: whole clusters and buckets give the same links."""
+    rows = [(k, " ".join(f"x{i}" for i in range(k * 8, k * 8 + 110))) for k in range(300)]
+    s = sets_of(rows)
+    links = {a: sum(1 for b in range(a - 4, a + 5) if b != a and b in s and 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])) for a in s}
+    for chunk in (2, 100_000):
+        monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs(rows)).collect()}
+        assert got == {a: (0, links[a]) for a in s} and max(links.values()) == 2
+
+
+def test_join_of_long_texts(docs):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, long), (2, long.replace("w7 ", "other ")), (3, long[: len(long) // 2]), (4, "x" * 2_500_000)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs(rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+
+
+def test_hot_join(spark):
+    from tidemark.llm import ordering
+
+    left = spark.range(40_000).select(F.when(F.col("id") < 20_000, 7).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    got = ordering.hot_join(left, right, ["k"], "n", 40_000)
+    assert got.count() == 40_000 and got.where("n = 20000").count() == 20_000 and got.columns == ["k", "id", "n"]

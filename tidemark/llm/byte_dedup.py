@@ -293,6 +293,19 @@ def remove_repeated_strings(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "spans", F.col("kept").alias("kept_bytes"))
 
 
+#: Every 100-byte window by its digest, over the text as hexadecimal digits.
+ORACLE = """
+with raw as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+places as (select doc_id, unnest(range(1, cast(length(h) / 2 as bigint) + 1)) i, h from raw),
+bytes as (select doc_id, i, substr(h, cast(2 * i - 1 as bigint), 2) b, case when 2 * (i + 99) <= length(h) then md5(substr(h, cast(2 * i - 1 as bigint), 200)) end w from places),
+again as (select doc_id, i, b, w is not null and row_number() over (partition by w order by doc_id, i) > 1 again from bytes),
+judged as (select doc_id, i, b, bool_or(again) over (partition by doc_id order by i rows between 99 preceding and current row) gone from again),
+edges as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) opens from judged),
+kept as (select doc_id, count(*) n_bytes, count(*) filter (gone) n_removed, count(*) filter (opens) n_spans, string_agg(b, '' order by i) filter (not gone) body from edges group by doc_id)
+select r.doc_id, coalesce(n_bytes, 0) n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(body, ''))) kept_sha256 from raw r left join kept using (doc_id)
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = remove_repeated_strings(docs)

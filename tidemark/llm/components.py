@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.ordering import hot_join
 from tidemark.llm.sizing import stage
 
 MOST_ROUNDS = 60
@@ -14,14 +15,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, root) for every id on an edge (a, b); root is the smallest id it reaches.
 
     Each round is three hash aggregations and joins over the edges that are left, and
-    is written to the shared folder.  Minima are pre-aggregated; a node with very many
-    edges only skews a join on one side, which adaptive execution splits.
+    is written to the shared folder.  Minima are pre-aggregated, and the rows of a node
+    with very many edges stay where they are (``hot_join``).
     """
     e = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct()
     e = stage(e, name)
     before = _mark(e)
     for _ in range(MOST_ROUNDS):
-        e = stage(_small_star(_large_star(e)), name)
+        e = stage(_small_star(stage(_large_star(e, before[0]), name), before[0]), name)
         now = _mark(e)
         if now == before:
             break
@@ -37,17 +38,17 @@ def _mark(e: DataFrame):
     return r["n"], r["h"]
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, total: int) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    far = both.where("v > u").join(least, F.col("u") == F.col("k"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")).select("u", F.least("u", "m").alias("m"), "times")
+    far = hot_join(both.where("v > u"), least, ["u"], "times", 2 * total)
     return far.select("v", F.col("m").alias("u")).where("u < v").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, total: int) -> DataFrame:
     """e: (v, u) with u < v. Every v and its smaller neighbours hang on the least of them."""
-    least = e.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("k"), "m")
-    near = e.join(least, F.col("v") == F.col("k"))
+    least = e.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("times"))
+    near = hot_join(e, least, ["v"], "times", total)
     hung = near.select(F.col("u").alias("v"), F.col("m").alias("u"))
-    own = least.select(F.col("k").alias("v"), F.col("m").alias("u"))
+    own = least.select("v", F.col("m").alias("u"))
     return hung.union(own).where("u < v").distinct()

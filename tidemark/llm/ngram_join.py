@@ -5,9 +5,12 @@
 2. Bands of MinHash rows are chosen for the target recall.  Band hashes are
    shuffled; a bucket ties its members to its smallest one, which gives candidate
    clusters without listing the pairs of a bucket.
-3. A cluster is cut into chunks by a hash.  Two chunks meet in one task with their
-   full shingle sets, and every pair in them is verified.  A task returns a count of
-   links for each member and a spanning forest of them, never the pairs.
+3. A cluster of up to CHUNK members meets in one task with its full shingle sets, and
+   every pair in it is verified.  A larger one is cut into chunks by a hash, two of which
+   meet in a task; or, where that moves fewer sets, each of its buckets is taken (and
+   cut) by itself, so that members chained by others never meet.  A pair of several
+   buckets counts in the first of them.  A task returns a count of links for each member
+   and a spanning forest of them, never the pairs.
 4. The forests' components are the near-duplicate classes.
 """
 
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import kernels as K
 from tidemark.llm.columns import WORD
 from tidemark.llm.components import components
+from tidemark.llm.ordering import hot_join
 from tidemark.llm.recurrence import NO_ID
 from tidemark.llm.sizing import pieces, stage, text_bytes
 
@@ -31,7 +35,8 @@ SHINGLE = 5
 #: 4 * union <= 5 * intersection, that is a Jaccard similarity of 0.8 or more.
 NUMERATOR, DENOMINATOR = 4, 5
 RECALL = 0.9999
-MOST_BANDS = 26
+#: More bands allow more rows a band, and so fewer candidates of low similarity.
+MOST_BANDS = 52
 CHUNK = 512
 #: Members of small clusters that share a task.
 BUNDLE_BYTES = 8 << 20
@@ -116,19 +121,18 @@ def _signatures(bands: int, rows: int):
     return run
 
 
-SETS = "root long, id long, weight long, lo int, hi int, pieces int, half int, bundle int, shingles binary"
 FOUND = "id long, links long, a long, b long"
 
 
 def _sets(batches):
-    """Adds each member's shingle set as packed sorted hashes."""
+    """The members with their shingle sets, as packed sorted hashes, instead of their texts."""
     for batch in batches:
         packed = [b""] * batch.num_rows
         for i, h, bounds in shingle_sets(batch.column("text")):
             for d in range(len(bounds) - 1):
                 packed[i + d] = np.unique(h[bounds[d] : bounds[d + 1]]).tobytes()
-        keep = [batch.column(c) for c in ("root", "id", "weight", "pieces")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(packed, pa.binary())], names=["root", "id", "weight", "pieces", "shingles"])
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(packed, pa.binary())], names=[*names, "shingles"])
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -178,8 +182,9 @@ def _forest(ids: list[int], left: np.ndarray, right: np.ndarray) -> tuple[list[i
 def _verify(key, table):
     out: dict[str, list] = {"id": [], "links": [], "a": [], "b": []}
     table = table.combine_chunks()
-    roots, ids, weights, los, his, halves = (table[c].to_numpy() for c in ("root", "id", "weight", "lo", "hi", "half"))
-    packed = table["shingles"].combine_chunks()
+    roots, ids, weights, los, his, halves = (table[c].to_numpy() for c in ("meet", "id", "weight", "lo", "hi", "half"))
+    turns = table["turn"].to_numpy()
+    packed, banded = table["shingles"].combine_chunks(), table["bands"].combine_chunks()
     for lo, hi in sorted(set(zip(los.tolist(), his.tolist()))):
         here = np.flatnonzero((los == lo) & (his == hi))
         here = here[np.argsort(roots[here], kind="stable")]
@@ -193,6 +198,10 @@ def _verify(key, table):
             hit = linked([sets[r] for r in left], [sets[r] for r in right])
             if lo == hi:
                 np.fill_diagonal(hit, False)
+            if turns[rows[0]] > 0:
+                before = {r: np.array(banded[r].as_py()[: turns[rows[0]]], dtype=np.int64) for r in sets}
+                for k in range(int(turns[rows[0]])):
+                    hit &= np.array([before[r][k] for r in left])[:, None] != np.array([before[r][k] for r in right])[None, :]
             lw, rw = weights[left], weights[right]
             for r, n in zip(left, (hit @ rw).tolist()):
                 out["id"].append(int(ids[r])), out["links"].append(n), out["a"].append(None), out["b"].append(None)
@@ -214,7 +223,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows with a similarity of 0.8 or more.  A text without words is linked to none:
     its class is its own doc_id.  Rows of equal doc_id count as separate rows where
     their sets are equal or linked.  A null doc_id is numbered as the largest long and
-    given back as null; so is a class of such rows only.  Other columns are ignored.
+    given back as null; so is a class of such rows only.  A very long text is read whole;
+    its set is one row.  An empty table gives none.  Other columns are ignored.
     """
     unnamed = lambda c: F.when(F.col(c) != int(NO_ID), F.col(c)).alias(c)
     return _classed(docs).select(unnamed("doc_id"), unnamed("class_id"), unnamed("set_id"), "n_links")
@@ -232,36 +242,53 @@ def _classed(docs: DataFrame) -> DataFrame:
     classes = classes.select("k1", "k2", F.col("head.doc_id").alias("set_id"), F.col("head.text_hash").alias("set_text"), "weight", "bands")
     # a doc_id that heads two classes (repeated ids) is told apart by its set
     classes = stage(classes.withColumn("id", F.xxhash64("k1", "k2")), "set-classes")
-    buckets = classes.select("id", F.explode("bands").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail").select("band", "head")
-    ties = buckets.join(heads, "band").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = components(ties, "candidates")
+    distinct = classes.count()
+    buckets = stage(classes.select("id", F.posexplode("bands").alias("turn", "band")), "buckets")
+    heads = buckets.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail"), F.count("*").alias("times")).where("head < tail").select("band", "head", "times")
+    heads = stage(heads, "bucket-heads")
+    ties = hot_join(buckets, heads, ["band"], "times", distinct * bands).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    clusters = stage(components(ties, "candidates"), "clusters")
+
+    size = clusters.groupBy("root").agg(F.count("*").alias("members")).withColumn("times", F.col("members"))
+    clusters = stage(hot_join(clusters, size, ["root"], "times", distinct).drop("times"), "cluster-sizes")
+    # the members of large clusters, by bucket: a cluster whose buckets move fewer sets is verified by them
+    cut = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    large = clusters.where(F.col("members") > CHUNK)
+    meets = stage(hot_join(buckets, heads.drop("head"), ["band"], "times", distinct * bands).join(large, "id"), "large-buckets")
+    cost = meets.groupBy("root").agg(F.sum(cut("times").cast("long")).alias("moved"), F.first("members").alias("members"))
+    sparse = cost.where(F.col("moved") < F.col("members") * cut("members")).select("root")
+    sparse = stage(sparse, "sparse-clusters")
+    whole = clusters.join(sparse, "root", "left_anti").select("id", F.col("root").alias("meet"), F.lit(0).alias("turn"), cut("members").alias("pieces"))
+    parted = meets.join(sparse, "root", "left_semi").select("id", F.col("band").alias("meet"), "turn", cut("times").alias("pieces"))
 
-    size = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    members = classes.select("id", "set_id", "set_text", "weight").join(clusters, "id").join(size, "root")
     # one text for each class: the one that heads it
-    holders = members.select("id", "root", "weight", F.col("set_id").alias("doc_id"), F.col("set_text").alias("text_hash"), F.ceil(F.col("members") / CHUNK).cast("int").alias("pieces"))
-    texts = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(holders, ["doc_id", "text_hash"])
-    sets = texts.select("root", "id", "weight", "pieces", "text").mapInArrow(_sets, "root long, id long, weight long, pieces int, shingles binary")
-    sets = sets.dropDuplicates(["id"]) if _repeated_ids(signed) else sets
-    half = F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("pieces")).cast("int")
-    sets = sets.withColumn("half", half)
-    spread = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    members = clusters.select("id").join(classes.select("id", "set_id", "set_text", "weight", "bands"), "id")
+    holders = members.select("id", "weight", "bands", F.col("set_id").alias("doc_id"), F.col("set_text").alias("text_hash"))
+    texts = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(holders, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    sets = texts.select("id", "weight", "bands", "text").mapInArrow(_sets, "id long, weight long, bands array<long>, shingles binary")
+    none = F.lit(None).cast("array<long>")
+    once = sets.drop("bands").join(whole, "id").withColumn("bands", none)
+    often = stage(sets.join(parted.select("id").distinct(), "id", "left_semi"), "sparse-sets").join(parted, "id")
+    spread = once.unionByName(often.select(*once.columns))
+    spread = spread.withColumn("half", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("pieces")).cast("int"))
+    spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
     bundles = pieces(text_bytes(docs), BUNDLE_BYTES)
     lo, hi = F.least("half", "other"), F.greatest("half", "other")
-    bundle = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("root"), F.lit(bundles)).cast("int")).otherwise(F.lit(-1))
-    spread = spread.select("root", "id", "weight", lo.alias("lo"), hi.alias("hi"), "pieces", "half", bundle.alias("bundle"), "shingles")
-    keys = ["bundle", "lo", "hi", F.when(F.col("pieces") > 1, F.col("root")).otherwise(F.lit(0)).alias("whole")]
+    bundle = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("meet"), F.lit(bundles)).cast("int")).otherwise(F.lit(-1))
+    spread = spread.select("meet", "turn", "id", "weight", lo.alias("lo"), hi.alias("hi"), "pieces", "half", bundle.alias("bundle"), "bands", "shingles")
+    keys = ["bundle", "lo", "hi", F.when(F.col("pieces") > 1, F.col("meet")).otherwise(F.lit(0)).alias("whole")]
     verified = stage(spread.groupBy(*keys).applyInArrow(_verify, FOUND), "links")
 
     groups = components(verified.where("a is not null").select("a", "b"), "near-classes")
     links = verified.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.select("id", "k1", "k2", "set_id", "set_text", "weight").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")).join(links, "id", "left")
-    least = named.groupBy("root").agg(F.min(F.struct("set_id", "set_text")).alias("least"))
-    least = least.select("root", F.col("least.set_id").alias("class_id"), F.col("least.set_text").alias("class_text"))
-    named = named.join(least, "root").select("k1", "k2", "set_id", "class_id", "class_text", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    named = stage(named, "rooted")
+    least = named.groupBy("root").agg(F.min(F.struct("set_id", "set_text")).alias("least"), F.count("*").alias("times"))
+    least = least.select("root", F.col("least.set_id").alias("class_id"), F.col("least.set_text").alias("class_text"), "times")
+    named = hot_join(named, least, ["root"], "times", distinct).select("k1", "k2", "weight", "set_id", "class_id", "class_text", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = ["doc_id", "text_hash", "class_id", "class_text", "set_id", "n_links"]
-    full = signed.where("n > 0").select("doc_id", "text_hash", "k1", "k2").join(named, ["k1", "k2"]).select(*out)
+    named = stage(named, "named")
+    full = hot_join(signed.where("n > 0").select("doc_id", "text_hash", "k1", "k2"), named, ["k1", "k2"], "weight", signed.count()).select(*out)
     itself = [F.col("doc_id").alias("class_id"), F.col("text_hash").alias("class_text"), F.col("doc_id").alias("set_id")]
     return full.unionByName(signed.where("n = 0").select("doc_id", "text_hash", *itself, F.lit(0).cast("long").alias("n_links")))
 
@@ -287,5 +314,19 @@ def _repeated_ids(signed: DataFrame) -> bool:
     return signed.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
 
+#: Every pair that shares a shingle, counted; classes by walking the links.
+ORACLE = r"""
+with recursive words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+sets as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_sort(list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)])) end s from words),
+grams as (select doc_id, len(s) n, unnest(s) g from sets),
+shared as (select a.doc_id a, b.doc_id b, a.n na, b.n nb, count(*) i from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (select a, b from shared where 5 * i >= 4 * (na + nb - i)),
+reach as (select doc_id id, doc_id root from documents union select l.b, r.root from reach r join links l on l.a = r.id)
+select d.doc_id, (select min(root) from reach where id = d.doc_id) class_id,
+       case when len(s) = 0 then d.doc_id else min(d.doc_id) over (partition by s) end set_id, (select count(*) from links where a = d.doc_id) n_links
+from documents d join sets using (doc_id)
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

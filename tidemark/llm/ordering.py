@@ -34,3 +34,21 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, sums:
     for x in sums:
         both = both.withColumn(f"before_{x}", F.col(f"before_{x}") + F.col(f"shift_of_{x}"))
     return both.drop("part", "shift_rows", *[f"shift_of_{x}" for x in sums])
+
+
+#: Keys that hold more than this part of a frame's rows are joined by broadcast; there can't be more of them.
+MOST_HOT = 10_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+    """Inner join where a key may hold a large share of the left rows.
+
+    right has each key once, and in ``times`` how many left rows have it; total is at least
+    the left's number of rows.  Keys of more than total / MOST_HOT rows, so MOST_HOT at most,
+    are broadcast and their rows stay where they are; all others are joined as usual.  The
+    left frame is read twice and should be staged.
+    """
+    hot = F.col(times) > max(1, total // MOST_HOT)
+    few = F.broadcast(right.where(hot))
+    rest = left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti")
+    return left.join(few, on).unionByName(rest.join(right.where(~hot), on))

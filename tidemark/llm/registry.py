@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE}
+    return {"op3_ngram_join": ngram_join.ORACLE, "op4_suffix_array_dedup": byte_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE}

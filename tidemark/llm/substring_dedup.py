@@ -77,6 +77,17 @@ def remove_repeated_phrases(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "n_spans", "spans", kept.alias("kept_text"))
 
 
+#: Every window by its words; a word goes if a covered window starts at it or up to twelve words before.
+ORACLE = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+places as (select doc_id, unnest(range(1, len(ws) + 1)) i, unnest(ws) word, ws from words),
+windows as (select doc_id, i, min(doc_id) over (partition by array_to_string(ws[i:i + 12], ' ')) < doc_id again from places where i + 12 <= len(ws)),
+judged as (select p.doc_id, p.i, p.word, coalesce(bool_or(again) over (partition by p.doc_id order by p.i rows between 12 preceding and current row), false) gone from places p left join windows w on w.doc_id = p.doc_id and w.i = p.i),
+kept as (select doc_id, count(*) filter (gone) n_removed, string_agg(word, ' ' order by i) filter (not gone) body from judged group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(body, '')) kept_sha256 from words w left join kept using (doc_id)
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = remove_repeated_phrases(docs)
