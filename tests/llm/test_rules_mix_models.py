@@ -153,10 +153,61 @@ def test_decontamination(spark, docs):
     edited = ITEMS[0].replace("quick", "quikc").replace("old", "odd")
     part = " ".join(ITEMS[1].split()[8:40])
     rows = [(1, "before " + ITEMS[0].upper().replace(" ", "\n") + " after"), (2, "x " * 50 + edited), (3, "clean words only " * 40), (4, part), (5, None), (6, ""), (7, ITEMS[0][:40]), (8, "tiny")]
-    got = {r["doc_id"]: r["items"] for r in decontaminate.contamination(docs(rows), bench).collect()}
-    assert got == {1: [0], 2: [0], 3: [], 4: [1], 5: [], 6: [], 7: [], 8: []}
-    assert {r["doc_id"] for r in decontaminate.uncontaminated(docs(rows), bench).collect()} == {3, 5, 6, 7, 8}
-    assert decontaminate.contamination(docs(rows).limit(0), bench).count() == 0 and decontaminate.uncontaminated(docs(rows), bench.limit(0)).count() == 8
+    rows += [(9, "a tiny, thing"), (10, "destiny tinyx"), (None, "tiny"), (None, "tiny"), (5, "tiny tiny")]
+    got = sorted((str(r["doc_id"]), r["items"]) for r in decontaminate.contamination(docs(rows), bench).collect())
+    want = [(1, [0]), (2, [0]), (3, []), (4, [1]), (5, []), (6, []), (7, []), (8, [2]), (9, [2]), (10, []), (None, [2]), (None, [2]), (5, [2])]
+    assert got == sorted((str(i), x) for i, x in want)
+    assert sorted(r["doc_id"] for r in decontaminate.uncontaminated(docs(rows), bench).collect()) == [3, 5, 6, 7, 10]
+    assert decontaminate.contamination(docs(rows).limit(0), bench).count() == 0 and decontaminate.uncontaminated(docs(rows), bench.limit(0)).count() == len(rows)
+    # cut into shards, the same is found
+    parted = decontaminate.contamination(docs(rows), bench, 100)
+    assert sorted((str(r["doc_id"]), r["items"]) for r in parted.collect()) == got
+    assert decontaminate.uncontaminated(docs(rows), bench, 100).count() == 5 and len(list(decontaminate.shards(bench, 100))) > 1
+
+
+def least_edits(piece, text):
+    """The fewest edits that turn the piece into some part of the text."""
+    cost = [0] * (len(text) + 1)
+    for i, c in enumerate(piece, 1):
+        last, cost[0] = cost[0], i
+        for j, d in enumerate(text, 1):
+            last, cost[j] = cost[j], min(last + (c != d), cost[j] + 1, cost[j - 1] + 1)
+    return min(cost)
+
+
+def test_cut_pieces_against_all_alignments(spark, docs):
+    """Long items, whole, in part and edited, against the least edits of every piece."""
+    r = random.Random(21)
+    noise = lambda n: "".join(r.choice("abcdefg ") for _ in range(n))
+    items = [(i, noise(r.randint(200, 420))) for i in range(4)]
+
+    def worn(text, edits):
+        b = list(text)
+        for _ in range(edits):
+            p = r.randrange(len(b))
+            b[p : p + 1] = r.choice([[], ["x"], [b[p], "y"]])
+        return "".join(b)
+
+    rows = []
+    for i in range(24):
+        text = items[i % 4][1]
+        a = r.randrange(0, len(text) - 130)
+        rows.append((i, noise(60) + worn(text[a : a + r.choice([100, 125, 150, 190])], r.choice([0, 3, 6, 9])) + noise(60)))
+    pieces = decontaminate.Pieces.of(items)
+    want = {}
+    for i, t in rows:
+        text = " ".join(t.encode().lower().decode().split(" "))
+        text = re.sub(" +", " ", text).encode()
+        want[i] = sorted({int(n) for n, p in zip(pieces.item, pieces.text) if least_edits(p, text) <= int(decontaminate.EDIT_RATE * len(p))})
+    got = {x["doc_id"]: x["items"] for x in decontaminate.contamination(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and 4 < sum(map(bool, want.values())) < 24
+
+
+def test_decontamination_of_long_texts(spark, docs):
+    bench = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
+    far = "some other words in between, " * 100_000
+    got = {x["doc_id"]: x["items"] for x in decontaminate.contamination(docs([(1, far + ITEMS[0] + far), (2, far), (3, "z" * 3_000_000)]), bench).collect()}
+    assert got == {1: [0], 2: [], 3: []}
 
 
 def test_filter_loses_no_match_within_the_budget():
@@ -176,13 +227,6 @@ def test_filter_loses_no_match_within_the_budget():
         assert index.search(text, np.array([0, len(text)])), bytes(e)
 
 
-def test_several_shards(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 100)
-    bench = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
-    found = decontaminate.shards(bench, 100)
-    assert len(found) > 1 and sum(len(p.text) for p in found) == len(decontaminate.shards(bench, 1 << 20)[0].text)
-
-
 PII = "Call +1 (988) 555-2485 or +49 30 1234567; card 4041 8949 7460 8795, 4041894974608795 bad 4041894974608796; ip 42.144.35.254 x 999.1.1.1, 123-45-6789 000-12-3456; DE89370400440532013000; 1984-02-29, 31/12/1999, 31.02.2001; bosbt.42@mail8.example.com."
 
 

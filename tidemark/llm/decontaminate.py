@@ -12,13 +12,19 @@ cut into overlapping pieces, so that a part of an item is found as well.
 3. Regions that reach the bound are aligned with the piece: the fewest edits that
    turn the piece into some part of the region, within a band of k diagonals.
 
-The benchmark travels to the tasks.  Its size is checked: beyond SHARD_BYTES it is
-cut into shards, each its own pass, and the passes' findings are united.
+Items too short for that many grams are looked up exactly, between word boundaries, by
+an automaton.
+
+The benchmark travels to the tasks.  Its size is checked: beyond SHARD_BYTES it is cut
+into shards, which the documents pass one after the other within one stage.  The driver
+holds one shard at a time, and a worker process builds the index of a shard once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import sys
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +38,7 @@ Q = 8
 EDIT_RATE = 0.05
 #: Items longer than WHOLE bytes are cut into pieces of PIECE bytes, PIECE // 2 apart.
 WHOLE, PIECE = 180, 120
-#: Normalised items below this are no evidence of anything and are passed over.
+#: Normalised items of fewer bytes allow no edits: they count where they stand as they are.
 LEAST_BYTES = 24
 SHARD_BYTES = 32 << 20
 TABLE_BITS = 22
@@ -40,6 +46,8 @@ CELL = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 def normalised(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,24 +64,28 @@ def normalised(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Pieces:
-    """Benchmark pieces and an index of their q-grams."""
+    """Benchmark pieces, and items too short to have any."""
 
     item: np.ndarray
     text: list[bytes]
+    short: list[tuple[int, bytes]] = field(default_factory=list)
 
     @classmethod
     def of(cls, items: list[tuple[int, str | None]]) -> "Pieces":
-        number, text = [], []
+        number, text, short = [], [], []
         for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
             raw = np.frombuffer((t or "").encode(), np.uint8)
             b = normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-            if i is None or len(b) < LEAST_BYTES:
+            if i is None or not b:
+                continue
+            if len(b) < LEAST_BYTES:
+                short.append((i, b))
                 continue
             at = [0] if len(b) <= WHOLE else [*range(0, len(b) - PIECE, PIECE // 2), len(b) - PIECE]
             for a in at:
                 number.append(i)
                 text.append(b if len(b) <= WHOLE else b[a : a + PIECE])
-        return cls(np.array(number, dtype=np.int64), text)
+        return cls(np.array(number, dtype=np.int64), text, short)
 
     def index(self) -> "Index":
         return Index(self)
@@ -99,6 +111,34 @@ class Index:
         self.least = [(int((size + self.edits)[grade == g].max()), int(self.bound[grade == g].min())) for g in np.unique(grade)]
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.table[_slot(self.value)] = True
+        self.exact = None
+        if pieces.short:
+            import ahocorasick
+
+            items: dict[bytes, list[int]] = {}
+            for i, b in pieces.short:
+                items.setdefault(b, []).append(i)
+            self.exact = ahocorasick.Automaton()
+            for b, numbers in items.items():
+                self.exact.add_word(b.decode("latin-1"), (len(b), numbers))
+            self.exact.make_automaton()
+
+    def found(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item, from, to) of every place that holds an item or a piece of one."""
+        return self.search(buf, off) + self.short(buf, off)
+
+    def short(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Exact places of the short items, with no letter or digit at either side (bytes beyond ASCII are letters)."""
+        if self.exact is None:
+            return []
+        out = []
+        for r, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            text = buf[a:b]
+            for last, (n, numbers) in self.exact.iter(text.tobytes().decode("latin-1")):
+                first = last - n + 1
+                if not (first and _LETTER[text[first - 1]] and _LETTER[text[first]]) and not (last + 1 < len(text) and _LETTER[text[last + 1]] and _LETTER[text[last]]):
+                    out += [(r, i, first, last + 1) for i in numbers]
+        return out
 
     def _dense(self, hit: np.ndarray) -> np.ndarray:
         """Places of the hits that lie where some class of pieces could reach its bound."""
@@ -197,82 +237,112 @@ def _aligned(piece: bytes, region: bytes, k: int) -> tuple[int, int] | None:
     return (int(begin[end]), end) if cost[end] <= k else None
 
 
-FOUND = "doc_id long, tie long, items array<long>, spans array<long>"
+def _index(shard) -> Index:
+    """The shard's index, made once in a worker process; the last one is kept."""
+    kept = sys.__dict__.setdefault("_benchmark_index", {})
+    if shard.id not in kept:
+        kept.clear()
+        kept[shard.id] = shard.value.index()
+    return kept[shard.id]
 
 
-def _searched(pieces: Pieces):
-    made: list[Index] = []
+@dataclass
+class Shard:
+    """A broadcast shard of the benchmark; id tells it from others on a worker."""
 
-    def run(batches):
-        if not made:
-            made.append(pieces.index())
-        for batch in batches:
-            ids, ties = batch.column("doc_id"), batch.column("tie")
-            buf, off = K.buffer_of(batch.column("text"))
-            for i, j in K.row_chunks(off, 1 << 20):
-                text, at = normalised(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                rows: dict[int, list[tuple[int, int, int]]] = {}
-                for r, item, a, b in made[0].search(text, at):
-                    rows.setdefault(r, []).append((item, a, b))
-                items = [sorted({x[0] for x in rows.get(r, ())}) for r in range(j - i)]
-                spans = [[y for x in sorted(set(rows.get(r, ()))) for y in x] for r in range(j - i)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), ties.slice(i, j - i), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int64()))], names=["doc_id", "tie", "items", "spans"])
+    id: str
+    broadcast: object
 
-    return run
+    @property
+    def value(self) -> Pieces:
+        return self.broadcast.value
 
 
-def shards(benchmark: DataFrame, most: int = SHARD_BYTES) -> list[Pieces]:
-    """The benchmark in pieces, at most about ``most`` bytes of text a shard."""
+def shards(benchmark: DataFrame, most: int = SHARD_BYTES) -> Iterator[Pieces]:
+    """The benchmark in pieces, at most about ``most`` bytes of text a shard, one after the other."""
     total = int(benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)
     n = total // most + 1
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    found = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n))
-    return [Pieces.of([(r["item_id"], r["text"]) for r in x.collect()]) for x in found]  # at most SHARD_BYTES each
+    for i in range(n):
+        mine = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
+        yield Pieces.of([(r["item_id"], r["text"]) for r in mine.collect()])  # SHARD_BYTES at most
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, tie, items, spans; one row for each input row.
+def _sent(benchmark: DataFrame, most: int) -> Iterator[Shard]:
+    import uuid
 
-    items: sorted item_ids of which the text holds a piece (a whole item of up to 180
-    bytes, else 120 of its bytes) within a twentieth of the piece's bytes as edits, after
-    lowering ASCII and Latin-1 letters and taking runs of spaces as one.  spans: item, from, to, in
-    bytes of the text so normalised.  A null or empty text holds none; items that are
-    null, of null id or under 24 bytes are passed over; equal items are both reported.
-    tie is a hash of the text.  Other columns are ignored, whatever their names.
-    """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    parts = [own.mapInArrow(_searched(p), FOUND) for p in shards(benchmark)]
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    each = both.groupBy("doc_id", "tie").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return own.select("doc_id", "tie").join(each.withColumnRenamed("doc_id", "d"), (F.col("doc_id").eqNullSafe(F.col("d"))) & (own["tie"] == each["tie"])).select("doc_id", own["tie"], "items", "spans")
+    for pieces in shards(benchmark, most):
+        yield Shard(uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(pieces))
+
+
+def _hits(shard: Shard, batch: pa.RecordBatch):
+    """(row, item, from, to) of a batch's texts."""
+    buf, off = K.buffer_of(batch.column("text"))
+    for i, j in K.row_chunks(off, 1 << 20):
+        text, at = normalised(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        for r, item, a, b in _index(shard).found(text, at):
+            yield i + r, item, a, b
 
 
-def _clean(pieces: Pieces):
-    made: list[Index] = []
+FOUND = "doc_id long, tie long, text string, items array<long>, spans array<long>"
 
+
+def _searched(shard: Shard, last: bool):
+    names = ["doc_id", "tie", *([] if last else ["text"])]
+
+    def run(batches):
+        for batch in batches:
+            rows: dict[int, set[tuple[int, int, int]]] = {}
+            for r, *span in _hits(shard, batch):
+                rows.setdefault(r, set()).add(tuple(span))
+            items, spans = batch.column("items").to_pylist(), batch.column("spans").to_pylist()
+            for r, mine in rows.items():
+                items[r] = sorted({*items[r], *(x[0] for x in mine)})
+                spans[r] = spans[r] + [y for x in sorted(mine) for y in x]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(items, longs), pa.array(spans, longs)], names=[*names, "items", "spans"])
+
+    return run
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, tie, items, spans; one row for each input row, equal rows alike.
+
+    items: sorted item_ids of which the text holds a piece (a whole item of up to 180
+    bytes, else 120 of its bytes) within a twentieth of the piece's bytes as edits, after
+    lowering ASCII and Latin-1 letters and taking runs of spaces as one.  An item under 24
+    bytes counts where it stands without edits between word boundaries.  spans: item, from,
+    to, in bytes of the text so normalised.  A null or empty text holds none; items that are
+    null, empty or of null id are passed over; equal items are both reported.  A null
+    doc_id stays null.  A very long text is searched whole.  tie is a hash of the text.
+    Other columns are ignored, whatever their names.
+    """
+    none = F.array().cast("array<bigint>")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text", none.alias("items"), none.alias("spans"))
+    sent = _sent(benchmark, most)
+    shard = next(sent)
+    while shard is not None:
+        following = next(sent, None)
+        last = following is None  # the texts are passed on to further shards only
+        found = found.mapInArrow(_searched(shard, last), FOUND.replace("text string, ", "") if last else FOUND)
+        shard = following
+    return found
+
+
+def _clean(shard: Shard):
     def run(batches):
-        if not made:
-            made.append(pieces.index())
         for batch in batches:
-            buf, off = K.buffer_of(batch.column("text"))
             keep = np.ones(batch.num_rows, dtype=bool)
-            for i, j in K.row_chunks(off, 1 << 20):
-                text, at = normalised(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                for r, *_ in made[0].search(text, at):
-                    keep[i + r] = False
+            keep[[r for r, *_ in _hits(shard, batch)]] = False
             yield batch.filter(pa.array(keep))
 
     return run
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that hold no piece of the benchmark, all their columns unchanged."""
-    for p in shards(benchmark):
-        docs = docs.mapInArrow(_clean(p), docs.schema)
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
+    """The rows that hold no item of the benchmark, nor a piece of one, all their columns unchanged."""
+    for shard in _sent(benchmark, most):
+        docs = docs.mapInArrow(_clean(shard), docs.schema)
     return docs
 
 
