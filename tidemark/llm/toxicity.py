@@ -131,28 +131,32 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
         texts_with += np.bincount(counts(part)[0], minlength=size)
     least = max(LEAST_TEXTS, LEAST_SHARE * len(texts))
     weight = np.where(texts_with < least, 0.0, COMMON / (COMMON + texts_with / len(texts)))
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i, part in _pieces(texts):
-        bucket, doc, times = counts(part)
-        live = weight[bucket] > 0
-        bucket, doc, w = bucket[live], doc[live], (times[live] * weight[bucket[live]]).astype(np.float32)
-        total = np.bincount(doc, weights=w, minlength=len(part))
-        held.append((bucket, doc + np.int32(i), (GAIN * w / total[doc]).astype(np.float32)))
-    bucket, doc, w = (np.concatenate(x) for x in zip(*held))
-    del held
-
     rng = np.random.default_rng(SEED)
     embed = rng.normal(0, 0.1, (size, DIMENSION))
     soft = rng.normal(0, 0.5, (2, DIMENSION))
     bias = np.zeros(2)
     toxic = int((labels == 1).sum())
     worth = np.where(labels == 1, max(1.0, BALANCE * (len(labels) - toxic) / toxic), 1.0)
-    part = rng.permutation(len(texts)) % BATCHES
+    batch_of = rng.permutation(len(texts)) % BATCHES
+    place = np.zeros(len(texts), np.int32)  # of a text within its batch
+    for b in range(BATCHES):
+        place[batch_of == b] = np.arange((batch_of == b).sum())
+    held: list[list] = [[] for _ in range(BATCHES)]
+    for i, part in _pieces(texts):
+        bucket, doc, times = counts(part)
+        live = weight[bucket] > 0
+        bucket, doc, w = bucket[live], doc[live], (times[live] * weight[bucket[live]]).astype(np.float32)
+        total = np.bincount(doc, weights=w, minlength=len(part))
+        w = (GAIN * w / total[doc]).astype(np.float32)
+        for b in np.unique(batch_of[i : i + len(part)]).tolist():
+            mine = batch_of[doc + i] == b
+            held[b].append((bucket[mine], place[doc[mine] + i], w[mine]))
+    none = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
     batches = []
     for b in range(BATCHES):
-        rows, mine = np.flatnonzero(part == b), part[doc] == b
-        batches.append((bucket[mine], np.searchsorted(rows, doc[mine]).astype(np.int32), w[mine], labels[rows].astype(np.int64), worth[rows]))
-    del bucket, doc, w
+        own = [np.concatenate(x) for x in zip(none, *held[b])]
+        held[b] = []
+        batches.append((*own, labels[batch_of == b].astype(np.int64), worth[batch_of == b]))
     seen_embed, seen_soft, seen_bias = np.full((size, DIMENSION), 1e-8), np.full((2, DIMENSION), 1e-8), np.full(2, 1e-8)
     for _ in range(EPOCHS):
         for bucket, doc, w, y, own in batches:
