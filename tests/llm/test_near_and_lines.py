@@ -103,6 +103,43 @@ def test_lines_against_brute_force(docs, corpus):
     assert out.where(F.col("doc_id") == 201).first()[reach] == 4
 
 
+def test_runs_are_the_longest_that_start_earlier(docs):
+    """Random documents over few lines, so that runs overlap, repeat within a text and are pieced from several places."""
+    import random
+
+    r = random.Random(31)
+    pool = [f"line number {i} of the pool" for i in range(6)] + ["ab", "x y"]
+    rows = [(i, "\n".join(r.choice(pool + [f"own {i} {k}" for k in range(2)]) for _ in range(r.randint(1, 40)))) for i in range(30)]
+    rows += [(40, rows[3][1] + "\n" + rows[4][1]), (41, rows[40 - 10][1] if len(rows) > 30 else rows[5][1]), (42, "\n".join(["same old line of five words"] * 70)), (43, rows[7][1])]
+    seqs = {i: t.split("\n") for i, t in rows}
+    want = {}
+    for i, s in seqs.items():
+        for n in range(len(s)):
+            best = 0
+            for j, o in seqs.items():
+                if j > i:
+                    continue
+                for m in range(len(o) if j < i else n):
+                    k = 0
+                    while n + k < len(s) and m + k < len(o) and s[n + k] == o[m + k]:
+                        k += 1
+                    best = max(best, k)
+            if best > 1 or (best == 1 and len(s[n].split()) >= 5):
+                want[i, n] = best
+    got = {(x["d"], x["n"]): x["run"] for x in line_dedup.repeated_runs(docs(rows)).collect()}
+    assert got == want and max(want.values()) > 60
+    out, count, reach = line_dedup.without_repeats(docs(rows))
+    for x in out.collect():
+        runs = {n: k for (i, n), k in want.items() if i == x["doc_id"]}
+        assert x[count] == len({m for n, k in runs.items() for m in range(n, n + k)}) and (x[reach] or 0) == max(runs.values(), default=0)
+
+
+def test_lines_of_long_texts(docs):
+    long = "\n".join(f"line {i} of a very long text" for i in range(60_000))
+    out, count, reach = line_dedup.without_repeats(docs([(1, long), (2, "first\n" + long), (3, "z" * 2_000_000)]))
+    assert sorted((r["doc_id"], r[count], r[reach], len(r["text"])) for r in out.collect()) == [(1, 0, None, len(long)), (2, 60_000, 60_000, 5), (3, 0, None, 2_000_000)]
+
+
 def test_lines_edge_rows(docs):
     five = "one two three four five"
     out, count, _ = line_dedup.without_repeats(docs([(1, five), (1, five), (None, five), (2, None)]))

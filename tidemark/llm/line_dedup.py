@@ -1,21 +1,28 @@
 """Line dedup: repeated runs of lines by distributed prefix doubling.
 
 Lines become numbers, documents become sequences of them.  As in suffix-array
-construction by prefix doubling, round r names the run of 2**r lines that starts
-at each position, from the names of its two halves.  A name is the first place at
-which that run occurs, so names need no global ranking, and equal names are the
-intervals of the suffix order whose common prefix is 2**r lines or longer.
-Positions whose run occurs once leave the rounds at once.  The rounds give, for
-each position that is a later copy, the longest run it repeats from an earlier
-place; maximal runs and the lines to delete follow from that.
+construction by prefix doubling, round r gives every position the rank of its run of
+2**r lines: round 0 ranks the lines, and a later round splits each group of equal rank
+by the rank 2**r lines on, so that a group is an interval of the suffix order whose
+common prefix is 2**r lines or longer.  Positions whose run occurs once leave the
+rounds at once: no repeated run starts there.  A position is a later copy at depth 2**r
+if its interval holds an earlier place.
+
+From the deepest such round the interval is narrowed bit by bit: the run of 2**r + x
+lines is known by two ranks of round r, x apart, and the positions that share both are
+the interval of that depth.  The last depth whose interval still holds an earlier place
+is the exact length of the longest run that starts there and earlier, too.  Runs that no
+run from an earlier line covers are maximal; their lines are deleted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.columns import WORD, fresh
+from tidemark.llm.ordering import hot_join, numbered
 from tidemark.llm.recurrence import NO_ID
 from tidemark.llm.sizing import stage
 
@@ -42,39 +49,82 @@ def sequences(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     return rows.select("d", "t", "n", F.col("s.pos").alias("pos"), F.xxhash64(line).alias("id"), F.xxhash64(F.lit(7), line).alias("id2"), F.least(count, F.lit(LEAST_WORDS)).cast("byte").alias("words")).distinct()
 
 
-def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """d, t, n, pos, run: positions where a repeated run starts, and its length in lines."""
-    seq = stage(sequences(docs), "lines")
-    first = seq.groupBy("id", "id2").agg(F.min(_place("d", "t", "n")).alias("name"), F.count("*").alias("c")).where("c > 1").drop("c")
-    level = seq.join(first, ["id", "id2"]).select("d", "t", "n", "pos", "words", "name")
+def ranked_levels(seq: DataFrame) -> list[DataFrame]:
+    """d, t, n, rank, c, first for each round: positions whose run of 2**r lines repeats.
+
+    rank, c: the run's interval of the suffix order, its first number and its size (numbers
+    of runs that don't repeat are left out); first: the earliest place in it.  Groups are
+    counted before they are joined, and the rows of a large one stay where they are.
+    """
+    place = _place("d", "t", "n")
+    total = seq.count()
+    lines = seq.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+    lines = numbered(lines, [], [F.col("id"), F.col("id2")], "line-ranks", ("c",)).withColumnRenamed("before_c", "rank")
+    level = hot_join(seq, stage(lines.drop("nth"), "ranked-lines"), ["id", "id2"], "c", total).select("d", "t", "n", "words", "rank", "c", "first")
     levels = []
     for r in range(MOST_ROUNDS):
         level = stage(level, f"runs-{r}")
-        levels.append(level)
-        # the run of 2 ** (r + 1) lines at a place: names of its halves
-        half = level.select("d", "t", (F.col("n") - (1 << r)).alias("n"), F.col("name").alias("then"))
-        pair = level.join(half, ["d", "t", "n"])
-        first = pair.groupBy("name", "then").agg(F.min(_place("d", "t", "n")).alias("fore"), F.count("*").alias("c")).where("c > 1").drop("c")
-        level = pair.join(first, ["name", "then"]).select("d", "t", "n", "pos", "words", F.col("fore").alias("name"))
-        if level.isEmpty():
+        size = level.count()
+        if not size:
             break
-    # longest repeated power of two at each later copy; a single line needs enough words
-    found = None
+        levels.append(level)
+        # the run of 2 ** (r + 1) lines at a place: ranks of its halves
+        half = level.select("d", "t", (F.col("n") - (1 << r)).alias("n"), F.col("rank").alias("then"))
+        pair = stage(level.select("d", "t", "n", "rank").join(half, ["d", "t", "n"]), f"halves-{r}")
+        split = pair.groupBy("rank", "then").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+        split = numbered(split, ["rank"], [F.col("then")], f"split-{r}", ("c",))
+        split = stage(split.select("rank", "then", "first", "c", (F.col("rank") + F.col("before_c")).alias("within")), f"ranks-{r}")
+        level = hot_join(pair, split, ["rank", "then"], "c", size).select("d", "t", "n", F.col("within").alias("rank"), "c", "first")
+    return levels
+
+
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """d, t, n, run: the positions where a run starts that also starts earlier, and the length in lines of the longest."""
+    levels = ranked_levels(stage(sequences(docs), "lines"))
+    place = _place("d", "t", "n")
+    if not levels:
+        empty = docs.sparkSession.range(0)
+        return empty.select(F.col("id").alias("d"), F.col("id").alias("t"), F.col("id").cast("int").alias("n"), F.col("id").alias("run"))
+    every = None
     for r, x in enumerate(levels):
-        later = x.where(F.col("name") < _place("d", "t", "n"))
-        if r == 0:
-            later = later.where(F.col("words") >= least_words)
-        part = later.select("d", "t", "n", F.lit(1 << r).alias("run"))
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("d", "t", "n").agg(F.max("run").alias("run"))
+        part = x.select(F.lit(r).alias("r"), "d", "t", "n", "rank", "c", "first")
+        every = part if every is None else every.unionByName(part)
+    # the deepest round at which a position is a later copy; a lone line needs enough words
+    later = every.where(F.col("first") < place).groupBy("d", "t", "n").agg(F.max("r").alias("r"))
+    short = levels[0].where(F.col("words") < least_words).select("d", "t", "n", F.lit(0).alias("r"))
+    state = later.join(short, ["d", "t", "n", "r"], "left_anti").join(every.select("r", "d", "t", "n", "rank", "c"), ["d", "t", "n", "r"])
+    done = stage(state.select("d", "t", "n", "r", "rank", "c", F.lit(0).cast("long").alias("x")), "copies")
+    top = done.agg(F.max("r")).first()[0]
+    for bit in range((top or 0) - 1, -1, -1):
+        # deeper by 2 ** bit: x more lines are asked for wherever the round allows
+        ask = done.where(F.col("r") > bit)
+        asked = stage(ask.groupBy("r", "rank", (F.col("x") + (1 << bit)).alias("x")).agg(F.first("c").alias("c")), f"asked-{bit}")
+        size = every.count() if bit == top - 1 else size
+        deep = every.where(F.col("r") > bit)
+        members = hot_join(deep.select("r", "rank", "d", "t", "n"), asked, ["r", "rank"], "c", size)
+        far = deep.select("r", "d", "t", F.col("n").alias("at"), F.col("rank").alias("then"))
+        members = members.withColumn("at", F.col("n") + F.col("x")).join(far, ["r", "d", "t", "at"])
+        members = stage(members.select("r", "rank", "x", "then", "d", "t", "n"), f"narrowed-{bit}")
+        same = members.groupBy("r", "rank", "x", "then").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+        deeper = hot_join(members, stage(same, f"intervals-{bit}"), ["r", "rank", "x", "then"], "c", size).where(F.col("first") < place)
+        deeper = deeper.select("d", "t", "n", "r", F.col("x").alias("more"))
+        fit = (F.col("s.d") == F.col("m.d")) & (F.col("s.t") == F.col("m.t")) & (F.col("s.n") == F.col("m.n")) & (F.col("s.r") == F.col("m.r")) & (F.col("s.x") + (1 << bit) == F.col("m.more"))
+        done = done.alias("s").join(deeper.alias("m"), fit, "left").select("s.d", "s.t", "s.n", "s.r", "s.rank", "s.c", F.coalesce("m.more", "s.x").alias("x"))
+        done = stage(done, f"depths-{bit}")
+    return done.select("d", "t", "n", (F.expr("shiftleft(1L, r)") + F.col("x")).alias("run"))
 
 
 def deleted_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """d, t, gone (numbers among lines with a word), longest: one row for each document that loses lines."""
-    runs = repeated_runs(docs, least_words)
-    # a longer run's lines, all but its last, start repeated runs of two themselves
-    each = runs.select("d", "t", F.explode(F.sequence("n", F.col("n") + F.least("run", F.lit(2)) - 1)).alias("n"), "run")
-    return each.groupBy("d", "t").agg(F.collect_set("n").alias("gone"), F.max("run").cast("long").alias("longest"))
+    """d, t, gone (numbers among lines with a word), longest: one row for each document that loses lines.
+
+    Only maximal runs count: those that reach beyond every run from an earlier line.
+    """
+    runs = repeated_runs(docs, least_words).withColumn("end", F.col("n") + F.col("run"))
+    before = W.partitionBy("d", "t").orderBy("n").rowsBetween(W.unboundedPreceding, -1)  # one document's lines
+    maximal = runs.withColumn("reached", F.max("end").over(before)).where("reached is null or end > reached")
+    # a run begins where the last one ended, if they overlap
+    each = maximal.select("d", "t", F.explode(F.sequence(F.greatest("n", F.coalesce("reached", "n")), F.col("end") - 1)).alias("n"), "run")
+    return each.groupBy("d", "t").agg(F.collect_list(F.col("n").cast("int")).alias("gone"), F.max("run").alias("longest"))
 
 
 def _cut_texts(text: str, gone: str, count: str):
@@ -116,9 +166,10 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[Da
     also starts earlier: in a document of smaller doc_id, or earlier in the same one.
     Lines without a word stay and do not part a run.  A null text stays null; an empty
     one is unchanged.  Rows of equal doc_id come in order of a hash of their text;
-    equal rows are one document, cut alike.  A null doc_id comes last.  Other columns
-    are unchanged, whatever their names.  The added columns: lines deleted, and the
-    longest power of two of lines repeated from one earlier place (null if none).
+    equal rows are one document, cut alike.  A null doc_id comes last.  A very long text is
+    cut whole.  An empty table stays empty.  Other columns are unchanged, whatever their
+    names.  The added columns: lines deleted, and the longest run of lines that also
+    starts at one earlier place (null if none).
     """
     d, t, g, count, reach = (fresh(docs, x) for x in ("doc", "tie", "gone", "lines_cut", "longest_run"))
     gone = deleted_lines(docs, least_words).select(F.col("d").alias(d), F.col("t").alias(t), F.col("gone").alias(g), F.col("longest").alias(reach))
@@ -128,7 +179,7 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[Da
     return joined.mapInArrow(_cut_texts("text", g, count), ", ".join(f"`{c}` {k}" for c, k in kinds.items())), count, reach
 
 
-#: Runs are compared as lists of lines, at every power of two up to 2 ** 12 lines.
+#: Every pair of equal lines, chained along its diagonal: a chain's rest is the length of the run that both places start.
 ORACLE = r"""
 with lines as (
     select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos
@@ -137,22 +188,22 @@ solid as (
     select doc_id, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) words, line,
            row_number() over (partition by doc_id order by pos) - 1 n
     from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
-seqs as (select doc_id, list(line order by n) ls from solid group by doc_id),
-runs as (
-    select doc_id, n, words, r, list_slice(ls, n + 1, n + (1 << r)) run
-    from solid join seqs using (doc_id) cross join range(13) t(r) where n + (1 << r) <= len(ls)),
-named as (select doc_id, n, words, r, min({'d': doc_id, 'n': n}) over (partition by r, run) f from runs),
-later as (select doc_id, n, r from named where (f.d < doc_id or f.n < n) and (r > 0 or words >= 5)),
-gone as (select doc_id, n from later union select doc_id, n + 1 from later where r > 0),
+pairs as (
+    select a.doc_id d, a.n, a.words, b.doc_id e, a.n - b.n diagonal from solid a join solid b on a.line = b.line
+    and (b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.n < a.n))),
+chains as (select *, n - row_number() over (partition by d, e, diagonal order by n) chain from pairs),
+runs as (select d doc_id, n, words, max(n) over (partition by d, e, diagonal, chain) - n + 1 run from chains),
+longest as (select doc_id, n, max(run) run from runs where run > 1 or words >= 5 group by doc_id, n),
+gone as (select distinct doc_id, unnest(range(n, n + run)) n from longest),
 counts as (select doc_id, count(*) c from gone group by doc_id),
-longest as (select doc_id, max(1 << r) run from later group by doc_id),
+reach as (select doc_id, max(run) run from longest group by doc_id),
 kept as (
     select l.doc_id, string_agg(l.line, chr(10) order by l.pos) body
     from lines l left join solid s using (doc_id, pos) left join gone g on g.doc_id = s.doc_id and g.n = s.n
     where g.n is null group by l.doc_id)
 select d.doc_id, cast(coalesce(c, 0) as bigint) n_removed, cast(coalesce(run, 0) as bigint) longest_run,
        cast(length(coalesce(body, '')) as bigint) n_chars_kept, sha256(coalesce(body, '')) kept_sha256
-from documents d left join kept using (doc_id) left join counts using (doc_id) left join longest using (doc_id)
+from documents d left join kept using (doc_id) left join counts using (doc_id) left join reach using (doc_id)
 """
 
 
