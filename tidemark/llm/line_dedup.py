@@ -1,15 +1,15 @@
 """Line dedup: repeated runs of lines by distributed prefix doubling.
 
 Lines become numbers, documents become sequences of them.  As in suffix-array
-construction by prefix doubling, round r gives every position the rank of its run of
-2**r lines: round 0 ranks the lines, and a later round splits each group of equal rank
-by the rank 2**r lines on, so that a group is an interval of the suffix order whose
-common prefix is 2**r lines or longer.  Positions whose run occurs once leave the
-rounds at once: no repeated run starts there.  A position is a later copy at depth 2**r
-if its interval holds an earlier place.
+construction by prefix doubling, round r names the run of 2**r lines that starts
+at each position, from the names of its two halves.  A name is the first place at
+which that run occurs, so names need no global ranking, and the positions of equal
+name are the interval of the suffix order whose common prefix is 2**r lines or longer.
+Positions whose run occurs once leave the rounds at once: no repeated run starts there.
+A position is a later copy at depth 2**r if its interval's first place is an earlier one.
 
 From the deepest such round the interval is narrowed bit by bit: the run of 2**r + x
-lines is known by two ranks of round r, x apart, and the positions that share both are
+lines is known by two names of round r, x apart, and the positions that share both are
 the interval of that depth.  The last depth whose interval still holds an earlier place
 is the exact length of the longest run that starts there and earlier, too.  Runs that no
 run from an earlier line covers are maximal; their lines are deleted.
@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.columns import WORD, fresh
-from tidemark.llm.ordering import hot_join, numbered
+from tidemark.llm.ordering import hot_join
 from tidemark.llm.recurrence import NO_ID
 from tidemark.llm.sizing import stage
 
@@ -49,68 +49,56 @@ def sequences(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     return rows.select("d", "t", "n", F.col("s.pos").alias("pos"), F.xxhash64(line).alias("id"), F.xxhash64(F.lit(7), line).alias("id2"), F.least(count, F.lit(LEAST_WORDS)).cast("byte").alias("words")).distinct()
 
 
-def ranked_levels(seq: DataFrame) -> list[DataFrame]:
-    """d, t, n, rank, c, first for each round: positions whose run of 2**r lines repeats.
+def named_levels(seq: DataFrame) -> list[DataFrame]:
+    """d, t, n, name for each round (and words for the first): positions whose run of 2**r lines repeats.
 
-    rank, c: the run's interval of the suffix order, its first number and its size (numbers
-    of runs that don't repeat are left out); first: the earliest place in it.  Groups are
-    counted before they are joined, and the rows of a large one stay where they are.
+    Lines are counted before they are joined, and the rows of a very common one stay where
+    they are.
     """
     place = _place("d", "t", "n")
-    total = seq.count()
-    lines = seq.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
-    lines = numbered(lines, [], [F.col("id"), F.col("id2")], "line-ranks", ("c",)).withColumnRenamed("before_c", "rank")
-    level = hot_join(seq, stage(lines.drop("nth"), "ranked-lines"), ["id", "id2"], "c", total).select("d", "t", "n", "words", "rank", "c", "first")
+    lines = seq.groupBy("id", "id2").agg(F.min(place).alias("name"), F.count("*").alias("c")).where("c > 1")
+    level = hot_join(seq, stage(lines, "names"), ["id", "id2"], "c", seq.count()).select("d", "t", "n", "words", "name")
     levels = []
     for r in range(MOST_ROUNDS):
         level = stage(level, f"runs-{r}")
-        size = level.count()
-        if not size:
+        if level.isEmpty():
             break
         levels.append(level)
-        # the run of 2 ** (r + 1) lines at a place: ranks of its halves
-        half = level.select("d", "t", (F.col("n") - (1 << r)).alias("n"), F.col("rank").alias("then"))
-        pair = stage(level.select("d", "t", "n", "rank").join(half, ["d", "t", "n"]), f"halves-{r}")
-        split = pair.groupBy("rank", "then").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
-        split = numbered(split, ["rank"], [F.col("then")], f"split-{r}", ("c",))
-        split = stage(split.select("rank", "then", "first", "c", (F.col("rank") + F.col("before_c")).alias("within")), f"ranks-{r}")
-        level = hot_join(pair, split, ["rank", "then"], "c", size).select("d", "t", "n", F.col("within").alias("rank"), "c", "first")
+        # the run of 2 ** (r + 1) lines at a place: names of its halves
+        half = level.select("d", "t", (F.col("n") - (1 << r)).alias("n"), F.col("name").alias("then"))
+        pair = level.select("d", "t", "n", "name").join(half, ["d", "t", "n"])
+        first = pair.groupBy("name", "then").agg(F.min(place).alias("fore"), F.count("*").alias("c")).where("c > 1").drop("c")
+        level = pair.join(first, ["name", "then"]).select("d", "t", "n", F.col("fore").alias("name"))
     return levels
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """d, t, n, run: the positions where a run starts that also starts earlier, and the length in lines of the longest."""
-    levels = ranked_levels(stage(sequences(docs), "lines"))
-    place = _place("d", "t", "n")
+    levels = named_levels(stage(sequences(docs), "lines"))
     if not levels:
         empty = docs.sparkSession.range(0)
         return empty.select(F.col("id").alias("d"), F.col("id").alias("t"), F.col("id").cast("int").alias("n"), F.col("id").alias("run"))
+    place = _place("d", "t", "n")
     every = None
     for r, x in enumerate(levels):
-        part = x.select(F.lit(r).alias("r"), "d", "t", "n", "rank", "c", "first")
+        part = x.select(F.lit(r).alias("r"), "d", "t", "n", "name", F.coalesce("words", F.lit(least_words)).alias("words") if r == 0 else F.lit(least_words).alias("words"))
         every = part if every is None else every.unionByName(part)
     # the deepest round at which a position is a later copy; a lone line needs enough words
-    later = every.where(F.col("first") < place).groupBy("d", "t", "n").agg(F.max("r").alias("r"))
-    short = levels[0].where(F.col("words") < least_words).select("d", "t", "n", F.lit(0).alias("r"))
-    state = later.join(short, ["d", "t", "n", "r"], "left_anti").join(every.select("r", "d", "t", "n", "rank", "c"), ["d", "t", "n", "r"])
-    done = stage(state.select("d", "t", "n", "r", "rank", "c", F.lit(0).cast("long").alias("x")), "copies")
+    later = every.where((F.col("name") < place) & (F.col("words") >= least_words))
+    done = later.groupBy("d", "t", "n").agg(F.max_by("name", "r").alias("name"), F.max("r").alias("r"))
+    done = stage(done.select("d", "t", "n", "r", "name", F.lit(0).alias("x")), "copies")
     top = done.agg(F.max("r")).first()[0]
     for bit in range((top or 0) - 1, -1, -1):
-        # deeper by 2 ** bit: x more lines are asked for wherever the round allows
-        ask = done.where(F.col("r") > bit)
-        asked = stage(ask.groupBy("r", "rank", (F.col("x") + (1 << bit)).alias("x")).agg(F.first("c").alias("c")), f"asked-{bit}")
-        size = every.count() if bit == top - 1 else size
-        deep = every.where(F.col("r") > bit)
-        members = hot_join(deep.select("r", "rank", "d", "t", "n"), asked, ["r", "rank"], "c", size)
-        far = deep.select("r", "d", "t", F.col("n").alias("at"), F.col("rank").alias("then"))
-        members = members.withColumn("at", F.col("n") + F.col("x")).join(far, ["r", "d", "t", "at"])
-        members = stage(members.select("r", "rank", "x", "then", "d", "t", "n"), f"narrowed-{bit}")
-        same = members.groupBy("r", "rank", "x", "then").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
-        deeper = hot_join(members, stage(same, f"intervals-{bit}"), ["r", "rank", "x", "then"], "c", size).where(F.col("first") < place)
-        deeper = deeper.select("d", "t", "n", "r", F.col("x").alias("more"))
-        fit = (F.col("s.d") == F.col("m.d")) & (F.col("s.t") == F.col("m.t")) & (F.col("s.n") == F.col("m.n")) & (F.col("s.r") == F.col("m.r")) & (F.col("s.x") + (1 << bit) == F.col("m.more"))
-        done = done.alias("s").join(deeper.alias("m"), fit, "left").select("s.d", "s.t", "s.n", "s.r", "s.rank", "s.c", F.coalesce("m.more", "s.x").alias("x"))
-        done = stage(done, f"depths-{bit}")
+        # deeper by 2 ** bit: that many more lines are asked for wherever the round allows
+        deep = every.where(F.col("r") > bit).select("r", "name", "d", "t", "n")
+        asked = done.where(F.col("r") > bit).select("r", "name", (F.col("x") + (1 << bit)).alias("x")).distinct()
+        far = deep.select("r", "d", "t", F.col("n").alias("at"), F.col("name").alias("then"))
+        members = deep.join(asked, ["r", "name"]).withColumn("at", F.col("n") + F.col("x")).join(far, ["r", "d", "t", "at"])
+        members = stage(members.select("r", "name", "x", "then", "d", "t", "n"), f"narrowed-{bit}")
+        same = members.groupBy("r", "name", "x", "then").agg(F.min(place).alias("first"))
+        deeper = members.join(same, ["r", "name", "x", "then"]).where(F.col("first") < place).select("d", "t", "n", "r", F.col("x").alias("more"))
+        grown = done.withColumn("more", F.col("x") + (1 << bit)).join(deeper.withColumn("hit", F.lit(True)), ["d", "t", "n", "r", "more"], "left")
+        done = stage(grown.select("d", "t", "n", "r", "name", F.when(F.col("hit"), F.col("more")).otherwise(F.col("x")).alias("x")), f"depths-{bit}")
     return done.select("d", "t", "n", (F.expr("shiftleft(1L, r)") + F.col("x")).alias("run"))
 
 
