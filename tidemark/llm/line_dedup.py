@@ -8,11 +8,12 @@ name are the interval of the suffix order whose common prefix is 2**r lines or l
 Positions whose run occurs once leave the rounds at once: no repeated run starts there.
 A position is a later copy at depth 2**r if its interval's first place is an earlier one.
 
-From the deepest such round the interval is narrowed bit by bit: the run of 2**r + x
-lines is known by two names of round r, x apart, and the positions that share both are
-the interval of that depth.  The last depth whose interval still holds an earlier place
-is the exact length of the longest run that starts there and earlier, too.  Runs that no
-run from an earlier line covers are maximal; their lines are deleted.
+Where a document's deepest such round is, the interval is narrowed bit by bit: the run of
+2**r + x lines is known by two names of round r, x apart, and the positions that share
+both are the interval of that depth.  The last depth whose interval still holds an
+earlier place is the exact length of the longest run that starts there and earlier, too.
+Elsewhere runs of 2**r lines, one from each position, cover the same lines as the exact
+ones.  Overlapping runs are joined into maximal ones; their lines are deleted.
 """
 
 from __future__ import annotations
@@ -35,29 +36,28 @@ def _place(doc: str, tie: str, nth: str) -> Column:
     return F.struct(F.col(doc).alias("d"), F.col(tie).alias("t"), F.col(nth).alias("n"))
 
 
-def sequences(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """d, t, n, pos, id, id2, words: one row for each line with a word.
+def sequences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """d, t, n, id, id2, alone: one row for each line with a word.
 
     d: doc_id (null as the largest long); t: hash of the text, which tells rows of
-    equal doc_id apart; pos: line number in the text; n: number among lines with a word.
+    equal doc_id apart; n: number among lines with a word; alone: whether the line has
+    the words to be a run by itself.
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("d"), F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines"))
-    solid = F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("x"), i.alias("pos"))), lambda s: s["x"].rlike(WORD))
-    rows = own.select("d", "t", F.posexplode(solid).alias("n", "s"))
-    line = F.col("s.x")
-    count = F.size(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
-    return rows.select("d", "t", "n", F.col("s.pos").alias("pos"), F.xxhash64(line).alias("id"), F.xxhash64(F.lit(7), line).alias("id2"), F.least(count, F.lit(LEAST_WORDS)).cast("byte").alias("words")).distinct()
+    rows = own.select("d", "t", F.posexplode(F.filter("lines", lambda x: x.rlike(WORD))).alias("n", "line"))
+    enough = WORD + rf"(?:[\x20\x09-\x0D]+{WORD}){{{max(0, least_words - 1)}}}"
+    return rows.select("d", "t", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2"), F.col("line").rlike(enough).alias("alone")).distinct()
 
 
 def named_levels(seq: DataFrame) -> list[DataFrame]:
-    """d, t, n, name for each round (and words for the first): positions whose run of 2**r lines repeats.
+    """d, t, n, name for each round (and alone for the first): positions whose run of 2**r lines repeats.
 
     Lines are counted before they are joined, and the rows of a very common one stay where
     they are.
     """
     place = _place("d", "t", "n")
     lines = seq.groupBy("id", "id2").agg(F.min(place).alias("name"), F.count("*").alias("c")).where("c > 1")
-    level = hot_join(seq, stage(lines, "names"), ["id", "id2"], "c", seq.count()).select("d", "t", "n", "words", "name")
+    level = hot_join(seq, stage(lines, "names"), ["id", "id2"], "c", seq.count()).select("d", "t", "n", "alone", "name")
     levels = []
     for r in range(MOST_ROUNDS):
         level = stage(level, f"runs-{r}")
@@ -73,20 +73,26 @@ def named_levels(seq: DataFrame) -> list[DataFrame]:
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """d, t, n, run: the positions where a run starts that also starts earlier, and the length in lines of the longest."""
-    levels = named_levels(stage(sequences(docs), "lines"))
+    """d, t, n, run, exact: the positions where a run starts that also starts earlier, and its length in lines.
+
+    The length is that of the longest such run where ``exact``, which every document's longest
+    runs are; elsewhere its greatest power of two.
+    """
+    levels = named_levels(stage(sequences(docs, least_words), "lines"))
     if not levels:
         empty = docs.sparkSession.range(0)
-        return empty.select(F.col("id").alias("d"), F.col("id").alias("t"), F.col("id").cast("int").alias("n"), F.col("id").alias("run"))
+        return empty.select(F.col("id").alias("d"), F.col("id").alias("t"), F.col("id").cast("int").alias("n"), F.col("id").alias("run"), F.lit(True).alias("exact"))
     place = _place("d", "t", "n")
     every = None
     for r, x in enumerate(levels):
-        part = x.select(F.lit(r).alias("r"), "d", "t", "n", "name", F.coalesce("words", F.lit(least_words)).alias("words") if r == 0 else F.lit(least_words).alias("words"))
+        part = x.select(F.lit(r).alias("r"), "d", "t", "n", "name", F.col("alone") if r == 0 else F.lit(True).alias("alone"))
         every = part if every is None else every.unionByName(part)
     # the deepest round at which a position is a later copy; a lone line needs enough words
-    later = every.where((F.col("name") < place) & (F.col("words") >= least_words))
-    done = later.groupBy("d", "t", "n").agg(F.max_by("name", "r").alias("name"), F.max("r").alias("r"))
-    done = stage(done.select("d", "t", "n", "r", "name", F.lit(0).alias("x")), "copies")
+    later = every.where((F.col("name") < place) & F.col("alone"))
+    found = later.groupBy("d", "t", "n").agg(F.max_by("name", "r").alias("name"), F.max("r").alias("r"))
+    found = found.withColumn("exact", F.col("r") == F.max("r").over(W.partitionBy("d", "t")))  # one document's lines
+    found = stage(found.select("d", "t", "n", "r", "name", F.lit(0).alias("x"), "exact"), "copies")
+    done = found.where("exact").drop("exact")
     top = done.agg(F.max("r")).first()[0]
     for bit in range((top or 0) - 1, -1, -1):
         # deeper by 2 ** bit: that many more lines are asked for wherever the round allows
@@ -94,18 +100,18 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         asked = done.where(F.col("r") > bit).select("r", "name", (F.col("x") + (1 << bit)).alias("x")).distinct()
         far = deep.select("r", "d", "t", F.col("n").alias("at"), F.col("name").alias("then"))
         members = deep.join(asked, ["r", "name"]).withColumn("at", F.col("n") + F.col("x")).join(far, ["r", "d", "t", "at"])
-        members = stage(members.select("r", "name", "x", "then", "d", "t", "n"), f"narrowed-{bit}")
-        same = members.groupBy("r", "name", "x", "then").agg(F.min(place).alias("first"))
-        deeper = members.join(same, ["r", "name", "x", "then"]).where(F.col("first") < place).select("d", "t", "n", "r", F.col("x").alias("more"))
+        first = F.min(place).over(W.partitionBy("r", "name", "x", "then"))
+        deeper = members.withColumn("first", first).where(F.col("first") < place).select("d", "t", "n", "r", F.col("x").alias("more"))
         grown = done.withColumn("more", F.col("x") + (1 << bit)).join(deeper.withColumn("hit", F.lit(True)), ["d", "t", "n", "r", "more"], "left")
         done = stage(grown.select("d", "t", "n", "r", "name", F.when(F.col("hit"), F.col("more")).otherwise(F.col("x")).alias("x")), f"depths-{bit}")
-    return done.select("d", "t", "n", (F.expr("shiftleft(1L, r)") + F.col("x")).alias("run"))
+    rest = found.where("not exact").drop("exact")
+    return done.withColumn("exact", F.lit(True)).unionByName(rest.withColumn("exact", F.lit(False))).select("d", "t", "n", (F.expr("shiftleft(1L, r)") + F.col("x")).alias("run"), "exact")
 
 
 def deleted_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """d, t, gone (numbers among lines with a word), longest: one row for each document that loses lines.
 
-    Only maximal runs count: those that reach beyond every run from an earlier line.
+    Only maximal runs count: a run that reaches no further than those before it adds nothing.
     """
     runs = repeated_runs(docs, least_words).withColumn("end", F.col("n") + F.col("run"))
     before = W.partitionBy("d", "t").orderBy("n").rowsBetween(W.unboundedPreceding, -1)  # one document's lines
