@@ -307,6 +307,7 @@ def test_findings_are_labelled_from_the_corpus(docs):
 def test_long_secrets_are_candidates_whole(docs):
     key = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIEow+/=\n" * 2000 + "-----END RSA PRIVATE KEY-----"
     values = ["0123456789abcdef" * 16, "abcdefgh" * 10 + "1234", "password=" + "x1Y" * 80, "xoxb-" + "1a" * 60, "a1" * 50_000, key, "-----BEGIN PRIVATE KEY-----", "b2" * 1_500_000]
+    assert secret_scan.scan(docs([(1, "a-" * 700_000)]), [secret_scan.Node(value=1.0)], []).first()["n_candidates"] == 0
     got = secret_scan.scan(docs([(i, f"see {v} here") for i, v in enumerate(values)]), [secret_scan.Node(value=1.0)], []).collect()
     assert {r["doc_id"]: [f["value"] for f in r["findings"]] for r in got} == {i: [v] for i, v in enumerate(values)}
 

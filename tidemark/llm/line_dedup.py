@@ -45,7 +45,9 @@ def sequences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("d"), F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines"))
     rows = own.select("d", "t", F.posexplode(F.filter("lines", lambda x: x.rlike(WORD))).alias("n", "line"))
-    enough = WORD + rf"(?:[\x20\x09-\x0D]+{WORD}){{{max(0, least_words - 1)}}}"
+    # words are tried from their beginning only and taken whole, so a very long one is read once
+    word, gap = WORD.removesuffix("+"), r"[\x20\x09-\x0D]++"
+    enough = rf"(?<!{word}){word}++(?:{gap}{word}++){{{max(0, least_words - 1)}}}"
     return rows.select("d", "t", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2"), F.col("line").rlike(enough).alias("alone")).distinct()
 
 

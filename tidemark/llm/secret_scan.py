@@ -47,7 +47,7 @@ KINDS = {
     "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s[A-Za-z0-9+/=:,\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
     "assignment": r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\b[ \t]{0,3}(?:=|:|=>)[ \t]{0,3}[\"']?[^\s\"']{8,}+",
-    "long_string": r"\b(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+\b",
+    "long_string": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+",
 }
 SETTING_WORDS = [
     "access", "account", "admin", "auth", "backup", "base", "build", "cache", "client", "config", "connect", "content", "count", "create", "data", "default",
