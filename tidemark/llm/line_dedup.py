@@ -89,6 +89,7 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     for r, x in enumerate(levels):
         part = x.select(F.lit(r).alias("r"), "d", "t", "n", "name", F.col("alone") if r == 0 else F.lit(True).alias("alone"))
         every = part if every is None else every.unionByName(part)
+    every = stage(every, "levels")  # one table for the many plans below
     # the deepest round at which a position is a later copy; a lone line needs enough words
     later = every.where((F.col("name") < place) & F.col("alone"))
     found = later.groupBy("d", "t", "n").agg(F.max_by("name", "r").alias("name"), F.max("r").alias("r"))
