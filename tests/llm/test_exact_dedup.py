@@ -65,6 +65,45 @@ def test_equal_ids_and_rows(docs):
     assert sorted((r["doc_id"], r["n_removed"] > 0) for r in rows) == [(1, False), (1, False), (2, True)]
 
 
+def test_texts_of_equal_and_null_ids(docs, corpus):
+    # ids that many different texts share; the first text of an id alone holds what its later rows repeat
+    tail = " ".join(f"t{i}" for i in range(30))
+    rows = [(7, t) for _, t in corpus[:12]] + [(None, t) for _, t in corpus[12:24]] + [(8, "a " + tail), (None, "b " + tail), (None, "c " + tail)]
+    got = substring_dedup.remove_repeated_phrases(docs(rows)).select("doc_id", "kept_text").collect()
+    first = {}
+    split = [(LAST if i is None else i, WORD.findall(t or "")) for i, t in rows]
+    for i, w in split:
+        for a in range(len(w) - 12):
+            first[tuple(w[a : a + 13])] = min(first.get(tuple(w[a : a + 13]), i), i)
+    want = []
+    for i, w in split:
+        gone = {k for a in range(len(w) - 12) if first[tuple(w[a : a + 13])] < i for k in range(a, a + 13)}
+        want.append((i, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    assert sorted((LAST if r[0] is None else r[0], r[1]) for r in got) == sorted(want)
+    out = byte_dedup.remove_repeated_strings(docs(rows)).select("doc_id", "n_bytes", "n_removed").collect()
+    assert len(out) == len(rows)
+    places, want = {}, []
+    data = [(LAST if i is None else i, (t or "").encode()) for i, t in rows]
+    for i, b in data:
+        for a in range(len(b) - 99):
+            places[b[a : a + 100]] = min(places.get(b[a : a + 100], (i, a)), (i, a))
+    for i, b in data:
+        gone = {k for a in range(len(b) - 99) if places[b[a : a + 100]] < (i, a) for k in range(a, a + 100)}
+        want.append((i, len(b), len(gone)))
+    assert sorted((LAST if r[0] is None else r[0], r[1], r[2]) for r in out) == sorted(want)
+
+
+def test_long_texts(docs):
+    # several scan chunks and more than a block; the copy begins elsewhere
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long), (2, "other words first " + long), (3, "x" * 1_500_000)]
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeated_phrases(docs(rows)).collect()}
+    assert [(got[i]["n_words"], got[i]["n_removed"]) for i in (1, 2, 3)] == [(300_000, 0), (300_003, 300_000), (1, 0)]
+    assert got[2]["kept_text"] == "other words first"
+    got = {r["doc_id"]: r for r in byte_dedup.remove_repeated_strings(docs(rows)).collect()}
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2, 3)] == [(len(long), 0, 0), (len(long) + 18, len(long), 1), (1_500_000, 1_499_999, 1)]
+
+
 @pytest.mark.parametrize("remove", [byte_dedup.remove_repeated_strings, substring_dedup.remove_repeated_phrases])
 def test_empty_table(docs, remove):
     assert remove(docs([(1, "a")]).limit(0)).count() == 0

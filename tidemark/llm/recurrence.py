@@ -5,8 +5,9 @@ is represented by the smallest hash among its k-unit grams (its *anchor*), a
 function of the window's content alone, so two equal windows always have equal
 anchors.  The steps, all keyed by bounded integers:
 
-1. ``blocks``: documents are dealt by a hash of their id into blocks of a few MB;
-   the one shuffle of text, which the later passes reuse.
+1. ``blocks``: documents are dealt by a hash of their id and text into blocks of a
+   few MB; the one shuffle of text, which the later passes reuse.  Rows of one or
+   no id spread as all others do; only rows equal in both share a block.
 2. ``anchors``: every block sends its distinct anchors (8 bytes each) to anchor
    buckets.  A frequent passage costs one entry a block, not one a document.
 3. ``homes``: a bucket returns each anchor that occurs twice or more to the blocks
@@ -17,7 +18,9 @@ anchors.  The steps, all keyed by bounded integers:
    (doc_id, start) at which it occurs; that is where the named index works.
 6. ``apply``: blocks compare each of their windows with its earliest place.
 
-No step gathers a group that grows with the number of copies of a text.
+A block sends a text once, and a home keeps each distinct text once, so a copy costs a
+block's row at most.  A passage in many different surroundings does gather at its home,
+one text for each.
 """
 
 from __future__ import annotations
@@ -36,8 +39,11 @@ from tidemark.llm.sizing import pieces, text_bytes
 #: A null doc_id is a document after all others.
 NO_ID = np.iinfo(np.int64).max
 BLOCK_BYTES = 4 << 20
+#: Text bytes to a bucket of anchors. Beyond so many buckets a block's rows would hold few anchors each, so buckets
+#: grow first, up to what a task can sort in some 500 MB, and then their number does.
 BUCKET_BYTES = 16 << 20
-MOST_BUCKETS = 200_000
+MANY_BUCKETS = 200_000
+LARGEST_BUCKET_BYTES = 192 << 20
 
 ENTRY = "bucket int, block int, payload binary"
 REPLY = "block int, kind int, payload binary"
@@ -291,26 +297,26 @@ def runs_of(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
 def _resolved(kind: Kind):
     def run(key, table):
         home = key[0].as_py()
-        table = table.combine_chunks()
-        blocks, docs, starts, many, bodies = (table[c].to_pylist() for c in ("block", "doc_id", "start", "many", "body"))
-        distinct: dict[bytes, Body] = {}
-        for b, d, s, m, body in zip(blocks, docs, starts, many, bodies):
-            at = distinct.get(body)
-            if at is None:
-                distinct[body] = Body(body, d, s, 1 + m, b == home)
-            else:
-                at.count += 1 + m
-                at.home |= b == home
-                if (d, s) < (at.doc, at.start):
-                    at.doc, at.start = d, s
-        order = list(distinct.values())
-        verdicts = dict(zip(distinct, kind.resolve(order)))
+        blocks, docs, starts, many = (table[c].to_numpy() for c in ("block", "doc_id", "start", "many"))
+        encoded = table["body"].dictionary_encode().unify_dictionaries()
+        code = np.concatenate([c.indices.to_numpy() for c in encoded.chunks])
+        texts = encoded.chunk(0).dictionary.to_pylist()
+        count = np.bincount(code) + np.bincount(code[many], minlength=len(texts))
+        here = np.zeros(len(texts), dtype=bool)
+        here[code[blocks == home]] = True
+        order = np.lexsort((starts, docs, code))
+        first = order[np.flatnonzero(np.append(True, np.diff(code[order]) > 0))]
+        bodies = [Body(*b) for b in zip(texts, docs[first].tolist(), starts[first].tolist(), count.tolist(), here.tolist())]
+        verdicts = kind.resolve(bodies)
+        single = np.array([len(runs) == 1 for runs in verdicts])
+        lead = np.array([runs[0] for runs in verdicts], dtype=RUN)
+        own = single[code] & (lead["doc"][code] == docs)
+        if not kind.strict_document:
+            own &= lead["base"][code] == starts
+        replies = [_key_of(text) + np.int64(len(runs)).tobytes() + runs.tobytes() for text, runs in zip(texts, verdicts)]
         out: dict[int, list[bytes]] = {}
-        for b, d, s, m, body in zip(blocks, docs, starts, many, bodies):
-            runs = verdicts[body]
-            own = len(runs) == 1 and runs[0]["doc"] == d and (kind.strict_document or runs[0]["base"] == s)
-            if m or not own:
-                out.setdefault(b, []).append(_key_of(body) + np.int64(len(runs)).tobytes() + runs.tobytes())
+        for i in np.flatnonzero(many | ~own).tolist():
+            out.setdefault(int(blocks[i]), []).append(replies[code[i]])
         return pa.table({"block": pa.array(list(out), pa.int32()), "kind": pa.array([VERDICTS] * len(out), pa.int32()), "payload": pa.array([b"".join(x) for x in out.values()], pa.binary())})
 
     return run
@@ -387,8 +393,8 @@ def earlier_windows_removed(docs: DataFrame, kind: Kind, block_bytes: int = BLOC
     """Rows of RESULT, one for each row of ``docs`` (doc_id, text)."""
     total = text_bytes(docs)
     blocks = pieces(total, block_bytes)
-    buckets = pieces(total, BUCKET_BYTES, most=MOST_BUCKETS)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    buckets = max(pieces(total, BUCKET_BYTES, most=MANY_BUCKETS), total // LARGEST_BUCKET_BYTES)
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     entries = dealt.groupBy("block").applyInArrow(_anchor_entries(kind, buckets), ENTRY)
     homes = entries.groupBy("bucket").applyInArrow(_homes, REPLY)
     segments = dealt.groupBy("block").cogroup(homes.groupBy("block")).applyInArrow(_segments(kind), SEGMENT)

@@ -25,7 +25,8 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column)).alias("b")).first().b or 0)
 
 
-def pieces(total: int, each: int, least: int = 16, most: int = 1 << 22) -> int:
+def pieces(total: int, each: int, least: int = 16, most: int = 1 << 30) -> int:
+    """How many pieces of about ``each`` bytes; ``most`` keeps their numbers within an int."""
     return max(least, min(most, total // each + 1))
 
 
