@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_dedup, decontaminate, line_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, substring_dedup, toxicity
+from tidemark.llm import byte_dedup, decontaminate, line_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, sentence_pieces, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.query,
         "op9_substring_dedup": substring_dedup.query,
         "op10_decontamination": decontaminate.query,
+        "op13_sentence_pieces": sentence_pieces.query,
     }
 
 
