@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_dedup, decontaminate, line_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, sentence_pieces, substring_dedup, toxicity
+from tidemark.llm import byte_dedup, decontaminate, line_dedup, mixing, ngram_join, phrases, pii, quality_rules, secret_scan, sentence_pieces, source_divergence, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.query,
         "op9_substring_dedup": substring_dedup.query,
         "op10_decontamination": decontaminate.query,
+        "op11_phrase_collocations": phrases.query,
+        "op12_source_divergence": source_divergence.query,
         "op13_sentence_pieces": sentence_pieces.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ngram_join.ORACLE, "op4_suffix_array_dedup": byte_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE}
+    return {"op3_ngram_join": ngram_join.ORACLE, "op4_suffix_array_dedup": byte_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE, "op11_phrase_collocations": phrases.ORACLE, "op12_source_divergence": source_divergence.ORACLE}
