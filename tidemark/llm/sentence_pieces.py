@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.packing import packed, unpacked
+from tidemark.llm.packing import packed, packed_texts, unpacked, unpacked_texts
 from tidemark.llm.sizing import pieces, text_bytes
 from tidemark.staging import staged_by
 
@@ -30,7 +30,7 @@ MARK = "▁"
 #: A chunk of a text that has a space put in front; spaces that end the text belong to its last word.
 CHUNK = re.compile(r" +[^ ]+(?: +\Z)?| +")
 #: Text of one block, of the blocks that one task puts together, and of the input behind one bucket of chunks.
-BLOCK_BYTES, HOME_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20, 64 << 20
+BLOCK_BYTES, HOME_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20, 16 << 20
 
 
 def read_model(path: str) -> bytes:
@@ -62,12 +62,13 @@ def chunks_of(text: str, apart: bool = True) -> list[str]:
     return [c[1:] for c in CHUNK.findall(" " + text.replace(MARK, " "))] if apart else [text]
 
 
-SPLIT = [("block", "long"), ("doc_ids", None), ("sizes", "binary"), ("sequence", "binary"), ("bucket", "int"), ("numbers", "binary"), ("chunks", "array<string>")]
+SPLIT = [("block", "long"), ("doc_ids", None), ("sizes", "binary"), ("sequence", "binary"), ("bucket", "int"), ("numbers", "binary"), ("chunks", "binary")]
 
 
 def _splitter(buckets: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks: one row with the documents' ids, lengths and chunk numbers, and a row for each
-    bucket that the block has distinct chunks for.  Commoner chunks have smaller numbers."""
+    bucket that the block has distinct chunks for, their numbers as steps.  Commoner chunks
+    have smaller numbers."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth, held = TaskContext.get().partitionId() << 32, 0
@@ -85,16 +86,16 @@ def _splitter(buckets: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]],
             lists = pa.ListArray.from_arrays(pa.array([0, len(owner)], pa.int32()), owner)
             sizes = packed(np.array([len(c) for c in codes], dtype=np.int32))
             none = lambda kind, n: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([pa.array([nth]), lists, pa.array([sizes]), pa.array([packed(rank[every].astype(np.int32))]), none(pa.int32(), 1), none(pa.binary(), 1), none(pa.list_(pa.string()), 1)], names=[c for c, _ in SPLIT])
+            yield pa.RecordBatch.from_arrays([pa.array([nth]), lists, pa.array([sizes]), pa.array([packed(rank[every].astype(np.int32))]), none(pa.int32(), 1), none(pa.binary(), 1), none(pa.binary(), 1)], names=[c for c, _ in SPLIT])
             if not number:
                 return
             home = np.fromiter((zlib.crc32(c.encode()) % buckets for c in number), dtype=np.int64, count=len(number))
-            by = np.argsort(home, kind="stable")
+            by = np.lexsort((rank, home))
             cut = np.flatnonzero(np.append(True, home[by][1:] != home[by][:-1]))
             ends = np.append(cut, len(by))
-            some = [packed(rank[by[a:b]].astype(np.int32)) for a, b in zip(ends[:-1], ends[1:])]
-            texts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(by)))
-            n = len(cut)
+            n, texts = len(cut), names.take(pa.array(by))
+            some = [packed(np.diff(rank[by[a:b]], prepend=0)) for a, b in zip(ends[:-1], ends[1:])]
+            texts = pa.array([packed_texts(texts.slice(a, b - a)) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([nth] * n, pa.int64()), none(lists.type, n), none(pa.binary(), n), none(pa.binary(), n), pa.array(home[by[cut]], pa.int32()), pa.array(some), texts], names=[c for c, _ in SPLIT])
 
         for batch in batches:
@@ -122,16 +123,15 @@ def _segmenter(model) -> Callable[[pa.Table], pa.Table]:
     """Each distinct chunk of a bucket is segmented once; every block gets the ids of its own."""
 
     def segment(rows: pa.Table) -> pa.Table:
-        lists = rows.column("chunks").combine_chunks()
-        every = pc.list_flatten(lists).dictionary_encode()
-        every = every.combine_chunks() if isinstance(every, pa.ChunkedArray) else every
+        lists = [unpacked_texts(b) for b in rows.column("chunks").to_pylist()]
+        every = pa.concat_arrays(lists).dictionary_encode()
         found = _processor(model.value).encode(every.dictionary.to_pylist(), num_threads=1)
         length = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(length.sum()))
         start = np.cumsum(length) - length
         which, at = every.indices.to_numpy(), 0
         out: list[tuple[bytes, bytes]] = []
-        for n in pc.list_value_length(lists).to_pylist():
+        for n in map(len, lists):
             own = which[at : at + n]
             out.append((packed(length[own].astype(np.int32)), packed(flat[_spread(start[own], length[own])])))
             at += n
@@ -153,7 +153,8 @@ def _joiner(model, eos: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
         sp = _processor(model.value)
         read = lambda c: [unpacked(b) for b in answers.column(c).to_pylist()]
         none = [np.empty(0, dtype=np.int32)]
-        number, length = np.concatenate(read("numbers") + none), np.concatenate(read("lengths") + none).astype(np.int64)
+        number = np.concatenate([np.cumsum(steps) for steps in read("numbers")] + none)
+        length = np.concatenate(read("lengths") + none).astype(np.int64)
         flat = np.concatenate([*read("ids"), *none, np.array([sp.eos_id()] if eos else [], dtype=np.int32)])
         place = np.argsort(number)
         length_of, start_of = length[place], (np.cumsum(length) - length)[place]
