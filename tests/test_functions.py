@@ -62,3 +62,23 @@ def test_public_addresses(spark):
 
     df = spark.createDataFrame([(c,) for c in cases], "s string")
     assert {r[0]: r[1] for r in df.select("s", X.is_public_ipv4(F.col("s"))).collect()} == {c: public(c) for c in cases}
+
+
+def test_numbers_of_any_length(spark):
+    cases = [("20240101123456.1", "20240101123455.9", False), ("9" * 14, "1" + "0" * 14, True), ("00012.3", "12.3", False), ("1.99999999999999999999", "1.100000000000000000000", True), ("", "0.0", True), ("x.1", "0.2", True), ("34.1", "34.1.0", True)]
+    df = spark.createDataFrame(cases, "a string, b string, less boolean")
+    for r in df.select("a", "b", "less", (X.version_key(F.col("a")) < X.version_key(F.col("b"))).alias("got")).collect():
+        assert r["got"] == r["less"], r
+    sizes = [("99999999999x1", (None, 1)), ("Physical size: 1080x99999999999999999999", (1080, None)), ("none", (None, None))]
+    got = spark.createDataFrame(sizes, "t string, want struct<w:int,h:int>").select(X.screen_size(F.col("t")).alias("s")).collect()
+    assert [tuple(r["s"]) for r in got] == [w for _, w in sizes]
+    assert one(spark, X.version_numbers(F.col("v")), v="20240101123456.x.7." + "9" * 30) == [20240101123456, 0, 7, None]
+
+
+def test_long_versions_through_the_rule(spark):
+    from tidemark.operators import rules
+
+    raw = lambda v: {"pm_list": "package:com.example.app", "version_name": f"versionName={v}", "shared_prefs": ""}
+    found = spark.createDataFrame([(v, "app_state", raw(v), {}) for v in ("20240101123456.1", "34.1", "19.99999999999999", "00000000000000020.0.0")], rules.SCHEMA)
+    got = {(r["device_id"], r["severity"]) for r in rules.findings(found).collect()}
+    assert got == {("20240101123456.1", "warning"), ("19.99999999999999", "failure")}

@@ -67,9 +67,22 @@ def resolved_metric(*sources: Column) -> Column:
     return F.coalesce(F.greatest(*sources), F.lit(0))
 
 
+def _leading_digits(v: Column) -> Column:
+    return F.transform(F.split(v, r"\."), lambda p: F.regexp_extract(p, r"^([0-9]*)", 1))
+
+
 def version_numbers(v: Column) -> Column:
-    """Leading digits of each dotted part, 0 without; arrays compare as tuples do."""
-    return F.transform(F.split(v, r"\."), lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^(\d+)", 1), F.lit("")).cast("int"), F.lit(0)))
+    """Leading digits of each dotted part as numbers, 0 without, null beyond 18 digits; see ``version_key`` for comparing."""
+    return F.transform(_leading_digits(v), lambda d: F.when(d == "", 0).when(F.length(F.ltrim(d, F.lit("0"))) <= 18, d.try_cast("long")).cast("long"))
+
+
+def version_key(v: Column) -> Column:
+    """Dotted versions in the order of their numbers, of any number of digits; arrays compare as tuples do.
+
+    A number without its leading zeros is greater if it is longer, else by its digits.
+    """
+    bare = F.transform(_leading_digits(v), lambda d: F.ltrim(d, F.lit("0")))
+    return F.transform(bare, lambda d: F.struct(F.length(d).alias("length"), d.alias("digits")))
 
 
 def elapsed_seconds(started: Column, finished: Column) -> Column:
@@ -109,9 +122,9 @@ def pixel(share: Column, size: Column) -> Column:
 
 
 def screen_size(text: Column) -> Column:
-    """``WxH`` after "Physical size", else the first ``WxH``."""
+    """``WxH`` after "Physical size", else the first ``WxH``; a side that no int holds is null."""
     named, first = r"Physical size:\s*(\d+)x(\d+)", r"(\d+)x(\d+)"
-    pick = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, named, i), F.lit("")), F.nullif(F.regexp_extract(text, first, i), F.lit(""))).cast("int")
+    pick = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, named, i), F.lit("")), F.nullif(F.regexp_extract(text, first, i), F.lit(""))).try_cast("int")
     return F.struct(pick(1).alias("width"), pick(2).alias("height"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import holding
+
 METRICS = ("views", "likes", "comments", "shares")
 
 
@@ -18,21 +20,17 @@ def merged_high_water(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def owned(posts: DataFrame, ownership: DataFrame) -> DataFrame:
-    """Posts with each owner of the account when they were published; [valid_from, valid_to).
+    """Posts with client_id, each owner of the account when they were published; [valid_from, valid_to).
 
-    The account is the join key and the interval a residual, so a broadcast or sort-merge
-    join serves; a post without a time, or in a gap, drops out.
+    A post without a time, or in a gap, drops out.  See ``asof.holding`` for the join.
     """
-    inside = (F.col("published_at") >= F.col("valid_from")) & ((F.col("published_at") < F.col("valid_to")) | F.col("valid_to").isNull())
-    o = ownership.withColumnRenamed("account_id", "owned_account")
-    return posts.join(o, (F.col("account_id") == F.col("owned_account")) & inside).drop("owned_account")
+    return holding(posts, ownership.select("account_id", "client_id", "valid_from", "valid_to"), "account_id", "published_at")
 
 
 def first_owner(posts: DataFrame, assignments: DataFrame, key: str = "post_id", default: str = "unattributed") -> DataFrame:
     """Posts with the first assignment in input order that covers them, else the default."""
-    inside = (F.col("published_at") >= F.col("valid_from")) & ((F.col("published_at") < F.col("valid_to")) | F.col("valid_to").isNull())
-    a = assignments.select(F.col("account_id").alias("for_account"), "client", "valid_from", "valid_to", F.col("ord").alias("turn"))
-    joined = posts.join(a, (F.col("account_id") == F.col("for_account")) & inside, "left")
+    a = assignments.select("account_id", "client", "valid_from", "valid_to", F.col("ord").alias("turn"))
+    joined = holding(posts.select(key, "account_id", "published_at"), a, "account_id", "published_at", "left")
     return joined.groupBy(key).agg(F.coalesce(F.min_by("client", "turn"), F.lit(default)).alias("client"))
 
 

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators.asof import holding
+from tidemark.operators.components import components
 from tidemark.staging import staged
 
 OUTAGE = 3
@@ -85,32 +86,39 @@ def matches(posts: DataFrame) -> DataFrame:
 
     A shared row with exactly one candidate row whose id no earlier shared row took is
     matched.  Where no candidate id is within reach of two shared rows that is a count.
-    Only groups that hold a contested id are walked in order: a group is an account's
-    stretch of shared rows at most two hours apart, since two rows that reach for one
-    post lie that close.  An id that two stretches reach for (it is listed under two accounts,
-    or at two times) ties them; all such stretches are one group, walked as a stream.
+    Only groups that hold a contested id are walked in order.  What two rows do only
+    depends on each other if a chain of contested ids ties them: a group is a component
+    (see ``walk_groups``), so unrelated ids are walked by different tasks.
     """
-    found = staged(candidates(posts), "within-reach")  # read four times below
-    # stretches: a gap of more than two hours parts an account's shared rows
-    shares = found.select("account", "share_vendor", "share_ord", "share_turn", "share_at").distinct()
-    seconds = F.unix_micros(F.col("share_at").cast("timestamp"))
-    line = W.partitionBy("account").orderBy("share_at", "share_turn")
-    fresh = F.coalesce(seconds - F.lag(seconds).over(line) > 2_000_000 * X.CLOSE_SECONDS, F.lit(True)).cast("int")
-    stretch = shares.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(line.rowsBetween(W.unboundedPreceding, 0)))
-    rows = found.join(stretch.select("share_vendor", "share_ord", "n"), ["share_vendor", "share_ord"])
-    where = F.struct("account", "n")
-    reach = rows.groupBy("candidate").agg((F.min("share_turn") < F.max("share_turn")).alias("contested"), (F.min(where) < F.max(where)).alias("abroad"))
-    rows = rows.join(reach, "candidate")
-    marks = rows.groupBy("account", "n").agg(F.max("contested").alias("walk"), F.max("abroad").alias("tied"))
-    rows = rows.join(marks, ["account", "n"])
-    alone = rows.where("not walk").groupBy("share_vendor", "share_ord").agg(F.count("*").alias("c"), F.min("candidate").alias("candidate")).where("c = 1").drop("c")
-    grp = F.when(F.col("tied"), F.lit("")).otherwise(F.concat_ws("\u0001", F.col("n").cast("string"), "account"))
+    found = staged(candidates(posts), "within-reach")  # read several times below
+    shared = ["share_vendor", "share_ord"]
+    rows = found.join(walk_groups(found), shared, "left")
+    # a row of no group contests nothing: its candidates are its own
+    alone = rows.where("grp is null").groupBy(*shared).agg(F.count("*").alias("c"), F.min("candidate").alias("candidate")).where("c = 1").drop("c")
     at = F.col("share_turn.v") * F.lit(1 << 60).cast("long") + F.col("share_turn.o")
-    walked = rows.where("walk").select(grp.alias("grp"), at.alias("at"), "share_vendor", "share_ord", "candidate")
-    walked = walked.repartition("grp").sortWithinPartitions("grp", "at", "share_vendor", "share_ord")
+    walked = rows.where("grp is not null").select("grp", at.alias("at"), *shared, "candidate")
+    walked = walked.repartition("grp").sortWithinPartitions("grp", "at", *shared)
     return alone.unionByName(walked.mapInPandas(_walk, WALKED))
 
 
+def walk_groups(found: DataFrame) -> DataFrame:
+    """found: rows of ``candidates``.  share_vendor, share_ord, grp of each shared row that reaches for a contested id.
+
+    Shared rows and the ids that two or more of them reach for are a graph; grp is the
+    component.  Each id ties its rows to the first of them, so an id that very many rows
+    reach for makes as many edges, not their square.
+    """
+    shared = ["share_vendor", "share_ord"]
+    reach = found.select(*shared, "candidate").distinct()
+    # vendors are A and B: the row's number, even for A
+    node = F.col("share_ord") * 2 + F.when(F.col("share_vendor") == "A", 0).otherwise(1)
+    reach = reach.withColumn("node", node.cast("long"))
+    least = reach.groupBy("candidate").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("candidate", "first")
+    tied = staged(reach.join(least, "candidate").select(*shared, "node", "first"), "contested")
+    roots = components(tied.select(F.col("node").alias("a"), F.col("first").alias("b")), "ties")
+    return tied.select(*shared, "node").distinct().join(roots.select(F.col("id").alias("node"), F.col("root").alias("grp")), "node").drop("node")
+
+
 def _grouped(posts: DataFrame, matched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows under the id that they are reported by, and shared rows with their match, if any."""
     met = posts.where("shared").join(matched, (F.col("vendor") == F.col("share_vendor")) & (F.col("ord") == F.col("share_ord")), "left").drop("share_vendor", "share_ord")
@@ -135,9 +143,8 @@ def missing(posts: DataFrame, snapshot: DataFrame, matched: DataFrame | None = N
 
 def _owner(rows: DataFrame, key: str, account: str, at: str, owners: DataFrame) -> DataFrame:
     """Adds client: the first owner in input order whose period holds the time, else unattributed."""
-    own = owners.select(F.col("account").alias("for_account"), F.col("ord").alias("nth"), F.col("client").alias("owner"), "valid_from", "valid_to")
-    inside = (F.col(at) >= F.col("valid_from")) & ((F.col(at) < F.col("valid_to")) | F.col("valid_to").isNull())
-    first = rows.select(key, account, at).join(own, (F.col(account) == F.col("for_account")) & inside).groupBy(key).agg(F.min_by("owner", "nth").alias("client"))
+    own = owners.select(F.col("account").alias(account), F.col("ord").alias("nth"), F.col("client").alias("owner"), "valid_from", "valid_to")
+    first = holding(rows.select(key, account, at), own, account, at).groupBy(key).agg(F.min_by("owner", "nth").alias("client"))
     return rows.join(first, key, "left").withColumn("client", F.coalesce("client", F.lit("unattributed")))
 
 

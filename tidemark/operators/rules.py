@@ -22,6 +22,9 @@ US_TIMEZONES = [
     "Pacific/Honolulu", "US/Eastern", "US/Central", "US/Mountain", "US/Pacific", "US/Alaska", "US/Hawaii", "US/Arizona",
 ]
 MCC = (310, 316)
+INSECURE_LOCKS = ["0", "65536", "null"]
+ACCOUNT_FILES = ["account", "login", "auth", "session", "token", "user"]
+LIMITS = {"package": "com.example.app", "least": "20.0.0", "most": "99.99.99"}
 
 SCHEMA = "device_id string, check string, raw map<string,string>, lists map<string,array<string>>"
 FAIL, WARN = "failure", "warning"
@@ -94,7 +97,7 @@ def sim_mcc() -> list[Column]:
 def screen_lock() -> list[Column]:
     off, kind = F.lower(_p("locksettings get-disabled")), _p("settings get secure lockscreen.password_type")
     unsure = ~off.isin("true", "false")
-    return [_when(off == "true", FAIL, "screen_lock: disabled"), _when(unsure & kind.isin("0", "65536", "null"), FAIL, "screen_lock: password type '", kind, "' is not secure"), _when(unsure & (kind == ""), WARN, "screen_lock: state unknown")]
+    return [_when(off == "true", FAIL, "screen_lock: disabled"), _when(unsure & kind.isin(*INSECURE_LOCKS), FAIL, "screen_lock: password type '", kind, "' is not secure"), _when(unsure & (kind == ""), WARN, "screen_lock: state unknown")]
 
 
 def usb_debugging() -> list[Column]:
@@ -104,13 +107,13 @@ def usb_debugging() -> list[Column]:
 def app_state(package: str, least: str, most: str) -> list[Column]:
     there = _p("pm_list").contains(package)
     version = F.nullif(F.regexp_extract(_p("version_name"), r"versionName=(\S+)", 1), F.lit(""))
-    numbers, prefs = X.version_numbers(version), _p("shared_prefs")
+    number, prefs = X.version_key(version), _p("shared_prefs")
     readable = (prefs != "") & ~prefs.contains("No such file") & ~prefs.contains("Permission denied")
-    left = F.filter(F.split(prefs, "\n"), lambda f: f.rlike("(?i)account|user|login|session|auth|token"))
+    left = F.filter(F.split(prefs, "\n"), lambda f: f.rlike("(?i)" + "|".join(ACCOUNT_FILES)))
     files = F.transform(F.when(there & readable, left), lambda f: F.struct(F.lit(FAIL).alias("severity"), F.concat(F.lit("app_state: leftover account data '"), F.trim(f), F.lit("'")).alias("message")))
     return [
         _when(~there, FAIL, "app_state: ", F.lit(package), " is not installed"), _when(there & version.isNull(), WARN, "app_state: version unknown"),
-        _when(there & (numbers < X.version_numbers(F.lit(least))), FAIL, "app_state: version ", version, " is below ", F.lit(least)), _when(there & (numbers > X.version_numbers(F.lit(most))), WARN, "app_state: version ", version, " exceeds ", F.lit(most)),
+        _when(there & (number < X.version_key(F.lit(least))), FAIL, "app_state: version ", version, " is below ", F.lit(least)), _when(there & (number > X.version_key(F.lit(most))), WARN, "app_state: version ", version, " exceeds ", F.lit(most)),
         files,
     ]
 
@@ -128,9 +131,6 @@ def _judged(results: DataFrame, package: str, least: str, most: str) -> DataFram
     return results.select("device_id", "check", F.filter(chosen.otherwise(of), lambda f: f.isNotNull()).alias("found"), F.coalesce(F.col("check").isin(*registry), F.lit(False)).alias("known"))
 
 
-LIMITS = {"package": "com.example.app", "least": "20.0.0", "most": "99.99.99"}
-
-
 def findings(results: DataFrame, **limits: str) -> DataFrame:
     """device_id, check, severity, message for check results of SCHEMA; limits override LIMITS."""
     return _judged(results, **LIMITS | limits).select("device_id", "check", F.inline("found"))

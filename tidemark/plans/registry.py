@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import health, merge, metrics, reconcile, rollout, rules, runs, store, uilog
+from tidemark.operators import asof, health, merge, metrics, ownership, reconcile, rollout, rules, runs, store, uilog
 from tidemark.sources import fleet
 from tidemark.sources.bindings import Tables, sql
 
@@ -198,8 +198,18 @@ def caption_candidates(t: Tables) -> DataFrame:
     (select c_custkey, cast(10 + c_nationkey as varchar) || '-' || c_custkey c_phone from customer)""")
 def version_range(t: Tables) -> DataFrame:
     v = F.concat((F.col("c_nationkey") + 10).cast("string"), F.lit("-"), F.col("c_custkey").cast("string"))
-    numbers = X.version_numbers(v)
-    return t.raw("customer").select("c_custkey", numbers[0].alias("major"), (numbers >= X.version_numbers(F.lit("20"))).alias("at_least_20"))
+    return t.raw("customer").select("c_custkey", X.version_numbers(v)[0].cast("int").alias("major"), (X.version_key(v) >= X.version_key(F.lit("20"))).alias("at_least_20"))
+
+
+@query("""with v as (select c_custkey, cast('20240101123456' || lpad(cast(c_custkey as varchar), 12, '0') as hugeint) first, c_custkey * 1000003 % 90000000000 mid from customer)
+    select c_custkey, first > 20240101123456000000000700 or (first = 20240101123456000000000700 and mid >= 700002100) "at_least", cast(case when c_custkey % 3 = 0 then 2400 + c_custkey % 7 end as integer) height from v""")
+def long_versions(t: Tables) -> DataFrame:
+    """Versions of dates and times, and screen sizes that no int holds."""
+    k = F.col("c_custkey")
+    digits = F.concat(F.lit("0020240101123456"), F.lpad(k.cast("string"), 12, "0"))
+    v = F.concat_ws(".", digits, F.concat(F.pmod(k * 1000003, F.lit(90000000000)).cast("string"), F.lit("-beta")))
+    size = F.concat(F.lit("Physical size: 1080x"), F.when(F.pmod(k, F.lit(3)) == 0, (F.pmod(k, F.lit(7)) + 2400).cast("string")).otherwise(F.lit("99999999999")))
+    return t.raw("customer").select("c_custkey", (X.version_key(v) >= X.version_key(F.lit("20240101123456000000000700.700002100"))).alias("at_least"), X.screen_size(size)["height"].alias("height"))
 
 
 @query('select event_id, least(pow(2, event_id % 8), 30.0) "seconds" from events')
@@ -501,6 +511,77 @@ def share_matches(t: Tables) -> DataFrame:
     return m.select(F.col("share_vendor").alias("vendor"), F.col("share_ord").alias("ord"), "candidate")
 
 
+#: One walk over all shared rows, whatever their account.
+@query("""with recursive lined as (select share_vendor, share_ord, row_number() over (order by share_turn) k, cands from (select share_vendor, share_ord, share_turn, list(candidate) cands from syndicated_within_reach group by all)),
+    walk as (select 0::bigint k, []::varchar[] taken, null::varchar share_vendor, null::bigint share_ord, null::varchar candidate
+        union all select k, case when len(free) = 1 then list_append(taken, free[1]) else taken end, share_vendor, share_ord, case when len(free) = 1 then free[1] end
+        from (select l.k, w.taken, l.share_vendor, l.share_ord, [c for c in l.cands if not list_contains(w.taken, c)] free from walk w join lined l on l.k = w.k + 1))
+    select share_vendor vendor, share_ord ord, candidate from walk where candidate is not null""")
+def share_matches_two_accounts(t: Tables) -> DataFrame:
+    m = reconcile.matches(reconcile.classified(t.syndicated_posts()))
+    return m.select(F.col("share_vendor").alias("vendor"), F.col("share_ord").alias("ord"), "candidate")
+
+
+#: Every view is a post, and every purchase begins a period of its user, which lasts twenty days or until the next one.
+PERIODS = """periods as (select user_id account_id, event_id client_id, ts valid_from, least(coalesce(lead(ts) over (partition by user_id order by ts, event_id), timestamp '9999-01-01'), ts + interval 20 day) valid_to from events where event_type = 'purchase')"""
+
+
+@query(f"""with {PERIODS} select e.event_id post_id, p.client_id from events e join periods p on p.account_id = e.user_id and e.ts >= valid_from and e.ts < valid_to where event_type = 'view'""")
+def owners_of_long_histories(t: Tables) -> DataFrame:
+    """Every history is merged with its posts in order of time."""
+    return asof.holding(_views(t), _bought(t), "account_id", "published_at", few=0).select("post_id", "client_id")
+
+
+@query(f"""with {PERIODS}, longer as (select account_id, client_id, valid_from, valid_from + interval 1 hour * (client_id % 40) valid_to from periods where client_id % 40 > 0),
+    swept as (select *, max(valid_to) over (partition by account_id order by valid_from, valid_to, client_id rows between unbounded preceding and 1 preceding) until from longer)
+    select account_id, client_id, valid_from, valid_to, until from swept where until > valid_from""")
+def ownership_overlaps(t: Tables) -> DataFrame:
+    longer = _bought(t).where("client_id % 40 > 0").withColumn("valid_to", F.col("valid_from") + F.make_interval(hours=F.pmod("client_id", F.lit(40)).cast("int")))
+    return asof.overlapping(longer)
+
+
+#: Each order moves its account in the month of the order: many at once, many before the open period, many against each other.
+CHANGES = """changes as (select o_custkey account_id, o_orderkey % 4 client_id, cast(date_trunc('month', o_orderdate) as timestamp) "at" from orders),
+    held as (select * from ownership where account_id % 7 <> 0 and (account_id % 5 <> 0 or valid_to is not null)),
+    now as (select account_id, max(valid_from) filter (valid_to is null) open_from, max(client_id) filter (valid_to is null) holder, max(valid_to) ended from held group by all),
+    judged as (select c.account_id, "at", min(client_id) client_id, case when "at" <= any_value(open_from) or (any_value(open_from) is null and "at" < any_value(ended)) then 'late' when min(client_id) <> max(client_id) then 'contradictory' end why, any_value(holder) holder
+        from changes c left join now n on n.account_id = c.account_id group by c.account_id, "at"),
+    told as (select *, case when why is not null then why when coalesce(lag(client_id) over (partition by account_id, why is null order by "at"), holder) = client_id then 'unchanged' end reason from judged),
+    good as (select *, lead("at") over (partition by account_id order by "at") until from told where reason is null)"""
+
+
+@query(f"""with {CHANGES} select h.account_id, h.client_id, valid_from, coalesce(valid_to, (select min("at") from good g where g.account_id = h.account_id)) valid_to from held h
+    union all select account_id, client_id, "at", until from good""")
+def ownership_timeline(t: Tables) -> DataFrame:
+    return ownership.merged(_held(t), _changes(t))[0]
+
+
+@query(f"""with {CHANGES}, n as (select account_id, client_id, "at", count(*) n from changes group by all), why as (select n.*, reason from n join told using (account_id, "at"))
+    select account_id, client_id, "at", reason, case when reason = 'unchanged' then 1 else n end n from why where reason is not null union all
+    select account_id, client_id, "at", 'repeated', n - 1 from why where (reason is null or reason = 'unchanged') and n > 1""")
+def ownership_refused(t: Tables) -> DataFrame:
+    return ownership.merged(_held(t), _changes(t))[1]
+
+
+def _changes(t: Tables) -> DataFrame:
+    return t.raw("orders").select(F.col("o_custkey").alias("account_id"), F.pmod("o_orderkey", F.lit(4)).cast("long").alias("client_id"), F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("at"))
+
+
+def _held(t: Tables) -> DataFrame:
+    """Some accounts have no owner yet, some none any more."""
+    return t.ownership().where("account_id % 7 <> 0 and (account_id % 5 <> 0 or valid_to is not null)")
+
+
+def _views(t: Tables) -> DataFrame:
+    return t.raw("events").where("event_type = 'view'").select(F.col("event_id").alias("post_id"), F.col("user_id").alias("account_id"), F.col("ts").alias("published_at"))
+
+
+def _bought(t: Tables) -> DataFrame:
+    bought = t.raw("events").where("event_type = 'purchase'").select(F.col("user_id").alias("account_id"), F.col("event_id").alias("client_id"), F.col("ts").alias("valid_from"))
+    following = F.lead("valid_from").over(W.partitionBy("account_id").orderBy("valid_from", "client_id"))
+    return bought.withColumn("valid_to", F.least(following, F.col("valid_from") + F.expr("interval 20 day")))
+
+
 def _report(t: Tables) -> reconcile.Report:
     return reconcile.reconciled(t.vendor_posts(), t.previous_posts(), t.assignments())
 

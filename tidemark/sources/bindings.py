@@ -94,6 +94,11 @@ class Tables:
         b = b.select(F.lit("B").alias("vendor"), n.alias("ord"), n.cast("string").alias("id"), link(n).alias("url"), (F.col("n_chars") - F.pmod("doc_id", F.lit(5))).alias("views"), *base, short.alias("caption"), at.alias("posted_at"), F.concat(F.lit("@"), F.col("source")).alias("account"))
         return a.unionByName(b)
 
+    def syndicated_posts(self) -> DataFrame:
+        """The vendors' posts, all of them listed again later under one account, so that ids are reached from two."""
+        p = self.vendor_posts()
+        return p.unionByName(p.withColumn("ord", F.col("ord") + F.lit(4000000000).cast("long")).withColumn("account", F.lit("@again")))
+
     def previous_posts(self) -> DataFrame:
         """The last snapshot: ord, id, views, likes, scraped_at, source; some ids twice, some no vendor lists."""
         d = self.raw("documents").select("doc_id", "n_chars").where(F.pmod("doc_id", F.lit(4)) == 3)
@@ -162,10 +167,14 @@ SQL = {
     "within_reach": """select s.account, s.vendor share_vendor, s.ord share_ord, s.turn share_turn, c.vendor, c.ord candidate_ord, c.given candidate from classified s join classified c
         on s.account = c.account and s.shared and c.kind = 'canonical' and c.given is not null and abs(epoch_us(s.posted_at) - epoch_us(c.posted_at)) <= 3600000000
         and (s.bare = c.bare or case when s.cut and c.cut then s.bare[:-4] = c.bare[:-4] when s.cut then starts_with(c.bare, s.bare[:length(s.bare) - 3]) when c.cut then starts_with(s.bare, c.bare[:length(c.bare) - 3]) else false end)""",
+    "syndicated_posts": "select * from vendor_posts union all select * replace (ord + 4000000000 as ord, '@again' as account) from vendor_posts",
     "devices": "select c_custkey device_id, 8 + c_custkey % 4 \"version\", case when c_acctbal < 0 then 'offline' else 'good' end \"connection\", case when c_custkey % 13 = 0 then 'busy' end task from customer",
     "states": "select user_id \"session\", event_id ord, event_type state from events",
 }
 
+for _name, _of in (("named_posts", "vendor_posts"), ("classified", "named_posts"), ("within_reach", "classified")):
+    SQL[f"syndicated_{_name}"] = SQL[_name].replace(_of, "syndicated_posts" if _of == "vendor_posts" else f"syndicated_{_of}")
+
 
 def sql(body: str) -> str:
     """A query text preceded by the domain tables that it names."""
