@@ -22,7 +22,7 @@ TOP_TERMS = 200
 #: Shares are parts of this many.
 SCALE = 1_000_000_000
 #: A task's counts leave it when it holds so many different terms.
-HELD_TERMS = 500_000
+HELD_TERMS = 800_000
 #: Groups (lang, source) up to this number are broadcast with their sizes; beyond, terms are joined to them in so many slices.
 MOST_BROADCAST, SLICES = 100_000, 256
 
@@ -114,18 +114,16 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TER
     wide = _by_lang(kept, langs, number).withColumn("found", F.map_from_entries("entries"))
     wide = wide.withColumn("n", F.transform("groups", lambda g: F.coalesce(F.col("found")[g["source"]], F.lit(0).cast("long"))))
     wide = wide.withColumn("p", F.zip_with("n", "groups", lambda n, g: share(n, g["size"], F.col("kept"))))
-    every = F.sequence(F.lit(0), F.size("groups") - 1)
-    at = lambda c, i: F.get(F.col(c), i)
-
-    def contribution(i: Column, j: Column) -> Column:
-        lacks = at("n", j) == 0
-        none = F.lit(0).cast("long")
-        return F.struct(i.alias("i"), j.alias("j"), gap(at("p", i), at("p", j)).alias("there"), F.when(lacks, gap(at("p", j), at("p", i))).otherwise(none).alias("back"), F.when(lacks, 1).otherwise(0).alias("lacks"))
-
-    has = F.filter(every, lambda i: at("n", i) > 0)
-    parts = wide.select("lang", F.inline(F.flatten(F.transform(has, lambda i: F.transform(every, lambda j: contribution(i, j))))))
-    seen = parts.groupBy("lang", "i", "j").agg(F.sum("there").alias("there"), F.count("*").alias("times"), F.sum("back").alias("back"), F.sum("lacks").cast("long").alias("lacks")).where("i <> j")
-    both = seen.select("lang", "i", "j", F.col("there").alias("value"), "times").unionByName(seen.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), F.col("back").alias("value"), F.col("lacks").alias("times")))
+    cells = F.transform("p", lambda p, i: F.struct(i.alias("i"), p.alias("p"), (F.get("n", i) == 0).alias("lacks")))
+
+    def contribution(a: Column, b: Column) -> Column:
+        return F.struct(a["i"].alias("i"), b["i"].alias("j"), gap(a["p"], b["p"]).alias("there"), F.when(b["lacks"], gap(b["p"], a["p"])).alias("back"))
+
+    have = lambda cells: F.filter(cells, lambda c: ~c["lacks"])
+    parts = wide.withColumn("cells", cells).select("lang", F.inline(F.flatten(F.transform(have("cells"), lambda a: F.transform("cells", lambda b: contribution(a, b))))))
+    seen = parts.groupBy("lang", "i", "j").agg(F.sum("there").alias("there"), F.count("*").alias("times"), F.sum("back").alias("back"), F.count("back").alias("lacks")).where("i <> j")
+    seen = stage(seen, "seen")  # a row for each two sources; read twice
+    both = seen.select("lang", "i", "j", F.col("there").alias("value"), "times").unionByName(seen.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), F.coalesce("back", F.lit(0)).alias("value"), F.col("lacks").alias("times")))
     both = both.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"), F.sum("times").alias("times"))
     left = langs.select("lang", "kept", "groups", F.posexplode("groups").alias("i", "a")).select("lang", "kept", "i", "a", F.posexplode("groups").alias("j", "b")).where("i <> j")
     none = F.lit(0).cast("long")
