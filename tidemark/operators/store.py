@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.versions import Versions
+
 STATUSES = ("running", "completed", "failed", "partial")
 METRICS = ("views", "likes", "comments", "shares")
 POST_KEY = ("platform_post_id", "provider_id")
 #: New posts that one run may bring; a post's id is made of the run's and its place among them.
 MOST_NEW_POSTS = 1 << 24
 
+EVENT = "run_id long, status string, at timestamp_ntz, attempt string"
 POSTS = "post_id long, account_id long, platform_post_id string, provider_id long, published_at timestamp_ntz, run_id long, attempt string"
 
 
@@ -98,10 +102,17 @@ class RunStore:
     They count once a 'completed' event names the attempt, which is written last: an
     attempt that breaks off stays invisible, and the run can be published again.  There is
     no update and no delete.  One writer at a time may publish for an account.
+
+    Each event is a small file at first.  ``compact`` gathers them into whole versions of the
+    event log, so a reader opens few files however many runs there have been.
     """
 
+    #: Event files of their own after which a publication gathers them.
+    LOOSE_EVENTS = 500
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.gathered = Versions(spark, f"{self.folder}/_run_events")
 
     def event(self, run_id: int, status: str, at: str, attempt: str | None = None) -> None:
         if status not in STATUSES:
@@ -119,6 +130,22 @@ class RunStore:
             own = rows.withColumn("run_id", F.lit(run_id).cast("long")).withColumn("attempt", F.lit(attempt))
             own.write.mode("append").partitionBy("run_id", "attempt").parquet(f"{self.folder}/{name}")
         self.event(run_id, "completed", at, attempt)
+        if self._loose_files() > self.LOOSE_EVENTS:
+            self.compact()
+
+    def sink(self, table: str, first_run: int, at: str) -> Callable[[DataFrame, int], None]:
+        """For ``foreachBatch``: each micro-batch is the run ``first_run`` + its number.
+
+        A batch that is given again after its run was completed is dropped; one that broke off
+        is published as another attempt, and the rows of the first stay invisible.
+        """
+
+        def write(rows: DataFrame, batch: int) -> None:
+            if not self.completed().where(F.col("run_id") == first_run + batch).isEmpty():
+                return
+            self.publish(first_run + batch, at, **{table: rows})
+
+        return write
 
     def publish_batch(self, run_id: int, account_id: int, provider_id: int, merged: DataFrame, at: str) -> None:
         """One account's merged posts: new posts, a snapshot of each, and the run's account row, all or none.
@@ -146,17 +173,55 @@ class RunStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def _loose(self) -> DataFrame:
+        """Events in files of their own, with the file's name, but for those that are gathered."""
+        loose = self.spark.read.schema(EVENT).parquet(f"{self.folder}/run_events").select("*", F.col("_metadata.file_name").alias("file"))
+        whole = self.gathered.read()
+        return loose if whole is None else loose.join(whole.select("file").distinct(), "file", "left_anti").select(*loose.columns)
+
+    def _files(self) -> list:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/run_events")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().endswith(".parquet")]
+
+    def _loose_files(self) -> int:
+        return len(self._files())
+
+    def compact(self) -> None:
+        """Gather all events into the next version of the log.
+
+        The version names the files that its events came from, and readers skip those.  Files
+        are deleted a version later, when no reader is at the version before any more.
+        """
+        before, files = self.gathered.read(), self._files()
+        there = self.spark.createDataFrame([(f.getName(),) for f in files], "file string")
+        old = set() if before is None else {r.file for r in there.join(before.select("file").distinct(), "file", "left_semi").collect()}
+        rows = self._loose() if before is None else before.unionByName(self._loose())
+        self.gathered.write(rows.repartition(1 + len(files) // 100_000))
+        for path in files:
+            if path.getName() in old:
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+        self.gathered.keep(2)
+
     def events(self) -> DataFrame:
-        return self.spark.read.schema("run_id long, status string, at timestamp_ntz, attempt string").parquet(f"{self.folder}/run_events")
+        whole, names = self.gathered.read(), [c.split()[0] for c in EVENT.split(", ")]
+        loose = self._loose().select(*names)
+        return loose if whole is None else whole.select(*names).unionByName(loose)
 
     def states(self) -> DataFrame:
         return latest_status(self.events())
 
-    def read(self, table: str) -> DataFrame:
-        """Rows of completed attempts of completed runs; Catalyst picks the join by the size of the run list."""
+    def completed(self) -> DataFrame:
+        """run_id, attempt of each completed run: the attempt that counts."""
+        if not self._exists("run_events"):
+            return self.spark.createDataFrame([], "run_id long, attempt string")
         done = self.states().where("status = 'completed'").select("run_id")
         named = self.events().where("status = 'completed' and attempt is not null").groupBy("run_id").agg(F.max_by("attempt", "at").alias("attempt"))
-        return self.spark.read.parquet(f"{self.folder}/{table}").join(named.join(done, "run_id"), ["run_id", "attempt"], "left_semi")
+        return named.join(done, "run_id")
+
+    def read(self, table: str) -> DataFrame:
+        """Rows of completed attempts of completed runs; Catalyst picks the join by the size of the run list."""
+        return self.spark.read.parquet(f"{self.folder}/{table}").join(self.completed(), ["run_id", "attempt"], "left_semi")
 
     def posts(self) -> DataFrame:
         """Visible posts; none before the first publication."""
