@@ -41,6 +41,23 @@ def streaks(jobs: DataFrame, unflags: DataFrame | None = None) -> DataFrame:
     return rows.drop("island")
 
 
+def last_states(events: DataFrame, quiet: str) -> DataFrame:
+    """account_id, last_ord, seen, run, flagged after an account's events so far, for a stream that goes on from there.
+
+    events: account_id, ord, ts, failed, clear (an unflag).  An unflag or an event that comes
+    longer than ``quiet`` after the one before starts a new streak; only an unflag clears the flag.
+    """
+    line = W.partitionBy("account_id").orderBy("ord", F.desc("clear"))
+    late = F.coalesce(F.col("ts") - F.lag("ts").over(line) > F.expr(f"interval {quiet}"), F.lit(False))
+    past = line.rowsBetween(W.unboundedPreceding, 0)
+    rows = events.withColumn("quiet", late).withColumn("epoch", F.sum(F.col("clear").cast("int")).over(past))
+    rows = rows.withColumn("island", F.sum(F.when(F.col("clear") | ~F.col("failed") | F.col("quiet"), 1).otherwise(0)).over(past))
+    counted = W.partitionBy("account_id", "epoch", "island").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("run", F.when(F.col("clear"), 0).otherwise(F.sum((F.col("failed") & ~F.col("clear")).cast("int")).over(counted)).cast("long"))
+    epochs = rows.groupBy("account_id", "epoch").agg(F.max_by(F.struct(F.col("ord").alias("last_ord"), F.col("ts").alias("seen"), "run"), F.struct("ord", (~F.col("clear")).alias("job"))).alias("last"), F.max(F.col("run") >= STREAK).alias("flagged"))
+    return epochs.groupBy("account_id").agg(F.max_by(F.struct("last", "flagged"), "epoch").alias("s")).select("account_id", "s.last.last_ord", "s.last.seen", "s.last.run", "s.flagged")
+
+
 def skipped(jobs: DataFrame) -> DataFrame:
     """Jobs that come after their account was flagged."""
     before = W.partitionBy("account_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import asof, health, merge, metrics, ownership, reconcile, rollout, rules, runs, store, uilog
+from tidemark.operators import asof, constraints, health, merge, metrics, ownership, reconcile, rollout, rules, runs, store, uilog, versions
 from tidemark.sources import fleet
 from tidemark.sources.bindings import Tables, sql
+from tidemark.staging import shared_folder
+from tidemark.streaming import monitor, replay
 
 AS_OF = "1998-09-01"
 CLIENT, CLIENT_ID = "NATION_7", 7
@@ -601,6 +604,122 @@ def outage_flag(t: Tables) -> DataFrame:
     return _missing(t).agg(F.count("*").alias("missing"), (F.count("*") >= reconcile.OUTAGE).alias("outage"))
 
 
+# --- replayed streams ----------------------------------------------------------------------------
+
+PARTS = 4
+#: Events come in four parts by their number; some come one or two parts too late.
+ARRIVED = """bounds as (select min(event_id) low, max(event_id) + 1 - min(event_id) n from events),
+    arrived as (select event_id, ts, user_id, event_type, least(3, cast(floor((event_id - low) * 4 / n) as integer) + (event_id % 20 = 7)::integer + 2 * (event_id % 40 = 9)::integer) part from events, bounds),
+    marks as (select p.part, (select max(ts) from arrived a where a.part <= p.part) - interval 1 day mark from range(0, 4) p(part))"""
+
+
+def _arrived(t: Tables) -> DataFrame:
+    events = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    by = F.floor((F.col("event_id") - low) * PARTS / (high + 1 - low)).cast("int")
+    late = F.when(F.pmod("event_id", F.lit(20)) == 7, 1).otherwise(0) + F.when(F.pmod("event_id", F.lit(40)) == 9, 2).otherwise(0)
+    return events.select("event_id", "ts", "user_id", "event_type", "value", F.least(F.lit(PARTS - 1), by + late).alias("part"))
+
+
+@query(f"""with {ARRIVED}, spans as (select a.*, "start", "start" + interval 6 hour "end" from (select *, unnest([time_bucket(interval 3 hour, ts), time_bucket(interval 3 hour, ts) - interval 3 hour]) "start" from arrived) a),
+    kept as (select s.*, coalesce("end" > mark, true) counts from spans s left join marks m on m.part = s.part - 1)
+    select "start", "end", event_type, count(*) filter (counts) n, count(*) filter (not counts) lost from kept where "end" <= (select max(mark) from marks) group by all""")
+def stream_windows(t: Tables) -> DataFrame:
+    """Sliding windows of a stream that is restarted three times, and what each lost by its watermark."""
+    rows = _arrived(t)
+    counted = lambda df: monitor.windowed_counts(df, "6 hours", "3 hours", "1 day")
+    closed = replay.replayed(rows, F.col("part"), PARTS, counted)
+    upto = rows.agg(F.max("ts")).first()[0]
+    whole = counted(rows).select("start", "end", "event_type", "n")
+    out = replay.with_lost(closed, whole, ["start", "end", "event_type"], F.lit(upto) - F.expr("interval 1 day"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", "lost")
+
+
+@query(f"""with {ARRIVED}, marked as (select *, coalesce(ts - lag(ts) over w >= interval 4 hour, true) fresh from arrived window w as (partition by user_id order by ts)),
+    numbered as (select *, sum(fresh::integer) over (partition by user_id order by ts rows unbounded preceding) nth from marked),
+    found as (select user_id, min(ts) "start", max(ts) + interval 4 hour "end", count(*) n from numbered group by user_id, nth)
+    select "start", "end", user_id, n from found where "end" <= (select max(ts) from arrived) - interval 20 day""")
+def stream_sessions(t: Tables) -> DataFrame:
+    """Sessions across restarts, with a watermark that waits for the latest of the late rows."""
+    out = replay.replayed(_arrived(t), F.col("part"), PARTS, lambda df: monitor.sessions(df, "4 hours", "20 days"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
+
+
+#: Errors are failures, purchases unflag; a day without events starts a new streak. The stream goes on after the first part.
+WATCHED = f"""{ARRIVED}, ordered as (select event_id, ts, user_id, event_type = 'error' failed, event_type = 'purchase' clear, cast(floor((event_id - low) * 4 / n) as integer) part from events, bounds),
+    gaps as (select *, coalesce(ts - lag(ts) over (partition by user_id order by event_id) > interval 1 day, false) quiet from ordered),
+    epochs as (select *, sum(clear::integer) over (partition by user_id order by event_id) epoch from gaps),
+    islands as (select *, sum(case when failed and not quiet then 0 else 1 end) over (partition by user_id, epoch order by event_id) island from epochs),
+    streaks as (select *, cast(sum(failed::integer) over (partition by user_id, epoch, island order by event_id) as bigint) consecutive_failures from islands where not clear),
+    flags as (select *, max(consecutive_failures >= 3) over (partition by user_id, epoch order by event_id) flagged from streaks)"""
+
+
+@query(f"""with {WATCHED}, out as (select *, coalesce(max(flagged) over (partition by user_id, epoch order by event_id rows between unbounded preceding and 1 preceding), false) skipped from flags)
+    select user_id account_id, event_id ord, failed, consecutive_failures, flagged, skipped from out where part > 0""")
+def stream_failures(t: Tables) -> DataFrame:
+    """Streaks kept as state: begun from a table, unflagged by events, delivered twice, forgotten when quiet."""
+    events = t.raw("events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    place = (F.col("event_id") - low) * PARTS / (high + 1 - low)
+    rows = events.select(F.col("user_id").alias("account_id"), F.col("event_id").alias("ord"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "purchase").alias("clear"), F.floor(place).cast("int").alias("part"), (place - F.floor(place)).alias("within"))
+    before = health.last_states(rows.where("part = 0"), "1 day")
+    # a part brings the end of the one before once more
+    again = rows.where(f"part between 1 and {PARTS - 2} and within > 0.98").withColumn("part", F.col("part") + 1)
+    monitor.with_rocksdb(t.spark)
+    rest = rows.where("part > 0").unionByName(again).drop("within")
+    return replay.replayed(rest, F.col("part") - 1, PARTS - 1, lambda df: monitor.watched(df, before, "1 day", "30 days"))
+
+
+# --- a store filled from the tables ---------------------------------------------------------------
+
+
+def _store(t: Tables) -> store.RunStore:
+    return store.RunStore(t.spark, f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}")
+
+
+def _broken_publication(s: store.RunStore, run: int, rows: DataFrame) -> None:
+    """Rows of a run whose writer ended before the run's last event."""
+    s.event(run, "running", "2024-01-01 00:00:00", "lost")
+    rows.withColumn("run_id", F.lit(run).cast("long")).withColumn("attempt", F.lit("lost")).write.mode("append").partitionBy("run_id", "attempt").parquet(f"{s.folder}/snapshots")
+
+
+@query("select * from hwm")
+def maintained_marks(t: Tables) -> DataFrame:
+    """Marks as a view that three publications bring up to date, each by its own rows; one is tried twice."""
+    s = _store(t)
+    view = versions.MaintainedMarks(s)
+    rows = t.snapshots().select("post_id", *metrics.METRICS, F.pmod(F.year("scraped_at"), F.lit(3)).alias("third"))
+    for run in range(3):
+        own = rows.where(F.col("third") == run).drop("third")
+        if run == 1:
+            _broken_publication(s, run, own.withColumn("views", F.col("views") + 10**9))
+        s.publish(run, f"2024-01-0{run + 1} 00:00:00", snapshots=own)
+        view.refresh()
+    s.compact()
+    return view.read()
+
+
+@query("select event_type, count(*) n, cast(sum(event_id) as bigint) ids from events group by all")
+def streamed_store(t: Tables) -> DataFrame:
+    """Micro-batches published as runs; each is given twice, and one is written half before."""
+    s = _store(t)
+    sink = s.sink("snapshots", 1, "2024-01-01 00:00:00")
+    rows = _arrived(t).select("event_id", "event_type", "part")
+    folder = f"{s.folder}-in"
+
+    def twice(batch: DataFrame, number: int) -> None:
+        if number == 1:
+            _broken_publication(s, 1 + number, batch)
+        sink(batch, number)
+        sink(batch, number)
+
+    for part in range(PARTS):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema("event_id long, event_type string").parquet(f"{folder}/in")
+        stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read("snapshots").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 # --- integrity -----------------------------------------------------------------------------------
 
 
@@ -614,6 +733,41 @@ def constraint_violations(t: Tables) -> DataFrame:
     return store.violations(t.snapshots(), t.posts(), t.ownership(), t.runs())
 
 
+#: The tables with rows that break each kind of rule.
+FAULTY = """f_clients as (select * from clients union all select client_id, null from clients where client_id % 10 = 3),
+    f_accounts as (select account_id, platform_handle, case when account_id % 97 = 0 then 99 else provider_id end provider_id from accounts union all select account_id + 1000000000, platform_handle, provider_id from accounts where account_id % 50 = 1),
+    f_ownership as (select * from ownership union all select account_id, client_id + 20, valid_to, case when account_id % 2 = 0 then valid_from end from ownership where account_id % 31 = 0 and valid_to is not null),
+    f_posts as (select post_id, account_id, case when post_id % 17 = 0 then 'twin' else platform_post_id end platform_post_id, provider_id from posts where post_id % 11 <> 0),
+    f_runs as (select run_id, case when run_id % 3 = 0 then null else provider_id end provider_id, started_at, case when run_id % 5 = 0 then 'done' else status end status from runs),
+    f_counts as (select run_id, account_id from run_accounts union all select run_id, account_id * 2 from run_accounts where account_id % 40 = 0),
+    f_snapshots as (select post_id, run_id + case when post_id % 29 = 0 then 7 else 0 end run_id, scraped_at, views - 2000 views, likes, comments, case when shares > 90 then null else shares end shares from run_snapshots)"""
+_NAMED = {"clients": "f_clients", "providers": "platforms", "accounts": "f_accounts", "ownership": "f_ownership", "posts": "f_posts", "runs": "f_runs", "run_accounts": "f_counts", "snapshots": "f_snapshots"}
+_LACKS = [("clients", "client_id name"), ("providers", "provider_id name"), ("accounts", "account_id platform_handle provider_id"), ("ownership", "account_id client_id valid_from"), ("posts", "post_id account_id platform_post_id provider_id"), ("runs", "run_id provider_id started_at status"), ("run_accounts", "run_id account_id"), ("snapshots", "post_id run_id scraped_at views likes comments shares")]
+_TWICE = [("client_key", "clients", "client_id"), ("provider_key", "providers", "provider_id"), ("provider_name", "providers", "name"), ("account_key", "accounts", "account_id"), ("handle_of_provider", "accounts", "platform_handle, provider_id"), ("one_open_owner", "ownership", "account_id"), ("post_key", "posts", "post_id"), ("post_of_provider", "posts", "platform_post_id, provider_id"), ("run_key", "runs", "run_id"), ("account_of_run", "run_accounts", "run_id, account_id")]
+_LOST = [("account_provider", "accounts", "provider_id", "providers"), ("owned_account", "ownership", "account_id", "accounts"), ("owning_client", "ownership", "client_id", "clients"), ("post_account", "posts", "account_id", "accounts"), ("post_provider", "posts", "provider_id", "providers"), ("run_provider", "runs", "provider_id", "providers"), ("counted_run", "run_accounts", "run_id", "runs"), ("counted_account", "run_accounts", "account_id", "accounts"), ("snapshot_post", "snapshots", "post_id", "posts"), ("snapshot_run", "snapshots", "run_id", "runs")]
+_COUNTS = [f"select '{t}.{c}' rule, count(*) n from {_NAMED[t]} where \"{c}\" is null" for t, columns in _LACKS for c in columns.split()]
+_COUNTS += [f"select '{rule}', count(*) from (select 1 from {_NAMED[t]} where {' is not null and '.join(key.split(', '))} is not null{' and valid_to is null' if t == 'ownership' else ''} group by {key} having count(*) > 1)" for rule, t, key in _TWICE]
+_COUNTS += [f"select '{rule}', count(*) from {_NAMED[t]} c where c.{key} is not null and not exists (select 1 from {_NAMED[to]} p where p.{key} = c.{key})" for rule, t, key, to in _LOST]
+_COUNTS += [f"select '{m}_not_negative', count(*) from f_snapshots where {m} < 0" for m in metrics.METRICS]
+_COUNTS += ["select 'period_forward', count(*) from f_ownership where valid_to <= valid_from", "select 'run_status', count(*) from f_runs where status not in ('running', 'completed', 'failed', 'partial')"]
+
+
+@query(f"with {FAULTY} " + " union all ".join(_COUNTS))
+def schema_violations(t: Tables) -> DataFrame:
+    col, mod = F.col, lambda c, n: F.pmod(c, F.lit(n))
+    clients, accounts, held, posts, run = t.clients(), t.accounts(), t.ownership(), t.posts(), t.runs()
+    counts = t.run_accounts().select("run_id", "account_id")
+    return constraints.violations({
+        "clients": clients.unionByName(clients.where(mod("client_id", 10) == 3).withColumn("name", F.lit(None).cast("string"))), "providers": t.platforms(),
+        "accounts": accounts.withColumn("provider_id", F.when(mod("account_id", 97) == 0, 99).otherwise(col("provider_id"))).unionByName(accounts.where(mod("account_id", 50) == 1).withColumn("account_id", col("account_id") + 1000000000)),
+        "ownership": held.unionByName(held.where((mod("account_id", 31) == 0) & col("valid_to").isNotNull()).select("account_id", (col("client_id") + 20).alias("client_id"), col("valid_to").alias("valid_from"), F.when(mod("account_id", 2) == 0, col("valid_from")).alias("valid_to"))),
+        "posts": posts.where(mod("post_id", 11) != 0).withColumn("platform_post_id", F.when(mod("post_id", 17) == 0, "twin").otherwise(col("platform_post_id"))),
+        "runs": run.withColumn("provider_id", F.when(mod("run_id", 3) != 0, col("provider_id"))).withColumn("status", F.when(mod("run_id", 5) == 0, "done").otherwise(col("status"))),
+        "run_accounts": counts.unionByName(counts.where(mod("account_id", 40) == 0).withColumn("account_id", col("account_id") * 2)),
+        "snapshots": t.run_snapshots().withColumn("run_id", col("run_id") + F.when(mod("post_id", 29) == 0, 7).otherwise(0)).withColumn("views", col("views") - 2000).withColumn("shares", F.when(col("shares") <= 90, col("shares"))),
+    })
+
+
 # --- recorded devices and screens: made from the customer table -----------------------------------
 
 

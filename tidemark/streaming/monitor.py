@@ -1,12 +1,13 @@
-"""Streaming forms: windowed counts with late data, and the failure streak kept as state."""
+"""Streaming forms: windowed counts with late data, and failure streaks kept as state."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState
 
 from tidemark.operators.health import STREAK
@@ -41,3 +42,105 @@ def streaks(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("account_id").applyInPandasWithState(
         _streak, "account_id long, ord long, failed boolean, consecutive_failures long, flagged boolean", "run long, flagged boolean", "append", "NoTimeout"
     )
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+WATCHED = "account_id long, ord long, failed boolean, consecutive_failures long, flagged boolean, skipped boolean"
+#: What ``watched`` starts from: the last job of each account before the stream.
+BEFORE = "account_id long, last_ord long, seen timestamp, run long, flagged boolean"
+
+
+class FailureWatch(StatefulProcessor):
+    """Streaks of one account, event by event.
+
+    State: the streak with its flag (a value), the ords of the last events (a map, so that an
+    event that is delivered again is dropped), and a timer that forgets an account that has
+    been quiet.  An account that is flagged is never forgotten: only an unflag clears it.
+    """
+
+    def __init__(self, streak: int, quiet_ms: int):
+        self.streak, self.quiet = streak, quiet_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "run long, flagged boolean, seen long, timer long")
+        self.taken = handle.getMapState("taken", "ord long, clear boolean", "at long")
+
+    def _state(self):
+        return self.now.get() if self.now.exists() else (0, False, None, None)
+
+    def _settle(self, run: int, flagged: bool, seen: int, timer: int | None) -> None:
+        """Keep the state and set the timer anew; without one while the account is flagged."""
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = None if flagged else seen + self.quiet
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.now.update((run, flagged, seen, timer))
+
+    # Spark gives the arguments of these by name
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        before = initialState
+        self._settle(before.run, before.flagged, before.ms, None)
+        self.taken.updateValue((before.last_ord, False), (before.ms,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        run, flagged, seen, timer = self._state()
+        out = []
+        # an unflag comes before the job of its own place
+        for r in sorted(rows, key=lambda r: (r.ord, not r.clear)):
+            if self.taken.containsKey((r.ord, r.clear)):
+                continue
+            at = r.ms
+            self.taken.updateValue((r.ord, r.clear), (at,))
+            if seen is not None and at - seen > self.quiet:
+                run = 0
+            seen = at if seen is None else max(seen, at)
+            if r.clear:
+                run, flagged = 0, False
+                continue
+            skipped = flagged
+            run = run + 1 if r.failed else 0
+            flagged = flagged or run >= self.streak
+            out.append(Row(account_id=key[0], ord=r.ord, failed=r.failed, consecutive_failures=run, flagged=flagged, skipped=skipped))
+        if seen is not None:
+            for k in [k for k, v in self.taken.iterator() if v[0] < seen - self.quiet]:
+                self.taken.removeKey(k)
+            self._settle(run, flagged, seen, timer)
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.now.clear()
+        self.taken.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def watched(events: DataFrame, before: DataFrame | None = None, quiet: str = "7 days", late: str = "1 hour") -> DataFrame:
+    """Streaks of a stream of jobs and unflags: each job with its streak, flag and whether it is skipped.
+
+    events: account_id, ord, ts, failed, clear.  A row with clear is an unflag: the count and the
+    flag of its account start anew, before the job of the same ord if there is one.  Events of
+    an account come in order of ord; one that comes again within ``quiet`` is dropped, one
+    later than ``late`` is dropped by its watermark.  An account that had no event for
+    longer than ``quiet`` starts a new streak; its state is given up, unless it is flagged.
+    before: rows of BEFORE, the state from which the stream goes on.
+
+    The state lives in RocksDB, so the session must name that provider (see ``with_rocksdb``).
+    """
+    ms = int(pd.Timedelta(quiet).total_seconds() * 1000)
+    first = None if before is None else before.withColumn("ms", F.unix_millis("seen")).groupBy("account_id")
+    keyed = events.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")).groupBy("account_id")
+    return keyed.transformWithState(FailureWatch(STREAK, ms), WATCHED, "append", "eventTime", initialState=first)
+
+
+def with_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def drained(rows: DataFrame, folder: str, checkpoint: str) -> None:
+    """Append all that a stream has now to parquet files, and end; run again, it goes on where it was."""
+    q = rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
