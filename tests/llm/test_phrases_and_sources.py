@@ -55,8 +55,9 @@ def mined(rows, least, top):
     return sorted((lang, i + 1, p.decode(), -a, left, right, total[lang], -s) for lang, found in out.items() for i, (s, a, p, left, right) in enumerate(sorted(found)[:top]))
 
 
-@pytest.mark.parametrize("least,top", [(5, 2000), (3, 7)])
-def test_phrases_equal_plain_python(frame, mixed_rows, monkeypatch, least, top):
+@pytest.mark.parametrize("least,top,sent", [(5, 2000, 1000), (3, 7, 0), (3, 2000, 40)])
+def test_phrases_equal_plain_python(frame, mixed_rows, monkeypatch, least, top, sent):
+    monkeypatch.setattr(phrases, "MOST_SENT", sent)
     monkeypatch.setattr(phrases, "BLOCK_WORDS", 150)
     monkeypatch.setattr(phrases, "HELD_WORDS", 400)
     got = phrases.collocations(frame(mixed_rows).repartition(3), least=least, top=top)

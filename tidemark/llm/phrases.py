@@ -11,6 +11,7 @@ frequency in the block, and the lengths over all blocks are its frequency.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -39,7 +40,7 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().translate(PIECE_BYTES).replace(b"\n", b" \n ").split(b" ")
 
 
-BLOCK = "block long, lang string, words array<string>, lengths binary, places binary"
+BLOCK = "block long, lang string, words array<string>, n_words long, lengths binary, places binary"
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.bincount(word, minlength=len(names))
         nth += 1
         lists = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.array(names, pa.binary()).cast(pa.string()))
-        return pa.RecordBatch.from_arrays([pa.array([nth]), pa.array([lang], pa.string()), lists, pa.array([packed(lengths)]), pa.array([listed(place[order], lengths)])], names=["block", "lang", "words", "lengths", "places"])
+        return pa.RecordBatch.from_arrays([pa.array([nth]), pa.array([lang], pa.string()), lists, pa.array([len(place)]), pa.array([packed(lengths)]), pa.array([listed(place[order], lengths)])], names=["block", "lang", "words", "n_words", "lengths", "places"])
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -94,8 +95,14 @@ def unlisted(b: bytes, lengths: np.ndarray) -> np.ndarray:
     return so_far - np.repeat(before, lengths)
 
 
-#: A block's lists: ids, lengths and positions of its frequent words, and those of its frequent phrases of one length.
-LISTS = "block long, lang string, word_ids array<long>, word_lengths binary, word_places binary, ids array<long>, lengths binary, places binary"
+#: A block's lists: of the words that may follow, and of its frequent phrases of one length (null for single words: the same).
+LISTS = "block long, word_ids array<long>, word_lengths binary, word_places binary, ids array<long>, lengths binary, places binary"
+KINDS = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    names = [c.split()[0] for c in LISTS.split(", ")]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS)], names=names)
 
 
 def _chosen(lengths: np.ndarray, places: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,26 +113,11 @@ def _chosen(lengths: np.ndarray, places: np.ndarray, keep: np.ndarray) -> tuple[
     return some, places[np.repeat(start[keep] - before, some) + np.arange(int(some.sum()))]
 
 
-def _row(*values) -> pa.Table:
-    names = [c.split()[0] for c in LISTS.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-    return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
-
-
-def _nothing() -> pa.Table:
-    return _row(*[None] * 8).slice(0, 0)
-
-
-def _frequent_words(blocks: pa.Table, found: pa.Table) -> pa.Table:
-    """A block's postings of frequent words only, under their ids."""
-    if not len(blocks) or not len(found):
-        return _nothing()
-    (b,) = blocks.to_pylist()
-    number = found.column("number").to_numpy().astype(np.int64)
-    lengths = unpacked(b["lengths"]).astype(np.int64)
-    some, places = _chosen(lengths, unlisted(b["places"], lengths), number)
-    ids, counts, places = found.column("id").to_numpy(), packed(some), listed(places, some)
-    return _row(b["block"], b["lang"], ids, counts, places, ids, counts, places)
+def _word_lists(row: dict, number: np.ndarray, ids: np.ndarray) -> list[tuple]:
+    """A block's postings of its frequent words, their numbers in the block and their ids given."""
+    lengths = unpacked(row["lengths"]).astype(np.int64)
+    some, places = _chosen(lengths, unlisted(row["places"], lengths), number)
+    return [(row["block"], ids, packed(some), listed(places, some), None, None, None)] if len(ids) else []
 
 
 def extended(k: int, phrase: np.ndarray, places: np.ndarray, word: np.ndarray, postings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,49 +133,124 @@ def extended(k: int, phrase: np.ndarray, places: np.ndarray, word: np.ndarray, p
     return phrase[hit], word[near[hit]], places[hit]
 
 
-def _lists(row: dict, k: int) -> tuple[np.ndarray, ...]:
-    """The extensions of a block's phrases: distinct pairs (phrase, word) by number, and for each occurrence its pair and position."""
-    n, m = unpacked(row["lengths"]).astype(np.int64), unpacked(row["word_lengths"]).astype(np.int64)
-    phrase, word = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
-    a, b, place = extended(k, phrase, unlisted(row["places"], n), word, unlisted(row["word_places"], m))
-    pair, which, times = np.unique(a * max(1, len(m)) + b, return_inverse=True, return_counts=True)
-    return pair // max(1, len(m)), pair % max(1, len(m)), which, times, place
+@dataclass
+class Extensions:
+    """A block's phrases, each extended by the word behind it: distinct extensions by number."""
+
+    prefix: np.ndarray
+    last: np.ndarray
+    times: np.ndarray
+    which: np.ndarray
+    places: np.ndarray
+    words: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, row: dict, k: int) -> Extensions:
+        m = unpacked(row["word_lengths"]).astype(np.int64)
+        word_ids, word, postings = np.array(row["word_ids"], dtype=np.int64), np.repeat(np.arange(len(m)), m), unlisted(row["word_places"], m)
+        ids, phrase, places = word_ids, word, postings
+        if row["ids"] is not None:
+            n = unpacked(row["lengths"]).astype(np.int64)
+            ids, phrase, places = np.array(row["ids"], dtype=np.int64), np.repeat(np.arange(len(n)), n), unlisted(row["places"], n)
+        a, b, at = extended(k, phrase, places, word, postings)
+        pair, which, times = np.unique(a * len(m) + b, return_inverse=True, return_counts=True)
+        return cls(ids[pair // len(m)], word_ids[pair % len(m)], times, which, at, (word_ids, word, postings))
+
+    def lists(self, block: int, k: int, number: np.ndarray, ids: np.ndarray) -> list[tuple]:
+        """The lists of the numbered extensions, which are phrases of k words, and of the words right behind them."""
+        if not len(ids):
+            return []
+        some, places = _chosen(self.times, self.places[np.argsort(self.which, kind="stable")], number)
+        word_ids, word, postings = self.words
+        behind = np.isin(postings, places + k)
+        left = np.bincount(word[behind], minlength=len(word_ids))
+        # postings stay in order of word and position
+        return [(block, word_ids[left > 0], packed(left[left > 0]), listed(postings[behind], left[left > 0]), ids, packed(some), listed(places, some))]
 
 
 PAIRS = "block long, number int, prefix long, last long, n long"
 
 
 def _counter(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each block's extensions and the lengths of their lists."""
+    """Each block's extensions of phrases of k words, and the lengths of their lists."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                a, b, _, times, _ = _lists(row, k)
-                ids, words = np.array(row["ids"], dtype=np.int64), np.array(row["word_ids"], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(a), pa.int64()), pa.array(np.arange(len(a)), pa.int32()), pa.array(ids[a]), pa.array(words[b]), pa.array(times, pa.int64())], names=["block", "number", "prefix", "last", "n"])
+                x = Extensions.of(row, k)
+                n = len(x.times)
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), pa.array(x.prefix), pa.array(x.last), pa.array(x.times, pa.int64())], names=["block", "number", "prefix", "last", "n"])
 
     return count
 
 
-def _extender(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A block's lists of phrases of k + 1 words: those of its extensions that are frequent."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words = batch.column("words")[i].values
+            n = len(words)
+            same = lambda c, kind: pa.array([batch.column(c)[i].as_py()] * n, kind)
+            lengths = unpacked(batch.column("lengths")[i].as_py())
+            yield pa.RecordBatch.from_arrays([same("block", pa.int64()), same("lang", pa.string()), pa.array(np.arange(n), pa.int32()), pc.cast(words, pa.string()), pa.array(lengths.astype(np.int64))], names=["block", "lang", "number", "word", "n"])
+
+
+#: Tables of frequent words or extensions of this many rows at most are sent to the blocks; larger ones are joined to them.
+MOST_SENT = 1_000_000
 
-    def extend(blocks: pa.Table, found: pa.Table) -> pa.Table:
-        if not len(blocks) or not len(found):
-            return _nothing()
-        (row,) = blocks.to_pylist()
-        _, _, which, times, place = _lists(row, k)
-        lists = place[np.argsort(which, kind="stable")]
-        some, places = _chosen(times, lists, found.column("number").to_numpy().astype(np.int64))
-        return _row(row["block"], row["lang"], row["word_ids"], row["word_lengths"], row["word_places"], found.column("id").to_numpy(), packed(some), listed(places, some))
 
-    return extend
+def _sent_words(first: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    table = first.select("lang", "word", "id").toArrow()
+    by = {lang: (t.column("word").combine_chunks(), t.column("id").to_numpy()) for lang in pc.unique(table.column("lang")).to_pylist() for t in [table.filter(pc.equal(table.column("lang"), lang))]}
+    sent = first.sparkSession.sparkContext.broadcast(by)
 
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                known, ids = sent.value.get(batch.column("lang")[i].as_py(), (pa.array([], pa.string()), None))
+                at = pc.index_in(pc.cast(batch.column("words")[i].values, pa.string()), known)
+                number = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                row = {c: batch.column(c)[i].as_py() for c in ("block", "lengths", "places")}
+                if len(number):
+                    yield from _rows(_word_lists(row, number, ids[at.drop_null().to_numpy()])).to_batches()
+
+    return narrow
+
+
+def _sent_extensions(enough: DataFrame, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    table = enough.select("prefix", "last", "id").toArrow()
+    prefix, last, ids = (table.column(c).to_numpy() for c in ("prefix", "last", "id"))
+    prefixes, lasts = np.unique(prefix), np.unique(last)
+    key = np.searchsorted(prefixes, prefix) * len(lasts) + np.searchsorted(lasts, last)
+    order = np.argsort(key)
+    sent = enough.sparkSession.sparkContext.broadcast((prefixes, lasts, key[order], ids[order]))
+
+    def find(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        return at, known[at] == values
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes, lasts, keys, ids = sent.value
+        for batch in batches:
+            for row in batch.to_pylist() if len(keys) else ():
+                x = Extensions.of(row, k)
+                (a, hit), (b, met) = find(x.prefix, prefixes), find(x.last, lasts)
+                at, there = find(a * len(lasts) + b, keys)
+                number = np.flatnonzero(hit & met & there)
+                yield from _rows(x.lists(row["block"], k + 1, number, ids[at[number]])).to_batches()
+
+    return narrow
 
-def _joined(blocks: DataFrame, found: DataFrame, make: Callable[[pa.Table, pa.Table], pa.Table], name: str) -> DataFrame:
+
+def _joined(blocks: DataFrame, found: DataFrame, make: Callable[[dict, np.ndarray, np.ndarray], list[tuple]]) -> DataFrame:
     """Blocks with what was found to be frequent in them; found: block, number, id."""
-    return stage(blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(make, LISTS), name)
+
+    def narrow(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(rows) or not len(found):
+            return _rows([])
+        (row,) = rows.to_pylist()
+        return _rows(make(row, found.column("number").to_numpy().astype(np.int64), found.column("id").to_numpy()))
+
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(narrow, LISTS)
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
@@ -192,23 +259,33 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """(phrases, words): lang, size, phrase, f of each phrase of up to ``longest`` words found ``least`` times or more; lang, n."""
+    """(phrases, words): lang, size, phrase, f of each phrase of up to ``longest`` words found ``least`` times or more; lang, n.
+
+    The frequent words and extensions that the blocks keep lists of are sent to them while
+    they are few, counted before; else (block, number) of each is found by a join.
+    """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = stage(rows.mapInArrow(_indexed, BLOCK), "postings")
-    lengths = blocks.select("block", "lang", "words", "lengths").mapInArrow(_word_counts, "block long, lang string, number int, word string, n long")
-    per_word = stage(lengths, "words")
-    known = per_word.groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    words = per_word.groupBy("lang").agg(F.sum("n").alias("n"))
-    first = _numbered(known.where(F.col("f") >= least), "frequent-words")
-    found = per_word.join(first.select("lang", "word", "id"), ["lang", "word"]).select("block", "number", "id")
-    lists = _joined(blocks, found, _frequent_words, "lists")
+    per_word = blocks.select("block", "lang", "words", "lengths").mapInArrow(_word_counts, "block long, lang string, number int, word string, n long")
+    words = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    first = _numbered(per_word.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent-words")
+    if first.count() <= MOST_SENT:
+        lists = blocks.select("block", "lang", "words", "lengths", "places").mapInArrow(_sent_words(first), LISTS)
+    else:
+        found = per_word.join(first.select("lang", "word", "id"), ["lang", "word"]).select("block", "number", "id")
+        lists = _joined(blocks.select("block", "lengths", "places"), found, _word_lists)
+    lists = stage(lists, "lists")
     tables = [first.select("lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), "f", "id")]
     for k in range(1, longest):
-        pairs = stage(lists.mapInArrow(_counter(k), PAIRS), "extensions")
+        pairs = lists.mapInArrow(_counter(k), PAIRS)
         enough = _numbered(pairs.groupBy("prefix", "last").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent")
         if k + 1 < longest:
-            found = pairs.join(enough.select("prefix", "last", "id"), ["prefix", "last"]).select("block", "number", "id")
-            lists = _joined(lists, found, _extender(k), "lists")
+            if enough.count() <= MOST_SENT:
+                lists = lists.mapInArrow(_sent_extensions(enough, k), LISTS)
+            else:
+                found = pairs.join(enough.select("prefix", "last", "id"), ["prefix", "last"]).select("block", "number", "id")
+                lists = _joined(lists, found, lambda row, number, ids, k=k: Extensions.of(row, k).lists(row["block"], k + 1, number, ids))
+            lists = stage(lists, "lists")
         before = tables[-1].select(F.col("id").alias("prefix"), "lang", "phrase")
         last = first.select(F.col("id").alias("last"), "word")
         longer = enough.join(before, "prefix").join(last, "last")
@@ -216,16 +293,6 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
     return reduce(DataFrame.unionByName, [t.drop("id") for t in tables]), words
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            words = batch.column("words")[i].values
-            n = len(words)
-            same = lambda c, kind: pa.array([batch.column(c)[i].as_py()] * n, kind)
-            lengths = unpacked(batch.column("lengths")[i].as_py())
-            yield pa.RecordBatch.from_arrays([same("block", pa.int64()), same("lang", pa.string()), pa.array(np.arange(n), pa.int32()), pc.cast(words, pa.string()), pa.array(lengths.astype(np.int64))], names=["block", "lang", "number", "word", "n"])
-
-
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """The phrases of each language whose parts stand together most above chance.
 
