@@ -29,7 +29,7 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 #: Words of one block, and of all the blocks that one task fills at a time.
-BLOCK_WORDS, HELD_WORDS = 4_000_000, 8_000_000
+BLOCK_WORDS, HELD_WORDS = 1_500_000, 3_000_000
 
 #: Small letters for A-Z, a line break for what ends a piece, a space for a tab.
 PIECE_BYTES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b for b in range(256))
@@ -68,7 +68,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lang not in number:
                 number[lang], codes[lang], size[lang] = {b"": 0, b"\n": 1}, [], 0
             known = number[lang]
-            own = np.array([known.setdefault(w, len(known)) for w in tokens(text)] + [1], dtype=np.int64)
+            own = np.array([known.setdefault(w, len(known)) for w in tokens(text)] + [1], dtype=np.int32)
             own = own[own > 0]
             codes[lang].append(own)
             size[lang] += len(own)
@@ -88,10 +88,10 @@ def listed(places: np.ndarray, lengths: np.ndarray) -> bytes:
 
 
 def unlisted(b: bytes, lengths: np.ndarray) -> np.ndarray:
-    step = unpacked(b).astype(np.int64)
-    so_far = np.cumsum(step)
+    # sums may pass 32 bits, but their differences are positions again
+    so_far = np.cumsum(unpacked(b), dtype=np.int32)
     start = np.cumsum(lengths) - lengths
-    before = np.append(0, so_far)[start]
+    before = np.append(np.int32(0), so_far)[start]
     return so_far - np.repeat(before, lengths)
 
 
@@ -125,8 +125,10 @@ def extended(k: int, phrase: np.ndarray, places: np.ndarray, word: np.ndarray, p
 
     Both sides are merged by position; a position has one word and one phrase of k words at most.
     """
-    by, at = np.argsort(postings, kind="stable"), np.argsort(places, kind="stable")
-    postings, word, places, phrase = postings[by], word[by], places[at], phrase[at]
+    by = np.argsort(postings, kind="stable")
+    postings, word = postings[by], word[by]
+    by = np.argsort(places, kind="stable")
+    places, phrase = places[by], phrase[by]
     near = np.searchsorted(postings, places + k)
     hit = near < len(postings)
     hit[hit] = postings[near[hit]] == places[hit] + k
@@ -147,13 +149,13 @@ class Extensions:
     @classmethod
     def of(cls, row: dict, k: int) -> Extensions:
         m = unpacked(row["word_lengths"]).astype(np.int64)
-        word_ids, word, postings = np.array(row["word_ids"], dtype=np.int64), np.repeat(np.arange(len(m)), m), unlisted(row["word_places"], m)
+        word_ids, word, postings = np.array(row["word_ids"], dtype=np.int64), np.repeat(np.arange(len(m), dtype=np.int32), m), unlisted(row["word_places"], m)
         ids, phrase, places = word_ids, word, postings
         if row["ids"] is not None:
             n = unpacked(row["lengths"]).astype(np.int64)
-            ids, phrase, places = np.array(row["ids"], dtype=np.int64), np.repeat(np.arange(len(n)), n), unlisted(row["places"], n)
+            ids, phrase, places = np.array(row["ids"], dtype=np.int64), np.repeat(np.arange(len(n), dtype=np.int32), n), unlisted(row["places"], n)
         a, b, at = extended(k, phrase, places, word, postings)
-        pair, which, times = np.unique(a * len(m) + b, return_inverse=True, return_counts=True)
+        pair, which, times = np.unique(a.astype(np.int64) * len(m) + b, return_inverse=True, return_counts=True)
         return cls(ids[pair // len(m)], word_ids[pair % len(m)], times, which, at, (word_ids, word, postings))
 
     def lists(self, block: int, k: int, number: np.ndarray, ids: np.ndarray) -> list[tuple]:
@@ -168,6 +170,11 @@ class Extensions:
         return [(block, word_ids[left > 0], packed(left[left > 0]), listed(postings[behind], left[left > 0]), ids, packed(some), listed(places, some))]
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 PAIRS = "block long, number int, prefix long, last long, n long"
 
 
@@ -176,7 +183,7 @@ def _counter(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 x = Extensions.of(row, k)
                 n = len(x.times)
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), pa.array(x.prefix), pa.array(x.last), pa.array(x.times, pa.int64())], names=["block", "number", "prefix", "last", "n"])
@@ -231,7 +238,7 @@ def _sent_extensions(enough: DataFrame, k: int) -> Callable[[Iterator[pa.RecordB
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes, lasts, keys, ids = sent.value
         for batch in batches:
-            for row in batch.to_pylist() if len(keys) else ():
+            for row in _each(batch) if len(keys) else ():
                 x = Extensions.of(row, k)
                 (a, hit), (b, met) = find(x.prefix, prefixes), find(x.last, lasts)
                 at, there = find(a * len(lasts) + b, keys)
