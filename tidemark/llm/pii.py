@@ -13,11 +13,15 @@ Kinds, what validates them, and what stays as it is:
   phone   + and 8 to 15 digits; the first three stay, or for 1 and ten digits whose area
           begins with 2 to 9 the first digits of area and exchange, however it is written
   ssn     ddd-dd-dddd with an area other than 000, 666, 9xx and no zero parts; area stays
-  iban    two letters, two digits, 11 to 30 capitals or digits with a right mod-97
-          remainder; the country stays, check digits are worked out anew
+  iban    two letters, two digits, 11 to 30 letters or digits with a right mod-97 remainder,
+          all capitals or all small, in one piece or in groups of four; of groups the longest
+          right run counts, what follows stays; the country stays, check digits are worked
+          out anew, blanks stay where they are
   ipv4    four parts to 255, the first not 0
-  date    yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or dd/mm/yyyy of a real day from 1900 on
-  email   name@host; letters and digits of the name, of any length, host stays
+  date    yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or dd/mm/yyyy of a real day from 1900 on;
+          mm/dd/yyyy where only that is a real day, which stays such a one
+  email   name@host; letters and digits of the name, of any length, host stays; letters
+          beyond ASCII, of scripts that part words by spaces, move within their block
 Candidates that aren't valid stay as they are.  No UDF is used anywhere.
 """
 
@@ -36,13 +40,16 @@ BLOCK = 16
 #: The registered query's key, for the test tables only; ``replace`` has no default.
 QUERY_KEY = "key of the test tables"
 
+#: Letters and marks beyond ASCII: Latin to Sinhala, and the additions to Latin and Greek.
+WIDE = r"\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u0DFF\u1E00-\u1FFF"
 # a name begins where the run of its characters does, so a long run is read once
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+EMAIL = rf"(?<![A-Za-z0-9{WIDE}._%+-])[A-Za-z0-9{WIDE}._%+-]++@[A-Za-z0-9{WIDE}-]++(?:\.[A-Za-z0-9{WIDE}-]++)++"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+_IBAN = "{0}{{2}}[0-9]{{2}}(?:[{1}0-9]{{11,30}}|(?: [{1}0-9]{{4}}){{2,7}}(?: [{1}0-9]{{1,4}})?)"
+IBAN = f"(?<![A-Za-z0-9])(?:{_IBAN.format('[A-Z]', 'A-Z')}|{_IBAN.format('[a-z]', 'a-z')})(?![A-Za-z0-9])"
 CARD = r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, DATE, SSN, PHONE, IBAN, CARD))
 
@@ -64,11 +71,25 @@ def _hex(digest: Column, at: Column) -> Column:
     return F.conv(F.substr(digest, at * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
+#: First code point and size of the classes of digits and letters; beyond them, blocks of 64 of WIDE.
+CLASSES = [(48, 10), (65, 26), (97, 26), (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8)]
+WIDE_BLOCK = 64
+
+
 def _shift(c: Column, by: Column) -> Column:
-    """A digit or ASCII letter moved within its own class; others stay."""
-    at = F.ascii(c)
-    move = lambda first, size: F.chr(F.pmod(at - first + by, F.lit(size)) + first)
-    return F.when(c.rlike("^[0-9]$"), move(48, 10)).when(c.rlike("^[a-z]$"), move(97, 26)).when(c.rlike("^[A-Z]$"), move(65, 26)).otherwise(c)
+    """A digit or letter moved within its own class, or block; others stay."""
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0")), "UTF-16BE")
+
+    def moved(at: Column) -> Column:
+        low = F.lit(None)
+        for first, size in CLASSES:
+            new = F.pmod(at - first + by, F.lit(size)) + first
+            low = F.when(at.between(first, first + size - 1), F.chr(new) if first < 128 else char(new)).otherwise(low)
+        block = at - at % WIDE_BLOCK
+        wide = at.between(0x100, 0xDFF) | at.between(0x1E00, 0x1FFF)
+        return F.coalesce(low, F.when(wide, char(block + F.pmod(at - block + by, F.lit(WIDE_BLOCK)))).otherwise(c))
+
+    return let(F.ascii(c), moved)
 
 
 def permuted_string(s: Column, key: str, back: bool = False) -> Column:
@@ -175,9 +196,20 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(m: Column, key: str, back: bool) -> Column:
-    country, body = F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(5))
-    new = let(permuted_string(body, key + "iban", back), lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-    return F.when(_mod97(F.concat(body, F.substr(m, F.lit(1), F.lit(4)))) == 1, new).otherwise(m)
+    def valid(x: Column) -> Column:
+        return (F.length(x) >= 15) & (_mod97(F.upper(F.concat(F.substr(x, F.lit(5)), F.substr(x, F.lit(1), F.lit(4))))) == 1)
+
+    def bare(x: Column) -> Column:
+        country, body = F.substr(x, F.lit(1), F.lit(2)), F.substr(x, F.lit(5))
+        return let(permuted_string(body, key + "iban", back), lambda b: F.concat(country, F.lpad((98 - _mod97(F.upper(F.concat(b, country, F.lit("00"))))).cast("string"), 2, "0"), b))
+
+    # the longest run of groups that is valid, and its pseudonym in groups again
+    groups = F.split(m, " ")
+    joined = lambda n: F.array_join(F.slice(groups, F.lit(1), n), "")
+    longest = F.array_max(F.filter(F.sequence(F.lit(3), F.size(groups)), lambda n: valid(joined(n))))
+    spaced = lambda n: F.concat(F.trim(F.regexp_replace(bare(joined(n)), "(.{4})", "$1 ")), F.substr(m, F.length(F.array_join(F.slice(groups, F.lit(1), n), " ")) + 1))
+    grouped = F.when(F.size(groups) >= 3, let(longest, lambda n: F.when(n.isNotNull(), spaced(n)).otherwise(m))).otherwise(m)
+    return F.when(m.contains(" "), grouped).when(valid(m), bare(m)).otherwise(m)
 
 
 def _ipv4(m: Column, key: str, back: bool) -> Column:
@@ -199,7 +231,33 @@ def _date(m: Column, key: str, back: bool) -> Column:
         y, mo, d = F.substr(i, F.lit(1), F.lit(4)), F.substr(i, F.lit(6), F.lit(2)), F.substr(i, F.lit(9), F.lit(2))
         return F.when(form == "yyyy-MM-dd", i).when(form == "yyyy/MM/dd", F.concat_ws("/", y, mo, d)).when(form == "dd.MM.yyyy", F.concat_ws(".", d, mo, y)).otherwise(F.concat_ws("/", d, mo, y))
 
-    return let(day, lambda d: F.when(d.between(0, YEARS * DAYS - 1), let(new(d), written)).otherwise(m))
+    other = F.when(m.rlike("^[0-9]{2}/"), _month_first(m, key, back)).otherwise(m)
+    return let(day, lambda d: F.when(d.between(0, YEARS * DAYS - 1), let(new(d), written)).otherwise(F.when(d.isNull(), other).otherwise(m)))
+
+
+#: Days after the 12th before each month, and in a year, the 29th of February apart.
+LATE_DAYS = [0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202]
+LATE_IN_YEAR = 221
+#: Leap years from 1904 to 2096.
+LEAP_YEARS = 49
+
+
+def _month_first(m: Column, key: str, back: bool) -> Column:
+    """A real day written as mm/dd/yyyy that can't be read as dd/mm/yyyy; it is moved among those."""
+    part = lambda at, n: F.substr(m, F.lit(at), F.lit(n)).cast("int")
+    month, day, year = part(1, 2), part(4, 2), part(7, 4)
+    real = F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(4), F.lit(2))).try_cast("date").isNotNull()
+    before = F.array(*[F.lit(n) for n in LATE_DAYS])
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+
+    def written(n: Column) -> Column:
+        in_year, mo = F.pmod(n, F.lit(LATE_IN_YEAR)).cast("int"), lambda d: F.size(F.filter(before, lambda b: b <= d))
+        return F.concat_ws("/", two(mo(in_year)), two(in_year - F.get(before, mo(in_year) - 1) + 13), (F.floor(n / LATE_IN_YEAR) + 1900).cast("string"))
+
+    late = permuted_number((year - 1900) * LATE_IN_YEAR + F.get(before, month - 1) + day - 13, YEARS, LATE_IN_YEAR, key, "late", back)
+    leap = permuted_number(F.floor(year / 4) - 476, 7, 7, key, "leap", back)
+    leap_day = let(leap, lambda n: F.concat(F.lit("02/29/"), (n * 4 + 1904).cast("string")))
+    return F.when(~real | (day < 13) | ~year.between(1900, 1900 + YEARS - 1), m).when((month == 2) & (day == 29), leap_day).otherwise(let(late, written))
 
 
 def _email(m: Column, key: str, back: bool) -> Column:
@@ -210,7 +268,7 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     """Pseudonym of one matched value; unchanged if it isn't valid."""
     kind = lambda p: m.rlike(f"^(?:{p})$")
     chosen = F.when(m.contains("@"), _email(m, key, back)).when(m.startswith("+"), _phone(m, key, back)).when(kind(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), _ipv4(m, key, back))
-    chosen = chosen.when(kind(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), _ssn(m, key, back)).when(m.rlike("^[A-Z]"), _iban(m, key, back))
+    chosen = chosen.when(kind(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), _ssn(m, key, back)).when(m.rlike("^[A-Za-z]"), _iban(m, key, back))
     return chosen.when(F.length(m) == 10, _date(m, key, back)).otherwise(_card(m, key, back))
 
 
