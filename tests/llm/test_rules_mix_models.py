@@ -210,6 +210,76 @@ def test_decontamination_of_long_texts(spark, docs):
     assert got == {1: [0], 2: [], 3: []}
 
 
+def test_overlapping_pieces_share_their_grams():
+    """Every gram of every piece is found in that piece, at its place, however the pieces lie."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    items = [(i, " ".join(word() for _ in range(r.choice([5, 12, 28, 60, 200])))) for i in range(30)] + [(99, "same same same same same same same same same")]
+    pieces = decontaminate.Pieces.of(items)
+    for p, t in enumerate(pieces.text):
+        hits = decontaminate.Pieces(t, pieces.item[p : p + 1], np.array([0]), np.array([len(t)])).index().search(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert [h[1] for h in hits] == [pieces.item[p]] * len(hits) and hits
+        buf = np.frombuffer(b"before " + t + b" behind", np.uint8)
+        assert pieces.item[p] in [h[1] for h in pieces.index().search(buf, np.array([0, len(buf)]))]
+
+
+def test_index_is_small():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    letters = r.integers(97, 123, 12 << 20, dtype=np.uint8)
+    letters[r.integers(0, len(letters), len(letters) // 6)] = 32
+    items = [(i, letters[a : a + 40_000].tobytes().decode()) for i, a in enumerate(range(0, len(letters), 40_000))]
+    pieces = decontaminate.Pieces.of(items)
+    tracemalloc.start()
+    index = pieces.index()
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 14 * len(letters) and peak < 20 * len(letters)
+    text = np.frombuffer(b"some words " + pieces.text[5000] + b" more", np.uint8)
+    assert int(pieces.item[5000]) in [h[1] for h in index.search(text, np.array([0, len(text)]))]
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Driver and workers in a folder of their own; only the driver can import the package."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+from pyspark.sql import SparkSession
+from tidemark.llm import decontaminate
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+def probe(batches):
+    try:
+        import tidemark
+    except ModuleNotFoundError:
+        yield from batches
+assert spark.range(3).mapInArrow(probe, "id long").count() == 3, "the workers have the package"
+docs = spark.createDataFrame([(1, "x " + {ITEMS[0]!r} + " y"), (2, "other words")], "doc_id long, text string")
+bench = spark.createDataFrame([(0, {ITEMS[0]!r}), (1, {ITEMS[1]!r})], "item_id long, text string")
+for most in (decontaminate.SHARD_BYTES, 10):
+    print(sorted((r.doc_id, r["items"]) for r in decontaminate.contamination(docs, bench, most).collect()), [r.doc_id for r in decontaminate.uncontaminated(docs, bench, most).collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().splitlines() == ["[(1, [0]), (2, [])] [2]"] * 2, out.stderr[-2000:]
+
+
+def test_many_shards_are_passed_in_stages(spark, docs):
+    bench = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
+    rows = [(i, f"some words {t} more") for i, t in enumerate(ITEMS)] + [(100, "nothing here"), (101, None)]
+    n = len(list(decontaminate.shards(bench, 40)))
+    assert n > 2 * decontaminate.CHAINED
+    one, many = (sorted((r.doc_id, r["items"], r["spans"]) for r in decontaminate.contamination(docs(rows), bench, most).collect()) for most in (decontaminate.SHARD_BYTES, 40))
+    # spans come shard by shard
+    triples = lambda spans: sorted(zip(*[iter(spans)] * 3))
+    assert [(i, items, triples(s)) for i, items, s in one] == [(i, items, triples(s)) for i, items, s in many]
+    assert sorted(r.doc_id for r in decontaminate.uncontaminated(docs(rows), bench, 40).collect()) == sorted(i for i, items, _ in one if not items)
+
+
 def test_filter_loses_no_match_within_the_budget():
     r = random.Random(4)
     index = decontaminate.Pieces.of([(0, ITEMS[0])]).index()

@@ -16,14 +16,16 @@ Items too short for that many grams are looked up exactly, between word boundari
 an automaton.
 
 The benchmark travels to the tasks.  Its size is checked: beyond SHARD_BYTES it is cut
-into shards, which the documents pass one after the other within one stage.  The driver
-holds one shard at a time, and a worker process builds the index of a shard once.
+into shards, which the documents pass one after the other, CHAINED of them within one
+stage.  The driver holds two shards at a time, and a worker process builds the index of a
+shard once, which takes some ten bytes a byte of the shard.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
+from tidemark.llm.sizing import stage
 
 Q = 8
 #: Edits allowed for each byte of a piece.
@@ -40,8 +43,7 @@ EDIT_RATE = 0.05
 WHOLE, PIECE = 180, 120
 #: Normalised items of fewer bytes allow no edits: they count where they stand as they are.
 LEAST_BYTES = 24
-SHARD_BYTES = 32 << 20
-TABLE_BITS = 22
+SHARD_BYTES, CHAINED = 32 << 20, 2
 CELL = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -64,15 +66,17 @@ def normalised(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Pieces:
-    """Benchmark pieces, and items too short to have any."""
+    """Benchmark pieces, as stretches of the items' joined bytes, and items too short to have any."""
 
+    raw: bytes
     item: np.ndarray
-    text: list[bytes]
+    start: np.ndarray
+    size: np.ndarray
     short: list[tuple[int, bytes]] = field(default_factory=list)
 
     @classmethod
     def of(cls, items: list[tuple[int, str | None]]) -> "Pieces":
-        number, text, short = [], [], []
+        number, start, size, short, texts, at = [], [], [], [], [], 0
         for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
             raw = np.frombuffer((t or "").encode(), np.uint8)
             b = normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip()
@@ -81,36 +85,67 @@ class Pieces:
             if len(b) < LEAST_BYTES:
                 short.append((i, b))
                 continue
-            at = [0] if len(b) <= WHOLE else [*range(0, len(b) - PIECE, PIECE // 2), len(b) - PIECE]
-            for a in at:
-                number.append(i)
-                text.append(b if len(b) <= WHOLE else b[a : a + PIECE])
-        return cls(np.array(number, dtype=np.int64), text, short)
+            cuts = [0] if len(b) <= WHOLE else [*range(0, len(b) - PIECE, PIECE // 2), len(b) - PIECE]
+            number += [i] * len(cuts)
+            start += [at + a for a in cuts]
+            size += [min(len(b), WHOLE if len(b) <= WHOLE else PIECE)] * len(cuts)
+            texts.append(b)
+            at += len(b)
+        return cls(b"".join(texts), np.array(number, dtype=np.int64), np.array(start, dtype=np.int64), np.array(size, dtype=np.int64), short)
+
+    def plain(self) -> tuple:
+        """As values that any worker can read, whether it has this module or not."""
+        return self.raw, self.item, self.start, self.size, self.short
+
+    @property
+    def text(self) -> list[bytes]:
+        return [self.raw[a : a + n] for a, n in zip(self.start.tolist(), self.size.tolist())]
 
     def index(self) -> "Index":
         return Index(self)
 
 
 class Index:
+    """Where the grams of the pieces stand in their text: positions sorted by a hash of the gram, and
+    for each hash the first of its positions.  Some ten bytes a byte of text; a gram that lies
+    in several overlapping pieces is kept once, and found in all of them."""
+
+    #: Positions are sorted a part of the hashes at a time.
+    PASSES = 16
+
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        size = np.array([len(t) for t in pieces.text], dtype=np.int64)
-        self.size = size
+        self.start, self.size = pieces.start, pieces.size
+        size = self.size
         self.edits = np.minimum((EDIT_RATE * size).astype(np.int64), np.maximum(0, (size - Q) // Q))
         self.bound = np.maximum(1, size - Q + 1 - self.edits * Q)
-        grams = [_grams(np.frombuffer(t, np.uint8)) for t in pieces.text]
-        every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        order = np.argsort(every, kind="stable")
-        self.gram, self.owner, self.place = every[order], owner[order], place[order]
-        self.value, self.first = np.unique(self.gram, return_index=True)
-        self.count = np.diff(np.append(self.first, len(self.gram)))
+        self.grams = _grams_of(pieces.raw)
+        # a gram counts that lies within a piece; pieces of an item overlap or meet
+        inside = np.zeros(len(self.grams) + 1, dtype=np.int32)
+        np.add.at(inside, self.start, 1)
+        np.add.at(inside, self.start + size - Q + 1, -1)
+        inside = np.cumsum(inside[:-1]) > 0
+        n = int(inside.sum())
+        self.bits = int(np.clip(np.ceil(np.log2(n + 1)), 16, 30))
+        self.first = np.zeros((1 << self.bits) + 1, dtype=np.uint32)
+        self.places = np.empty(n, dtype=np.uint32)
+        filled = 0
+        for k in range(self.PASSES):
+            mine = []
+            for a in range(0, len(self.grams), 1 << 22):
+                slot = _slot(self.grams[a : a + (1 << 22)], self.bits)
+                at = np.flatnonzero((slot >> (self.bits - 4) == k) & inside[a : a + (1 << 22)])
+                mine.append(np.stack([slot[at], at + a]))
+            slot, at = np.concatenate(mine, axis=1) if mine else np.zeros((2, 0), np.int64)
+            order = np.argsort(slot, kind="stable")
+            self.places[filled : filled + len(at)] = at[order]
+            low, width = k << (self.bits - 4), 1 << (self.bits - 4)
+            self.first[low + 1 : low + width + 1] = filled + np.cumsum(np.bincount(slot - low, minlength=width))
+            filled += len(at)
         # the least hits that a stretch of text must have, by classes of piece sizes
         grade = size // 16
         self.least = [(int((size + self.edits)[grade == g].max()), int(self.bound[grade == g].min())) for g in np.unique(grade)]
-        self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
-        self.table[_slot(self.value)] = True
+        self.table = self.first[1:] > self.first[:-1]
         self.exact = None
         if pieces.short:
             import ahocorasick
@@ -159,21 +194,25 @@ class Index:
 
     def search(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, from, to) of every region that holds a piece within its edits; bytes of the row."""
-        if len(buf) < Q or not len(self.value):
+        if len(buf) < Q or not len(self.places):
             return []
         grams = _grams(buf)
-        at = self._dense(self.table[_slot(grams)])
+        at = self._dense(self.table[_slot(grams, self.bits)])
         if not len(at):
             return []
-        slot = np.minimum(np.searchsorted(self.value, grams[at]), len(self.value) - 1)
-        ok = self.value[slot] == grams[at]
-        at, slot = at[ok], slot[ok]
-        times = self.count[slot]
-        run = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        pos, piece = np.repeat(at, times), self.owner[run]
+        slot = _slot(grams[at], self.bits)
+        pos, run = _spread(at, self.first[slot].astype(np.int64), self.first[slot + 1].astype(np.int64))
+        place = self.places[run].astype(np.int64)
+        same = self.grams[place] == grams[pos]
+        pos, place = pos[same], place[same]
+        # the pieces that the gram lies in
+        which, piece = _spread(np.arange(len(place)), np.searchsorted(self.start, place - (WHOLE - Q)), np.searchsorted(self.start, place, side="right"))
+        within = place[which] <= self.start[piece] + self.size[piece] - Q
+        piece, which = piece[within], which[within]
+        pos, place = pos[which], place[which] - self.start[piece]
         row = np.searchsorted(off, pos, side="right") - 1
         wide = self.edits[piece] + 1
-        band = (pos - self.place[run] + 4 * PIECE) // wide
+        band = (pos - place + 4 * PIECE) // wide
         # a pair of neighbouring bands is named by its lower one; the text before a row belongs to other rows
         key = np.stack([row, piece, band])
         order = np.lexsort(key[::-1])
@@ -191,21 +230,29 @@ class Index:
             k, m = int(self.edits[p]), int(self.size[p])
             low = int(band[i]) * (k + 1) - 4 * PIECE
             a, b = max(int(off[r]), low - k), min(int(off[r + 1]), low + 2 * (k + 1) + m + k)
-            part = _aligned(self.pieces.text[p], buf[a:b].tobytes(), k)
+            part = _aligned(self.pieces.raw[self.start[p] : self.start[p] + m], buf[a:b].tobytes(), k)
             if part is not None:
                 found.append((r, int(self.pieces.item[p]), a + part[0] - int(off[r]), a + part[1] - int(off[r])))
         return found
 
 
+def _grams_of(raw: bytes) -> np.ndarray:
+    """The gram at each place, as a view of the bytes."""
+    return np.ndarray((max(0, len(raw) - Q + 1),), np.uint64, raw if len(raw) >= Q else b" " * Q, 0, (1,))
+
+
 def _grams(buf: np.ndarray) -> np.ndarray:
-    if len(buf) < Q:
-        return np.zeros(0, np.uint64)
-    raw = buf.tobytes()
-    return np.ndarray((len(buf) - Q + 1,), np.uint64, raw, 0, (1,)).copy()
+    return _grams_of(buf.tobytes()).copy()
+
 
+def _slot(gram: np.ndarray, bits: int) -> np.ndarray:
+    return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
-def _slot(gram: np.ndarray) -> np.ndarray:
-    return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+def _spread(of: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value beside all the numbers from its low to its high, which is left out."""
+    times = high - low
+    return np.repeat(of, times), np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
 
 
 def _aligned(piece: bytes, region: bytes, k: int) -> tuple[int, int] | None:
@@ -242,21 +289,17 @@ def _index(shard) -> Index:
     kept = sys.__dict__.setdefault("_benchmark_index", {})
     if shard.id not in kept:
         kept.clear()
-        kept[shard.id] = shard.value.index()
+        kept[shard.id] = Pieces(*shard.broadcast.value).index()
     return kept[shard.id]
 
 
 @dataclass
 class Shard:
-    """A broadcast shard of the benchmark; id tells it from others on a worker."""
+    """A broadcast shard of the benchmark, as plain values; id tells it from others on a worker."""
 
     id: str
     broadcast: object
 
-    @property
-    def value(self) -> Pieces:
-        return self.broadcast.value
-
 
 def shards(benchmark: DataFrame, most: int = SHARD_BYTES) -> Iterator[Pieces]:
     """The benchmark in pieces, at most about ``most`` bytes of text a shard, one after the other."""
@@ -268,11 +311,25 @@ def shards(benchmark: DataFrame, most: int = SHARD_BYTES) -> Iterator[Pieces]:
         yield Pieces.of([(r["item_id"], r["text"]) for r in mine.collect()])  # SHARD_BYTES at most
 
 
-def _sent(benchmark: DataFrame, most: int) -> Iterator[Shard]:
-    import uuid
+def _passed(rows: DataFrame, benchmark: DataFrame, most: int, step: Callable[[DataFrame, Shard, bool], DataFrame]) -> DataFrame:
+    """The rows passed through all shards; ``step`` is told whether a shard is the last.
 
-    for pieces in shards(benchmark, most):
-        yield Shard(uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(pieces))
+    Up to CHAINED shards are passed within one stage, each in a worker of its own beside the
+    others; then the rows are staged and those shards are given up.
+    """
+    sent, spark = shards(benchmark, most), rows.sparkSession
+    pieces, held = next(sent), []
+    while pieces is not None:
+        shard = Shard(uuid.uuid4().hex, spark.sparkContext.broadcast(pieces.plain()))
+        pieces = next(sent, None)
+        rows = step(rows, shard, pieces is None)
+        held.append(shard)
+        if len(held) == CHAINED and pieces is not None:
+            rows = stage(rows, "past-shards")
+            for s in held:
+                s.broadcast.destroy()
+            held = []
+    return rows
 
 
 def _hits(shard: Shard, batch: pa.RecordBatch):
@@ -319,14 +376,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES
     """
     none = F.array().cast("array<bigint>")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text", none.alias("items"), none.alias("spans"))
-    sent = _sent(benchmark, most)
-    shard = next(sent)
-    while shard is not None:
-        following = next(sent, None)
-        last = following is None  # the texts are passed on to further shards only
-        found = found.mapInArrow(_searched(shard, last), FOUND.replace("text string, ", "") if last else FOUND)
-        shard = following
-    return found
+
+    def step(rows: DataFrame, shard: Shard, last: bool) -> DataFrame:
+        # the texts are passed on to further shards only
+        return rows.mapInArrow(_searched(shard, last), FOUND.replace("text string, ", "") if last else FOUND)
+
+    return _passed(found, benchmark, most, step)
 
 
 def _clean(shard: Shard):
@@ -341,9 +396,7 @@ def _clean(shard: Shard):
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
     """The rows that hold no item of the benchmark, nor a piece of one, all their columns unchanged."""
-    for shard in _sent(benchmark, most):
-        docs = docs.mapInArrow(_clean(shard), docs.schema)
-    return docs
+    return _passed(docs, benchmark, most, lambda rows, shard, last: rows.mapInArrow(_clean(shard), docs.schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
