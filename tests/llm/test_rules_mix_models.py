@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, kernels, mixing, pii, quality_rules, secret_scan, toxicity
@@ -342,6 +343,44 @@ def test_secrets(spark, docs):
     assert secret_scan.fit(secret_scan.default_findings(spark).limit(0), words)[0].value == 0.0
 
 
+def plain_measures(value, before, after, path, words):
+    """The features in plain Python."""
+    core = re.sub(r"""^[A-Za-z0-9_.-]*["']?[ \t]*(?:=>|=|:)[ \t]*["']?""", "", value, count=1)
+    n = float(max(1, len(core)))
+    kind = lambda c: 1 if c in "0123456789" else 2 if "a" <= c <= "z" else 3 if "A" <= c <= "Z" else 4
+    runs = sum(1 for i, c in enumerate(core) if i == 0 or kind(c) != kind(core[i - 1]))
+    known = sorted({w for w in [*words, *secret_scan.SETTING_WORDS] if w.isascii() and w.isalpha()}, key=lambda w: (-len(w), w))
+    bare = re.sub("|".join(known), "", core, flags=re.I)
+    near = ("password", "passwd", "pwd", "secret", "token", "credential", "auth", "bearer")
+    secret = lambda t: any(w in t.lower() for w in near) or bool(re.search("(?:api|access).?key", t, re.I))
+    share = lambda some: sum(c in some for c in core) / n
+    digits, capitals = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return [
+        float(len(value)), n, runs / n, share(digits), share(capitals), len(set(core)) / n, 1 - len(bare) / n, float(bool(core) and all(c in digits + "abcdefABCDEF" for c in core)), share("/."), float(secret(before)),
+        float(bool(re.search(secret_scan.HARMLESS_NEAR, before + " " + after))), float(secret(value)), float(value.startswith(("AKIA", "ASIA", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "AIza", "eyJ", "-----BEGIN")) or bool(re.match("gh[pousr]_", value))),
+        float(bool(re.search(secret_scan.HARMLESS_PATH, path))), float(bool(re.search(secret_scan.PLACEHOLDER, core))),
+    ]
+
+
+def test_measures_equal_plain_python(spark):
+    words = ["wrote", "people", "server"]
+    rows = [(i, f["value"], f["before"], f["after"], f["path"]) for i, f in enumerate(secret_scan.made_findings(800, 77))]
+    rows += [(900, "", "", "", ""), (901, "DB_PASSWORD=Xy7!abQz9k", "", "", "prod.env"), (902, "xoxb-1=2", "é", "ü", ""), (903, "a" * 100_000, "auth ", "", "lock")]
+    df = spark.createDataFrame(rows, "i int, value string, before string, after string, path string")
+    for r in df.select("i", F.array(*secret_scan.measured(*[F.col(c) for c in ("value", "before", "after", "path")], words)).alias("x")).collect():
+        _, *given = next(x for x in rows if x[0] == r["i"])
+        assert r["x"] == pytest.approx(plain_measures(*given, words), abs=1e-12), given
+
+
+def test_assignments_of_any_name_are_candidates(docs):
+    given = ["DB_PASSWORD=Xy7!abQz9k", "client_secret=Xy7!abQz9k", "password      =   Xy7!abQz9k", '"apiKey": "Xy7!abQz9k', "dbPassword: Xy7!abQz9k", "AWS_SECRET_ACCESS_KEY=Xy7!abQz9k", "--auth=Xy7!abQz9k", "app.token => Xy7!abQz9k", "SECRET_KEY='Xy7!abQz9k", "password\t=\t'Xy7!abQz9k"]
+    none = ["author: somebodyelse", "the passwords are many", "secretary = somebodyelse", "auth short=1", "password ="]
+    rows = [(i, f"see {v}' and more") for i, v in enumerate(given + none)] + [(90, "x" * 1_000_000 + "password=Xy7!abQz9k end"), (91, "token" * 200_000), (92, "password" + " " * 500_000)]
+    got = {r["doc_id"]: [(f["kind"], f["value"]) for f in r["findings"]] for r in secret_scan.scan(docs(rows), [secret_scan.Node(value=1.0)], []).collect()}
+    want = {i: [("assignment", v.lstrip('"'))] if i < len(given) else [] for i, v in enumerate(given + none)} | {90: [("assignment", "x" * 1_000_000 + "password=Xy7!abQz9k")], 91: [], 92: []}
+    assert got == want
+
+
 def test_forest_and_expressions_agree_and_hold_by_kind(spark, docs):
     """Unseen findings, by kind; the scan's scores are the trees' own, and nothing is found that no tree scored."""
     words = ["wrote", "people"]

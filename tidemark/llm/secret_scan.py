@@ -46,7 +46,8 @@ KINDS = {
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s[A-Za-z0-9+/=:,\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
-    "assignment": r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\b[ \t]{0,3}(?:=|:|=>)[ \t]{0,3}[\"']?[^\s\"']{8,}+",
+    # a name may end a longer one (DB_PASSWORD, clientSecret); it is read from its first character on only
+    "assignment": r"(?i)(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]*?(?:password|passwd|pwd|secret(?:_?key)?|token|api_?key|access_?key|private_?key|auth)[\"']?[ \t]*+(?:=>|=|:)[ \t]*+[\"']?[^\s\"']{8,}+",
     "long_string": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+",
 }
 SETTING_WORDS = [
@@ -61,6 +62,8 @@ SECRET_NEAR = r"(?i)(?:password|passwd|pwd|secret|token|api.?key|access.?key|cre
 HARMLESS_NEAR = r"(?i)(?:sha1|sha256|sha-|md5|hash|commit|checksum|digest|integrity|uuid|guid|etag|revision|example|sample|dummy|placeholder|nonce|test)"
 HARMLESS_PATH = r"(?i)(?:test|spec|fixture|example|sample|docs?/|readme|lock|vendor|dist/|\.min\.)"
 
+#: What stands before the value of an assignment.
+NAMED = r"""^[A-Za-z0-9_.-]*+["']?[ \t]*+(?:=>|=|:)[ \t]*+["']?"""
 PLACEHOLDER = r"(?i)(?:example|changeme|change_me|your[_-]?|xxxx|0000000|1234567|\$\{|<[a-z]|\*\*\*|dummy|placeholder|none|null)"
 
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -80,7 +83,7 @@ def dictionary(docs: DataFrame, most: int = MOST_WORDS) -> list[str]:
 
 def measured(value: Column, before: Column, after: Column, path: Column, words: list[str]) -> list[Column]:
     """The features of a candidate, in the order of FEATURES, all doubles."""
-    core = F.regexp_replace(value, r"""^[A-Za-z_ \t]{1,12}(?:=>|=|:)[ \t]*["']?""", "")
+    core = F.regexp_replace(value, NAMED, "")
     n = F.greatest(F.length(core), F.lit(1)).cast("double")
     left = lambda p, s=core: F.length(F.regexp_replace(s, p, ""))
     classed = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(core, "[0-9]+", "\u0001"), "[a-z]+", "\u0002"), "[A-Z]+", "\u0003"), "[^\u0001-\u0003]+", "\u0004")
@@ -104,7 +107,7 @@ def made_findings(n: int = MADE, seed: int = SEED, words: list[str] = SETTING_WO
     talk = lambda: " ".join(r.choice(prose) for _ in range(r.randint(2, 7)))
     compound = lambda: "_".join(r.choice(words) for _ in range(r.randint(4, 7))) + str(r.randint(0, 99))
     name = lambda: r.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth"])
-    given = lambda v: r.choice([f"{name()}={v}", f'{name()} = "{v}', f"{name()}: {v}", f'{name()}="{v}'])
+    given = lambda v: r.choice([f"{name()}={v}", f'{name()} = "{v}', f"{name()}: {v}", f'{name()}="{v}', f"{r.choice(words).upper()}_{name().upper()}={v}", f"client_{name()}   =  {v}", f'"{name()}": "{v}'])
     true = [
         lambda: ("AKIA" + pick(capitals, 16), talk()), lambda: ("ghp_" + pick(alnum, 36), talk()), lambda: ("xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24), talk()),
         lambda: ("AIza" + pick(alnum + "_-", 35), talk()), lambda: (f"eyJ{pick(alnum, 20)}.eyJ{pick(alnum, 40)}.{pick(alnum, 43)}", talk()), lambda: ("-----BEGIN RSA PRIVATE KEY-----", talk()),
@@ -225,8 +228,8 @@ def labelled_candidates(docs: DataFrame, path: str = "source", most: int = MOST_
     # a value's documents are counted before its rows are looked at, and one of its rows speaks for it
     spoke = F.min(F.struct(F.xxhash64("before", "after", "path").alias("h"), "before", "after", "path", "kind"))
     per = rows.groupBy("value").agg(F.approx_count_distinct("doc_id").alias("n"), spoke.alias("r")).select("value", "n", "r.*")
-    bare = F.regexp_replace("value", r"""^[A-Za-z_ \t]{1,12}(?:=>|=|:)[ \t]*["']?""", "")
-    iban = bare.rlike(f"^(?:{pii.IBAN})$") & (pii._mod97(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))) == 1)
+    bare = F.regexp_replace("value", NAMED, "")
+    iban = bare.rlike(f"^(?:{pii.IBAN})$") & (pii._mod97(F.upper(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4))))) == 1)
     card = bare.rlike("^[0-9]{13,19}$") & (pii._luhn(bare, 1) % 10 == 0)
     uuid = bare.rlike("(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
     own = F.col("kind").isin("aws_key", "github_token", "slack_token", "google_key", "jwt", "private_key")
