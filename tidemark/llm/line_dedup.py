@@ -61,10 +61,12 @@ def named_levels(seq: DataFrame) -> list[DataFrame]:
     lines = seq.groupBy("id", "id2").agg(F.min(place).alias("name"), F.count("*").alias("c")).where("c > 1")
     level = hot_join(seq, stage(lines, "names"), ["id", "id2"], "c", seq.count()).select("d", "t", "n", "alone", "name")
     levels = []
-    for r in range(MOST_ROUNDS):
+    for r in range(MOST_ROUNDS + 1):
         level = stage(level, f"runs-{r}")
         if level.isEmpty():
             break
+        if r == MOST_ROUNDS:
+            raise RuntimeError("runs did not end")
         levels.append(level)
         # the run of 2 ** (r + 1) lines at a place: names of its halves
         half = level.select("d", "t", (F.col("n") - (1 << r)).alias("n"), F.col("name").alias("then"))
@@ -102,9 +104,11 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         deep = every.where(F.col("r") > bit).select("r", "name", "d", "t", "n")
         asked = done.where(F.col("r") > bit).select("r", "name", (F.col("x") + (1 << bit)).alias("x")).distinct()
         far = deep.select("r", "d", "t", F.col("n").alias("at"), F.col("name").alias("then"))
-        members = deep.join(asked, ["r", "name"]).withColumn("at", F.col("n") + F.col("x")).join(far, ["r", "d", "t", "at"])
-        first = F.min(place).over(W.partitionBy("r", "name", "x", "then"))
-        deeper = members.withColumn("first", first).where(F.col("first") < place).select("d", "t", "n", "r", F.col("x").alias("more"))
+        members = stage(deep.join(asked, ["r", "name"]).withColumn("at", F.col("n") + F.col("x")).join(far, ["r", "d", "t", "at"]).drop("at"), f"members-{bit}")
+        # a run that very many documents have is counted before it is joined
+        keys = ["r", "name", "x", "then"]
+        first = members.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+        deeper = members.join(first, keys).where(F.col("first") < place).select("d", "t", "n", "r", F.col("x").alias("more"))
         grown = done.withColumn("more", F.col("x") + (1 << bit)).join(deeper.withColumn("hit", F.lit(True)), ["d", "t", "n", "r", "more"], "left")
         done = stage(grown.select("d", "t", "n", "r", "name", F.when(F.col("hit"), F.col("more")).otherwise(F.col("x")).alias("x")), f"depths-{bit}")
     rest = found.where("not exact").drop("exact")
