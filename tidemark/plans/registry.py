@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import asof, constraints, health, merge, metrics, ownership, reconcile, rollout, rules, runs, store, uilog, versions
-from tidemark.sources import fleet
+from tidemark.sources import fleet, recorded
 from tidemark.sources.bindings import Tables, sql
 from tidemark.staging import shared_folder
 from tidemark.streaming import monitor, replay
@@ -720,6 +720,28 @@ def streamed_store(t: Tables) -> DataFrame:
     return s.read("snapshots").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+# --- recorded responses --------------------------------------------------------------------------
+
+
+@query("""with r as (select user_id, event_id, case event_type when 'error' then 'timeout' when 'purchase' then 'rate_limited' when 'click' then 'partial' else 'complete' end outcome, event_id % 3 posts from events)
+    select '@u' || user_id account, outcome, count(*) responses, cast(sum(case when outcome = 'complete' then posts else 0 end) as bigint) posts, cast(coalesce(sum(case when outcome = 'complete' and posts > 0 then event_id * posts + posts * (posts - 1) / 2 end), 0) as bigint) "views" from r group by all""")
+def recorded_responses(t: Tables) -> DataFrame:
+    """Every event as a vendor's response in JSON files, read back through the data source."""
+    folder = f"{shared_folder(t.spark)}/recorded-{uuid.uuid4().hex}"
+    n, kind = F.col("event_id"), F.col("event_type")
+    post = lambda i: F.struct(F.concat(n.cast("string"), F.lit("-"), i.cast("string")).alias("platform_post_id"), (n + i).alias("views"))
+    rows = t.raw("events").select(
+        F.concat(F.lit("@u"), F.col("user_id").cast("string")).alias("account"), n.alias("job_id"), F.lit(1).alias("attempt"), F.lit("A").alias("vendor"), (kind != "click").alias("is_complete"),
+        F.when(kind == "error", "timeout").when(kind == "purchase", "rate_limited").alias("outcome"), F.slice(F.array(post(F.lit(0)), post(F.lit(1)), post(F.lit(2))), F.lit(1), F.pmod(n, F.lit(3)).cast("int")).alias("posts"),
+    )
+    # one task an account, or several for a large one, so that an account isn't a file for each task
+    rows.repartition("account").write.partitionBy("account").option("maxRecordsPerFile", 100_000).json(folder)
+    recorded.register(t.spark)
+    read = t.spark.read.format("recorded_responses").option("path", folder).load()
+    views = F.aggregate("posts", F.lit(0).cast("long"), lambda a, p: a + p["views"])
+    return read.groupBy("account", "outcome").agg(F.count("*").alias("responses"), F.sum(F.size("posts")).alias("posts"), F.sum(views).alias("views"))
+
+
 # --- integrity -----------------------------------------------------------------------------------
 
 
