@@ -29,7 +29,7 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 #: Words of one block, and of all the blocks that one task fills at a time.
-BLOCK_WORDS, HELD_WORDS = 1_500_000, 3_000_000
+BLOCK_WORDS, HELD_WORDS = 1_000_000, 2_000_000
 
 #: Small letters for A-Z, a line break for what ends a piece, a space for a tab.
 PIECE_BYTES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b for b in range(256))
@@ -175,10 +175,11 @@ def _each(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(i, 1).to_pylist()[0]
 
 
-PAIRS = "block long, number int, prefix long, last long, n long"
+#: key: the phrase's id times the number of frequent words, plus the id of the word behind it; 63 bits hold 3 * 10^9 of each.
+PAIRS = "block long, number int, key long, n long"
 
 
-def _counter(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counter(k: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each block's extensions of phrases of k words, and the lengths of their lists."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +187,7 @@ def _counter(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             for row in _each(batch):
                 x = Extensions.of(row, k)
                 n = len(x.times)
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), pa.array(x.prefix), pa.array(x.last), pa.array(x.times, pa.int64())], names=["block", "number", "prefix", "last", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), pa.array(x.prefix * words + x.last), pa.array(x.times, pa.int64())], names=["block", "number", "key", "n"])
 
     return count
 
@@ -223,26 +224,20 @@ def _sent_words(first: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return narrow
 
 
-def _sent_extensions(enough: DataFrame, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    table = enough.select("prefix", "last", "id").toArrow()
-    prefix, last, ids = (table.column(c).to_numpy() for c in ("prefix", "last", "id"))
-    prefixes, lasts = np.unique(prefix), np.unique(last)
-    key = np.searchsorted(prefixes, prefix) * len(lasts) + np.searchsorted(lasts, last)
+def _sent_extensions(enough: DataFrame, k: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    table = enough.select("key", "id").toArrow()
+    key, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
     order = np.argsort(key)
-    sent = enough.sparkSession.sparkContext.broadcast((prefixes, lasts, key[order], ids[order]))
-
-    def find(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-        return at, known[at] == values
+    sent = enough.sparkSession.sparkContext.broadcast((key[order], ids[order]))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes, lasts, keys, ids = sent.value
+        keys, ids = sent.value
         for batch in batches:
             for row in _each(batch) if len(keys) else ():
                 x = Extensions.of(row, k)
-                (a, hit), (b, met) = find(x.prefix, prefixes), find(x.last, lasts)
-                at, there = find(a * len(lasts) + b, keys)
-                number = np.flatnonzero(hit & met & there)
+                own = x.prefix * words + x.last
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                number = np.flatnonzero(keys[at] == own)
                 yield from _rows(x.lists(row["block"], k + 1, number, ids[at[number]])).to_batches()
 
     return narrow
@@ -260,9 +255,22 @@ def _joined(blocks: DataFrame, found: DataFrame, make: Callable[[dict, np.ndarra
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(narrow, LISTS)
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Ids that stay, since they are written with the rows."""
-    return stage(df.withColumn("id", F.monotonically_increasing_id()), name)
+#: Bits of an id within its partition, as Spark makes them.
+WITHIN = 33
+
+
+def _numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The rows with id, from 0 on without gaps, and their number.
+
+    Ids stay, since they are written with the rows: each has its partition and its place
+    there, and the partitions' sizes, one number each, make them follow one another.
+    """
+    rows = stage(df.withColumn("raw", F.monotonically_increasing_id()), name)
+    part = F.shiftright("raw", WITHIN).cast("int")
+    sizes = {r.part: r.n for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = np.cumsum([0] + [sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)]).tolist()
+    within = F.col("raw").bitwiseAND(F.lit((1 << WITHIN) - 1))
+    return rows.withColumn("id", within + F.get(F.array(*[F.lit(n).cast("long") for n in before]), part)).drop("raw"), before[-1]
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -275,27 +283,28 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
     blocks = stage(rows.mapInArrow(_indexed, BLOCK), "postings")
     per_word = blocks.select("block", "lang", "words", "lengths").mapInArrow(_word_counts, "block long, lang string, number int, word string, n long")
     words = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    first = _numbered(per_word.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent-words")
-    if first.count() <= MOST_SENT:
+    first, number = _numbered(per_word.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent-words")
+    if number <= MOST_SENT:
         lists = blocks.select("block", "lang", "words", "lengths", "places").mapInArrow(_sent_words(first), LISTS)
     else:
         found = per_word.join(first.select("lang", "word", "id"), ["lang", "word"]).select("block", "number", "id")
         lists = _joined(blocks.select("block", "lengths", "places"), found, _word_lists)
-    lists = stage(lists, "lists")
+    lists, base = stage(lists, "lists"), F.lit(max(1, number)).cast("long")
     tables = [first.select("lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), "f", "id")]
     for k in range(1, longest):
-        pairs = lists.mapInArrow(_counter(k), PAIRS)
-        enough = _numbered(pairs.groupBy("prefix", "last").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent")
+        pairs = lists.mapInArrow(_counter(k, number), PAIRS)
+        enough, several = _numbered(pairs.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent")
         if k + 1 < longest:
-            if enough.count() <= MOST_SENT:
-                lists = lists.mapInArrow(_sent_extensions(enough, k), LISTS)
+            if several <= MOST_SENT:
+                lists = lists.mapInArrow(_sent_extensions(enough, k, number), LISTS)
             else:
-                found = pairs.join(enough.select("prefix", "last", "id"), ["prefix", "last"]).select("block", "number", "id")
+                found = pairs.join(enough.select("key", "id"), "key").select("block", "number", "id")
                 lists = _joined(lists, found, lambda row, number, ids, k=k: Extensions.of(row, k).lists(row["block"], k + 1, number, ids))
             lists = stage(lists, "lists")
         before = tables[-1].select(F.col("id").alias("prefix"), "lang", "phrase")
         last = first.select(F.col("id").alias("last"), "word")
-        longer = enough.join(before, "prefix").join(last, "last")
+        longer = enough.withColumn("prefix", F.call_function("div", F.col("key"), base)).withColumn("last", F.col("key") % base)
+        longer = longer.join(before, "prefix").join(last, "last")
         tables.append(stage(longer.select("lang", F.lit(k + 1).alias("size"), F.concat_ws(" ", "phrase", "word").alias("phrase"), "f", "id"), "phrases"))
     return reduce(DataFrame.unionByName, [t.drop("id") for t in tables]), words
 
