@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import asof, constraints, health, merge, metrics, ownership, reconcile, rollout, rules, runs, store, uilog, versions
+from tidemark.operators import asof, constraints, health, markup, merge, metrics, ownership, reconcile, rollout, rules, runs, store, uilog, versions
 from tidemark.sources import fleet, recorded
 from tidemark.sources.bindings import Tables, sql
 from tidemark.staging import shared_folder
@@ -873,6 +873,35 @@ def ui_screen_score(t: Tables) -> DataFrame:
     return uilog.scored(t.raw("customer").select(F.col("c_custkey").cast("string").alias("screen"), xml.alias("xml")), SIGNS)
 
 
+#: What the links of a page are named.
+LINKS = [("english", "the|and|of|to"), ("german", "der|die|und|das"), ("french", "le|la|de|et"), ("spanish", "el|que|y|los")]
+
+
+@query("select page_id page, tag, count(*) n from (select page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) tag from pages) group by all")
+def page_elements(t: Tables) -> DataFrame:
+    """Elements of every page by the table function, in SQL."""
+    markup.register(t.spark)
+    return t.spark.sql("select page, tag, count(*) n from page_elements(table(select page_id page, html from {pages}) partition by page) group by page, tag", pages=t.raw("pages"))
+
+
+@query("with n as (select page_id page, unnest([" + ", ".join(f"{{'state': '{state}', 'rank': {i}, 'votes': len(regexp_extract_all(html, 'href=\"/(?:{words})\"'))}}" for i, (state, words) in enumerate(LINKS)) + """]) v from pages)
+    select page, case when max(v.votes) > 0 then arg_min(v.state, -v.votes * 10 + v.rank) else 'unknown' end state, cast(max(v.votes) as bigint) votes from n group by page""")
+def page_states(t: Tables) -> DataFrame:
+    """The language that most links of a page speak for."""
+    return markup.page_states(t.raw("pages").withColumnRenamed("page_id", "page"), [(state, "href", f"^/(?:{words})$") for state, words in LINKS])
+
+
+@query("""select cast(c_custkey as varchar) screen, ((c_custkey % 500) + 600) / 2.0 / 1080 x, ((c_custkey % 700) + 1400) / 2.0 / case when c_custkey % 3 = 0 then 2400 else 1920 end y from customer where c_custkey % 9 <> 0""")
+def element_places(t: Tables) -> DataFrame:
+    """Where the button that says save is; every ninth screen has none with bounds."""
+    k = F.col("c_custkey")
+    node = lambda text, bounds: F.concat(F.lit(f'<node text="{text}" bounds="'), bounds, F.lit('"/>'))
+    box = F.concat(F.lit("["), F.pmod(k, F.lit(500)).cast("string"), F.lit(","), F.pmod(k, F.lit(700)).cast("string"), F.lit("][600,1400]"))
+    dump = F.concat(F.lit("<hierarchy>"), node("Save", F.lit("none")), node("Cancel", F.lit("[0,0][2,2]")), F.when(F.pmod(k, F.lit(9)) != 0, node("SAVE it", box)).otherwise(""), node("save later", F.when(F.pmod(k, F.lit(9)) != 0, "[1,1][3,3]").otherwise("")), F.lit("</hierarchy>"))
+    screens = t.raw("customer").select(k.cast("string").alias("screen"), dump.alias("xml"), F.when(F.pmod(k, F.lit(3)) == 0, 2400).otherwise(1920).alias("h"))
+    return markup.element_places(screens, "text", "save", F.lit(1080), F.col("h"))
+
+
 # --- device text -----------------------------------------------------------------------------------
 
 
