@@ -122,3 +122,56 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     order = sorted(size, key=lambda s: (s is None, s or ""))
     targets = mixing.fill_targets([size[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))], 1.5 * sum(size.values()))
     assert all(abs(taken[s] - t) <= 1 for s, t in zip(order, targets)) and all(want[x["doc_id"]][0] == x["text"] for x in steps[4])
+
+
+def edge_rows():
+    """Null ids and texts, equal rows, rows of one id, very long texts, and no words at all."""
+    r = random.Random(5)
+    text = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.choice('rstuv')}{r.randint(0, 900)}" for _ in range(n))
+    a, b, far = text(60), text(70), text(300_000)
+    rows = [(1, a, "s0"), (1, a, "s0"), (1, a, "s1"), (2, b, None), (2, text(40), "s1"), (None, b, "s0"), (None, None, None), (3, None, "s1"), (4, "", "s1"), (5, " \t\n\n", "s0"), (6, far, "s0"), (7, far + " end", "s1"), (8, "x" * 2_000_000, "s0")]
+    return rows + [(20 + i, text(50), f"s{i % 3}") for i in range(12)]
+
+
+@pytest.fixture
+def edges(spark, tmp_path):
+    """The frame, with columns whose names clash with what stages add, and a folder with labels and a benchmark."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, words_taken string, shard string, block int, gone int, size string, items string"
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20, 32)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, "a passage that is in no document of this kind at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), f"w{k}", "h", k, 7, "z", "i") for k, (i, t, s) in enumerate(edge_rows())], schema), str(tmp_path)
+
+
+@pytest.mark.parametrize("nth", range(5))
+def test_stages_on_edges(spark, edges, nth):
+    import corpus_pipeline
+
+    frame, folder = edges
+    name, function = corpus_pipeline.STAGES[nth]
+    out = function(spark, frame, folder)
+    rows = out.collect()
+    texts = Counter((r.doc_id, r.text) for r in rows)
+    given = Counter((i, t) for i, t, _ in edge_rows())
+    if nth < 4:
+        assert out.columns == frame.columns and set(texts) <= set(given) | {(r.doc_id, r.text) for r in rows if nth == 1}
+        assert {r.words_taken[0] for r in rows} == {"w"} and {r.gone for r in rows} == {7}
+    if nth == 0:  # too few words, or none: rejected; a null id is a document like others
+        assert not {(None, None), (3, None), (4, ""), (5, " \t\n\n")} & set(texts) and texts[1, edge_rows()[0][1]] == 3
+    if nth == 1:  # equal rows count as one text; later copies of the long line and of the null id's text are cut
+        assert texts[1, edge_rows()[0][1]] == 3 and texts[2, edge_rows()[3][1]] == 1 and texts[None, edge_rows()[3][1]] == 0
+    if nth == 2:  # one row of equal ones; a null id and texts without words all stay
+        assert texts[1, edge_rows()[0][1]] == 1 and texts[None, None] == 1 and texts[None, edge_rows()[3][1]] == 1 and {3, 4, 5, 6} <= {i for i, _ in texts} and 7 not in {i for i, _ in texts}
+    if nth == 3:
+        assert texts == given
+    if nth == 4:
+        assert set(frame.columns) < set(out.columns) and set(texts) <= set(given) and all(n <= 2 * given[k] for k, n in texts.items())
+    empty = function(spark, frame.limit(0), folder)
+    assert empty.collect() == [] and empty.columns == out.columns
+    again = Counter(map(repr, function(spark, frame.repartition(7), folder).collect()))
+    assert again == Counter(map(repr, rows)), "reruns agree"
+
+
+def test_new_queries_are_registered():
+    import __spark_entry__ as entry
+
+    assert all(any(k.startswith(f"op{n}_") for k in entry.queries()) for n in range(1, 14))

@@ -330,6 +330,15 @@ def test_permutations_are_permutations(spark):
     assert n.select(pii.permuted_string(s, "k").alias("x")).distinct().where("x rlike '^[0-9]{4}$'").count() == 2000
 
 
+def test_many_leaves_are_written_in_parts(spark, monkeypatch):
+    draws, shards = [5000, 0, 7, 333], 40
+    rows = lambda t: sorted(map(tuple, t.collect()))
+    whole = [rows(t) for t in mixing.leaves(spark, draws, shards, 3)]
+    monkeypatch.setattr(mixing, "LITERAL_ROWS", 50)
+    assert [rows(t) for t in mixing.leaves(spark, draws, shards, 3)] == whole and len(whole[0]) > 100
+    assert mixing.shard_count(10**12, 200_000) == mixing.LEAST_SHARDS
+
+
 def test_secrets(spark, docs):
     words = ["wrote", "people"]
     forest = secret_scan.fit(secret_scan.default_findings(spark), words)

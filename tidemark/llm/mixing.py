@@ -18,16 +18,20 @@ the parameters below.  All row work is DataFrame expressions.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.columns import WORD, free, fresh
 from tidemark.llm.ordering import numbered
 from tidemark.llm.sizing import stage
+from tidemark.staging import shared_folder
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -36,7 +40,8 @@ SEED = 20_240_607
 #: A block holds about this many words, or more where there would be too many blocks.
 BLOCK_WORDS = 4_000
 MOST_BLOCKS = 4_000_000
-#: Words of a shard, or more where the tree would have too many leaf counts (shards x sources).
+#: Words of a shard, or more where the tree would have more than MOST_COUNTS leaf counts (shards x sources),
+#: which LEAST_SHARDS of very many sources may pass: MOST_SOURCES x LEAST_SHARDS is the bound.
 SHARD_WORDS = 8_000_000
 LEAST_SHARDS, MOST_COUNTS = 16, 1_000_000
 MOST_SOURCES = 200_000
@@ -86,7 +91,7 @@ def quotas(sizes: list[tuple[str | None, int]]) -> list[Quota]:
 
 
 def shard_count(words: int, sources: int) -> int:
-    return max(1, min(max(LEAST_SHARDS, words // SHARD_WORDS + 1), MOST_COUNTS // max(1, sources)))
+    return max(LEAST_SHARDS, min(words // SHARD_WORDS + 1, MOST_COUNTS // max(1, sources)))
 
 
 def split_draws(draws: list[int], shards: int, seed: int = SEED) -> np.ndarray:
@@ -112,6 +117,10 @@ def split_draws(draws: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
+#: Rows of a table that is given as a literal.
+LITERAL_ROWS = 10_000
+
+
 def leaves(spark: SparkSession, draws: list[int], shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The tree's leaves as tables: (sid, step, lo, hi, shard) and (sid, width).
 
@@ -121,14 +130,21 @@ def leaves(spark: SparkSession, draws: list[int], shards: int, seed: int) -> tup
     counts = split_draws(draws, shards, seed) if draws else np.zeros((shards, 0), np.int64)
     ends = np.cumsum(counts, axis=0)
     width = [max(1, -(-n // shards)) for n in draws]
-    cuts = [
-        {"sid": s, "step": k, "lo": int(ends[h, s] - counts[h, s]), "hi": int(ends[h, s]), "shard": h}
-        for h, s in zip(*(x.tolist() for x in np.nonzero(counts)))
+    cuts = (
+        {"sid": int(s), "step": k, "lo": int(ends[h, s] - counts[h, s]), "hi": int(ends[h, s]), "shard": int(h)}
+        for h, s in np.argwhere(counts)
         for k in range(int(ends[h, s] - counts[h, s]) // width[s], (int(ends[h, s]) - 1) // width[s] + 1)
-    ]
-    table = _table(spark, cuts, "sid:int,step:bigint,lo:bigint,hi:bigint,shard:int")
-    # a long table is no literal of every task
-    table = stage(table, "mix-leaves") if len(cuts) > 10_000 else table
+    )
+    schema = "sid:int,step:bigint,lo:bigint,hi:bigint,shard:int"
+    # a long table is written some rows at a time, so it is no literal of every task
+    part = list(islice(cuts, LITERAL_ROWS))
+    table = _table(spark, part, schema)
+    if len(part) == LITERAL_ROWS:
+        folder = f"{shared_folder(spark)}/mix-leaves-{uuid.uuid4().hex}"
+        while part:
+            _table(spark, part, schema).write.mode("append").parquet(folder)
+            part = list(islice(cuts, LITERAL_ROWS))
+        table = spark.read.parquet(folder)
     return table, _table(spark, [{"sid": s, "width": w} for s, w in enumerate(width)], "sid:int,width:bigint")
 
 
@@ -218,7 +234,9 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, shards: int | None = None
     rows = taken.select(F.col("key").alias(k), F.col("taken").alias(t), F.col("size").alias(s), F.col("shards").alias(h))
     rows = rows.withColumn(n, F.row_number().over(W.partitionBy(k).orderBy(t, h)))
     own = docs.withColumn(k, F.xxhash64(F.lit(seed), "doc_id", "text", F.col("source").cast("string")))
-    own = own.withColumn(n, F.row_number().over(W.partitionBy(k).orderBy(F.lit(0))))
+    # those that differ in other columns go by a hash of them, so reruns agree (maps don't count in it)
+    told = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)])
+    own = own.withColumn(n, F.row_number().over(W.partitionBy(k).orderBy(told)))
     copy, shard, taken_words, place = free(docs, "copy", "shard", "words_taken", "place")
     out = own.join(rows, [k, n]).select(*[F.col(f"`{c}`") for c in docs.columns], k, n, t, s, F.posexplode(h).alias(copy, shard))
     words = F.least(F.col(s), F.col(t) - F.col(copy) * F.col(s))

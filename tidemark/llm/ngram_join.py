@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import kernels as K
 from tidemark.llm.columns import WORD
@@ -297,8 +298,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows that head their near-duplicate class, all their columns unchanged.
 
     One row stays of each class, the one of smallest doc_id and, where rows of other
-    texts have that id too, of smallest text hash; of equal rows with that id one stays.
-    Texts without words and rows of null doc_id all stay.
+    texts have that id too, of smallest text hash; of rows of equal id and text the one whose
+    values have the smallest hash stays, so reruns agree (maps don't count in it).  Texts without words and rows of null doc_id all stay.
     """
     near = stage(_classed(docs), "near").where(F.col("doc_id") != int(NO_ID))
     gone = near.where("doc_id <> class_id or text_hash <> class_text").select("doc_id", "text_hash").distinct()
@@ -307,7 +308,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if not _repeated_ids(near.where("doc_id = class_id")):
         return kept
     all_stay = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    return kept.where(all_stay).unionByName(kept.where(~all_stay).dropDuplicates(["doc_id", "text"]))
+    told = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    each = kept.where(~all_stay).groupBy("doc_id", "text").agg(F.min_by(whole, F.xxhash64(*told)).alias("kept_row"))
+    return kept.where(all_stay).unionByName(each.select("kept_row.*"))
 
 
 def _repeated_ids(signed: DataFrame) -> bool:
