@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, ngram_join
@@ -56,8 +57,11 @@ def test_banding_meets_its_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= ngram_join.RECALL and bands <= ngram_join.MOST_BANDS
 
 
-def test_large_cluster_is_cut_into_chunks(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+@pytest.mark.parametrize("members,size", [(8, 64 << 20), (512, 4000)])
+def test_large_cluster_is_cut_into_chunks(docs, monkeypatch, members, size):
+    """By its members, or by the bytes of their sets."""
+    monkeypatch.setattr(ngram_join, "CHUNK", members)
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", size)
     long = " ".join(f"x{i}" for i in range(120))
     rows = [(k, long.replace(f"x{k * 3} ", f"y{k} ")) for k in range(30)]
     s = sets_of(rows)

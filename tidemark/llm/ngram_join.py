@@ -38,7 +38,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 RECALL = 0.9999
 #: More bands allow more rows a band, and so fewer candidates of low similarity.
 MOST_BANDS = 52
-CHUNK = 512
+#: Members, and bytes of their sets, of one of the parts that a large cluster is verified in; a task holds two parts.
+CHUNK, CHUNK_BYTES = 512, 64 << 20
 #: Members of small clusters that share a task.
 BUNDLE_BYTES = 8 << 20
 SEED = 99_991
@@ -239,28 +240,28 @@ def _classed(docs: DataFrame) -> DataFrame:
 
     # a class is headed by a text of its own, not by a doc_id, which other texts may have too
     head = F.min(F.struct("doc_id", "text_hash"))
-    classes = signed.where("n > 0").groupBy("k1", "k2").agg(head.alias("head"), F.count("*").alias("weight"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = classes.select("k1", "k2", F.col("head.doc_id").alias("set_id"), F.col("head.text_hash").alias("set_text"), "weight", "bands")
+    classes = signed.where("n > 0").groupBy("k1", "k2").agg(head.alias("head"), F.count("*").alias("weight"), F.max("n").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = classes.select("k1", "k2", "n", F.col("head.doc_id").alias("set_id"), F.col("head.text_hash").alias("set_text"), "weight", "bands")
     # a doc_id that heads two classes (repeated ids) is told apart by its set
     classes = stage(classes.withColumn("id", F.xxhash64("k1", "k2")), "set-classes")
     distinct = classes.count()
-    buckets = stage(classes.select("id", F.posexplode("bands").alias("turn", "band")), "buckets")
-    heads = buckets.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail"), F.count("*").alias("times")).where("head < tail").select("band", "head", "times")
+    buckets = stage(classes.select("id", "n", F.posexplode("bands").alias("turn", "band")), "buckets")
+    heads = buckets.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail"), F.count("*").alias("times"), F.sum("n").alias("held")).where("head < tail").select("band", "head", "times", "held")
     heads = stage(heads, "bucket-heads")
     ties = hot_join(buckets, heads, ["band"], "times", distinct * bands).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = stage(components(ties, "candidates"), "clusters")
+    clusters = stage(components(ties, "candidates").join(classes.select("id", "n"), "id"), "clusters")
 
-    size = clusters.groupBy("root").agg(F.count("*").alias("members")).withColumn("times", F.col("members"))
-    clusters = stage(hot_join(clusters, size, ["root"], "times", distinct).drop("times"), "cluster-sizes")
+    size = clusters.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("grams")).withColumn("times", F.col("members"))
+    clusters = stage(hot_join(clusters, size, ["root"], "times", distinct).drop("times", "n"), "cluster-sizes")
     # the members of large clusters, by bucket: a cluster whose buckets move fewer sets is verified by them
-    cut = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
-    large = clusters.where(F.col("members") > CHUNK)
-    meets = stage(hot_join(buckets, heads.drop("head"), ["band"], "times", distinct * bands).join(large, "id"), "large-buckets")
-    cost = meets.groupBy("root").agg(F.sum(cut("times").cast("long")).alias("moved"), F.first("members").alias("members"))
-    sparse = cost.where(F.col("moved") < F.col("members") * cut("members")).select("root")
+    cut = lambda n, grams: F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(grams) * 8 / CHUNK_BYTES)).cast("int")
+    large = clusters.where(cut("members", "grams") > 1)
+    meets = stage(hot_join(buckets.drop("n"), heads.drop("head"), ["band"], "times", distinct * bands).join(large, "id"), "large-buckets")
+    cost = meets.groupBy("root").agg(F.sum(cut("times", "held").cast("long")).alias("moved"), F.first("members").alias("members"), F.first("grams").alias("grams"))
+    sparse = cost.where(F.col("moved") < F.col("members") * cut("members", "grams")).select("root")
     sparse = stage(sparse, "sparse-clusters")
-    whole = clusters.join(sparse, "root", "left_anti").select("id", F.col("root").alias("meet"), F.lit(0).alias("turn"), cut("members").alias("pieces"))
-    parted = meets.join(sparse, "root", "left_semi").select("id", F.col("band").alias("meet"), "turn", cut("times").alias("pieces"))
+    whole = clusters.join(sparse, "root", "left_anti").select("id", F.col("root").alias("meet"), F.lit(0).alias("turn"), cut("members", "grams").alias("pieces"))
+    parted = meets.join(sparse, "root", "left_semi").select("id", F.col("band").alias("meet"), "turn", cut("times", "held").alias("pieces"))
 
     # one text for each class: the one that heads it
     members = clusters.select("id").join(classes.select("id", "set_id", "set_text", "weight", "bands"), "id")
