@@ -423,11 +423,12 @@ def status_labels(t: Tables) -> DataFrame:
 
 
 @query("""with roll as (select i, ('0x' || substr(md5('1:connection:' || i), 1, 8))::bigint % 1000 roll, ('0x' || substr(md5('1:busy:' || i), 1, 8))::bigint % 1000 busy, ('0x' || substr(md5('1:version:' || i), 1, 8))::bigint % 4 v,
-        ('0x' || substr(md5('1:task:' || i), 1, 8))::bigint % 9000 task, ('0x' || substr(md5('1:heartbeat:' || i), 1, 8))::bigint % 301 beat from range(1, 1201) t(i))
+        ('0x' || substr(md5('1:task:' || i), 1, 8))::bigint % 9000 task, ('0x' || substr(md5('1:heartbeat:' || i), 1, 8))::bigint % 301 beat from (select c_custkey + 1 i from customer))
     select 'device-' || lpad(i::varchar, greatest(3, length(i::varchar))::integer, '0') device_id, case when i <= 4 then i + 7 else v + 8 end "version", case when i > 4 and roll >= 150 and busy < 80 then 'task-' || (task + 1000) end task,
         case when i <= 4 then 'good' when roll < 50 then 'offline' when roll < 150 then 'flaky' else 'good' end "connection", timestamp '2025-01-01' - to_seconds(beat) last_heartbeat from roll""")
 def mock_fleet(t: Tables) -> DataFrame:
-    return fleet.fleet(t.spark, 1200)
+    """A device for each customer."""
+    return fleet.devices(t.raw("customer").select((F.col("c_custkey") + 1).cast("long").alias("id")))
 
 
 # --- state logs -----------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""A made device fleet: the same count and seed give the same devices anywhere."""
+"""A made device fleet: the same numbers and seed give the same devices anywhere."""
 
 from __future__ import annotations
 
@@ -17,12 +17,17 @@ def draw(seed: int, what: str, number: Column, below: int) -> Column:
 
 
 def fleet(spark: SparkSession, count: int = 200, as_of: str = "2025-01-01 00:00:00", seed: int = 1) -> DataFrame:
-    """device_id, version, task, connection, last_heartbeat.
+    """Devices 1 to ``count``; see ``devices``."""
+    return devices(spark.range(1, count + 1), as_of, seed)
+
+
+def devices(numbers: DataFrame, as_of: str = "2025-01-01 00:00:00", seed: int = 1) -> DataFrame:
+    """device_id, version, task, connection, last_heartbeat of each device of a table of numbers (id, from 1).
 
     The first four devices are idle, connected, and cover the versions.
     """
     n = F.col("id")
-    rows = spark.range(1, count + 1)
+    rows = numbers
     roll = draw(seed, "connection", n, 1000)
     forced = n <= len(VERSIONS)
     connection = F.when(forced, "good").when(roll < OFFLINE, "offline").when(roll < OFFLINE + FLAKY, "flaky").otherwise("good")
