@@ -1,11 +1,12 @@
 """The store's event log, batches of streams, and its maintained view."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, store, versions
+from tidemark.operators import constraints, metrics, store, versions
 
 SNAPSHOT = "post_id long, views long, likes long, comments long, shares long"
 
@@ -121,3 +122,22 @@ def test_killed_and_repeated_batches_leave_each_row_once(spark, tmp_path):
     assert given == [0, 1, 1, 2]
     assert sorted(r.id for r in s.read("rows").collect()) == list(range(30))
     assert spark.read.parquet(f"{s.folder}/rows").count() == 40
+
+
+def test_rules_hold_across_publications(spark, tmp_path):
+    s = store.RunStore(spark, str(tmp_path / "s"))
+    make = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    post = lambda *rows: make("post_id long, account_id long, platform_post_id string, provider_id long", *rows)
+    shot = lambda *posts: make("post_id long, scraped_at timestamp_ntz, views long, likes long, comments long, shares long", *[(p, datetime(2024, 1, 1), v, 0, 0, 0) for p, v in posts])
+    known = {"accounts": make("account_id long, platform_handle string, provider_id long", (1, "h", 1)), "providers": make("provider_id long, name string", (1, "x"))}
+    s.publish_checked(1, "2024-01-01 00:00:00", known, posts=post((1, 1, "p", 1)), snapshots=shot((1, 5)))
+    refused = {
+        "post_of_provider: 1": dict(posts=post((2, 1, "p", 1))), "post_key: 1": dict(posts=post((1, 1, "q", 1))), "post_account: 1": dict(posts=post((2, 9, "q", 1))),
+        "snapshot_post: 1": dict(snapshots=shot((7, 5))), "views_not_negative: 1": dict(snapshots=shot((1, -5)), posts=post((3, 1, "r", 1))),
+    }
+    for rule, more in refused.items():
+        with pytest.raises(constraints.BrokenConstraint, match=f"^{rule}$"):
+            s.publish_checked(2, "2024-01-02 00:00:00", known, **more)
+    assert s.read("posts").count() == 1 and s.read("snapshots").count() == 1
+    s.publish_checked(2, "2024-01-02 00:00:00", known, posts=post((2, 1, "q", 1)), snapshots=shot((1, 6), (2, 7)))
+    assert s.read("posts").count() == 2 and s.read("snapshots").count() == 3

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.constraints import SCHEMA, require
 from tidemark.operators.versions import Versions
 
 STATUSES = ("running", "completed", "failed", "partial")
@@ -133,6 +134,20 @@ class RunStore:
         if self._loose_files() > self.LOOSE_EVENTS:
             self.compact()
 
+    def publish_checked(self, run_id: int, at: str, known: dict[str, DataFrame], **tables: DataFrame) -> None:
+        """As ``publish``, but only if no declared rule is broken; else BrokenConstraint names them.
+
+        The new rows are checked together with the visible rows of their tables, so a key that
+        another run brought already is refused, and with the tables that they refer to: the
+        store's own, and those of ``known`` (by the names in ``constraints.SCHEMA``).
+        """
+        every = {name: self.read(name) for name in SCHEMA if self._exists(name)} | known
+        for name, rows in tables.items():
+            own = rows.withColumn("run_id", F.lit(run_id).cast("long"))
+            every[name] = every[name].unionByName(own, allowMissingColumns=True) if name in every else own
+        require(every)
+        self.publish(run_id, at, **tables)
+
     def sink(self, table: str, first_run: int, at: str) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch``: each micro-batch is the run ``first_run`` + its number.
 
