@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import asof, constraints, health, markup, merge, metrics, ownership, reconcile, rollout, rules, runs, store, uilog, versions
+from tidemark.operators import asof, batch, constraints, health, markup, merge, metrics, ownership, reconcile, rollout, rules, runs, store, uilog, versions
 from tidemark.sources import fleet, recorded
 from tidemark.sources.bindings import Tables, sql
 from tidemark.staging import shared_folder
@@ -721,6 +721,52 @@ def streamed_store(t: Tables) -> DataFrame:
     return s.read("snapshots").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+# --- a recorded batch -----------------------------------------------------------------------------
+
+#: Each event is a job; what its two vendors answer follows from its number.
+RUN = """calls as (select event_id job_id, user_id account_id, event_id ord, user_id % 7 batch, 10.0 + event_id % 200 took, event_type = 'error' bad from events),
+    ends as (select *, case when bad and job_id % 2 = 0 then took when bad then 4 * took + 7 when job_id % 5 = 1 then 2 * took + 5 when job_id % 5 = 2 then 3 * took + 3 else took end a,
+        case when bad and job_id % 2 = 0 then 'raised' when bad then 'exhausted' end a_bad, case when job_id % 37 = 0 then 4 * took + 7 else took end b, case when job_id % 37 = 0 then 'exhausted' end b_bad from calls),
+    fails as (select *, least(case when a_bad is not null then a end, case when b_bad is not null then b end) f, greatest(a, b) l from ends),
+    called as (select *, case when f <= 600 then case when a_bad is not null and (b_bad is null or a < b or (a = b and a_bad <= b_bad)) then a_bad else b_bad end when l > 600 then 'timeout' end reason, case when f <= 600 then f else least(l, 600.0) end ended from fails),
+    runs_ as (select *, sum((reason is null)::integer) over (partition by account_id order by ord) island from called),
+    streak as (select *, sum((reason is not null)::integer) over (partition by account_id, island order by ord) run from runs_),
+    skips as (select *, coalesce(max(run) over (partition by account_id order by ord rows between unbounded preceding and 1 preceding), 0) >= 3 skipped from streak),
+    counted as (select *, count(*) filter (not skipped) over (partition by batch order by ord) done, count(*) filter (not skipped and reason is not null) over (partition by batch order by ord) failures, count(*) over (partition by batch) total from skips),
+    stop as (select batch, min(ord) pause_ord from counted where not skipped and reason is not null and done >= greatest(5, floor(total * 0.1)) and failures / done > 0.2 group by batch),
+    judged as (select c.*, case when ord > pause_ord then 'not_run' when skipped then 'skipped' when reason is not null then 'failure' else 'success' end outcome from counted c left join stop using (batch)),
+    answers as (select job_id, account_id, ord, account_id * 10 + i post, job_id + i "views", 1 in_a, 0 in_b from (select *, unnest(range(0, job_id % 4)) i from judged where outcome = 'success') union all
+        select job_id, account_id, ord, account_id * 10 + i, job_id + 2, 0, 1 from (select *, unnest(range(1, job_id % 3 + 1)) i from judged where outcome = 'success')),
+    merged as (select job_id, account_id, ord, post, max("views") "views", max(in_a) in_a, max(in_b) in_b from answers group by all)"""
+
+
+@query(f"""with {RUN}, n as (select job_id, sum(in_a) posts_a, sum(in_b) posts_b, count(*) reconciled, sum(in_a * in_b) overlap, count(*) filter (ord = first_ord) new_posts from (select *, min(ord) over (partition by account_id, post) first_ord from merged) group by job_id)
+    select j.job_id, account_id, outcome, case when outcome = 'failure' then reason end reason, case when outcome in ('success', 'failure') then cast(ended as double) end ended, """ + ", ".join(f"case when outcome = 'success' then cast(coalesce({c}, 0) as bigint) end {c}" for c in ("posts_a", "posts_b", "reconciled", "overlap", "new_posts")) + " from judged j left join n using (job_id)")
+def batch_results(t: Tables) -> DataFrame:
+    return _batch(t)[0]
+
+
+@query(f"""with {RUN} select job_id, cast(post as varchar) platform_post_id, "views" from merged""")
+def batch_snapshots(t: Tables) -> DataFrame:
+    return _batch(t)[1].select("job_id", "platform_post_id", "views")
+
+
+def _batch(t: Tables) -> tuple[DataFrame, DataFrame]:
+    n, rows = F.col("event_id"), t.raw("events")
+    every = lambda k, r: F.pmod(n, F.lit(k)) == r
+    said = lambda *names: F.array(*[F.lit(x) for x in names])
+    bad = F.col("event_type") == "error"
+    a = F.when(bad & every(2, 0), said("refused", "complete")).when(bad, said("timeout", "unavailable", "timeout", "partial", "complete")).when(every(5, 1), said("rate_limited", "complete")).when(every(5, 2), said("timeout", "partial", "complete", "complete")).otherwise(said("complete"))
+    b = F.when(every(37, 0), said(*["unavailable"] * 4)).otherwise(said("complete"))
+    calls = rows.select(n.alias("job_id"), F.inline(F.array(F.struct(F.lit("A").alias("vendor"), a.alias("said")), F.struct(F.lit("B").alias("vendor"), b.alias("said")))), (F.pmod(n, F.lit(200)) + 10.0).alias("took"))
+    attempts = calls.select("job_id", "vendor", "took", F.posexplode("said").alias("at", "outcome")).withColumn("attempt", F.col("at") + 1)
+    attempts = attempts.withColumn("retry_after", F.when(F.col("outcome") == "rate_limited", 5.0)).withColumn("jitter", F.lit(0.0))
+    some = lambda vendor, low, high, add: rows.where(F.lit(low) < high).select(n.alias("job_id"), F.lit(vendor).alias("vendor"), F.col("user_id"), F.explode(F.sequence(F.lit(low).cast("long"), high - 1)).alias("i")).select("job_id", "vendor", (F.col("user_id") * 10 + F.col("i")).cast("string").alias("platform_post_id"), add.alias("views"), *[F.lit(0).cast("long").alias(m) for m in metrics.METRICS[1:]])
+    posts = some("A", 0, F.pmod(n, F.lit(4)), F.col("job_id") + F.col("i")).unionByName(some("B", 1, F.pmod(n, F.lit(3)) + 1, F.col("job_id") + 2))
+    jobs = rows.select(n.alias("job_id"), F.col("user_id").alias("account_id"), n.alias("ord"), F.pmod("user_id", F.lit(7)).alias("batch"))
+    return batch.run(jobs, attempts, posts)
+
+
 # --- recorded responses --------------------------------------------------------------------------
 
 
