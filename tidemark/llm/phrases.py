@@ -337,7 +337,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     score = F.call_function("div", up.cast("decimal(38,0)"), (big("l") * big("r")).cast("decimal(38,0)"))
     lowest = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return lowest.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score").withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # the limit is on the row number itself, so each task drops what can't be among the first before the shuffle
+    first = lowest.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score").withColumn("rank", rank).where(F.col("rank") <= top)
+    return first.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
