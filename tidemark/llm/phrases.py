@@ -28,6 +28,8 @@ from tidemark.llm.sizing import stage
 LEAST = 100
 LONGEST = 5
 TOP = 2000
+#: Slices of a language's phrases that are ranked by themselves before the language is.
+SLICES = 64
 #: Words of one block, and of all the blocks that one task fills at a time.
 BLOCK_WORDS, HELD_WORDS = 1_000_000, 2_000_000
 
@@ -336,9 +338,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     up = (F.lit(1000).cast("decimal(38,0)") * big("a")).cast("decimal(38,0)") * big("n")
     score = F.call_function("div", up.cast("decimal(38,0)"), (big("l") * big("r")).cast("decimal(38,0)"))
     lowest = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    # the limit is on the row number itself, so each task drops what can't be among the first before the shuffle
-    first = lowest.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score").withColumn("rank", rank).where(F.col("rank") <= top)
+    found = lowest.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score").withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    # a language's first are among the first of its slices, so no task sorts all of its phrases
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    first = found.withColumn("rank", rank("lang", "slice")).where(F.col("rank") <= top)
+    first = first.withColumn("rank", rank("lang")).where(F.col("rank") <= top)
     return first.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
