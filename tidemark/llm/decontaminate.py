@@ -44,6 +44,7 @@ WHOLE, PIECE = 180, 120
 #: Normalised items of fewer bytes allow no edits: they count where they stand as they are.
 LEAST_BYTES = 24
 SHARD_BYTES, CHAINED = 32 << 20, 2
+LEAST_TABLE_BITS = 22
 CELL = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -145,7 +146,11 @@ class Index:
         # the least hits that a stretch of text must have, by classes of piece sizes
         grade = size // 16
         self.least = [(int((size + self.edits)[grade == g].max()), int(self.bound[grade == g].min())) for g in np.unique(grade)]
-        self.table = self.first[1:] > self.first[:-1]
+        # whether a gram is there at all, by a longer hash, so that few others pass
+        self.table_bits = max(LEAST_TABLE_BITS, self.bits + 1)
+        self.table = np.zeros(1 << self.table_bits, dtype=bool)
+        for a in range(0, len(self.grams), 1 << 20):
+            self.table[_slot(self.grams[a : a + (1 << 20)][inside[a : a + (1 << 20)]], self.table_bits)] = True
         self.exact = None
         if pieces.short:
             import ahocorasick
@@ -197,7 +202,7 @@ class Index:
         if len(buf) < Q or not len(self.places):
             return []
         grams = _grams(buf)
-        at = self._dense(self.table[_slot(grams, self.bits)])
+        at = self._dense(self.table[_slot(grams, self.table_bits)])
         if not len(at):
             return []
         slot = _slot(grams[at], self.bits)
