@@ -71,3 +71,25 @@ def test_stream_of_pages_goes_on_after_a_restart(spark, folder, tmp_path):
     folder("@new", "page-2.json", response(8))
     assert drain() == sorted([r[:2] for r in ALL] + [("@a", 7), ("@new", 8)])
     assert drain() == sorted([r[:2] for r in ALL] + [("@a", 7), ("@new", 8)])
+
+
+def test_very_many_accounts_share_files_and_partitions(spark, tmp_path):
+    recorded.register(spark)
+    n = recorded.APART * 2
+    own = tmp_path / "own"
+    for i in range(n):
+        (own / f"account=a{i}").mkdir(parents=True)
+        (own / f"account=a{i}" / "page-0.json").write_text(json.dumps(response(i)))
+    made = spark.range(n).selectExpr("concat('a', id) account", "id job_id", "true is_complete", "array(named_struct('platform_post_id', concat('p', id))) posts")
+    made = made.unionByName(spark.sql("select cast(null as string) account, 9999 job_id, true is_complete, array(named_struct('platform_post_id', 'p9999')) posts"))
+    recorded.write(made, str(tmp_path / "grouped"), 100)
+    want = {(f"a{i}", i, f"p{i}") for i in range(n)}
+    for folder, more in ((own, set()), (tmp_path / "grouped", {(None, 9999, "p9999")})):
+        read = spark.read.format("recorded_responses").option("path", str(folder)).load()
+        got = [(r.account, r.job_id, r.posts[0].platform_post_id) for r in read.collect()]
+        assert len(got) == len(want | more) and set(got) == want | more
+        assert read.rdd.getNumPartitions() < 10
+        some = read.where("account in ('a7', 'a70', 'none')")
+        assert sorted((r.account, r.job_id) for r in some.collect()) == [("a7", 7), ("a70", 70)] and some.rdd.getNumPartitions() <= 3
+        assert read.where("account is null").count() == len(more)
+    assert len({p.parent.name for p in (tmp_path / "grouped").rglob("*.json")}) == 6

@@ -781,8 +781,7 @@ def recorded_responses(t: Tables) -> DataFrame:
         F.concat(F.lit("@u"), F.col("user_id").cast("string")).alias("account"), n.alias("job_id"), F.lit(1).alias("attempt"), F.lit("A").alias("vendor"), (kind != "click").alias("is_complete"),
         F.when(kind == "error", "timeout").when(kind == "purchase", "rate_limited").alias("outcome"), F.slice(F.array(post(F.lit(0)), post(F.lit(1)), post(F.lit(2))), F.lit(1), F.pmod(n, F.lit(3)).cast("int")).alias("posts"),
     )
-    # one task an account, or several for a large one, so that an account isn't a file for each task
-    rows.repartition("account").write.partitionBy("account").option("maxRecordsPerFile", 100_000).json(folder)
+    recorded.write(rows, folder)
     recorded.register(t.spark)
     read = t.spark.read.format("recorded_responses").option("path", folder).load()
     views = F.aggregate("posts", F.lit(0).cast("long"), lambda a, p: a + p["views"])

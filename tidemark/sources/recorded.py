@@ -3,21 +3,28 @@
     spark.dataSource.register(RecordedResponses)
     spark.read.format("recorded_responses").option("path", folder).load()
 
-A folder holds JSON lines, one response a line, in ``account=<name>/*.json``.  The accounts
-are the partitions (a large one, beyond the option ``partitionBytes``, is several): a filter
-on the account is answered by listing, so the files of other accounts are never opened.  A stream reads files called ``page-<number>.json``, page after
+A folder holds JSON lines, one response a line, in ``account=<name>/*.json``, or those of many
+accounts in ``accounts=<k>-of-<n>/*.json`` (see ``write``), where each line names its account
+and k is the account's CRC-32 modulo n.  Accounts, or such groups, are the partitions: a large
+one, beyond the option ``partitionBytes``, is several, and beyond ``APART`` of them small ones
+share one.  A filter on the account is answered by listing, so the files of other accounts, or of
+other groups, are never opened.  A stream reads files called ``page-<number>.json``, page after
 page; all files of a page are there once one of them is.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 SCHEMA = (
@@ -28,29 +35,64 @@ POST = pa.struct([("platform_post_id", pa.string()), *[(m, pa.int64()) for m in
 COLUMNS = [("account", pa.string()), ("job_id", pa.int64()), ("attempt", pa.int32()), ("vendor", pa.string()), ("fetched_at", pa.float64()), ("outcome", pa.string()), ("retry_after", pa.float64()), ("posts", pa.list_(POST))]
 #: Files that one task reads one after the other, and responses of one batch.
 PARTITION_BYTES, BATCH_ROWS = 64 << 20, 2_000
+#: So many accounts or groups have partitions of their own; where there are more, opening a file counts as so many bytes.
+APART, OPEN_BYTES = 256, 64 << 10
+#: Responses that ``write`` gives a group of accounts.
+GROUP_ROWS = 20_000
+
+
+@dataclass(frozen=True, order=True)
+class File:
+    """A file of one account, or of the group ``k`` of ``n`` (n is 0 for a single account)."""
+
+    account: str
+    n: int
+    k: int
+    path: str
+    size: int
+
+    def holds(self, account: str) -> bool:
+        return zlib.crc32(account.encode()) % self.n == self.k if self.n else account == self.account
 
 
 class Files(InputPartition):
-    """Some files of one account."""
+    """Some files; with ``named``, only these accounts of those that are a group's."""
 
-    def __init__(self, account: str, paths: list[str]):
-        super().__init__((account, tuple(paths)))
-        self.account, self.paths = account, paths
+    def __init__(self, files: list[File], named: frozenset[str] | None = None):
+        super().__init__(tuple(files))
+        self.files, self.named = files, named
 
 
-def _listed(path: str) -> list[tuple[str, str, int]]:
-    """(account, file, bytes) of all recorded files, in a fixed order."""
+def _listed(path: str) -> list[File]:
+    """All recorded files, in a fixed order."""
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     found = []
     for info in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
-        at = re.search(r"(?:^|/)account=([^/]*)/[^/._][^/]*\.json$", info.path)
+        at = re.search(r"(?:^|/)(?:account=([^/]*)|accounts=(\d+)-of-(\d+))/[^/._][^/]*\.json$", info.path)
         if info.is_file and at:
-            found.append((unquote(at[1]), info.path, info.size))
+            found.append(File(unquote(at[1] or ""), int(at[3] or 0), int(at[2] or 0), info.path, info.size))
     return sorted(found)
 
 
+def _dealt(files: Iterable[File], most: int, named: frozenset[str] | None = None) -> list[InputPartition]:
+    """Partitions of ``most`` bytes, or one file; small accounts share one where there are very many."""
+    files = [f for f in files if named is None or any(map(f.holds, named))]
+    shared = len({(f.account, f.n, f.k) for f in files}) > APART
+    parts: list[list[File]] = []
+    total = 0
+    for f in files:
+        weight = f.size + (OPEN_BYTES if shared else 0)
+        last = parts[-1][-1] if parts else None
+        if last is None or total + weight > most or not (shared or (f.account, f.n, f.k) == (last.account, last.n, last.k)):
+            parts.append([])
+            total = 0
+        parts[-1].append(f)
+        total += weight
+    return [Files(own, named and frozenset(a for a in named if any(f.holds(a) for f in own))) for own in parts]
+
+
 def _outcome(r: dict) -> str:
     """What was recorded, else complete or partial by is_complete."""
     return r.get("outcome") or ("complete" if r.get("is_complete") else "partial")
@@ -66,8 +108,8 @@ def _responses(path: str, part: Files) -> Iterator[pa.RecordBatch]:
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kind) for c, kind in COLUMNS], names=[c for c, _ in COLUMNS])
 
-    for name in part.paths:
-        with system.open_input_stream(name) as f:
+    for file in part.files:
+        with system.open_input_stream(file.path) as f:
             text = f.read().decode()
         for line in text.splitlines():
             if not line.strip():
@@ -76,9 +118,12 @@ def _responses(path: str, part: Files) -> Iterator[pa.RecordBatch]:
                 r = json.loads(line)
             except ValueError:
                 r = {"outcome": "unreadable"}
+            account = r.get("account") if file.n else file.account
+            if file.n and part.named is not None and account not in part.named:
+                continue
             kind = _outcome(r)
             posts = [{c.name: p.get(c.name) for c in POST} for p in r.get("posts") or []] if kind == "complete" else []
-            rows.append({**r, "account": part.account, "outcome": kind, "posts": posts})
+            rows.append({**r, "account": account, "outcome": kind, "posts": posts})
             if len(rows) == BATCH_ROWS:
                 yield batch()
                 rows = []
@@ -100,17 +145,7 @@ class Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        parts: list[InputPartition] = []
-        held: dict[str, tuple[list[str], int]] = {}
-        for account, name, size in _listed(self.path):
-            if self.accounts is not None and account not in self.accounts:
-                continue
-            names, total = held.get(account, ([], 0))
-            if names and total + size > self.most:
-                parts.append(Files(account, names))
-                names, total = [], 0
-            held[account] = ([*names, name], total + size)
-        return parts + [Files(account, names) for account, (names, _) in held.items()]
+        return _dealt(_listed(self.path), self.most, None if self.accounts is None else frozenset(self.accounts))
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         # without partitions Spark asks for None
@@ -120,8 +155,8 @@ class Reader(DataSourceReader):
 class StreamReader(DataSourceStreamReader):
     """Offsets are page numbers: a batch has the pages from one to the next."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, most: int):
+        self.path, self.most = path, most
 
     @staticmethod
     def _page(name: str) -> int:
@@ -132,14 +167,10 @@ class StreamReader(DataSourceStreamReader):
         return {"page": 0}
 
     def latestOffset(self) -> dict:
-        return {"page": max((self._page(name) for _, name, _ in _listed(self.path)), default=-1) + 1}
+        return {"page": max((self._page(f.path) for f in _listed(self.path)), default=-1) + 1}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        by: dict[str, list[str]] = {}
-        for account, name, _ in _listed(self.path):
-            if start["page"] <= self._page(name) < end["page"]:
-                by.setdefault(account, []).append(name)
-        return [Files(account, names) for account, names in by.items()]
+        return _dealt((f for f in _listed(self.path) if start["page"] <= self._page(f.path) < end["page"]), self.most)
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         return _responses(self.path, partition) if partition is not None else iter(())
@@ -157,13 +188,27 @@ class RecordedResponses(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options["path"], int(self.options.get("partitionbytes", PARTITION_BYTES)))
+        return Reader(self.options["path"], self._most())
 
     def streamReader(self, schema) -> StreamReader:
-        return StreamReader(self.options["path"])
+        return StreamReader(self.options["path"], self._most())
+
+    def _most(self) -> int:
+        return int(self.options.get("partitionbytes", PARTITION_BYTES))
 
 
 def register(spark: SparkSession) -> None:
     """Makes the format known, with filters handed to it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordedResponses)
+
+
+def write(responses: DataFrame, folder: str, rows: int = GROUP_ROWS) -> None:
+    """Responses with their column account as JSON lines in groups of accounts, about ``rows`` responses each.
+
+    The files grow in number with the responses, not with the accounts; a group beyond a task's share is written by several.
+    """
+    n = max(1, math.ceil(responses.count() / rows))
+    k = F.coalesce(F.pmod(F.crc32(F.col("account").cast("binary")), F.lit(n)), F.lit(0))
+    grouped = responses.withColumn("accounts", F.concat(k.cast("string"), F.lit(f"-of-{n}")))
+    grouped.hint("rebalance", "accounts").write.partitionBy("accounts").option("maxRecordsPerFile", 100_000).json(folder)
