@@ -80,7 +80,8 @@ def q3_disappeared_by_platform(t: Tables) -> DataFrame:
     case when posts_expected > 0 then cast(round(100.0 * coalesce(posts_found, 0) / posts_expected, 1) as double) end coverage_pct
     from run_accounts join runs r using (run_id) join accounts a using (account_id) join platforms f on f.provider_id = r.provider_id""")
 def q4_health(t: Tables) -> DataFrame:
-    return runs.health(t.runs(), t.run_accounts(), t.accounts(), t.platforms())
+    # a run is a platform's month here, so there are few
+    return runs.health(F.broadcast(t.runs()), t.run_accounts(), t.accounts(), t.platforms())
 
 
 @query(f"""select c.name owning_client_at_publish, count(distinct p.post_id) post_count, cast(sum(max_views) as bigint) total_views

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SPLIT = "1998-01-01"
 START = "1995-01-01"
+#: Snapshots that one task joins with their posts, or sums by account.
+TASK_ROWS = 250_000
 
 
 class Tables:
@@ -14,6 +19,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._parts = 0
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -49,22 +55,27 @@ class Tables:
             F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("turn"),
         )
 
+    def parts(self) -> int:
+        """Tasks for what is dealt by post or account: their number grows with the snapshots (counted by the files' footers), not their memory."""
+        self._parts = self._parts or max(1, math.ceil(self.raw("lineitem").count() / TASK_ROWS))
+        return self._parts
+
     def run_snapshots(self) -> DataFrame:
         """Snapshots with their run, platform and account."""
-        posts = self.posts().select("post_id", "account_id", "provider_id")
+        posts = self.posts().select("post_id", "account_id", "provider_id").repartition(self.parts(), "post_id")
         run = F.col("provider_id") * 1000000 + F.year("scraped_at") * 100 + F.month("scraped_at")
-        return self.snapshots().join(posts, "post_id").withColumn("run_id", run)
+        return self.snapshots().repartition(self.parts(), "post_id").join(posts, "post_id").withColumn("run_id", run)
 
     def runs(self) -> DataFrame:
         return self.run_snapshots().select("run_id", "provider_id", F.date_trunc("month", "scraped_at").cast("timestamp_ntz").alias("started_at")).distinct().withColumn("status", run_status())
 
     def run_accounts(self) -> DataFrame:
         """posts_found and posts_expected by (run, account); expected counts posts published before the run's month ends."""
-        found = self.run_snapshots().groupBy("run_id", "account_id", F.date_trunc("month", "scraped_at").alias("month")).agg(F.countDistinct("post_id").alias("posts_found"))
-        there = self.posts().groupBy("account_id", F.date_trunc("month", "published_at").alias("month")).agg(F.count("*").alias("n"))
-        both = found.select("account_id", "month", "run_id", "posts_found", F.lit(0).cast("long").alias("n")).unionByName(there, allowMissingColumns=True)
-        from pyspark.sql import Window as W
-
+        month = lambda c: F.date_trunc("month", c).alias("month")
+        # a post of a run is one row by now; both kinds of rows go to their account at once, where the groups and their sums are made
+        found = self.run_snapshots().select("account_id", "run_id", month("scraped_at"), "post_id").distinct().select("account_id", "run_id", "month", F.lit(1).alias("found"), F.lit(0).alias("n"))
+        there = self.posts().select("account_id", F.lit(None).cast("long").alias("run_id"), month("published_at"), F.lit(0).alias("found"), F.lit(1).alias("n"))
+        both = found.unionByName(there).repartition(self.parts(), "account_id").groupBy("account_id", "month", "run_id").agg(F.sum("found").alias("posts_found"), F.sum("n").alias("n"))
         so_far = F.sum("n").over(W.partitionBy("account_id").orderBy("month").rangeBetween(W.unboundedPreceding, 0))
         return both.withColumn("posts_expected", so_far).where("run_id is not null").select("run_id", "account_id", "posts_expected", "posts_found")
 
