@@ -90,3 +90,17 @@ def test_own_rules(spark):
     rules = {"t": C.Rules(("a",), {"small": "a < 10"}, {"pair": C.Unique(("a", "b"), "a > 1")}, {"self": C.Reference(("b",), "t", ("a",))})}
     df = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 1), (20, 5), (None, 2)], "a long, b long")
     assert found(C.violations({"t": df}, rules)) == {"t.a": 1, "small": 1, "pair": 1, "self": 1}
+
+
+def test_a_key_costs_a_count_for_each_reference_to_it(spark):
+    """Three tables name accounts by their key: four counts a key, however many rules there are."""
+    plan = C.violations(tables(spark))._jdf.queryExecution().optimizedPlan().toString()
+    per_key = next(line for line in plan.split("\n") if "Aggregate [space" in line)
+    assert per_key.count("count(") + per_key.count("sum(") == 4
+
+
+def test_keys_of_two_columns_never_look_alike(spark):
+    rules = {"t": C.Rules(unique={"pair": C.Unique(("a", "b"))})}
+    rows = [("1:x", "y"), ("1", "x:y"), ("", "1:xy"), ("x", "1:y"), ("1:x1", ":y"), ("é", "b"), (None, "b"), (None, "b")]
+    assert found(C.violations({"t": spark.createDataFrame(rows, "a string, b string")}, rules)) == {}
+    assert found(C.violations({"t": spark.createDataFrame(rows + [("é", "b"), ("é", "b")], "a string, b string")}, rules)) == {"pair": 1}

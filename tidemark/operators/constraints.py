@@ -73,9 +73,9 @@ class BrokenConstraint(ValueError):
 
 
 def _key(columns: tuple[str, ...]) -> Column:
-    """The columns as text, null if one of them is."""
-    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
-    return F.when(whole, F.array(*[F.col(c).cast("string") for c in columns]))
+    """The columns as one text, null if one of them is; before each but the last stands its length, so that different columns never look alike."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[x for t in texts[:-1] for x in (F.length(t).cast("string"), F.lit(":"), t)], texts[-1])
 
 
 def violations(tables: dict[str, DataFrame], rules: dict[str, Rules] = SCHEMA) -> DataFrame:
@@ -85,17 +85,20 @@ def violations(tables: dict[str, DataFrame], rules: dict[str, Rules] = SCHEMA) -
     no row of the other table, and keys that stand twice.  Rules on tables that aren't
     given are left out; so is a reference to one.
 
-    Every row yields its checks and its keys, each in the key space (table and columns) that
-    it belongs to; a row that is referred to yields the key there, too.  One aggregation by
-    space and key, combined before the shuffle, tells repeated keys and references without a
-    row.  A key that very many rows have costs a row a task.
+    Every row yields the checks that it breaks and its keys, each in the key space (table and
+    columns) that it belongs to; a row that is referred to yields the key there, too.  One
+    aggregation by space and key, combined before the shuffle, tells repeated keys and references
+    without a row.  It keeps one count for a key's own rows and one for each reference to its
+    space, so a key's memory doesn't grow with the rules of other spaces.  A key that very many
+    rows have costs a row a task.
     """
     spaces: dict[tuple, int] = {}
     space = lambda *of: spaces.setdefault(of, len(spaces))
     unique: dict[str, int] = {}
-    refer: dict[str, int] = {}
+    refer: dict[str, tuple[int, int]] = {}
     checks: dict[str, Column] = {}
-    facts: dict[str, list[tuple[int, str, Column]]] = {t: [] for t in tables}
+    #: space, which of its counts (0: own rows), key
+    facts: dict[str, list[tuple[int, int, Column]]] = {t: [] for t in tables}
     needs: dict[str, dict[str, Column]] = {}
     for t in tables:
         own = rules.get(t, Rules())
@@ -103,34 +106,32 @@ def violations(tables: dict[str, DataFrame], rules: dict[str, Rules] = SCHEMA) -
         checks |= needs[t]
         for name, u in own.unique.items():
             unique[name] = space(t, u.columns, u.where)
-            facts[t].append((unique[name], "", F.when(F.expr(u.where or "true"), _key(u.columns))))
+            facts[t].append((unique[name], 0, F.when(F.expr(u.where or "true"), _key(u.columns))))
     for t in tables:
         for name, r in rules.get(t, Rules()).references.items():
             if r.table not in tables:
                 continue
             if (r.table, r.to, None) not in spaces:
-                facts[r.table].append((space(r.table, r.to, None), "", _key(r.to)))
-            refer[name] = space(r.table, r.to, None)
-            facts[t].append((refer[name], name, _key(r.columns)))
-    none = F.lit(None).cast("array<string>")
-    zero = F.lit(0).cast("long")
+                facts[r.table].append((space(r.table, r.to, None), 0, _key(r.to)))
+            own = space(r.table, r.to, None)
+            refer[name] = own, 1 + sum(s == own for s, _ in refer.values())
+            facts[t].append((*refer[name], _key(r.columns)))
+    counts = range(1 + max((at for _, at in refer.values()), default=0))
 
     def yielded(t: str, df: DataFrame) -> DataFrame:
-        """space, key, by (the reference, or nothing for the row itself) and, in the row without a space, the checks."""
-        flags = [F.coalesce(needs[t][c], F.lit(False)).cast("long").alias(c) if c in needs[t] else zero.alias(c) for c in checks]
-        one = F.struct(F.lit(-1).alias("space"), none.alias("key"), F.lit("").alias("by"), *flags)
-        more = [F.struct(F.lit(s).alias("space"), key.alias("key"), F.lit(by).alias("by"), *[zero.alias(c) for c in checks]) for s, by, key in facts[t]]
-        return df.select(F.inline(F.array(one, *more))).where("space = -1 or key is not null")
-
-    every = reduce(DataFrame.unionByName, [yielded(t, df) for t, df in tables.items()])
-    sums = [F.sum(f"`{c}`").alias(c) for c in checks]
-    per_key = every.groupBy("space", "key").agg(F.count_if(F.col("by") == "").alias("own rows"), *[F.count_if(F.col("by") == r).alias(f"by {r}") for r in refer], *sums)
-    found = [F.coalesce(F.sum(f"`{c}`"), zero).alias(c) for c in checks]
-    found += [F.count_if((F.col("space") == s) & (F.col("own rows") > 1)).alias(name) for name, s in unique.items()]
-    found += [F.coalesce(F.sum(F.when((F.col("space") == s) & (F.col("own rows") == 0), F.col(f"by {name}"))), zero).alias(name) for name, s in refer.items()]
+        """space, key, at (which count); a broken check is a key, its name, of space -1."""
+        broken = [F.struct(F.lit(-1).alias("space"), F.when(c, F.lit(name)).alias("key"), F.lit(0).alias("at")) for name, c in needs[t].items()]
+        keys = [F.struct(F.lit(s).alias("space"), key.alias("key"), F.lit(at).alias("at")) for s, at, key in facts[t]]
+        return df.select(F.inline(F.array(*broken, *keys))).where("key is not null")
+
+    every = reduce(DataFrame.unionByName, [yielded(t, df) for t, df in tables.items() if needs[t] or facts[t]])
+    per_key = every.groupBy("space", "key").agg(*[F.count_if(F.col("at") == i).alias(f"n{i}") for i in counts])
+    within = lambda s, more, n: F.coalesce(F.sum(F.when((F.col("space") == s) & more, F.col(n))), F.lit(0))
+    found = [within(-1, F.col("key") == name, "n0").alias(name) for name in checks]
+    found += [F.count_if((F.col("space") == s) & (F.col("n0") > 1)).alias(name) for name, s in unique.items()]
+    found += [within(s, F.col("n0") == 0, f"n{at}").alias(name) for name, (s, at) in refer.items()]
     names = [*checks, *unique, *refer]
-    counts = per_key.agg(*found)
-    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").cast("long").alias("n")) for n in names])))
+    return per_key.agg(*found).select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").cast("long").alias("n")) for n in names])))
 
 
 def require(tables: dict[str, DataFrame], rules: dict[str, Rules] = SCHEMA) -> None:

@@ -830,7 +830,7 @@ def schema_violations(t: Tables) -> DataFrame:
         "clients": clients.unionByName(clients.where(mod("client_id", 10) == 3).withColumn("name", F.lit(None).cast("string"))), "providers": t.platforms(),
         "accounts": accounts.withColumn("provider_id", F.when(mod("account_id", 97) == 0, 99).otherwise(col("provider_id"))).unionByName(accounts.where(mod("account_id", 50) == 1).withColumn("account_id", col("account_id") + 1000000000)),
         "ownership": held.unionByName(held.where((mod("account_id", 31) == 0) & col("valid_to").isNotNull()).select("account_id", (col("client_id") + 20).alias("client_id"), col("valid_to").alias("valid_from"), F.when(mod("account_id", 2) == 0, col("valid_from")).alias("valid_to"))),
-        "posts": posts.where(mod("post_id", 11) != 0).withColumn("platform_post_id", F.when(mod("post_id", 17) == 0, "twin").otherwise(col("platform_post_id"))),
+        "posts": posts.where(mod("post_id", 11) != 0).repartition(t.parts(), "post_id").withColumn("platform_post_id", F.when(mod("post_id", 17) == 0, "twin").otherwise(col("platform_post_id"))),
         "runs": run.withColumn("provider_id", F.when(mod("run_id", 3) != 0, col("provider_id"))).withColumn("status", F.when(mod("run_id", 5) == 0, "done").otherwise(col("status"))),
         "run_accounts": counts.unionByName(counts.where(mod("account_id", 40) == 0).withColumn("account_id", col("account_id") * 2)),
         "snapshots": t.run_snapshots().withColumn("run_id", col("run_id") + F.when(mod("post_id", 29) == 0, 7).otherwise(0)).withColumn("views", col("views") - 2000).withColumn("shares", F.when(col("shares") <= 90, col("shares"))),
