@@ -96,3 +96,33 @@ def test_empty_streams(spark):
     monitor.with_rocksdb(spark)
     assert replay.replayed(none, F.col("part"), 2, lambda rows: monitor.watched(rows)).collect() == []
     assert health.last_states(none, "1 day").collect() == []
+
+
+def test_state_is_read_and_written_once_a_batch():
+    """However many events an account has in a batch, its state is one read and one write."""
+    from collections import Counter
+    from types import SimpleNamespace
+
+    calls, held = Counter(), {}
+
+    class Value:
+        def exists(self):
+            calls["read"] += 1
+            return "now" in held
+
+        def get(self):
+            calls["read"] += 1
+            return held.get("now")
+
+        def update(self, v):
+            calls["write"] += 1
+            held["now"] = v
+
+    handle = SimpleNamespace(getValueState=lambda *_: Value(), registerTimer=lambda _: calls.update(["timer"]), deleteTimer=lambda _: calls.update(["timer"]))
+    watch = monitor.FailureWatch(health.STREAK, 10_000)
+    watch.init(handle)
+    row = lambda o: SimpleNamespace(ord=o, clear=False, failed=o % 5 > 0, ms=o * 100)
+    first = list(watch.handleInputRows((1,), map(row, range(301)), None))
+    assert len(first) == 301 and calls["read"] <= 1 and calls["write"] == 1
+    # those within quiet of the last event are known when they come again
+    assert [r.ord for r in watch.handleInputRows((1,), map(row, range(200, 310)), None)] == list(range(301, 310))

@@ -53,9 +53,10 @@ BEFORE = "account_id long, last_ord long, seen timestamp, run long, flagged bool
 class FailureWatch(StatefulProcessor):
     """Streaks of one account, event by event.
 
-    State: the streak with its flag (a value), the ords of the last events (a map, so that an
+    State: the streak with its flag and the ords of the last events (one value, so that an
     event that is delivered again is dropped), and a timer that forgets an account that has
     been quiet.  An account that is flagged is never forgotten: only an unflag clears it.
+    The state is read and written once for all rows of a batch, since each call goes to the JVM.
     """
 
     def __init__(self, streak: int, quiet_ms: int):
@@ -63,36 +64,33 @@ class FailureWatch(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "run long, flagged boolean, seen long, timer long")
-        self.taken = handle.getMapState("taken", "ord long, clear boolean", "at long")
-
-    def _state(self):
-        return self.now.get() if self.now.exists() else (0, False, None, None)
-
-    def _settle(self, run: int, flagged: bool, seen: int, timer: int | None) -> None:
-        """Keep the state and set the timer anew; without one while the account is flagged."""
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = None if flagged else seen + self.quiet
-        if timer is not None:
-            self.handle.registerTimer(timer)
-        self.now.update((run, flagged, seen, timer))
+        self.now = handle.getValueState("now", "run long, flagged boolean, seen long, timer long, ords array<long>, clears array<boolean>, ats array<long>")
+
+    def _settle(self, run: int, flagged: bool, seen: int, timer: int | None, taken: dict) -> None:
+        """Keep the state, with the events within quiet of the last one, and set the timer anew; without one while the account is flagged."""
+        due = None if flagged else seen + self.quiet
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        kept = [(*k, at) for k, at in taken.items() if at >= seen - self.quiet]
+        self.now.update((run, flagged, seen, due, *([e[i] for e in kept] for i in range(3))))
 
     # Spark gives the arguments of these by name
     def handleInitialState(self, key, initialState, timerValues) -> None:
         before = initialState
-        self._settle(before.run, before.flagged, before.ms, None)
-        self.taken.updateValue((before.last_ord, False), (before.ms,))
+        self._settle(before.run, before.flagged, before.ms, None, {(before.last_ord, False): before.ms})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        run, flagged, seen, timer = self._state()
+        run, flagged, seen, timer, *events = self.now.get() or (0, False, None, None, [], [], [])
+        taken = {(ord_, clear): at for ord_, clear, at in zip(*events)}
         out = []
         # an unflag comes before the job of its own place
         for r in sorted(rows, key=lambda r: (r.ord, not r.clear)):
-            if self.taken.containsKey((r.ord, r.clear)):
+            if (r.ord, r.clear) in taken:
                 continue
-            at = r.ms
-            self.taken.updateValue((r.ord, r.clear), (at,))
+            taken[r.ord, r.clear] = at = r.ms
             if seen is not None and at - seen > self.quiet:
                 run = 0
             seen = at if seen is None else max(seen, at)
@@ -104,14 +102,11 @@ class FailureWatch(StatefulProcessor):
             flagged = flagged or run >= self.streak
             out.append(Row(account_id=key[0], ord=r.ord, failed=r.failed, consecutive_failures=run, flagged=flagged, skipped=skipped))
         if seen is not None:
-            for k in [k for k, v in self.taken.iterator() if v[0] < seen - self.quiet]:
-                self.taken.removeKey(k)
-            self._settle(run, flagged, seen, timer)
+            self._settle(run, flagged, seen, timer, taken)
         yield from out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.now.clear()
-        self.taken.clear()
         yield from ()
 
     def close(self) -> None:
